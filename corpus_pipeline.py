@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid
+from tidemark.llm import bpe, decontaminate, jaccard, langid
 from tidemark.llm.common import stored, table
 
 #: From so many bytes on, a text that no language codes in fewer bits than its bytes have is no text.
@@ -20,13 +20,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.where(~junk).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by similar five-word shingles: that with the smallest id. Of rows with the same id one stays; rows without id stay."""
+    groups = jaccard.group(docs)
+    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti")
+    repeated = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once.select("doc_id", "row.*").select(*docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents that hold a benchmark item."""
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document's text, and the digest of what they decode to."""
     made = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("lang", "source"))
     return made.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("language ID", language), ("BPE", tokens)]
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontaminated),
+    ("BPE encoding and decoding", tokens),
+]
 
 #: The language model and the byte-pair merges are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None

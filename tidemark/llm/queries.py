@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, decontaminate, jaccard, langid
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its most similar window."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op3_language_id": op3_language_id}
+    return {"op1_bpe": op1_bpe, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard}
 
 
 ORACLES: dict[str, str] = {}
