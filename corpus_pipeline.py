@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard, langid
+from tidemark.llm import bpe, decontaminate, jaccard, langid, lines
 from tidemark.llm.common import stored, table
 
 #: From so many bytes on, a text that no language codes in fewer bits than its bytes have is no text.
@@ -20,6 +20,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.where(~junk).select(*docs.columns)
 
 
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop repeated lines; a document that had nothing but these goes."""
+    made = lines.dedup(docs)
+    made = made.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    columns = [F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return made.select(*columns)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by similar five-word shingles: that with the smallest id. Of rows with the same id one stays; rows without id stay."""
     groups = jaccard.group(docs)
@@ -44,6 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
+    ("line dedup", repeated_lines),
     ("n-gram Jaccard join", near_copies),
     ("benchmark decontamination", decontaminated),
     ("BPE encoding and decoding", tokens),

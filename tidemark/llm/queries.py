@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid
+from . import bpe, decontaminate, jaccard, langid, lines
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those dropped as repeated, and the digest of the text that stays."""
+    made = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from documents whose crc32(doc_id) mod 3 isn't 1; the others are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -38,7 +44,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard}
+    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard}
 
 
 ORACLES: dict[str, str] = {}
