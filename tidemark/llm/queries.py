@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, lines
-from .common import table
+from . import bpe, decontaminate, jaccard, langid, lines, topk, warc
+from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,8 +43,20 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256.0)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles and index go to the shared folder, and the rows are what is read back from there."""
+    folder = shared_dir(spark)
+    warc.write(warc.with_decisions(table(spark, sf_dir, "pages")), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard}
+    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_topk": op7_topk, "op8_warc": op8_warc}
 
 
 ORACLES: dict[str, str] = {}
