@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, lines, topk, warc
-from .common import shared_dir, table
+from . import bpe, chat, counts, decontaminate, jaccard, langid, licenses, lines, topk, warc
+from .common import shared_dir, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,25 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in, those of good quality are counted anew by the second tokenizer, toxic ones go. The first batch is committed twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("doc_id is not null")
+    one, two = counts.TOKENIZERS
+    counted = stored(docs.select("doc_id", "source", "lang", *[counts.token_count(F.col("text"), t).alias(t) for t in (one, two)]))
+    by = lambda rows, t: rows.select("source", "lang", F.lit(t).alias("tokenizer"), F.col(f"`{t}`").alias("tokens"))
+    good = counted.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    toxic = labels.where("toxic = 1").select("doc_id")
+    gone = counted.join(toxic, "doc_id", "left_semi")
+    gone_good = good.join(toxic, "doc_id", "left_semi")
+    gone_other = gone.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_anti")
+    rollup = counts.Rollup(spark, shared_dir(spark))
+    rollup.commit("insert", counts.inserts(by(counted, one)))
+    rollup.commit("recount", counts.revisions(by(good, one), by(good, two)))
+    rollup.commit("delete", counts.deletes(by(gone_good, two).union(by(gone_other, one))))
+    rollup.commit("insert", counts.inserts(by(counted, one)))
+    return rollup.totals()
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256.0)
@@ -55,8 +74,34 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: The tool that op9's messages call.
+ANSWER_SCHEMA = [("answer", "chars", "BIGINT", True), ("answer", "text", "STRING", True), ("answer", "turn", "BIGINT", False)]
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn as a call of a tool that answers, after the answer two turns before; the turn after it is its result."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    name = lambda turn: F.concat_ws("-", F.lit("call"), "conv_id", turn)
+    text = F.col("text")
+    call = F.struct(
+        name(F.col("turn")).alias("id"),
+        F.lit("answer").alias("name"),
+        F.struct("turn", "text", F.char_length("text").alias("chars")).alias("arguments"),
+        F.array(name(F.col("turn") - 2)).alias("after"),
+    )
+    calls = turns.where("role = 'assistant'").select("conv_id", "turn", "role", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    results = turns.where("role <> 'assistant' and turn > 0").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), text.alias("content"))).alias("text"))
+    linked = chat.link(calls.union(results), chat.schema_rows(spark, ANSWER_SCHEMA))
+    return linked.select("conv_id", "call_id", "place", "status", "problem", F.octet_length("json").cast("long").alias("json_bytes"), F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "place")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_topk": op7_topk, "op8_warc": op8_warc}
+    every = (op1_bpe, op2_line_dedup, op3_language_id, op4_decontaminate, op5_ngram_jaccard, op6_token_counts, op7_topk, op8_warc, op9_chat, op10_licenses)
+    return {q.__name__: q for q in every}
 
 
 ORACLES: dict[str, str] = {}
