@@ -1 +1 @@
-
+"""Operators over domain tables: each takes and returns DataFrames."""

@@ -1 +1 @@
-
+"""Domain tables from stored tables and files."""
