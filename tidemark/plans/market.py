@@ -194,7 +194,7 @@ _RATIO = [f"CASE WHEN {'v' + str(k + 1)} IS NULL THEN NULL WHEN v{k + 1} > 0 THE
     Q.bars("hour")
     + f""", a AS (SELECT *, row_number() OVER ({Q.W}) AS n, avg(volume) OVER {Q.rows(10)} AS mean, {_STEPS} FROM bars),
 b AS (SELECT *, list_filter([{', '.join(_RATIO)}], lambda x: x IS NOT NULL) AS rs, CASE WHEN abs(mean) > 1e-9 THEN volume / mean ELSE 1 END AS va FROM a),
-c AS (SELECT *, coalesce(list_min(list_filter(range(1, len(rs) + 1), lambda i: rs[i] BETWEEN 0.9 AND 1.1)), len(rs)) AS k FROM b)
+c AS (SELECT *, coalesce(list_min(list_filter(range(1, len(rs) + 1), lambda i: rs[i] BETWEEN 0.9 AND 1.1)) - 1, len(rs)) AS k FROM b)
 SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('coalesce(rs[1], 1)', 'volume_accel')}, {Q.r('coalesce(rs[1] - rs[2], 0)', 'accel_momentum')}, {Q.r('va', 'volume_vs_avg')},
   CASE WHEN n < 3 THEN 'steady' WHEN va >= 3 THEN 'climax' WHEN coalesce(rs[1], 1) >= 1.5 THEN 'accelerating' WHEN coalesce(rs[1], 1) <= 0.7 THEN 'decelerating' ELSE 'steady' END AS accel_state,
   (k - coalesce(list_max(list_filter(range(1, k + 1), lambda i: rs[i] < 0.9)), 0))::INT AS bars_rising, (k - coalesce(list_max(list_filter(range(1, k + 1), lambda i: rs[i] > 1.1)), 0))::INT AS bars_falling FROM c"""
