@@ -19,7 +19,9 @@ Which tokens count as frequent only decides the cost: any choice finds every
 link. Here, those repeated within a task, summed over all tasks, form a filter
 of bounded size.
 
-Keys shared by sets give candidates, whose similarity is then computed exactly.
+Keys shared by sets give candidates. Histograms of their hashes bound what two
+sets can have in common, and rule most false ones out; the similarity of the
+others is computed exactly.
 A key may be shared by very many sets, so not every pair of its sets is tried:
 first each against the smallest id, then against the largest, and only then the
 pairs whose two sets still lie in different components, which alone can change
@@ -49,32 +51,75 @@ COUNTED = 3_000_000
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) > 300_000:
-                self.clear()
-            self[word] = h
-        return h
+#: Bytes of a text hashed at a time (cut at white space).
+PIECE = 2 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random value for each byte, the same for a letter A-Z and its lower case.
+_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64)
+_VALUE[65:91] = _VALUE[97:123]
+_BASE = 0xD1342543DE82EF95
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-_words = _Words()
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of each word: the sum of its bytes' values times powers of the base, from prefix sums over the text."""
+    space = _SPACE[raw]
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers_to(max(len(raw), 1 << 16))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's n-word shingles: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; of fewer words, the whole sequence as one; none without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    pieces, at = [], 0
+    while at < len(raw):
+        end = at + PIECE
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        pieces.append(_word_hashes(raw[at:end]))
+        at = end
+    ids = mixed(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
+    if not len(ids):
+        return ids
     width = min(n, len(ids))
     count = len(ids) - width + 1
     h = np.full(count, width, np.uint64)
     for i in range(width):
         h = (h ^ ids[i : i + count]) * _MULTIPLIER
         h ^= h >> np.uint64(29)
-    return np.unique(mixed(h))
+    h = mixed(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def histogram(tokens: np.ndarray) -> np.ndarray:
+    """Tokens by the leading bits of their hash, about four to a place."""
+    log2 = max(3, (len(tokens) // 4).bit_length())
+    return np.bincount((mixed(tokens) >> np.uint64(64 - log2)).astype(np.int64), minlength=1 << log2).astype(np.uint16)
+
+
+def may_be_similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """False only where the histograms of two sets leave too little in common."""
+    if len(p) > len(q):
+        p, q = q, p
+    q = q.reshape(len(p), -1).sum(axis=1)
+    most = int(np.minimum(p, q).sum())
+    return 100 * most >= percent * (int(p.sum()) + int(q.sum()) - most)
 
 
 def most_apart(n: int, m: int, percent: int) -> int:
@@ -136,7 +181,7 @@ def _frequent_filter(docs: DataFrame, n: int) -> tuple[int, bytes]:
                 if size >= COUNTED:
                     yield repeated()
                     size = 0
-        if held:
+        if size:
             yield repeated()
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -144,7 +189,7 @@ def _frequent_filter(docs: DataFrame, n: int) -> tuple[int, bytes]:
 
 
 def _profiles(docs: DataFrame, n: int, percent: int, frequent: tuple[int, bytes]) -> DataFrame:
-    """For each document: size, fingerprint of its set, and index keys."""
+    """For each document: size, fingerprint and histogram of its set, and index keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +197,67 @@ def _profiles(docs: DataFrame, n: int, percent: int, frequent: tuple[int, bytes]
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 piece = batch.slice(start, 1000)
-                sizes, prints, keys, ends = [], [], [], [0]
+                sizes, prints, places, keys, ends = [], [], [], [], [0]
                 for t in piece.column(1):
                     s = shingles(t.as_py(), n)
                     sizes.append(len(s))
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    places.append(histogram(s).tobytes())
                     k = keys_of(s, bits.has(s), percent) if len(s) else s
                     keys.append(k)
                     ends.append(ends[-1] + len(k))
                 flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "n_shingles", "print", "keys"])
+                columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(places, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "places", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, places binary, keys array<long>")
+
+
+def _shared_keys(profiles: DataFrame) -> DataFrame:
+    """Keys of more than one row. Tasks deal their keys out by range, each at most twice, so that a range holds few whatever the keys' frequency."""
+    total = profiles.agg(F.sum(F.size("keys"))).first()[0] or 0
+    log2 = max(4, (total // 500_000).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def dealt() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held))
+            held.clear()
+            twice = np.concatenate([[True, True], keys[2:] != keys[:-2]])[: len(keys)]
+            keys = keys[twice]
+            part = (keys >> np.uint64(64 - log2)).astype(np.int32)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([x.tobytes() for x in np.split(keys, first[1:])], pa.binary())], names=["part", "keys"])
+
+        size = 0
+        for b in batches:
+            held.append(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield dealt()
+                size = 0
+        if size:
+            yield dealt()
+
+    def meet(rows: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]))
+        return pa.table({"key": np.unique(keys[1:][keys[1:] == keys[:-1]]).view(np.int64)})
+
+    return profiles.select("keys").mapInArrow(deal, "part int, keys binary").groupBy("part").applyInArrow(meet, "key long")
+
+
+def _plausible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their histograms don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_be_similar(np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(y.as_buffer(), np.uint16).astype(np.int64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
+    own = profiles.select("doc_id", "places")
+    both = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("places").alias("y")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("places").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -206,9 +300,9 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     profiles = stored(_profiles(docs, n, percent, _frequent_filter(docs, n)))
     real = profiles.where("doc_id is not null and n_shingles > 0")
     sets = stored(real.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("set_id")))
-    chosen = real.join(sets.select(F.col("set_id").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi")
+    own_places = stored(real.select("doc_id", "places").join(sets.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("places").alias("places")))
     size = F.col("n_shingles").cast("int").alias("n")
-    shared_keys = stored(chosen.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    shared_keys = stored(_shared_keys(real))
     bits = df.sparkSession.sparkContext.broadcast(filter_of(shared_keys, "key"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +314,8 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
             keep = known.has(flat.view(np.uint64)) if len(flat) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[keep])), batch.column(1).take(pa.array(rows[keep])), pa.array(flat[keep])], names=["doc_id", "n", "key"])
 
-    index = chosen.select("doc_id", size, "keys").mapInArrow(postings, "doc_id long, n int, key long")
-    index = stored(index.join(shared_keys, "key", "left_semi").distinct())
+    index = real.select("doc_id", size, "keys").mapInArrow(postings, "doc_id long, n int, key long")
+    index = stored(index.join(sets.select(F.col("set_id").alias("doc_id"), F.col("n_shingles").cast("int").alias("n")), ["doc_id", "n"], "left_semi").distinct())
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
     def stars(rows: DataFrame, centre: str) -> DataFrame:
@@ -232,7 +326,7 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
 
     tried = stored(stars(index, "min"))
-    links = stored(_verified(docs, tried, n, percent))
+    links = stored(_verified(docs, stored(_plausible(tried, own_places, percent)), n, percent))
     for step in ("max", "rest"):
         labels = components(links)
         placed = index.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -244,7 +338,9 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
             other = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
             pairs = rest.join(other, "key").where(near & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("doc_id").alias("a"), "b").distinct()
         new = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = stored(links.union(_verified(docs, new, n, percent)))
+        plausible = stored(_plausible(new, own_places, percent))
+        if plausible.limit(1).count():
+            links = stored(links.union(_verified(docs, plausible, n, percent)))
         tried = tried.union(new)
     labels = components(links)
     of_set = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("print", "n_shingles", F.coalesce("component", "set_id").alias("component_id"))
