@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market
+from . import market, momentum
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market,)
+_MODULES = (market, momentum)
 
 
 def queries() -> dict[str, Query]:
