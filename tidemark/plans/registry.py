@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market, momentum
+from . import flow, market, momentum
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, momentum)
+_MODULES = (market, momentum, flow)
 
 
 def queries() -> dict[str, Query]:
