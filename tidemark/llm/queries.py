@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, counts, decontaminate, jaccard, langid, licenses, lines, topk, warc
 from .common import shared_dir, stored, table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,8 +105,5 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in every}
 
 
-ORACLES: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
