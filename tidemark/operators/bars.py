@@ -82,7 +82,7 @@ def carried_bars(trades: DataFrame, bars: int = 20) -> DataFrame:
     placed = trades.join(span, "symbol").withColumn("bar", F.floor((F.unix_millis("ts") - F.col("a")) / F.col("step"))).where(F.col("bar") < bars)
     order = F.struct("ts", "trade_id")
     made = placed.groupBy("symbol", "bar").agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"))
-    grid = span.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(bars - 1))).cast("long").alias("bar"))
+    grid = span.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bars - 1).cast("long"))).alias("bar"))
     before = Window.partitionBy("symbol").orderBy("bar").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = grid.join(made, ["symbol", "bar"], "left").withColumn("carry", F.last("close", ignorenulls=True).over(before)).where("carry is not null")
     return rows.select("symbol", "bar", *[F.coalesce(c, "carry").alias(c) for c in ("open", "high", "low", "close")], F.coalesce("volume", F.lit(0.0)).alias("volume"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow, market, momentum
+from . import flow, live, market, momentum
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, momentum, flow)
+_MODULES = (market, momentum, flow, live)
 
 
 def queries() -> dict[str, Query]:
