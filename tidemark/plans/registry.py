@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow, live, market, momentum
+from . import engines, flow, live, market, momentum
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, momentum, flow, live)
+_MODULES = (market, momentum, flow, live, engines)
 
 
 def queries() -> dict[str, Query]:
