@@ -116,6 +116,32 @@ def _momentum(lookbacks: tuple[int, int, int]) -> Kernel:
     return Momentum(lookbacks)
 
 
+def entry_filter(rows: DataFrame, least: float = 50.0, pullbacks: bool = False) -> DataFrame:
+    """Whether momentum allows an entry to either side (impulses that aren't blow-offs; pullbacks only if asked for), and the size multiplier."""
+    f, m, a, state, score = (F.col(x) for x in ("roc_fast_norm", "roc_mid_norm", "roc_accel", "momentum_state", "momentum_score"))
+    calm = ~F.col("blowoff")
+
+    def side(way: int) -> Column:
+        impulse = (state == "IMPULSE") & (f * way > 0) & (score >= least)
+        back = (state == "PULLBACK") & (m * way > 0) & (score >= least * 0.7)
+        return calm & (impulse | back if pullbacks else impulse)
+
+    size = ladder((F.col("blowoff"), 0.3), (score >= 70, 1.0), (score >= 50, 0.8), (score >= 30, 0.5), otherwise=0.3)
+    return rows.withColumns({"allows_long": side(1), "allows_short": side(-1), "size_multiplier": size})
+
+
+def with_structure(rows: DataFrame, trend: str = "structure_trend") -> DataFrame:
+    """structure_size: how far momentum and structure agree on a side (BULL long, BEAR short); 0 where they don't."""
+    state, score, f, m = (F.col(x) for x in ("momentum_state", "momentum_score", "roc_fast_norm", "roc_mid_norm"))
+    way = F.when(F.col(trend) == "BULL", 1).when(F.col(trend) == "BEAR", -1)
+    size = ladder(((state == "IMPULSE") & (f * way > 0), F.least(F.lit(1.5), 1 + (score - 50) / 100)), ((state == "PULLBACK") & (m * way > 0), 0.8), otherwise=0.0)
+    return rows.withColumn("structure_size", size)
+
+
+def _momentum(lookbacks: tuple[int, int, int]) -> Kernel:
+    return Momentum(lookbacks)
+
+
 def entry_filter(rows: DataFrame) -> DataFrame:
     """Whether momentum allows an entry to either side, and the size multiplier."""
     f, state, score = F.col("roc_fast_norm"), F.col("momentum_state"), F.col("momentum_score")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import engines as N
 from ..operators import kernels as K
 from ..operators import momentum as M
+from ..functions.scalars import series
+from ..operators import timing as T
+from ..operators import vwap as W
 from ..operators.scan import scan
 from .market import KEY, hour, rounded
 
@@ -47,3 +50,31 @@ def trend_strength(spark, d):
     bias = F.when(F.col("ema_bias") == "BULL", 1).when(F.col("ema_bias") == "BEAR", -1).otherwise(0)
     rows = rows.withColumns({"ribbon_width_rate": none, "oi_now": none, "oi_prev": none, "atr_pct": (F.col("high") - F.col("low")) / F.col("close"), "direction_bias": bias, "is_range": F.col("ema_regime") == "RANGE", "is_chop": F.lit(False)})
     return rounded(N.trend_strength(rows, "1h"), *KEY, "strength_raw", "strength", "strength_signed", "strength_bucket")
+
+
+@query
+def vwap_state_machine(spark, d):
+    rows = T.vwap_interaction(W.session(K.with_relative_volume(hour(spark, d))), "1h")
+    return rounded(rows, *KEY, "vwap", "vwap_state", "vwap_side", "vwap_hold", "vwap_crossings")
+
+
+@query
+def timing_rules(spark, d):
+    """All inputs from the same hourly bars: four scans over one partitioning."""
+    rows = N.ribbon(M.atr_expansion(K.with_choppiness(K.with_relative_volume(hour(spark, d)))), "1h")
+    rows = N.macd_events(N.momentum(T.vwap_interaction(W.session(rows), "1h"), "1h"))
+    w = series()
+    rows = rows.withColumns(
+        {
+            "trend_ok": F.col("ribbon_state") != "CHOP",
+            "trend_bias": F.when(F.col("ribbon_direction") == "BULL", 1).when(F.col("ribbon_direction") == "BEAR", -1).otherwise(0),
+            "ribbon_width_rate": F.col("width_rate"),
+            "roc_fast_norm_prev": F.lag("roc_fast_norm").over(w),
+            "acc_fast": F.col("roc_accel"),
+            "chop_value": F.col("chop"),
+            "rsi_divergence": F.lit(None).cast("string"),
+            "structure_pivot_type": F.lit(None).cast("string"),
+            "macd_hist_slope": F.col("hist_slope"),
+        }
+    )
+    return rounded(T.timing(rows), *KEY, "timing_state", "timing_direction", "timing_confidence", "timing_score")
