@@ -91,3 +91,13 @@ def test_eligibility_and_filters(spark):
 def test_ema_filter_of_trends(spark):
     up = momentum.ema_filter(frame(spark, [100 * 1.004**i for i in range(90)]), "1h").orderBy(F.desc("ts")).first()
     assert (up.alignment, up.ema_bias, up.ema_regime) == ("STACKED_UP", "BULL", "TREND")
+
+
+def test_paper_trades(spark):
+    from tidemark.operators.precise import PaperTrades
+
+    book = PaperTrades()
+    steps = [(100.0, "long", 99.0, 102.0), (100.5, "long", 99.5, None), (99.4, None, None, None), (100.0, "short", 101.0, 98.0), (97.0, None, None, None), (100.0, "long", None, None), (101.0, "short", None, None)]
+    got = [book.step(*s) for s in steps]
+    assert got[2][:4] == ("long", 100.0, 99.5, "stop_loss") and got[2][4] == pytest.approx(-0.54)
+    assert got[4][:4] == ("short", 100.0, 98.0, "take_profit") and got[6][:4] == ("long", 100.0, 101.0, "signal_reversal")

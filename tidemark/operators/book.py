@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ladder, safe_divide
@@ -83,3 +83,24 @@ def vanished_walls(rows: DataFrame, before: str = "bids_before", now: str = "bid
         F.slice(before, 1, 10), lambda x: (x["qty"] >= mean * wall) & ~F.exists(F.slice(now, 1, 10), lambda y: (F.abs(y["price"] - x["price"]) <= x["price"] * tolerance) & (y["qty"] >= x["qty"] * left))
     )
     return rows.withColumn("vanished_walls", gone)
+
+
+def with_changes(rows: DataFrame, key: str = "symbol", order: tuple[str, ...] = ("ts", "book_id")) -> DataFrame:
+    """Change of imbalance and of each side's depth (absolute and per cent) against the book before, and that book's bids and asks. Needs :func:`with_snapshot`."""
+    w = Window.partitionBy(key).orderBy(*order)
+    i = safe_divide(F.col("bid_depth") - F.col("ask_depth"), F.col("bid_depth") + F.col("ask_depth"))
+    rows = rows.withColumn("imbalance", i)
+    made = {"imbalance_change": F.col("imbalance") - F.lag("imbalance").over(w), "bids_before": F.lag("bids").over(w), "asks_before": F.lag("asks").over(w), "mid_before": F.lag("mid").over(w)}
+    for side in ("bid_depth", "ask_depth"):
+        before = F.lag(side).over(w)
+        made |= {f"{side}_change": F.col(side) - before, f"{side}_change_pct": F.when(before > 0, (F.col(side) - before) / before * 100)}
+    return rows.withColumns(made)
+
+
+def spoofs(rows: DataFrame, snap_bps: float = 2.0) -> DataFrame:
+    """Walls of the book before that are gone, where the price has snapped away by ``snap_bps`` since: from bid walls upwards moves tell nothing, so bids count on rises and asks on falls. Needs :func:`with_changes`."""
+    rows = vanished_walls(rows, "bids_before", "bids").withColumnRenamed("vanished_walls", "bid_walls")
+    rows = vanished_walls(rows, "asks_before", "asks").withColumnRenamed("vanished_walls", "ask_walls")
+    moved = (F.col("mid") - F.col("mid_before")) / F.col("mid_before") * 10_000
+    kind = ladder(((F.size("bid_walls") > 0) & (moved >= snap_bps), "bid_spoof"), ((F.size("ask_walls") > 0) & (moved <= -snap_bps), "ask_spoof"), otherwise="none")
+    return rows.withColumns({"moved_bps": moved, "spoof": kind})

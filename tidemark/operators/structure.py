@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +138,27 @@ def backtest(events: DataFrame, entered: str = "entered") -> DataFrame:
         share(n(settled & (F.col("final_pct") > 0)), n(settled)).alias("win_rate"),
         F.when(loss > 0, F.coalesce(gain, F.lit(0.0)) / loss).when(gain > 0, float("inf")).otherwise(0.0).alias("profit_factor"),
     )
+
+
+def acceptance(rows: DataFrame, bars_ahead: int = 3, share: float = 0.67, volume: float = 1.2) -> DataFrame:
+    """Whether the bars after a break stay beyond it: ``share`` of the next closes, with their mean volume at ``volume`` times that of as many bars before. Null while the bars aren't there. Needs :func:`with_breaks`."""
+    w = ahead(bars_ahead)
+    up = F.col("structure_event").endswith("bullish")
+    level = F.when(up, F.col("last_high")).otherwise(F.col("last_low"))
+    rows = rows.withColumns({"__level": level, "__closes": F.collect_list("close").over(w), "__after": F.avg("volume").over(w), "__before": F.avg("volume").over(last_rows(bars_ahead, -1))})
+    beyond = F.size(F.filter("__closes", lambda c: (c > F.col("__level")) == up)) / F.size("__closes")
+    held = (beyond >= share) & (F.col("__after") >= volume * F.col("__before"))
+    known = (F.col("structure_event") != "none") & (F.size("__closes") == bars_ahead)
+    return rows.withColumns({"break_held": F.when(known, beyond), "break_accepted": F.when(known, held)}).drop("__level", "__closes", "__after", "__before")
+
+
+def equal_levels(bars: DataFrame, side: str = "high", n: int = 5, within_pct: float = 0.1) -> DataFrame:
+    """Prices at which two pivots of a series lie within ``within_pct``: each pivot against the next ones in order of price, found on neighbouring price bands, not by pairing all."""
+    column = f"swing_{side}"
+    pivots = with_pivots(bars, n).where(F.col(column).isNotNull()).select("symbol", "tf", "ts", F.col(column).alias("price"))
+    # Two prices within the tolerance lie in the same band of that width (in logarithms) or in neighbouring ones.
+    band = F.floor(F.ln("price") / F.lit(math.log1p(within_pct / 100))).cast("long")
+    left = pivots.withColumn("band", band)
+    right = left.select("symbol", "tf", F.col("ts").alias("other_ts"), F.col("price").alias("other"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    pairs = left.join(right, ["symbol", "tf", "band"]).where((F.col("ts") < F.col("other_ts")) & (F.abs(F.col("other") - F.col("price")) / F.col("price") * 100 < within_pct))
+    return pairs.select("symbol", "tf", ((F.col("price") + F.col("other")) / 2).alias("level"), F.col("ts").alias("first_ts"), F.col("other_ts").alias("second_ts")).distinct()

@@ -196,3 +196,27 @@ def pair_selection_topk(spark, d):
     books = books.select("symbol", (middle * (1 - half)).alias("bid"), (middle * (1 + half)).alias("ask"), "bid_qty", F.col("size").alias("ask_qty"))
     symbols = tickers.select("symbol", F.lit("TRADING").alias("status"), F.lit("PERPETUAL").alias("contract_type"), F.lit("USDT").alias("quote_asset"))
     return rounded(P.best(tickers, books, symbols), "symbol", "tradability", "trade_allowed")
+
+
+@query(
+    Q.bars("hour")
+    + _PIVOTS
+    + f""", v AS (SELECT symbol, ts, sh FROM s WHERE sh IS NOT NULL)
+SELECT DISTINCT a.symbol, {Q.r('(a.sh + b.sh) / 2', 'level')}, a.ts::TIMESTAMPTZ AS first_ts, b.ts::TIMESTAMPTZ AS second_ts FROM v a JOIN v b ON a.symbol = b.symbol AND a.ts < b.ts AND abs(b.sh - a.sh) / a.sh * 100 < 0.1"""
+)
+def liquidity_levels(spark, d):
+    return rounded(T.equal_levels(hour(spark, d)), "symbol", "level", "first_ts", "second_ts")
+
+
+@query()
+def break_acceptance(spark, d):
+    rows = T.acceptance(T.with_breaks(T.with_trend(hour(spark, d)))).where("structure_event <> 'none'")
+    return rounded(rows, *KEY, "structure_event", "break_held", "break_accepted")
+
+
+@query()
+def spoof_bands(spark, d):
+    """Books in order of time as one series for each month."""
+    books = K.with_snapshot(S.book(spark, d)).withColumn("symbol", F.date_format("ts", "yyyy-MM"))
+    rows = K.spoofs(K.with_changes(books))
+    return rounded(rows.select("book_id", "imbalance_change", "bid_depth_change", "ask_depth_change_pct", "moved_bps", F.size("bid_walls").alias("bid_walls"), F.size("ask_walls").alias("ask_walls"), "spoof"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import engines, flow, live, market, momentum
+from . import engines, flow, live, market, momentum, precise
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, momentum, flow, live, engines)
+_MODULES = (market, momentum, flow, live, engines, precise)
 
 
 def queries() -> dict[str, Query]:
