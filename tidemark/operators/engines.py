@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip, ladder, last_rows, series
 from .scan import Kernel, scan
 from .smoothing import EPS, Atr, Average, Macd, Mean, Range
+from .structure import with_pivots
 
 RIBBON = (9, 12, 15, 18, 21, 25, 30, 35, 40, 50)
 #: Fixed ribbon thresholds by interval: width, slope, pullback band.
@@ -289,3 +290,45 @@ def trend_strength(rows: DataFrame, tf: str) -> DataFrame:
     rows = rows.withColumn("strength", capped)
     s = F.col("strength")
     return rows.withColumns({"strength_signed": s * F.coalesce("direction_bias", F.lit(0)), "strength_bucket": ladder((s <= 30, "WEAK"), (s <= 60, "EMERGING"), otherwise="STRONG")})
+
+
+def divergences(bars: DataFrame, pivot: int = 5, apart: int = 3, factor: float = 0.15) -> DataFrame:
+    """Pivots against the one before on the same side: price and RSI that disagree are regular or hidden divergences, if the pivots are ``apart`` bars or more and the prices differ enough against the ATR share; small ones need three points of RSI. With a strength of 0 to 100."""
+    rows = scan(with_pivots(bars, pivot), [RsiTiming, Atr]).withColumn("__i", F.row_number().over(series()))
+    found = None
+    for side, way in (("high", 1), ("low", -1)):
+        name = f"swing_{side}"
+        own = rows.where(F.col(name).isNotNull() & F.col("timing_rsi").isNotNull())
+        w = series()
+        p, q = F.col(name), F.lag(name).over(w)
+        r, s = F.col("timing_rsi"), F.lag("timing_rsi").over(w)
+        own = own.withColumns({"__dp": (p - q) * way, "__dr": (r - s) * way, "__n": F.col("__i") - F.lag("__i").over(w), "__least": F.coalesce(factor * F.col("atr") / (F.col("close") + EPS), F.lit(0.001)) * p})
+        dp, dr, least = F.abs("__dp"), F.abs("__dr"), F.col("__least")
+        kind = ladder(((F.col("__dp") > 0) & (F.col("__dr") <= 0), "REG"), ((F.col("__dp") <= 0) & (F.col("__dr") > 0), "HID"), otherwise=None)
+        fit = (F.col("__n") >= apart) & (dp >= least) & ((dp >= 2 * least) | (dr >= 3.0))
+        strength = 100 * (0.5 * F.least(dp / (least + EPS), F.lit(3.0)) / 3 + 0.5 * F.least(dr / 10, F.lit(3.0)) / 3)
+        own = own.withColumns({"divergence": F.concat(kind, F.lit("_BEAR" if way == 1 else "_BULL")), "divergence_strength": strength}).where(fit & F.col("divergence").isNotNull())
+        own = own.select("symbol", "tf", "ts", "seq", p.alias("price"), "timing_rsi", "divergence", "divergence_strength")
+        found = own if found is None else found.union(own)
+    return found
+
+
+def micro_timing(rows: DataFrame, confirm: int = 2, allowed: Column | None = None) -> DataFrame:
+    """Ends of pullbacks: %K leaves its zone on the side of ``bias`` (1 or -1), or crosses %D within the outer thirty per cent, for ``confirm`` rows in a row; with confidence. Needs timing_k, timing_d and bias; ``allowed`` gates rows."""
+    w = series()
+    way = F.col("bias")
+    # For shorts the range is turned round, so that one rule serves both sides.
+    turn = lambda x: F.when(way == -1, 1 - x).otherwise(x)
+    k, d = turn(F.col("timing_k")), turn(F.col("timing_d"))
+    pk, pd = turn(F.lag("timing_k").over(w)), turn(F.lag("timing_d").over(w))
+    leaves = (pk < 0.2) & (k > 0.2) & (k > pk)
+    crosses = (k <= 0.3) & (d <= 0.3) & (pk <= pd) & (k > d)
+    fit = (way != 0) & F.col("timing_d").isNotNull() & (leaves | crosses)
+    fit = F.coalesce(fit if allowed is None else fit & allowed, F.lit(False))
+    rows = rows.withColumns({"__c": F.when(fit, way).otherwise(0), "__k": k, "__d": d})
+    held = F.count(F.lit(1)).over(last_rows(confirm)) == confirm
+    for i in range(1, confirm):
+        held &= F.lag("__c", i).over(w) == F.col("__c")
+    event = F.when(held & (F.col("__c") == 1), "PULLBACK_DONE_UP").when(held & (F.col("__c") == -1), "PULLBACK_DONE_DOWN").otherwise("NONE")
+    sure = 100 * F.least(clip((F.col("__k") - 0.2) / (0.3 + EPS), 0.0, 1.0) + F.when(F.col("__k") > F.col("__d"), 0.2).otherwise(0.0), F.lit(1.0))
+    return rows.withColumns({"micro_timing": event, "micro_confidence": F.when(event != "NONE", sure)}).drop("__c", "__k", "__d")

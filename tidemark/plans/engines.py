@@ -78,3 +78,15 @@ def timing_rules(spark, d):
         }
     )
     return rounded(T.timing(rows), *KEY, "timing_state", "timing_direction", "timing_confidence", "timing_score")
+
+
+@query
+def rsi_divergences(spark, d):
+    return rounded(N.divergences(hour(spark, d)), *KEY, "price", "timing_rsi", "divergence", "divergence_strength")
+
+
+@query
+def stoch_micro_timing(spark, d):
+    rows = scan(M.ema_filter(hour(spark, d), "1h"), [N.StochTiming])
+    bias = F.when(F.col("ema_bias") == "BULL", 1).when(F.col("ema_bias") == "BEAR", -1).otherwise(0)
+    return rounded(N.micro_timing(rows.withColumn("bias", bias), confirm=1), *KEY, "timing_k", "timing_d", "stoch_zone", "micro_timing", "micro_confidence")
