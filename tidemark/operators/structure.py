@@ -162,3 +162,22 @@ def equal_levels(bars: DataFrame, side: str = "high", n: int = 5, within_pct: fl
     right = left.select("symbol", "tf", F.col("ts").alias("other_ts"), F.col("price").alias("other"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
     pairs = left.join(right, ["symbol", "tf", "band"]).where((F.col("ts") < F.col("other_ts")) & (F.abs(F.col("other") - F.col("price")) / F.col("price") * 100 < within_pct))
     return pairs.select("symbol", "tf", ((F.col("price") + F.col("other")) / 2).alias("level"), F.col("ts").alias("first_ts"), F.col("other_ts").alias("second_ts")).distinct()
+
+
+def validated(events: DataFrame) -> DataFrame:
+    """Breakouts with quality, confidence, action and levels, from delta_ratio, volume_score, oi_score, oi_pct, book_score, book_imbalance, rv and exhaustion_risk (unknown ones null). A veto has confidence 0."""
+    way = F.when(F.col("breakout") == "upward", 1).otherwise(-1)
+    x = lambda c: F.coalesce(F.col(c), F.lit(0.0)) * way
+    vetoed = F.coalesce(veto(F.col("breakout"), F.coalesce("delta_ratio", F.lit(0.0)), F.coalesce("oi_score", F.lit(0.0))), F.lit(False))
+    flow, interest, depth = (x("delta_ratio") > 0.05) & (x("volume_score") > 0.2), (x("oi_pct") > 0.5) & (x("oi_score") > 0.2), (x("book_imbalance") > 0.1) | (x("book_score") > 0.2)
+    aligned = flow.cast("int") + interest.cast("int") + depth.cast("int")
+    rows = events.withColumns({"vetoed": vetoed, "aligned": aligned})
+    n = F.col("aligned")
+    quality = ladder((F.col("vetoed"), "retail"), (n >= 3, "institutional"), (n == 2, "mixed"), otherwise="retail")
+    base = ladder((n >= 3, 85.0), (n == 2, 60.0), otherwise=35.0)
+    extra = F.when(F.col("rv") > 2.0, 10.0).otherwise(0.0) + F.when(F.abs("delta_ratio") > 0.25, 10.0).otherwise(0.0) - F.when(F.col("exhaustion_risk").isin("high", "extreme"), 20.0).otherwise(0.0)
+    rows = rows.withColumns({"breakout_quality": quality, "breakout_confidence": F.when(F.col("vetoed"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), base + extra)))})
+    c = F.col("breakout_confidence")
+    action = ladder((c >= 50, F.when(way == 1, "enter_long").otherwise("enter_short")), (c < 40, "avoid"), otherwise="wait")
+    enters = c >= 50
+    return rows.withColumns({"action": action, "stop": F.when(enters, F.col("level") * (1 - 0.005 * way)), "target": F.when(enters, F.col("entry") * (1 + 0.015 * way))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof as A
@@ -9,6 +10,8 @@ from ..operators import book as K
 from ..operators import score as C
 from ..operators import select as P
 from ..operators import structure as T
+from ..operators import volume as V
+from ..operators.kernels import with_relative_volume
 from ..sources import market as S
 from . import oracle as Q
 from .market import KEY, _TR, hour, rounded
@@ -220,3 +223,31 @@ def spoof_bands(spark, d):
     books = K.with_snapshot(S.book(spark, d)).withColumn("symbol", F.date_format("ts", "yyyy-MM"))
     rows = K.spoofs(K.with_changes(books))
     return rounded(rows.select("book_id", "imbalance_change", "bid_depth_change", "ask_depth_change_pct", "moved_bps", F.size("bid_walls").alias("bid_walls"), F.size("ask_walls").alias("ask_walls"), "spoof"))
+
+
+_CROWD = "zone IN ('extreme_positive', 'high_positive')", "zone IN ('extreme_negative', 'high_negative')"
+
+
+@query(
+    _FUND
+    + f""", o AS (SELECT *, (p - lag(p) OVER (PARTITION BY symbol ORDER BY ts, seq)) * 100 AS oi FROM z),
+c AS (SELECT *, CASE WHEN {_CROWD[0]} AND oi > 0.3 THEN 'crowded_longs_rising' WHEN {_CROWD[1]} AND oi > 0.3 THEN 'crowded_shorts_rising' WHEN starts_with(zone, 'extreme') AND oi < -0.3 THEN 'capitulation' WHEN starts_with(zone, 'extreme') THEN 'extreme_exhaustion'
+  WHEN NOT {_CROWD[0]} AND NOT {_CROWD[1]} AND oi > 0.3 THEN 'healthy_trend' ELSE 'no_edge' END AS combo FROM o)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, combo AS funding_combo, CASE combo WHEN 'crowded_longs_rising' THEN CASE WHEN starts_with(zone, 'extreme') THEN 75.0 ELSE 65 END WHEN 'crowded_shorts_rising' THEN CASE WHEN starts_with(zone, 'extreme') THEN 75.0 ELSE 65 END WHEN 'capitulation' THEN 80 WHEN 'extreme_exhaustion' THEN 70 WHEN 'healthy_trend' THEN 60 ELSE 50 END::DOUBLE AS combo_probability FROM c"""
+)
+def funding_oi_combo(spark, d):
+    """With the change of the rate itself, a hundredfold, in the place of open interest."""
+    rows = C.with_funding_zone(S.funding(spark, d))
+    p = F.col("funding_rate") * 100
+    rows = rows.withColumn("oi_pct", (p - F.lag(p).over(Window.partitionBy("symbol").orderBy("ts", "seq"))) * 100)
+    name, sure = C.funding_combo(F.col("funding_zone"), F.col("oi_pct"))
+    return rows.select(*KEY, name.alias("funding_combo"), sure.alias("combo_probability"))
+
+
+@query()
+def breakout_validation(spark, d):
+    bars = V.with_exhaustion(V.with_candle_delta(with_relative_volume(hour(spark, d))))
+    known = bars.select("symbol", "tf", "ts", "seq", "rv", "exhaustion_risk", (F.col("delta_pct") / 100).alias("delta_ratio"), C.volume_score(F.col("delta_pct") / 100, F.col("rv")).alias("volume_score"))
+    none = F.lit(None).cast("double")
+    events = T.breakouts(hour(spark, d)).join(known, ["symbol", "tf", "ts", "seq"]).withColumns({"oi_score": F.col("volume_score") / 2, "oi_pct": none, "book_score": none, "book_imbalance": F.col("delta_ratio")})
+    return rounded(T.validated(events), *KEY, "breakout", "vetoed", "aligned", "breakout_quality", "breakout_confidence", "action", "stop", "target")
