@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,37 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Longest array of 64-bit words in a native filter: 8 MB.
+MAX_WORDS_LOG2 = 20
+
+
+def bit_filter(keys: DataFrame) -> Callable[..., Column]:
+    """A membership test for rows of ``keys``, with DataFrame functions only: a function of columns like those of ``keys``.
+
+    It is true for every row of ``keys`` and for few others, and serves to leave
+    out before a shuffle what the join after it leaves out anyway. Its bits are an
+    array in a scalar subquery, 16 a key but never more than 2 ** MAX_WORDS_LOG2
+    words, whatever the number of keys; beyond that it only lets more through.
+    """
+    keys = stored(keys.distinct())
+    log2 = min(MAX_WORDS_LOG2, max(4, math.ceil(math.log2(max(keys.count(), 1) / 4))))
+
+    def place(*columns: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(F.lit(11), *columns)
+        return F.shiftrightunsigned(h, 64 - log2).cast("int"), h.bitwiseAND(63).cast("int")
+
+    word, bit = place(*[F.col(f"`{c}`") for c in keys.columns])
+    masks = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m"))
+    every = keys.sparkSession.range(1 << log2).select(F.col("id").cast("int").alias("w")).join(masks, "w", "left")
+    words = stored(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0)).alias("m")))), lambda x: x["m"]).alias("words")))
+
+    def has(*columns: Column) -> Column:
+        w, b = place(*columns)
+        return F.call_function("shiftright", F.get(words.select("words").scalar(), w), b).bitwiseAND(1) == 1
+
+    return has
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], size: int, chars: int = 4 << 20) -> Iterator[list[list]]:
     """Columns of Python values, cut to at most ``size`` rows (and about ``chars`` bytes) at a time."""
     for batch in batches:

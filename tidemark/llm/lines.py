@@ -1,9 +1,9 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-A line (compared trimmed and in lower case) is dropped where an earlier line, in
+A line (compared without blanks around it) is dropped where an earlier line, in
 the order of document id and place, is equal to it or within ``edits`` edits of
 characters, whether that one was dropped or not. Lines of fewer than
-``min_chars`` characters stay.
+``min_chars`` characters (2 * edits * (edits + 1) + 1 at least) stay.
 
 Equal lines are found by their hashes. For the others, a line is cut into
 edits + 1 segments of even length: after ``edits`` edits at least one segment
@@ -11,8 +11,9 @@ is left whole, within a few characters of its place. So the hashes of a line's
 segments, by its length and their number, meet those of the substrings, at the
 places still possible, of lines that are up to ``edits`` characters longer.
 Lines that share such a key are compared: first each with the earliest line of
-the key, then those not dropped by it with all earlier lines of the key. The
-comparison is a bit-parallel edit distance over a band of 2 * edits + 1
+the key, then those not dropped by it with the earlier lines of the key that
+share a key of the rest of the line as well, so that a key of very many lines
+doesn't give all their pairs. The comparison is a bit-parallel edit distance over a band of 2 * edits + 1
 diagonals, which stops counting beyond ``edits``.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bit_filter, stored
 
 EDITS = 1
 MIN_CHARS = 20
@@ -34,15 +35,18 @@ def within(a: Column, b: Column, edits: int) -> Column:
     distance is followed along the diagonal that ends in the last cell: it grows
     where the diagonal step isn't free, and never shrinks.
     """
-    band = (1 << (2 * edits + 1)) - 1
+    def let(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     long_first = F.char_length(a) >= F.char_length(b)
-    rows, columns = F.split(F.when(long_first, a).otherwise(b), ""), F.split(F.when(long_first, b).otherwise(a), "")
-    apart = F.size(rows) - F.size(columns)
+    both = F.struct(F.split(F.when(long_first, a).otherwise(b), "").alias("rows"), F.split(F.when(long_first, b).otherwise(a), "").alias("columns"))
+    return F.coalesce(let(both, lambda t: _within(t["rows"], t["columns"], edits, let)), F.lit(False))
 
-    followed = F.get(F.array(*[F.lit(1 << (edits + k)) for k in range(edits + 1)]), apart)
 
-    def let(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), F.lit(0))
+def _within(rows: Column, columns: Column, edits: int, let) -> Column:
+    band = (1 << (2 * edits + 1)) - 1
+    apart = F.size(rows) - F.size(columns)
+    followed = F.get(F.array(*[F.lit(1 << (edits + k)) for k in range(edits + 1)]), apart)
 
     def step(s: Column, j: Column) -> Column:
         char = F.get(columns, j)
@@ -69,59 +73,81 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     start = F.struct(F.lit(band & ~((1 << edits) - 1)).alias("p"), F.lit(0).alias("m"), apart.cast("int").alias("d"))
     end = F.aggregate(F.sequence(F.lit(0), F.size(columns) - 1), start, step)
-    return (apart <= edits) & (end["d"] <= edits)
+    return F.when(apart <= edits, end["d"] <= edits).otherwise(False)
 
 
-def segment_keys(line: Column, edits: int) -> Column:
-    """Keys of a line's own segments and of its substrings that may be a shorter or equal line's segments."""
-    keys, parts = [], edits + 1
+def _segments(n: Column, edits: int) -> list[tuple[int, Column, Column, Column]]:
+    """(number, length it belongs to, begin, size) of a line's own segments and of its substrings that may be a shorter or equal line's segments."""
+    out, parts = [], edits + 1
     for shorter in range(edits + 1):
-        length = F.char_length(line) - shorter
-        least = F.floor(length / parts).cast("int")
-        longer = length - least * parts  # the last so many segments have one character more
+        length = n - shorter
+        longer = length % parts  # the last so many segments have one character more
+        least = ((length - longer) / parts).cast("int")
         for i in range(parts):
-            size = least + F.when(F.lit(parts - i) <= longer, 1).otherwise(0)
+            size = least + F.when(longer >= parts - i, 1).otherwise(0)
             begin = least * i + F.greatest(longer - (parts - i), F.lit(0)) + 1
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                keys.append(F.when((begin + shift >= 1) & (begin + shift + size - 1 <= F.char_length(line)), F.xxhash64(F.lit(i), length, F.substr(line, begin + shift, size))))
-    return F.array_compact(F.array(*keys))
+            out += [(i, length, begin + shift, size) for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)]
+    return out
+
+
+def segment_keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys of a line's segments and substrings. ``n``: its characters."""
+    return F.array(*[F.xxhash64(F.lit(i), length, F.substr(line, begin, size)) for i, length, begin, size in _segments(n, edits)])
+
+
+def _without_segment(line: Column, n: Column, which: Column, edits: int) -> Column:
+    """The line less the segment of its key number ``which``."""
+    return F.get(F.array(*[F.concat(F.substr(line, F.lit(1), begin - 1), F.substr(line, begin + size)) for _, _, begin, size in _segments(n, edits)]), which)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``place`` (document id and number from 0) and ``line`` as compared."""
+    """doc_id, line_no (from 0), ``line`` as compared, and its characters ``n``."""
     each = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    line = F.lower(F.trim("raw"))
-    return each.select("doc_id", "line_no", line.alias("line")).where(F.char_length("line") >= min_chars)
+    line = F.trim("raw")
+    return each.select("doc_id", "line_no", line.alias("line"), F.char_length(line).alias("n")).where(F.col("n") >= min_chars)
 
 
 def repeated_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id`` and ``line_no`` of every line to drop."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, max(min_chars, 2 * edits * (edits + 1) + 1))
     place = F.struct("doc_id", "line_no")
 
     hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(5), "line").alias("g"))
     first = hashed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
     equal = stored(hashed.join(first, ["h", "g"]).where(place > F.col("first")).select("doc_id", "line_no").distinct())
 
-    postings = lines.select("doc_id", "line_no", F.explode(segment_keys(F.col("line"), edits)).alias("key"))
-    heads = postings.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("key", "head")
-    met = stored(postings.join(heads, "key").join(equal, ["doc_id", "line_no"], "left_anti").select("key", "doc_id", "line_no", F.col("head.doc_id").alias("head_doc"), F.col("head.line_no").alias("head_no")))
-    earlier = F.struct("head_doc", "head_no") < place
-    tried = stored(met.where(earlier).select("doc_id", "line_no", "head_doc", "head_no").distinct())
+    postings = stored(lines.select("doc_id", "line_no", F.posexplode(segment_keys(F.col("line"), F.col("n"), edits)).alias("which", "key")))
+    heads = stored(postings.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("key", "head"))
+    shared = bit_filter(heads.select("key"))
+    met = postings.where(shared(F.col("key"))).join(heads, "key").join(equal, ["doc_id", "line_no"], "left_anti")
+    met = stored(met.select("key", "which", "doc_id", "line_no", F.col("head.doc_id").alias("head_doc"), F.col("head.line_no").alias("head_no")))
+    tried = stored(met.where(F.struct("head_doc", "head_no") < place).select("doc_id", "line_no", "head_doc", "head_no").distinct())
     near = stored(_near(lines, tried, edits))
 
-    left = met.join(near.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti").where(earlier)
-    other = met.select("key", F.col("doc_id").alias("other_doc"), F.col("line_no").alias("other_no"), F.struct("doc_id", "line_no").alias("other"))
-    pairs = left.join(other, "key").where(F.col("other") < place).select("doc_id", "line_no", F.col("other_doc").alias("head_doc"), F.col("other_no").alias("head_no")).distinct()
-    rest = stored(pairs.join(tried, tried.columns, "left_anti"))
-    return equal.union(near.select("doc_id", "line_no")).union(_near(lines, rest, edits).select("doc_id", "line_no")).distinct()
+    # Lines not dropped yet, and the others of their keys. Without the segment that made them meet, near lines
+    # are still near, and so share a key of what is left of them, too.
+    late = met.where(F.struct("head_doc", "head_no") < place).join(near.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti").select("key", "doc_id", "line_no")
+    late = stored(late.distinct())
+    open_rows = stored(met.join(late.select("key").distinct(), "key", "left_semi").select("key", "which", "doc_id", "line_no"))
+    rest = open_rows.join(_texts(lines, open_rows), ["doc_id", "line_no"]).withColumn("left", _without_segment(F.col("line"), F.char_length("line"), F.col("which"), edits))
+    finer = stored(rest.select("key", "doc_id", "line_no", F.explode(F.array_distinct(segment_keys(F.col("left"), F.char_length("left"), edits))).alias("second")))
+    other = finer.select("key", "second", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_no"))
+    pairs = finer.join(late, ["key", "doc_id", "line_no"], "left_semi").join(other, ["key", "second"]).where(F.struct("head_doc", "head_no") < place)
+    new = stored(pairs.select(tried.columns).distinct().join(tried, tried.columns, "left_anti"))
+    return equal.union(near.select("doc_id", "line_no")).union(_near(lines, new, edits).select("doc_id", "line_no")).distinct()
+
+
+def _texts(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines at these places. The filter keeps the others out of the shuffle."""
+    wanted = places.select("doc_id", "line_no").distinct()
+    has = bit_filter(wanted)
+    return lines.select("doc_id", "line_no", "line").where(has(F.col("doc_id"), F.col("line_no"))).join(wanted, ["doc_id", "line_no"], "left_semi").distinct()
 
 
 def _near(lines: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     """The pairs whose lines are near, by the text of just these lines."""
-    wanted = pairs.select("doc_id", "line_no").union(pairs.select("head_doc", "head_no")).distinct()
-    texts = stored(lines.join(wanted, ["doc_id", "line_no"], "left_semi").distinct())
+    texts = stored(_texts(lines, pairs.select("doc_id", "line_no").union(pairs.select("head_doc", "head_no"))))
     heads = texts.select(F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_no"), F.col("line").alias("head"))
     return pairs.join(texts, ["doc_id", "line_no"]).join(heads, ["head_doc", "head_no"]).where(within(F.col("line"), F.col("head"), edits)).select(*pairs.columns)
 
@@ -133,8 +159,12 @@ def dedup(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Data
     a null id stay as they are and drop nothing elsewhere. Rows with one id count
     as one document: equal rows are changed alike, none for another.
     """
-    dropped = repeated_lines(df, edits, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("__dropped"))
-    rows = df.drop("n_lines", "n_dropped").join(dropped, "doc_id", "left")
+    dropped = stored(repeated_lines(df, edits, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("__dropped")))
+    has = bit_filter(dropped.select("doc_id"))
+    rows = df.drop("n_lines", "n_dropped")
+    changed = F.coalesce(has(F.col("doc_id").cast("long")), F.lit(False))
+    # Only documents that may lose a line are shuffled to their places.
+    rows = rows.where(changed).join(dropped, "doc_id", "left").unionByName(rows.where(~changed).withColumn("__dropped", F.lit(None).cast("array<int>")))
     lines, gone = F.split("text", "\n"), F.coalesce("__dropped", F.array().cast("array<int>"))
     begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda i: i + 1))
     ends = F.concat(gone, F.array(F.size(lines)))
