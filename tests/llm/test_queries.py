@@ -1,0 +1,12 @@
+"""Queries against their SQL, on the given tables."""
+
+import pytest
+from compare import difference
+from tidemark.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert difference(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF) == ""
