@@ -16,12 +16,12 @@ def eligible(symbols: DataFrame) -> DataFrame:
 
 def with_liquidity(tickers: DataFrame, books: DataFrame, share: float = 0.30, max_spread: float = 0.03) -> DataFrame:
     """Tickers with their best quotes and what keeps them out: volume below the top ``share`` (an interpolated percentile over positive volumes), no book, or spread."""
-    cut = tickers.where("quote_volume > 0").agg(F.expr(f"percentile(quote_volume, {1 - share})").alias("__cut"))
-    rows = tickers.join(F.broadcast(cut)).join(books, "symbol", "left")  # one row of one number
+    cut = tickers.where("quote_volume > 0").agg(F.expr(f"percentile(quote_volume, {1 - share})").alias("cut")).scalar()
+    rows = tickers.join(books, "symbol", "left")
     mid = (F.col("bid") + F.col("ask")) / 2
     rows = rows.withColumn("spread_pct", F.when((F.col("bid") > 0) & (F.col("ask") > 0), (F.col("ask") - F.col("bid")) / mid * 100))
-    reason = ladder((F.col("quote_volume") < F.col("__cut"), "volume"), (F.col("spread_pct").isNull(), "book"), (F.col("spread_pct") > max_spread, "spread"), otherwise="passed")
-    return rows.withColumn("filter_result", reason).drop("__cut")
+    reason = ladder((F.col("quote_volume") < cut, "volume"), (F.col("spread_pct").isNull(), "book"), (F.col("spread_pct") > max_spread, "spread"), otherwise="passed")
+    return rows.withColumn("filter_result", reason)
 
 def volatility_score(x: Column, low: float = 0.02, best: float = 0.04, high: float = 0.08) -> Column:
     inside = 1 - F.abs(x - best) / max(best - low, high - best) * 0.3
@@ -36,17 +36,9 @@ def crowd_score(funding: Column) -> Column:
     return ladder((funding.isNull(), 0.5), (p < 0.01, 1.0), (p < 0.05, 0.9), (p < 0.1, 0.7), otherwise=0.7 * F.exp((0.1 - p) * 10))
 
 def scored(rows: DataFrame) -> DataFrame:
-    """Component scores and their weighted sum. Shares of values up to one's own come from three aggregates of the distinct values, joined back, not from a window over all rows."""
-
-    def share(df: DataFrame, column: Column, name: str) -> DataFrame:
-        df = df.withColumn("__x", column)
-
-        counts = df.groupBy("__x").agg(F.count(F.lit(1)).alias("__n"))
-        ranks = counts.withColumn("__upto", F.sum("__n").over(Window.orderBy("__x"))).withColumn(name, F.col("__upto") / F.sum("__n").over(Window.partitionBy()))
-        return df.join(ranks.select("__x", name), "__x").drop("__x")
-
-    for column, name in ((F.col("quote_volume"), "volume_share"), (F.col("spread_pct"), "spread_share"), (F.col("bid_qty") + F.col("ask_qty"), "depth_share")):
-        rows = share(rows, column, name)
+    """Component scores and their weighted sum. The shares of values up to one's own run over all instruments that passed, which are a few hundred."""
+    share = lambda x: F.cume_dist().over(Window.orderBy(x))
+    rows = rows.withColumns({"volume_share": share("quote_volume"), "spread_share": share("spread_pct"), "depth_share": share(F.col("bid_qty") + F.col("ask_qty"))})
     range_share = F.when(F.col("last") > 0, (F.col("high") - F.col("low")) / F.col("last")).otherwise(0.0)
     quoted = (F.col("spread_pct") >= 0) & (F.col("bid_qty") > 0) & (F.col("ask_qty") > 0)
     rows = rows.withColumns(
