@@ -16,16 +16,15 @@ possible overlap, plus one).
   has so few full classes that the count would not suffice.
 
 Which tokens count as frequent only decides the cost: any choice finds every
-link. Here, those repeated within a task, summed over all tasks, form a filter
-of bounded size.
+link. The filter that tells them is of bounded size.
 
 Keys shared by sets give candidates. Histograms of their hashes bound what two
 sets can have in common, and rule most false ones out; the similarity of the
-others is computed exactly.
-A key may be shared by very many sets, so not every pair of its sets is tried:
-first each against the smallest id, then against the largest, and only then the
-pairs whose two sets still lie in different components, which alone can change
-the result.
+others is computed exactly. A key may be shared by very many sets, so not every
+pair of its sets is tried: first each against the smallest id, then in a few
+rounds against a random one, and at last the pairs whose two sets still lie in
+different components, which alone can change the result, less those whose
+parities differ in too many places.
 """
 
 from __future__ import annotations
@@ -36,16 +35,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
 from .membership import Bits, filter_of, mixed
 
-#: A token is frequent from so many documents on (counted where a task saw it LOCAL times).
-FREQUENT = 24
-LOCAL = 3
+#: A token is frequent from so many documents on.
+FREQUENT = 12
+#: 64-bit words of the parities.
+PARITY_WORDS = 16
+#: Rounds that try each key's sets against one of them.
+ROUNDS = 4
 #: Tokens that a task counts at a time.
 COUNTED = 3_000_000
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
@@ -163,15 +165,22 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
     return np.unique(np.concatenate(keys))
 
 
-def _frequent_filter(docs: DataFrame, n: int) -> tuple[int, bytes]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent_filter(docs: DataFrame, n: int) -> tuple[int, bytes, int]:
+    """The tokens of FREQUENT documents or more, counted over all. Tasks deal their tokens out by range, as 32 bits each, so that counting takes one compact shuffle; the few that share these bits count together."""
+    bytes_read = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log2 = max(4, (bytes_read // (8 << 20)).bit_length())
+    shift = np.uint64(64 - log2)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def repeated() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LOCAL
+        def dealt() -> pa.RecordBatch:
+            tokens = np.sort(np.concatenate(held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+            part = (tokens >> shift).astype(np.int32)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            low = ((tokens << np.uint64(log2)) >> np.uint64(32)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([x.tobytes() for x in np.split(low, first[1:])], pa.binary())], names=["part", "tokens"])
 
         size = 0
         for b in batches:
@@ -179,38 +188,57 @@ def _frequent_filter(docs: DataFrame, n: int) -> tuple[int, bytes]:
                 held.append(shingles(t.as_py(), n))
                 size += len(held[-1])
                 if size >= COUNTED:
-                    yield repeated()
+                    yield dealt()
                     size = 0
         if size:
-            yield repeated()
+            yield dealt()
+
+    def often(rows: pa.Table) -> pa.Table:
+        part = np.uint64(rows.column("part")[0].as_py())
+        low, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("tokens")]), return_counts=True)
+        high = low[counts >= FREQUENT].astype(np.uint64)
+        return pa.table({"token": ((part << np.uint64(32)) | high).view(np.int64)})
+
+    counted = docs.select("text").mapInArrow(deal, "part int, tokens binary").groupBy("part").applyInArrow(often, "token long")
+    return *filter_of(stored(counted), "token"), log2
 
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return filter_of(stored(counted.where(F.col("n") >= FREQUENT)), "token")
 
+def is_frequent(tokens: np.ndarray, bits: Bits, log2: int) -> np.ndarray:
+    return bits.has(((tokens >> np.uint64(64 - log2)) << np.uint64(32)) | ((tokens << np.uint64(log2)) >> np.uint64(32)))
 
-def _profiles(docs: DataFrame, n: int, percent: int, frequent: tuple[int, bytes]) -> DataFrame:
-    """For each document: size, fingerprint and histogram of its set, and index keys."""
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS * 64 bits: by place, whether the number of tokens there is odd. Two sets' parities differ in no more places than their symmetric difference has tokens."""
+    places = mixed(tokens ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(64 * PARITY_WORDS)
+    odd = np.bincount(places.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _profiles(docs: DataFrame, n: int, percent: int, frequent: tuple[int, bytes, int]) -> DataFrame:
+    """For each document: size, fingerprint, histogram and parities of its set, and index keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = Bits(*shared.value)
+        log2, data, token_log2 = shared.value
+        bits = Bits(log2, data)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 piece = batch.slice(start, 1000)
-                sizes, prints, places, keys, ends = [], [], [], [], [0]
+                sizes, prints, places, odd, keys, ends = [], [], [], [], [], [0]
                 for t in piece.column(1):
                     s = shingles(t.as_py(), n)
                     sizes.append(len(s))
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                     places.append(histogram(s).tobytes())
-                    k = keys_of(s, bits.has(s), percent) if len(s) else s
+                    odd.append(parities(s))
+                    k = keys_of(s, is_frequent(s, bits, token_log2), percent) if len(s) else s
                     keys.append(k)
                     ends.append(ends[-1] + len(k))
                 flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
-                columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(places, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "places", "keys"])
+                columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(places, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "places", "odd", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, places binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, places binary, odd array<long>, keys array<long>")
 
 
 def _shared_keys(profiles: DataFrame) -> DataFrame:
@@ -288,6 +316,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
+def _remaining(rows: DataFrame, profiles: DataFrame, near: Column, percent: int) -> DataFrame:
+    """Pairs of sets that share a key, lie in different components, and whose parities allow them to be similar."""
+    rows = stored(rows.join(profiles.select("doc_id", *[F.col("odd")[i].alias(f"x{i}") for i in range(PARITY_WORDS)]), "doc_id"))
+    other = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(PARITY_WORDS)])
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    allowed = apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    return rows.join(other, "key").where(near & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & allowed).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
 def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -300,7 +337,7 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     profiles = stored(_profiles(docs, n, percent, _frequent_filter(docs, n)))
     real = profiles.where("doc_id is not null and n_shingles > 0")
     sets = stored(real.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("set_id")))
-    own_places = stored(real.select("doc_id", "places").join(sets.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("places").alias("places")))
+    own_places = stored(real.select("doc_id", "places", "odd").join(sets.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     size = F.col("n_shingles").cast("int").alias("n")
     shared_keys = stored(_shared_keys(real))
     bits = df.sparkSession.sparkContext.broadcast(filter_of(shared_keys, "key"))
@@ -318,30 +355,33 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     index = stored(index.join(sets.select(F.col("set_id").alias("doc_id"), F.col("n_shingles").cast("int").alias("n")), ["doc_id", "n"], "left_semi").distinct())
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
-    def stars(rows: DataFrame, centre: str) -> DataFrame:
-        """Each key's sets against its set with the smallest or largest id."""
-        pick = (F.min if centre == "min" else F.max)(F.struct("doc_id", "n"))
-        centres = rows.groupBy("key").agg(pick.alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m"))
-        pairs = rows.join(centres, "key").where(near & (F.col("doc_id") != F.col("centre")))
+    def stars(rows: DataFrame, turn: int) -> DataFrame:
+        """Each key's sets against one of them: that with the smallest id, or in later rounds a random one (but not those of its component)."""
+        pick = F.min(F.struct("doc_id", "n", "component")) if turn == 0 else F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("doc_id", F.lit(turn)))
+        centres = rows.groupBy("key").agg(pick.alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other"))
+        pairs = rows.join(centres, "key").where(near & (F.col("component") != F.col("other")))
         return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
 
-    tried = stored(stars(index, "min"))
-    links = stored(_verified(docs, stored(_plausible(tried, own_places, percent)), n, percent))
-    for step in ("max", "rest"):
-        labels = components(links)
-        placed = index.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
-        rest = stored(placed.join(open_keys, "key", "left_semi"))
-        if step == "max":
-            pairs = stars(rest, "max")
-        else:
-            other = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = rest.join(other, "key").where(near & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("doc_id").alias("a"), "b").distinct()
-        new = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+    rest, tried, links = index.withColumn("component", F.col("doc_id")), None, None
+    for turn in range(ROUNDS + 1):
+        pairs = stars(rest, turn) if turn < ROUNDS else _remaining(rest, own_places, near, percent)
+        new = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = new if tried is None else tried.union(new)
         plausible = stored(_plausible(new, own_places, percent))
         if plausible.limit(1).count():
-            links = stored(links.union(_verified(docs, plausible, n, percent)))
-        tried = tried.union(new)
+            found = _verified(docs, plausible, n, percent)
+            links = stored(found if links is None else links.union(found))
+        elif links is None:
+            links = plausible
+        if turn == ROUNDS:
+            break
+        labels = components(links)
+        placed = rest.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        # A key is done with once all its sets are in one component, or there were only two.
+        left = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
+        rest = stored(placed.join(left, "key", "left_semi"))
+        if not rest.limit(1).count():
+            break
     labels = components(links)
     of_set = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("print", "n_shingles", F.coalesce("component", "set_id").alias("component_id"))
     placed = real.select("doc_id", "n_shingles", "print").join(of_set, ["print", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
