@@ -1,12 +1,13 @@
 """License scans: texts against licence templates by the Dice coefficient of their word bigrams, with DataFrame functions only.
 
-A text is normalised to lower-case words of letters and digits, and compared as
+A text is normalised to lower-case words of the letters A-Z and digits, and compared as
 the set of its word pairs (a single word counts as a pair by itself). The units
 compared are each line of a document and, where it has several, the document as
 a whole. Two sets of a and b pairs reach the coefficient 2 * shared / (a + b) >=
 threshold only if b lies between a * t / (2 - t) and a * (2 - t) / t; so a unit
 meets, by a hash join on its number of pairs, only the templates that such a
-size allows. Null and empty texts have no unit; a document that names a licence
+size allows. Before that, texts and units go that have none of the words without
+which too few pairs of any template are left. Null and empty texts have no unit; a document that names a licence
 several times has one row for it, with its best coefficient and, of equal ones,
 its first place (line from 0; -1 for the whole document).
 """
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 THRESHOLD = 0.8
+#: Words that most texts hold, so that to look for them is of little use.
+COMMON = frozenset("a all an and any are as at be by for from in is it no not of on or that the this to under with without".split())
 
 #: Wordings by which texts name a licence, and the bodies of the shortest licences.
 TEMPLATES: list[tuple[str, str]] = [
@@ -83,10 +86,21 @@ def size_bounds(pairs: int, threshold: float) -> tuple[int, int]:
 
 
 def pairs_of(unit: Column) -> Column:
-    words = F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.regexp_replace(unit, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
     return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def keywords(pairs: list[str], threshold: float) -> set[str]:
+    """Words of which a unit near the template has at least one: so many of the template's pairs hold one of them that a unit without any shares too few."""
+    missing = len(pairs) - math.ceil(threshold * (len(pairs) + size_bounds(len(pairs), threshold)[0]) / 2 - 1e-9)
+    left, chosen = [p.split(" ") for p in pairs], set()
+    while len(pairs) - len(left) <= missing:
+        word = max({w for p in left for w in p}, key=lambda w: (w not in COMMON, sum(w in p for p in left), len(w), w))
+        chosen.add(word)
+        left = [p for p in left if word not in p]
+    return chosen
+
+
 def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and licence found: ``doc_id``, ``license``, ``dice`` and ``place``. Rows with a null id are scanned like others."""
     spark = df.sparkSession
@@ -97,9 +111,12 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, threshol
     by_size = spark.createDataFrame(sizes, StructType([StructField("n", LongType()), long]))
     known = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], StructType([long, StructField("license", StringType()), StructField("pairs", ArrayType(StringType()))]))
 
+    wanted = sorted(set().union(*(keywords(pairs, threshold) for _, pairs in rows)))
+    first = "".join(sorted({w[0] for w in wanted}))
+    some_keyword = f"(?i)(?=[{first}])(?<![A-Za-z0-9])(?:{'|'.join(wanted)})(?![A-Za-z0-9])"
     lines = F.split("text", "\n")
     units = F.concat(F.transform(lines, lambda t, i: F.struct(i.alias("place"), t.alias("unit"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("unit")))).otherwise(F.array()))
-    each = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").select("doc_id", F.inline(units))
+    each = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(some_keyword)).select("doc_id", F.inline(units)).where(F.col("unit").rlike(some_keyword))
     found = each.select("doc_id", "place", pairs_of(F.col("unit")).alias("own")).withColumn("n", F.size("own").cast("long")).where(F.col("n").between(least, most))
     # The two small tables have a row for each template and possible size: bounded by the templates alone.
     met = found.join(F.broadcast(by_size), "n").join(F.broadcast(known), "template")

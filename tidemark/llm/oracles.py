@@ -74,7 +74,7 @@ OP10 = f"""
 WITH t(license, pairs) AS (VALUES {_templates()}),
 l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
-w AS (SELECT doc_id, place, list_filter(string_split_regex(lower(unit), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
+w AS (SELECT doc_id, place, list_filter(string_split(lower(regexp_replace(unit, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM l),
 p AS (SELECT doc_id, place, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS own FROM w WHERE len(w) BETWEEN 1 AND 2000),
 m AS (SELECT doc_id, license, place, 2.0::DOUBLE * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) AS dice FROM p JOIN t ON list_has_any(own, pairs)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, place) AS k FROM m WHERE dice >= 0.8)
