@@ -163,8 +163,8 @@ def dedup(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Data
     has = bit_filter(dropped.select("doc_id"))
     rows = df.drop("n_lines", "n_dropped")
     changed = F.coalesce(has(F.col("doc_id").cast("long")), F.lit(False))
-    # Only documents that may lose a line are shuffled to their places.
-    rows = rows.where(changed).join(dropped, "doc_id", "left").unionByName(rows.where(~changed).withColumn("__dropped", F.lit(None).cast("array<int>")))
+    # Only documents that may lose a line are shuffled to their places; as a merge at any size, since both sides grow alike.
+    rows = rows.where(changed).join(dropped.hint("merge"), "doc_id", "left").unionByName(rows.where(~changed).withColumn("__dropped", F.lit(None).cast("array<int>")))
     lines, gone = F.split("text", "\n"), F.coalesce("__dropped", F.array().cast("array<int>"))
     begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda i: i + 1))
     ends = F.concat(gone, F.array(F.size(lines)))
