@@ -224,6 +224,21 @@ def test_decontamination_equals_all_windows(spark):
     assert decontaminate.matches(documents(spark, texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(5)
+    item = [f"w{rng.randrange(60)}" for _ in range(40)]
+    other = " ".join(rng.choice(item) for _ in range(45))
+    texts = [" ".join(item[a:b]) for a, b in [(0, 39), (0, 38), (0, 36), (0, 33), (3, 40), (0, 25), (0, 4)]]
+    want = set()
+    for d, text in enumerate(texts):
+        cut = lambda ws: Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+        s = decontaminate.weighted_jaccard(cut(text.split()), cut(item))
+        want |= {(d, 1, round(s, 9), 0)} if s >= 0.8 else set()
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, round(r.similarity, 9), r.at_word) for r in decontaminate.matches(documents(spark, texts), bench).collect()}
+    assert got == want and {d for d, *_ in want} == {0, 1, 2, 3, 4}
+
+
 def test_decontamination_reads_the_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
     items = spark.createDataFrame([(i, f"item number {i} has just these words here") for i in range(5)], "item_id long, text string")

@@ -3,7 +3,7 @@
 A text is its words (runs of letters, digits and underscores, lower-cased), a
 window its multiset of five-word shingles (all its words as one shingle if an
 item has fewer). For every item of L words, each window of L words is a
-candidate place. Windows without any shingle of any item have similarity zero
+candidate place; a text of fewer words is one window as a whole. Windows without any shingle of any item have similarity zero
 and are passed over; each other window gets a SimHash fingerprint of 128 bits,
 summed over its weighted shingles (weight: times in the window). Fingerprints
 are looked up in eight blocks of 16 bits, each with all values at up to five
@@ -138,22 +138,23 @@ class Items:
             starts_of: dict[int, set[int]] = defaultdict(set)
             for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
                 for length in self.lengths_of[width, x]:
-                    starts_of[length].update(range(max(0, p - length + width), min(p, len(words) - length) + 1))
+                    starts_of[length].update(range(max(0, p - length + width), min(p, max(0, len(words) - length)) + 1))
             for length, starts in starts_of.items():
                 if starts:
                     self._windows(words, np.array(sorted(starts)), length, width, similarity, found)
         return [(self.ids[i], s, at) for i, (s, at) in sorted(found.items())]
 
     def _windows(self, words: list[str], starts: np.ndarray, length: int, width: int, similarity: float, found: dict[int, tuple[float, int]]) -> None:
-        size = length - width + 1
+        span = min(length, len(words))
+        size = span - width + 1
         own = self.by_length[length]
         wanted = np.zeros(self.tables.shape[2], np.uint8)
         for i in own:
             wanted[i // 8] |= 1 << i % 8
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) > length) + 1):  # windows far apart share no words
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):  # windows far apart share no words
             for some in np.array_split(part, -(-len(part) // 4096)):
                 first = int(some[0])
-                region = words[first : int(some[-1]) + length]
+                region = words[first : int(some[-1]) + span]
                 h = shingle_hashes(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in region], np.uint64), width)
                 prints = fingerprints(h, some - first, size)
                 near = np.zeros((len(some), self.tables.shape[2]), np.uint8)
