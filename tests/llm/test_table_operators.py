@@ -4,6 +4,8 @@ import hashlib
 import json
 import math
 import random
+import re
+import textwrap
 
 import pyarrow.fs as pafs
 import pytest
@@ -168,6 +170,40 @@ def test_licenses(spark):
     assert got == want and (3, "MIT") in want and (5, "MIT") in want
 
 
+def test_licenses_inside_longer_texts(spark):
+    body = {n: t for n, t in licenses.TEMPLATES if len(t) > 500}
+    rng = random.Random(8)
+    other = lambda n: " ".join(rng.choice("tool build the of data in a fast small to run".split()) for _ in range(n))
+    texts = [f"{other(200)}\n{textwrap.fill(body[n], 78)}\n{other(200)}" for n in ("MIT", "ISC")]
+    texts += ["We built this tool. Released under the MIT License. See the manual for more.", f"{other(5)}\nReleased under\nthe MIT License.\n{other(5)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.dice, r.place) for r in licenses.scan(df).collect()}
+    assert got == {(0, "MIT"): (1.0, 1), (1, "ISC"): (1.0, 1), (2, "MIT"): (1.0, 0), (3, "MIT"): (1.0, 1)}
+
+
+def test_licenses_equal_all_runs_of_sentences(spark):
+    rng = random.Random(9)
+    templates = [("A", "a b a b c"), ("A", "b c a"), ("B", "d a b c a b e a d"), ("C", "q")]
+    texts = ["".join(rng.choice("abcde") + rng.choice([" ", " ", ". ", "! ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(80)]
+    texts += [" ".join(rng.choice(templates)[1].replace(" ", rng.choice([" ", "\n", ". "]), 2) for _ in range(3)) for _ in range(20)]
+    texts += ["a q b", "a. q. b", "q q", "a b " * 40 + "c", "x. " + "a b. " * 40 + "b c. x"]
+    want = {}
+    for d, text in enumerate(texts):
+        parts = [(s, k) for k, t in enumerate(text.split("\n")) for s in re.split(licenses.SENTENCE_END, t) if s.strip(" .!")]
+        units = [(" ".join(s for s, _ in parts[i:j]), parts[i][1]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)]
+        units += [(text, -1)] if "\n" in text else []
+        for name, t in templates:
+            pairs = set(licenses.template_pairs(t))
+            for unit, place in units:
+                own = set(licenses.template_pairs(unit))
+                dice = 2 * len(own & pairs) / (len(own) + len(pairs))
+                if dice >= 0.8:
+                    want[d, name] = max(want.get((d, name), (0, 0)), (dice, -place))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.license): (r.dice, -r.place) for r in licenses.scan(df, templates).collect()} == want
+    assert {name for _, name in want} == {"A", "B", "C"} and len(want) > 20
+
+
 def test_size_bounds_lose_no_pair():
     for a in range(1, 80):
         lo, hi = licenses.size_bounds(a, 0.8)

@@ -2,14 +2,19 @@
 
 A text is normalised to lower-case words of the letters A-Z and digits, and compared as
 the set of its word pairs (a single word counts as a pair by itself). The units
-compared are each line of a document and, where it has several, the document as
-a whole. Two sets of a and b pairs reach the coefficient 2 * shared / (a + b) >=
+compared are each line of a document, where it has several the document as a
+whole, and all runs of its sentences (cut at line ends, too). Runs of words as such
+are no units: a mention of one licence, less its last word, is near others. Two
+sets of a and b pairs reach the coefficient 2 * shared / (a + b) >=
 threshold only if b lies between a * t / (2 - t) and a * (2 - t) / t; so a unit
 meets, by a hash join on its number of pairs, only the templates that such a
 size allows. Before that, texts and units go that have none of the words without
-which too few pairs of any template are left. Null and empty texts have no unit; a document that names a licence
+which too few pairs of any template are left. Runs of sentences are looked at only
+where a document has as many of a template's pairs as a unit near it must share,
+and each is followed until it has more pairs than the size allows. Null and empty
+texts have no unit; a document that names a licence
 several times has one row for it, with its best coefficient and, of equal ones,
-its first place (line from 0; -1 for the whole document).
+its first place (line from 0, for a run that of its first word; -1 for the whole document).
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 THRESHOLD = 0.8
+#: Blanks after a sentence's last mark; before a digit they may stand in "v. 2.0".
+SENTENCE_END = r"(?<=[.!?])\s+(?=[^0-9\s])"
 #: Words that most texts hold, so that to look for them is of little use.
 COMMON = frozenset("a all an and any are as at be by for from in is it no not of on or that the this to under with without".split())
 
@@ -85,8 +92,12 @@ def size_bounds(pairs: int, threshold: float) -> tuple[int, int]:
     return math.ceil(pairs * threshold / (2 - threshold) - 1e-9), math.floor(pairs * (2 - threshold) / threshold + 1e-9)
 
 
+def words_of(unit: Column) -> Column:
+    return F.filter(F.split(F.lower(F.regexp_replace(unit, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+
+
 def pairs_of(unit: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.regexp_replace(unit, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    words = words_of(unit)
     return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
@@ -101,6 +112,75 @@ def keywords(pairs: list[str], threshold: float) -> set[str]:
     return chosen
 
 
+def _let(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _marked(each: Column, pairs: Column) -> Column:
+    """For each place of a text's pairs: ``pos``, whether a sentence begins and ends there, the place before of the same pair (``prev``, -1 if none) and whether the template has it (``hit``)."""
+    def mark(by_pair: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.get(by_pair, i - 1)
+            prev = F.when(before["pair"] == x["pair"], before["pos"]).otherwise(-1)
+            return F.struct(x["pos"].alias("pos"), prev.alias("prev"), F.array_contains(pairs, x["pair"]).alias("hit"), x["begins"].alias("begins"), x["ends"].alias("ends"))
+
+        return F.array_sort(F.transform(by_pair, one))
+
+    return _let(F.array_sort(F.transform(each, lambda p, i: F.struct(p["pair"].alias("pair"), i.alias("pos"), p["begins"].alias("begins"), p["ends"].alias("ends")))), mark)
+
+
+def _best_run(marked: Column, size: Column, most: Column) -> Column:
+    """The greatest coefficient of a run of sentences with a template of ``size`` pairs, and less its first place. A pair counts once in a run: where the one before it lies ahead of the run."""
+    def run(start: Column) -> Column:
+        pos = start["pos"]
+        ahead = lambda n: F.slice(marked, pos + 1, n)
+        # As far as the run has more pairs than allowed: nearly always within twice that, else to the end at last.
+        enough = lambda n: F.when(F.size(F.filter(ahead(n), lambda x: x["prev"] < pos)) > most, n)
+        length = F.coalesce(*[enough(most * k) for k in (2, 16, 128)], F.size(marked))
+
+        def step(s: Column, x: Column) -> Column:
+            new = x["prev"] < pos
+            n, shared = s["n"] + new.cast("int"), s["shared"] + (new & x["hit"]).cast("int")
+            dice = F.when(x["ends"], F.greatest(s["dice"], F.lit(2.0) * shared / (n + size))).otherwise(s["dice"])
+            return F.struct(n.alias("n"), shared.alias("shared"), dice.alias("dice"))
+
+        start_at = F.struct(F.lit(0).alias("n"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"))
+        return F.struct(F.aggregate(ahead(length), start_at, step)["dice"].alias("dice"), (-pos).alias("from"))
+
+    return F.array_max(F.transform(F.filter(marked, lambda x: x["begins"]), run))
+
+
+def _runs(docs: DataFrame, rows: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
+    """The best run of sentences of each text for each template near one. ``docs``: doc_id and text."""
+    bounds = [size_bounds(len(pairs), threshold) for _, pairs in rows]
+    schema = "license string, pairs array<string>, size int, least int, most int"
+    known = docs.sparkSession.createDataFrame([(name, pairs, len(pairs), max(lo, 1), hi) for (name, pairs), (lo, hi) in zip(rows, bounds, strict=True)], schema)
+
+    def sentence(words: Column, line: Column) -> Column:
+        return F.transform(words, lambda w, k: F.struct(w.alias("word"), line.alias("line"), (k == 0).alias("begins"), (k == F.size(words) - 1).alias("ends")))
+
+    at = F.flatten(F.transform(F.split("text", "\n"), lambda t, i: F.flatten(F.transform(F.split(t, SENTENCE_END), lambda part: _let(words_of(part), lambda words: sentence(words, i))))))
+    one = F.transform("at", lambda w: F.struct(F.when(w["begins"] & w["ends"], w["word"]).otherwise("").alias("pair"), w["begins"].alias("begins"), w["ends"].alias("ends")))
+    less = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
+    two = F.zip_with(F.slice("at", 1, less("at")), F.slice("at", 2, less("at")), lambda a, b: F.struct(F.concat_ws(" ", a["word"], b["word"]).alias("pair"), a["begins"].alias("begins"), b["ends"].alias("ends")))
+    every = sorted({p for _, pairs in rows for p in pairs})
+    listed = F.zip_with(F.slice("words", 1, less("words")), F.slice("words", 2, less("words")), lambda a, b: F.concat_ws(" ", a, b))
+    if any(" " not in p for p in every):
+        listed = F.concat(listed, "words")
+    # Each step's value is made once: filters and uses are not moved through a generator.
+    once = lambda value, name: F.explode(F.array(value)).alias(name)
+    seen = docs.select("doc_id", "text", once(words_of(F.col("text")), "words"))
+    seen = seen.select("doc_id", "text", once(F.array_distinct(F.filter(listed, lambda p: p.isin(every))), "seen"))
+    # A unit near a template shares at least as many pairs as the smallest that its size allows has.
+    met = seen.where(F.size("seen") >= max(1, min(lo for lo, _ in bounds))).join(F.broadcast(known), F.size(F.array_intersect("seen", "pairs")) >= F.col("least"))
+    each = F.when(F.get("pairs", F.lit(0)).contains(" "), two).otherwise(one)
+    met = met.select("doc_id", "license", "pairs", "size", "most", once(at, "at"))
+    met = met.select("doc_id", "license", "pairs", "size", "most", "at", once(each, "each"))
+    best = _let(_marked(F.col("each"), F.col("pairs")), lambda marked: _best_run(marked, F.col("size"), F.col("most")))
+    found = met.select("doc_id", "license", "at", once(best, "best")).where(F.col("best")["dice"] >= threshold)
+    return found.select("doc_id", "license", F.col("best")["dice"].alias("dice"), F.get("at", -F.col("best")["from"])["line"].alias("place"))
+
+
 def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and licence found: ``doc_id``, ``license``, ``dice`` and ``place``. Rows with a null id are scanned like others."""
     spark = df.sparkSession
@@ -116,10 +196,11 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, threshol
     some_keyword = f"(?i)(?=[{first}])(?<![A-Za-z0-9])(?:{'|'.join(wanted)})(?![A-Za-z0-9])"
     lines = F.split("text", "\n")
     units = F.concat(F.transform(lines, lambda t, i: F.struct(i.alias("place"), t.alias("unit"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("unit")))).otherwise(F.array()))
-    each = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(some_keyword)).select("doc_id", F.inline(units)).where(F.col("unit").rlike(some_keyword))
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(some_keyword))
+    each = docs.select("doc_id", F.inline(units)).where(F.col("unit").rlike(some_keyword))
     found = each.select("doc_id", "place", pairs_of(F.col("unit")).alias("own")).withColumn("n", F.size("own").cast("long")).where(F.col("n").between(least, most))
     # The two small tables have a row for each template and possible size: bounded by the templates alone.
     met = found.join(F.broadcast(by_size), "n").join(F.broadcast(known), "template")
     dice = F.lit(2.0) * F.size(F.array_intersect("own", "pairs")) / (F.col("n") + F.size("pairs"))
-    best = met.select("doc_id", "license", dice.alias("dice"), "place").where(F.col("dice") >= threshold)
+    best = met.select("doc_id", "license", dice.alias("dice"), "place").where(F.col("dice") >= threshold).union(_runs(docs, rows, threshold))
     return best.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.max_by("place", F.struct("dice", -F.col("place"))).alias("place"))
