@@ -139,19 +139,6 @@ def with_structure(rows: DataFrame, trend: str = "structure_trend") -> DataFrame
     return rows.withColumn("structure_size", size)
 
 
-def _momentum(lookbacks: tuple[int, int, int]) -> Kernel:
-    return Momentum(lookbacks)
-
-
-def entry_filter(rows: DataFrame) -> DataFrame:
-    """Whether momentum allows an entry to either side, and the size multiplier."""
-    f, state, score = F.col("roc_fast_norm"), F.col("momentum_state"), F.col("momentum_score")
-    fit = state.isin("IMPULSE", "PULLBACK") & (score >= 40) & ~F.col("blowoff")
-    m = F.col("roc_mid_norm")
-    size = ladder((state == "NOISE", 0.3), (F.col("blowoff"), 0.5), (state == "FADE", 0.5), (score >= 70, 1.0), otherwise=0.7)
-    return rows.withColumns({"allows_long": fit & (m > 0) & (f > -1.5), "allows_short": fit & (m < 0) & (f < 1.5), "size_multiplier": size})
-
-
 def macd_events(bars: DataFrame, confirm: int = 2, chop: Column | None = None) -> DataFrame:
     """Histogram over ATR (within 3), its slope and acceleration, phase, and shift and weakening confirmed by ``confirm`` bars in a row. ``chop``: rows where events are suppressed."""
     rows = scan(bars, [Macd, Atr]).where("macd_hist is not null")

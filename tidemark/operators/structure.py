@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ladder, lag, last_rows, series, so_far, true_range
+from ..functions.scalars import SERIES, ladder, lag, last_rows, series, so_far, true_range
 
 
 def ahead(n: int):
@@ -68,9 +68,11 @@ def with_range(bars: DataFrame, n: int = 10, most_pct: float = 2.0) -> DataFrame
 
 
 def gaps(bars: DataFrame, least_pct: float = 0.1) -> DataFrame:
-    """Fair-value gaps: bars that leave a gap to the bar two before; top, bottom, size, side, and when a later bar first trades in it (null while open)."""
+    """Fair-value gaps: bars that leave a gap to the bar two before; top, bottom, size, side, and whether a later bar trades in it."""
     high, low = lag("high", 2), lag("low", 2)
-    rows = bars.withColumns({"__h": high, "__l": low, "__low_ahead": F.min("low").over(series().rowsBetween(1, Window.unboundedFollowing)), "__high_ahead": F.max("high").over(series().rowsBetween(1, Window.unboundedFollowing))})
+    # The bars after one are those before it in reversed order, whose extremes run along with the rows.
+    later = Window.partitionBy(*SERIES).orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = bars.withColumns({"__h": high, "__l": low}).withColumns({"__low_ahead": F.min("low").over(later), "__high_ahead": F.max("high").over(later)})
     bull, bear = F.col("low") > F.col("__h"), F.col("high") < F.col("__l")
     rows = rows.withColumns({"gap_side": ladder((bull, "bullish"), (bear, "bearish"), otherwise=None), "gap_top": F.when(bull, F.col("low")).when(bear, F.col("__l")), "gap_bottom": F.when(bull, F.col("__h")).when(bear, F.col("high"))})
     rows = rows.withColumn("gap_pct", F.try_divide(F.col("gap_top") - F.col("gap_bottom"), F.col("gap_bottom")) * 100).where(F.col("gap_side").isNotNull() & (F.col("gap_pct") >= least_pct))
@@ -79,14 +81,14 @@ def gaps(bars: DataFrame, least_pct: float = 0.1) -> DataFrame:
 
 
 def breakouts(bars: DataFrame, swing: int = 20, bars_ahead: int = 10, margin_pct: float = 0.15, atr_multiple: float = 0.25) -> DataFrame:
-    """Bars that break the extreme of the ``swing`` bars before by enough, with the outcome over the following bars."""
+    """Bars that break the extreme of the ``swing`` bars before by enough, with the outcome over the following bars. An entry at price zero has no shares, and is unclear."""
     before = last_rows(swing, -1)
     rows = bars.withColumns({"tr": true_range()})
     rows = rows.withColumns(
         {
             "__top": F.when(F.count(F.lit(1)).over(before) == swing, F.max("high").over(before)),
             "__bottom": F.when(F.count(F.lit(1)).over(before) == swing, F.min("low").over(before)),
-            "__atr_pct": F.avg("tr").over(last_rows(14)) / F.col("close") * 100,
+            "__atr_pct": F.try_divide(F.avg("tr").over(last_rows(14)), F.col("close")) * 100,
             "__max": F.max("high").over(ahead(bars_ahead)),
             "__min": F.min("low").over(ahead(bars_ahead)),
             "__end": F.lead("close", bars_ahead).over(series()),
@@ -94,7 +96,7 @@ def breakouts(bars: DataFrame, swing: int = 20, bars_ahead: int = 10, margin_pct
         }
     )
     enough = lambda m: (m >= margin_pct) | (m >= F.col("__atr_pct") * atr_multiple)
-    up_margin, down_margin = (F.col("high") - F.col("__top")) / F.col("__top") * 100, (F.col("__bottom") - F.col("low")) / F.col("__bottom") * 100
+    up_margin, down_margin = F.try_divide(F.col("high") - F.col("__top"), F.col("__top")) * 100, F.try_divide(F.col("__bottom") - F.col("low"), F.col("__bottom")) * 100
     up = (F.col("high") > F.col("__top")) & enough(up_margin)
     down = ~F.coalesce(up, F.lit(False)) & (F.col("low") < F.col("__bottom")) & enough(down_margin)
     rows = rows.withColumn("breakout", ladder((up, "upward"), (down, "downward"), otherwise=None)).where("breakout is not null")
@@ -102,12 +104,12 @@ def breakouts(bars: DataFrame, swing: int = 20, bars_ahead: int = 10, margin_pct
     entry, level = F.when(is_up, F.col("high")).otherwise(F.col("low")), F.when(is_up, F.col("__top")).otherwise(F.col("__bottom"))
     rows = rows.withColumns({"entry": entry, "level": level})
     e = F.col("entry")
-    best = F.when(is_up, F.col("__max") - e).otherwise(e - F.col("__min")) / e * 100
-    worst = F.when(is_up, F.col("__min") - e).otherwise(e - F.col("__max")) / e * 100
+    share = lambda up, down: F.try_divide(F.when(is_up, up).otherwise(down), e) * 100
+    best, worst = share(F.col("__max") - e, e - F.col("__min")), share(F.col("__min") - e, e - F.col("__max"))
     back = F.when(is_up, F.col("__min") < F.col("level")).otherwise(F.col("__max") > F.col("level"))
-    final = F.when(is_up, F.col("__end") - e).otherwise(e - F.col("__end")) / e * 100
+    final = share(F.col("__end") - e, e - F.col("__end"))
     done = F.col("__left") == bars_ahead
-    rows = rows.withColumns({"mfe_pct": F.when(done, F.greatest(F.lit(0.0), best)), "mae_pct": F.when(done, F.least(F.lit(0.0), worst)), "final_pct": F.when(done, final)})
+    rows = rows.withColumns({"mfe_pct": F.when(done & best.isNotNull(), F.greatest(F.lit(0.0), best)), "mae_pct": F.when(done & worst.isNotNull(), F.least(F.lit(0.0), worst)), "final_pct": F.when(done, final)})
     outcome = ladder((~done, "pending"), ((F.col("mfe_pct") >= 1.0) & ~back, "true_breakout"), (back & (F.col("final_pct") < -0.5), "fake_breakout"), otherwise="unclear")
     return rows.withColumn("outcome", outcome).select("symbol", "tf", "ts", "seq", "breakout", "entry", "level", "mfe_pct", "mae_pct", "final_pct", "outcome")
 

@@ -48,7 +48,7 @@ def trend_strength(spark, d):
     rows = K.with_relative_volume(M.ema_filter(hour(spark, d), "1h"))
     none = F.lit(None).cast("double")
     bias = F.when(F.col("ema_bias") == "BULL", 1).when(F.col("ema_bias") == "BEAR", -1).otherwise(0)
-    rows = rows.withColumns({"ribbon_width_rate": none, "oi_now": none, "oi_prev": none, "atr_pct": (F.col("high") - F.col("low")) / F.col("close"), "direction_bias": bias, "is_range": F.col("ema_regime") == "RANGE", "is_chop": F.lit(False)})
+    rows = rows.withColumns({"ribbon_width_rate": none, "oi_now": none, "oi_prev": none, "atr_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "direction_bias": bias, "is_range": F.col("ema_regime") == "RANGE", "is_chop": F.lit(False)})
     return rounded(N.trend_strength(rows, "1h"), *KEY, "strength_raw", "strength", "strength_signed", "strength_bucket")
 
 

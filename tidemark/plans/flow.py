@@ -84,11 +84,11 @@ def range_structure(spark, d):
 
 
 _BREAK = f""", t AS (SELECT *, {_TR} AS tr FROM bars),
-a AS (SELECT *, CASE WHEN count(*) OVER {Q.rows(20, -1)} = 20 THEN max(high) OVER {Q.rows(20, -1)} END AS top, CASE WHEN count(*) OVER {Q.rows(20, -1)} = 20 THEN min(low) OVER {Q.rows(20, -1)} END AS bot, avg(tr) OVER {Q.rows(14)} / close * 100 AS ap,
+a AS (SELECT *, CASE WHEN count(*) OVER {Q.rows(20, -1)} = 20 THEN max(high) OVER {Q.rows(20, -1)} END AS top, CASE WHEN count(*) OVER {Q.rows(20, -1)} = 20 THEN min(low) OVER {Q.rows(20, -1)} END AS bot, avg(tr) OVER {Q.rows(14)} / nullif(close, 0) * 100 AS ap,
   max(high) OVER {_ahead(10)} AS mx, min(low) OVER {_ahead(10)} AS mn, lead(close, 10) OVER ({Q.W}) AS fin, count(*) OVER {_ahead(10)} = 10 AS done FROM t),
-b AS (SELECT *, coalesce(high > top AND ((high - top) / top * 100 >= 0.15 OR (high - top) / top * 100 >= ap * 0.25), false) AS up, coalesce(low < bot AND ((bot - low) / bot * 100 >= 0.15 OR (bot - low) / bot * 100 >= ap * 0.25), false) AS dn FROM a),
+b AS (SELECT *, coalesce(high > top AND ((high - top) / nullif(top, 0) * 100 >= 0.15 OR (high - top) / nullif(top, 0) * 100 >= ap * 0.25), false) AS up, coalesce(low < bot AND ((bot - low) / nullif(bot, 0) * 100 >= 0.15 OR (bot - low) / nullif(bot, 0) * 100 >= ap * 0.25), false) AS dn FROM a),
 c AS (SELECT *, CASE WHEN up THEN high ELSE low END AS e, CASE WHEN up THEN top ELSE bot END AS lv FROM b WHERE up OR dn),
-f AS (SELECT *, CASE WHEN done THEN greatest(0, CASE WHEN up THEN mx - e ELSE e - mn END / e * 100) END AS mfe, CASE WHEN done THEN least(0, CASE WHEN up THEN mn - e ELSE e - mx END / e * 100) END AS mae, CASE WHEN done THEN CASE WHEN up THEN fin - e ELSE e - fin END / e * 100 END AS fr, CASE WHEN up THEN mn < lv ELSE mx > lv END AS bk FROM c),
+f AS (SELECT *, CASE WHEN done AND e <> 0 THEN greatest(0, CASE WHEN up THEN mx - e ELSE e - mn END / e * 100) END AS mfe, CASE WHEN done AND e <> 0 THEN least(0, CASE WHEN up THEN mn - e ELSE e - mx END / e * 100) END AS mae, CASE WHEN done AND e <> 0 THEN CASE WHEN up THEN fin - e ELSE e - fin END / e * 100 END AS fr, CASE WHEN up THEN mn < lv ELSE mx > lv END AS bk FROM c),
 o AS (SELECT *, CASE WHEN NOT done THEN 'pending' WHEN mfe >= 1 AND NOT bk THEN 'true_breakout' WHEN bk AND fr < -0.5 THEN 'fake_breakout' ELSE 'unclear' END AS oc FROM f)"""
 
 
@@ -175,12 +175,12 @@ def asof_price_oi(spark, d):
     return rounded(A.asof(traded, S.open_interest(spark, d).select("symbol", "ts", "open_interest"), "open_interest"), "symbol", "ts", "volume", "open_interest")
 
 
-_PAIRS = """WITH t AS (SELECT p_brand AS symbol, sum(l_extendedprice) AS qv, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS last, first(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS first
+_PAIRS = """WITH t AS (SELECT p_brand AS symbol, sum(l_extendedprice) AS qv, max(l_extendedprice / nullif(l_quantity, 0)) AS high, min(l_extendedprice / nullif(l_quantity, 0)) AS low, last(l_extendedprice / nullif(l_quantity, 0) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS last, first(l_extendedprice / nullif(l_quantity, 0) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS first
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 b AS (SELECT p_brand AS symbol, avg(p_retailprice) AS mid, avg(p_size) AS size, count(*) AS n FROM part GROUP BY ALL),
 k AS (SELECT symbol, mid * (1 - size / 1e6) AS bid, mid * (1 + size / 1e6) AS ask, n * 1.0::DOUBLE AS bid_qty, size::DOUBLE AS ask_qty FROM b),
 c AS (SELECT *, (ask - bid) / ((ask + bid) / 2) * 100 AS sp FROM t JOIN k USING (symbol) WHERE qv >= (SELECT quantile_cont(qv, 0.7) FROM t WHERE qv > 0)),
-s AS (SELECT *, cume_dist() OVER (ORDER BY qv) AS vs, cume_dist() OVER (ORDER BY sp) AS ss, cume_dist() OVER (ORDER BY bid_qty + ask_qty) AS ds, CASE WHEN last > 0 THEN (high - low) / last ELSE 0 END AS rg, abs((last - first) / first * 100) AS ch FROM c WHERE sp <= 0.03),
+s AS (SELECT *, cume_dist() OVER (ORDER BY qv) AS vs, cume_dist() OVER (ORDER BY sp) AS ss, cume_dist() OVER (ORDER BY bid_qty + ask_qty) AS ds, CASE WHEN last > 0 THEN (high - low) / last ELSE 0 END AS rg, abs((last - first) / nullif(first, 0) * 100) AS ch FROM c WHERE sp <= 0.03),
 e AS (SELECT *, pow(vs, 0.8) AS pa, greatest(0, least(1, 0.7 * (1 - ss) + 0.3 * ds)) AS li, greatest(0, least(1, CASE WHEN rg BETWEEN 0.02 AND 0.08 THEN 1 - abs(rg - 0.04) / 0.04 * 0.3 WHEN rg < 0.02 THEN rg / 0.02 * 0.5 ELSE 0.7 * exp((0.08 - rg) * 20) END)) AS vo,
   CASE WHEN ch > 10 AND vs < 0.4 THEN 0.3 WHEN ch > 15 THEN 0.5 WHEN ch < 2 THEN 0.85 WHEN ch < 5 THEN 1 ELSE 0.9 - (ch - 5) / 100 END AS cl FROM s)"""
 
@@ -188,12 +188,12 @@ e AS (SELECT *, pow(vs, 0.8) AS pa, greatest(0, least(1, 0.7 * (1 - ss) + 0.3 *
 @query(_PAIRS + f" SELECT symbol, {Q.r('0.35 * pa + 0.25 * li + 0.2 * vo + 0.1 * cl + 0.1 * 0.5', 'tradability')}, pa >= 0.6 AND li >= 0.6 AND sp <= 0.03 AS trade_allowed FROM e ORDER BY 0.35 * pa + 0.25 * li + 0.2 * vo + 0.1 * cl DESC, symbol LIMIT 10")
 def pair_selection_topk(spark, d):
     """Part brands as instruments, with quotes around their mean price."""
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.try_divide("l_extendedprice", "l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
     parts = S.table(spark, d, "part")
     lines = S.table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     tickers = lines.groupBy(F.col("p_brand").alias("symbol")).agg(F.sum("l_extendedprice").alias("quote_volume"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("last"), F.min_by(price, order).alias("first"))
-    tickers = tickers.withColumn("change_pct", (F.col("last") - F.col("first")) / F.col("first") * 100)
+    tickers = tickers.withColumn("change_pct", F.try_divide(F.col("last") - F.col("first"), F.col("first")) * 100)
     middle, half = F.col("middle"), F.col("size") / 1e6
     books = parts.groupBy(F.col("p_brand").alias("symbol")).agg(F.avg("p_retailprice").alias("middle"), F.avg("p_size").alias("size"), F.count("*").cast("double").alias("bid_qty"))
     books = books.select("symbol", (middle * (1 - half)).alias("bid"), (middle * (1 + half)).alias("ask"), "bid_qty", F.col("size").alias("ask_qty"))
