@@ -129,17 +129,39 @@ def test_line_dedup(spark, edits, least):
         kept, gone = [], 0
         for line in (text or "").split("\n") if doc is not None else []:
             x = line.strip(" ")
-            if len(x) >= least and any(abs(len(x) - len(y)) <= edits and (x == y or len(x) < 100 and distance(x, y) <= edits or len(x) > 100 and x.startswith(y)) for y in seen):
+            near = lambda y: min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= edits and (len(x) < 100 and distance(x, y) <= edits or len(x) > 100 and x.startswith(y))  # noqa: B023, E731
+            if x and any(x == y or near(y) for y in seen):
                 gone += 1
             else:
                 kept.append(line)
-            if len(x) >= least:
-                seen.append(x)
+            seen.append(x)
         want[doc] = (text if doc is None or text is None else "\n".join(kept), gone)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
     assert {r.doc_id: (r.text, r.n_dropped) for r in lines.dedup(df, edits, least).collect()} == want
 
 
+def test_line_dedup_of_lines_that_share_nearly_all(spark):
+    """Hundreds of lines with the same beginning and end, so that they meet by single characters."""
+    rng = random.Random(4)
+    frame = lambda x: f"the common beginning of a line, number {x} of a great many, and its end"
+    numbers = ["".join(rng.choice("0123456789") for _ in range(rng.choice([3, 4]))) for _ in range(400)]
+    rows = [(i, frame(x) + ("" if i % 7 else " ")) for i, x in enumerate(numbers)]
+    want = {i for i, x in enumerate(numbers) if any(distance(x, y) <= 1 for y in numbers[:i])}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__dropped", F.lit(1))
+    made = lines.dedup(df).collect()
+    assert {r.doc_id for r in made if r.n_dropped} == want and 0 < len(want) < len(rows)
+    assert all(r["__dropped"] == 1 for r in made)
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows with one id are one document: what is dropped from one is dropped from both."""
+    long = "a line that is long enough to be compared"
+    rows = [(1, long), (2, f"new words that stand here alone\n{long}"), (2, f"new words that stand here alone\n{long}"), (3, "}\n}"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in lines.dedup(df).collect()) == [(1, long, 0), (2, "new words that stand here alone", 1), (2, "new words that stand here alone", 1), (3, "}", 1), (4, "", 0)]
+    assert lines.dedup(df.where("false")).count() == 0
+
+
 def grouped(rows, n, percent):
     sets = {i: set(jaccard.shingles(t, n).tolist()) for i, t in rows}
     root = {i: i for i in sets}

@@ -2,18 +2,25 @@
 
 A line (compared without blanks around it) is dropped where an earlier line, in
 the order of document id and place, is equal to it or within ``edits`` edits of
-characters, whether that one was dropped or not. Lines of fewer than
-``min_chars`` characters (2 * edits * (edits + 1) + 1 at least) stay.
-
-Equal lines are found by their hashes. For the others, a line is cut into
+characters, whether that one was dropped or not. Edits are forgiven where they
+are a small share of the line: between lines of ``min_chars`` characters or more
+(2 * edits * (edits + 1) + 1 at least). Shorter lines are compared for equality,
+blank ones stay.
+
+Equal lines are found by their hashes: a line is the first of its hash, or goes.
+The lookup of first places is by place, so a line that is everywhere is dealt to
+all tasks. For the others, the first lines, a line is cut into
 edits + 1 segments of even length: after ``edits`` edits at least one segment
 is left whole, within a few characters of its place. So the hashes of a line's
 segments, by its length and their number, meet those of the substrings, at the
 places still possible, of lines that are up to ``edits`` characters longer.
 Lines that share such a key are compared: first each with the earliest line of
 the key, then those not dropped by it with the earlier lines of the key that
-share a key of the rest of the line as well, so that a key of very many lines
-doesn't give all their pairs. The comparison is a bit-parallel edit distance over a band of 2 * edits + 1
+share a key of the rest of the line as well. Where many lines do, and one edit
+is allowed, the segments are single characters: lines within one edit are equal
+without one character at the same place, or one is equal to the other without
+some character. A line then meets only the earliest line of each such key, so
+that no group of lines gives all its pairs, and none is passed over. The comparison is a bit-parallel edit distance over a band of 2 * edits + 1
 diagonals, which stops counting beyond ``edits``.
 """
 
@@ -25,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import bit_filter, stored
 
 EDITS = 1
+#: Shortest line in which an edit is forgiven: one in twenty characters.
 MIN_CHARS = 20
+#: Lines with the same two segments from which on they meet by single characters.
+MANY = 8
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -100,42 +110,77 @@ def _without_segment(line: Column, n: Column, which: Column, edits: int) -> Colu
     return F.get(F.array(*[F.concat(F.substr(line, F.lit(1), begin - 1), F.substr(line, begin + size)) for _, _, begin, size in _segments(n, edits)]), which)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line_no (from 0), ``line`` as compared, and its characters ``n``."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), ``line`` as compared (not blank), and its characters ``n``."""
     each = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     line = F.trim("raw")
-    return each.select("doc_id", "line_no", line.alias("line"), F.char_length(line).alias("n")).where(F.col("n") >= min_chars)
+    return each.select("doc_id", "line_no", line.alias("line"), F.char_length(line).alias("n")).where(F.col("n") > 0)
+
+
+PLACE = ["doc_id", "line_no"]
+HASHES = ["h", "g"]
+
+
+def _met_by_characters(lines: DataFrame) -> DataFrame:
+    """Pairs of each line and the earliest earlier ones within one edit of it, by its text without one character. ``lines``: doc_id, line_no and line, each text once."""
+    place = F.struct(*PLACE)
+    less = F.transform(F.sequence(F.lit(1), F.char_length("line")), lambda p: F.struct(p.alias("p"), F.xxhash64(F.lit(3), F.concat(F.substr("line", F.lit(1), p - 1), F.substr("line", p + 1))).alias("h")))
+    cut = lines.select(*PLACE, "line", F.explode(F.array(less)).alias("less"))
+    kinds = F.concat(
+        F.array(F.struct(F.lit("whole").alias("kind"), F.xxhash64(F.lit(3), "line").alias("key"))),
+        F.transform("less", lambda x: F.struct(F.lit("less").alias("kind"), x["h"].alias("key"))),
+        F.transform("less", lambda x: F.struct(F.lit("other").alias("kind"), F.xxhash64(x["p"], x["h"]).alias("key"))),
+    )
+    keys = stored(cut.select(*PLACE, F.inline(kinds)).distinct())
+    heads = keys.groupBy("kind", "key").agg(F.min(place).alias("head"))
+    # A whole line meets lines that have one character more, and the other way round; lines of one length meet with the same character left out.
+    meets = F.when(F.col("kind") == "whole", "less").when(F.col("kind") == "less", "whole").otherwise("other")
+    return keys.join(heads.withColumn("kind", meets), ["kind", "key"]).where(F.col("head") < place).select(*PLACE, F.col("head.doc_id").alias("head_doc"), F.col("head.line_no").alias("head_no")).distinct()
 
 
 def repeated_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id`` and ``line_no`` of every line to drop."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs, max(min_chars, 2 * edits * (edits + 1) + 1))
-    place = F.struct("doc_id", "line_no")
-
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(5), "line").alias("g"))
-    first = hashed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    equal = stored(hashed.join(first, ["h", "g"]).where(place > F.col("first")).select("doc_id", "line_no").distinct())
-
-    postings = stored(lines.select("doc_id", "line_no", F.posexplode(segment_keys(F.col("line"), F.col("n"), edits)).alias("which", "key")))
+    every = _lines(docs)
+    lines = every.where(F.col("n") >= max(min_chars, 2 * edits * (edits + 1) + 1))
+    place = F.struct(*PLACE)
+    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(5), "line").alias("g")]
+
+    hashed = every.select(*PLACE, *hashes)
+    repeated = stored(hashed.groupBy(*HASHES).agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select(*HASHES, "first.*"))
+    may_repeat = bit_filter(repeated.select(*HASHES))(*map(F.col, HASHES))
+    # Lines that the filter lets through though they are alone are first, too.
+    firsts = stored(hashed.where(may_repeat).groupBy(*HASHES).agg(F.min(place).alias("first")).select(*HASHES, "first.*"))
+    equal = stored(hashed.where(may_repeat).join(firsts, [*HASHES, *PLACE], "left_anti").select(*PLACE).distinct())
+
+    keyed = lines.select(*PLACE, *hashes, segment_keys(F.col("line"), F.col("n"), edits).alias("keys"))
+    kept = keyed.where(~may_repeat).select(*PLACE, "keys").union(keyed.where(may_repeat).join(firsts, [*HASHES, *PLACE], "left_semi").select(*PLACE, "keys"))
+    postings = stored(kept.select(*PLACE, F.posexplode("keys").alias("which", "key")))
     heads = stored(postings.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("key", "head"))
     shared = bit_filter(heads.select("key"))
-    met = postings.where(shared(F.col("key"))).join(heads, "key").join(equal, ["doc_id", "line_no"], "left_anti")
-    met = stored(met.select("key", "which", "doc_id", "line_no", F.col("head.doc_id").alias("head_doc"), F.col("head.line_no").alias("head_no")))
-    tried = stored(met.where(F.struct("head_doc", "head_no") < place).select("doc_id", "line_no", "head_doc", "head_no").distinct())
+    met = postings.where(shared(F.col("key"))).join(heads, "key")
+    met = stored(met.select("key", "which", *PLACE, F.col("head.doc_id").alias("head_doc"), F.col("head.line_no").alias("head_no")))
+    tried = stored(met.where(F.struct("head_doc", "head_no") < place).select(*PLACE, "head_doc", "head_no").distinct())
     near = stored(_near(lines, tried, edits))
 
     # Lines not dropped yet, and the others of their keys. Without the segment that made them meet, near lines
     # are still near, and so share a key of what is left of them, too.
-    late = met.where(F.struct("head_doc", "head_no") < place).join(near.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti").select("key", "doc_id", "line_no")
+    late = met.where(F.struct("head_doc", "head_no") < place).join(near.select(*PLACE).distinct(), PLACE, "left_anti").select("key", *PLACE)
     late = stored(late.distinct())
-    open_rows = stored(met.join(late.select("key").distinct(), "key", "left_semi").select("key", "which", "doc_id", "line_no"))
-    rest = open_rows.join(_texts(lines, open_rows), ["doc_id", "line_no"]).withColumn("left", _without_segment(F.col("line"), F.char_length("line"), F.col("which"), edits))
-    finer = stored(rest.select("key", "doc_id", "line_no", F.explode(F.array_distinct(segment_keys(F.col("left"), F.char_length("left"), edits))).alias("second")))
-    other = finer.select("key", "second", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_no"))
-    pairs = finer.join(late, ["key", "doc_id", "line_no"], "left_semi").join(other, ["key", "second"]).where(F.struct("head_doc", "head_no") < place)
-    new = stored(pairs.select(tried.columns).distinct().join(tried, tried.columns, "left_anti"))
-    return equal.union(near.select("doc_id", "line_no")).union(_near(lines, new, edits).select("doc_id", "line_no")).distinct()
+    open_rows = stored(met.join(late.select("key").distinct(), "key", "left_semi").select("key", "which", *PLACE))
+    texts = stored(_texts(lines, open_rows))
+    rest = open_rows.join(texts, PLACE).withColumn("left", _without_segment(F.col("line"), F.char_length("line"), F.col("which"), edits))
+    finer = stored(rest.select("key", *PLACE, F.explode(F.array_distinct(segment_keys(F.col("left"), F.char_length("left"), edits))).alias("second")))
+    sizes = stored(finer.groupBy("key", "second").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.count("*").alias("size")).where("head <> last"))
+    few = sizes.where(F.col("size") <= MANY) if edits == 1 else sizes
+    small = stored(finer.join(few.select("key", "second"), ["key", "second"], "left_semi"))
+    other = small.select("key", "second", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_no"))
+    pairs = small.join(late, ["key", *PLACE], "left_semi").join(other, ["key", "second"]).where(F.struct("head_doc", "head_no") < place).select(tried.columns)
+    if edits == 1:
+        crowded = finer.join(sizes.where(F.col("size") > MANY).select("key", "second"), ["key", "second"], "left_semi").select(*PLACE).distinct()
+        pairs = pairs.union(_met_by_characters(stored(texts.join(crowded, PLACE, "left_semi"))).select(tried.columns))
+    new = stored(pairs.distinct().join(tried, tried.columns, "left_anti"))
+    return equal.union(near.select(*PLACE)).union(_near(lines, new, edits).select(*PLACE)).distinct()
 
 
 def _texts(lines: DataFrame, places: DataFrame) -> DataFrame:
@@ -159,17 +204,20 @@ def dedup(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Data
     a null id stay as they are and drop nothing elsewhere. Rows with one id count
     as one document: equal rows are changed alike, none for another.
     """
-    dropped = stored(repeated_lines(df, edits, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("__dropped")))
+    own = "__dropped"
+    while own in df.columns:
+        own += "_"
+    dropped = stored(repeated_lines(df, edits, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias(own)))
     has = bit_filter(dropped.select("doc_id"))
     rows = df.drop("n_lines", "n_dropped")
     changed = F.coalesce(has(F.col("doc_id").cast("long")), F.lit(False))
     # Only documents that may lose a line are shuffled to their places; as a merge at any size, since both sides grow alike.
-    rows = rows.where(changed).join(dropped.hint("merge"), "doc_id", "left").unionByName(rows.where(~changed).withColumn("__dropped", F.lit(None).cast("array<int>")))
-    lines, gone = F.split("text", "\n"), F.coalesce("__dropped", F.array().cast("array<int>"))
+    rows = rows.where(changed).join(dropped.hint("merge"), "doc_id", "left").unionByName(rows.where(~changed).withColumn(own, F.lit(None).cast("array<int>")))
+    lines, gone = F.split("text", "\n"), F.coalesce(own, F.array().cast("array<int>"))
     begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda i: i + 1))
     ends = F.concat(gone, F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(lines, b + 1, e - b)))
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in df.columns if c not in ("n_lines", "n_dropped")]
     return rows.select(*columns, n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))

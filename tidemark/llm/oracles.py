@@ -7,8 +7,8 @@ from .counts import TOKENIZERS
 
 OP2 = """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-o AS (SELECT doc_id, no, trim(raw, ' ') AS line, length(trim(raw, ' ')) AS n, row_number() OVER (ORDER BY doc_id, no) AS k FROM l WHERE length(trim(raw, ' ')) >= 20),
-f AS (SELECT line, n, min(k) AS k FROM o GROUP BY ALL),
+o AS (SELECT doc_id, no, trim(raw, ' ') AS line, length(trim(raw, ' ')) AS n, row_number() OVER (ORDER BY doc_id, no) AS k FROM l WHERE length(trim(raw, ' ')) > 0),
+e AS (SELECT line, n, min(k) AS k FROM o GROUP BY ALL), f AS (SELECT * FROM e WHERE n >= 20),
 h AS (
   SELECT a.line AS a, b.line AS b, a.n AS la, b.n AS lb, greatest(a.k, b.k) AS late FROM f a JOIN f b ON a.n = b.n AND a.k < b.k AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
   UNION ALL SELECT a.line, b.line, a.n, b.n, greatest(a.k, b.k) FROM f a JOIN f b ON a.n = b.n AND a.k < b.k AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
@@ -16,7 +16,7 @@ h AS (
   UNION ALL SELECT a.line, b.line, a.n, b.n, greatest(a.k, b.k) FROM f a JOIN f b ON a.n = b.n + 1 AND right(a.line, b.n - b.n // 2) = right(b.line, b.n - b.n // 2)),
 m AS (SELECT *, coalesce(list_position(list_transform(range(1, lb + 1), lambda i: a[i] = b[i]), false), lb + 1) AS c FROM h),
 near AS (SELECT DISTINCT late FROM m WHERE (la = lb AND substr(a, c::BIGINT + 1) = substr(b, c::BIGINT + 1)) OR (la = lb + 1 AND substr(a, c::BIGINT + 1) = substr(b, c::BIGINT))),
-x AS (SELECT o.doc_id, o.no FROM o JOIN f USING (line) WHERE o.k > f.k OR f.k IN (SELECT late FROM near)),
+x AS (SELECT o.doc_id, o.no FROM o JOIN e USING (line) WHERE o.k > e.k OR e.k IN (SELECT late FROM near)),
 t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text
   FROM (SELECT l.*, x.no IS NOT NULL AS gone FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.no = x.no) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_dropped, 0) AS n_dropped, length(t.text)::BIGINT AS n_chars, sha256(t.text) AS text_sha256 FROM documents d LEFT JOIN t USING (doc_id)"""
