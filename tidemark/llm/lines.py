@@ -15,12 +15,14 @@ is left whole, within a few characters of its place. So the hashes of a line's
 segments, by its length and their number, meet those of the substrings, at the
 places still possible, of lines that are up to ``edits`` characters longer.
 Lines that share such a key are compared: first each with the earliest line of
-the key, then those not dropped by it with the earlier lines of the key that
-share a key of the rest of the line as well. Where many lines do, and one edit
-is allowed, the segments are single characters: lines within one edit are equal
-without one character at the same place, or one is equal to the other without
-some character. A line then meets only the earliest line of each such key, so
-that no group of lines gives all its pairs, and none is passed over. The comparison is a bit-parallel edit distance over a band of 2 * edits + 1
+the key, then those not dropped by it with the earlier lines that are equal but
+for one of more and shorter segments. With one edit allowed, eight segments; where
+many lines still meet, the segment in which they differ is cut into eight again,
+and at last into characters: lines within one edit are equal without one character
+at the same place, or one is equal to the other without some character. A line then
+meets only the earliest line of each such key, so that no group of lines gives
+all its pairs, and none is passed over. With more edits, lines that aren't dropped
+meet the earlier ones that share a key of the rest of the line as well. The comparison is a bit-parallel edit distance over a band of 2 * edits + 1
 diagonals, which stops counting beyond ``edits``.
 """
 
@@ -34,7 +36,7 @@ from .common import bit_filter, stored
 EDITS = 1
 #: Shortest line in which an edit is forgiven: one in twenty characters.
 MIN_CHARS = 20
-#: Lines with the same two segments from which on they meet by single characters.
+#: Lines that are equal but for one segment, from which on it is cut into so many again.
 MANY = 8
 
 
@@ -121,21 +123,46 @@ PLACE = ["doc_id", "line_no"]
 HASHES = ["h", "g"]
 
 
-def _met_by_characters(lines: DataFrame) -> DataFrame:
-    """Pairs of each line and the earliest earlier ones within one edit of it, by its text without one character. ``lines``: doc_id, line_no and line, each text once."""
-    place = F.struct(*PLACE)
-    less = F.transform(F.sequence(F.lit(1), F.char_length("line")), lambda p: F.struct(p.alias("p"), F.xxhash64(F.lit(3), F.concat(F.substr("line", F.lit(1), p - 1), F.substr("line", p + 1))).alias("h")))
-    cut = lines.select(*PLACE, "line", F.explode(F.array(less)).alias("less"))
-    kinds = F.concat(
-        F.array(F.struct(F.lit("whole").alias("kind"), F.xxhash64(F.lit(3), "line").alias("key"))),
-        F.transform("less", lambda x: F.struct(F.lit("less").alias("kind"), x["h"].alias("key"))),
-        F.transform("less", lambda x: F.struct(F.lit("other").alias("kind"), F.xxhash64(x["p"], x["h"]).alias("key"))),
-    )
-    keys = stored(cut.select(*PLACE, F.inline(kinds)).distinct())
+def _but_for_one(lines: DataFrame) -> DataFrame:
+    """Pairs of each line and earlier ones that are candidates to be within one edit. ``lines``: doc_id, line_no and line, each text once.
+
+    ``size`` is the shorter line's length, so that a line takes part with its own
+    and one less; what lies before ``lo`` and from ``hi`` on (in the shorter line) is equal.
+    """
+    place, names = F.struct(*PLACE), [*PLACE, "head_doc", "head_no"]
+    n = F.char_length("line")
+    rows = lines.select(*PLACE, F.explode(F.array(n, n - 1)).alias("size")).where("size > 0").select(*PLACE, "size", F.lit(0).alias("lo"), F.col("size").alias("hi"))
+    found = None
+    while True:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(MANY - 1)), lambda i: F.struct((F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * i / MANY)).cast("int").alias("lo"), (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * (i + 1) / MANY)).cast("int").alias("hi")))
+        cut = rows.select(*PLACE, "size", F.inline(F.filter(parts, lambda x: x["lo"] < x["hi"]))).join(lines, PLACE)
+        key = F.xxhash64("size", "lo", "hi", F.substr("line", F.lit(1), F.col("lo")), F.substr("line", n - (F.col("size") - F.col("hi")) + 1))
+        keyed = stored(cut.select(*PLACE, "size", "lo", "hi", key.alias("key")))
+        groups = stored(keyed.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.count("*").alias("n")).where("head <> last").select("key", "n"))
+        small = keyed.join(groups.where(F.col("n") <= MANY).select("key"), "key", "left_semi").select("key", *PLACE)
+        pairs = small.join(small.select("key", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_no")), "key").where(F.struct("head_doc", "head_no") < place).select(names)
+        crowded = stored(keyed.join(groups.where(F.col("n") > MANY).select("key"), "key", "left_semi").select(*PLACE, "size", "lo", "hi").distinct())
+        fine = crowded.where(F.col("hi") - F.col("lo") <= 2)
+        made = stored(pairs.union(_met_by_characters(fine, lines)).distinct())
+        found = made if found is None else found.union(made)
+        rows = crowded.where(F.col("hi") - F.col("lo") > 2)
+        if not rows.limit(1).count():
+            return found.distinct()
+
+
+def _met_by_characters(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each line and the earliest earlier ones within one edit of it between ``lo`` and ``hi``, by its text without one character."""
+    place, n = F.struct(*PLACE), F.char_length("line")
+    longer = n > F.col("size")
+    places = F.sequence(F.col("lo") + 1, F.col("hi") + F.when(longer, 1).otherwise(0))
+    less = lambda p: F.xxhash64(F.lit(3), F.concat(F.substr("line", F.lit(1), p - 1), F.substr("line", p + 1)))
+    kind = lambda name, key: F.struct(F.lit(name).alias("kind"), key.alias("key"))
+    own = F.concat(F.array(kind("whole", F.xxhash64(F.lit(3), "line"))), F.transform(places, lambda p: kind("other", F.xxhash64(p, less(p)))))
+    keys = rows.join(lines, PLACE).select(*PLACE, F.inline(F.when(longer, F.transform(places, lambda p: kind("less", less(p)))).otherwise(own))).distinct()
     heads = keys.groupBy("kind", "key").agg(F.min(place).alias("head"))
     # A whole line meets lines that have one character more, and the other way round; lines of one length meet with the same character left out.
     meets = F.when(F.col("kind") == "whole", "less").when(F.col("kind") == "less", "whole").otherwise("other")
-    return keys.join(heads.withColumn("kind", meets), ["kind", "key"]).where(F.col("head") < place).select(*PLACE, F.col("head.doc_id").alias("head_doc"), F.col("head.line_no").alias("head_no")).distinct()
+    return keys.join(heads.withColumn("kind", meets), ["kind", "key"]).where(F.col("head") < place).select(*PLACE, F.col("head.doc_id").alias("head_doc"), F.col("head.line_no").alias("head_no"))
 
 
 def repeated_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -144,17 +171,17 @@ def repeated_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     every = _lines(docs)
     lines = every.where(F.col("n") >= max(min_chars, 2 * edits * (edits + 1) + 1))
     place = F.struct(*PLACE)
-    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(5), "line").alias("g")]
 
-    hashed = every.select(*PLACE, *hashes)
-    repeated = stored(hashed.groupBy(*HASHES).agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select(*HASHES, "first.*"))
-    may_repeat = bit_filter(repeated.select(*HASHES))(*map(F.col, HASHES))
+    hashed = stored(every.select(*PLACE, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(5), "line").alias("g")))
+    groups = stored(hashed.groupBy(*HASHES).agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    may_repeat = bit_filter(groups.where("times > 1").select(*HASHES))(*map(F.col, HASHES))
     # Lines that the filter lets through though they are alone are first, too.
-    firsts = stored(hashed.where(may_repeat).groupBy(*HASHES).agg(F.min(place).alias("first")).select(*HASHES, "first.*"))
+    firsts = groups.where(may_repeat).select(*HASHES, "first.*")
     equal = stored(hashed.where(may_repeat).join(firsts, [*HASHES, *PLACE], "left_anti").select(*PLACE).distinct())
 
-    keyed = lines.select(*PLACE, *hashes, segment_keys(F.col("line"), F.col("n"), edits).alias("keys"))
-    kept = keyed.where(~may_repeat).select(*PLACE, "keys").union(keyed.where(may_repeat).join(firsts, [*HASHES, *PLACE], "left_semi").select(*PLACE, "keys"))
+    keyed = lines.select(*PLACE, segment_keys(F.col("line"), F.col("n"), edits).alias("keys"))
+    may_go = bit_filter(equal)(*map(F.col, PLACE))
+    kept = keyed.where(~may_go).union(keyed.where(may_go).join(equal, PLACE, "left_anti"))
     postings = stored(kept.select(*PLACE, F.posexplode("keys").alias("which", "key")))
     heads = stored(postings.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("key", "head"))
     shared = bit_filter(heads.select("key"))
@@ -169,17 +196,14 @@ def repeated_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     late = stored(late.distinct())
     open_rows = stored(met.join(late.select("key").distinct(), "key", "left_semi").select("key", "which", *PLACE))
     texts = stored(_texts(lines, open_rows))
-    rest = open_rows.join(texts, PLACE).withColumn("left", _without_segment(F.col("line"), F.char_length("line"), F.col("which"), edits))
-    finer = stored(rest.select("key", *PLACE, F.explode(F.array_distinct(segment_keys(F.col("left"), F.char_length("left"), edits))).alias("second")))
-    sizes = stored(finer.groupBy("key", "second").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.count("*").alias("size")).where("head <> last"))
-    few = sizes.where(F.col("size") <= MANY) if edits == 1 else sizes
-    small = stored(finer.join(few.select("key", "second"), ["key", "second"], "left_semi"))
-    other = small.select("key", "second", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_no"))
-    pairs = small.join(late, ["key", *PLACE], "left_semi").join(other, ["key", "second"]).where(F.struct("head_doc", "head_no") < place).select(tried.columns)
     if edits == 1:
-        crowded = finer.join(sizes.where(F.col("size") > MANY).select("key", "second"), ["key", "second"], "left_semi").select(*PLACE).distinct()
-        pairs = pairs.union(_met_by_characters(stored(texts.join(crowded, PLACE, "left_semi"))).select(tried.columns))
-    new = stored(pairs.distinct().join(tried, tried.columns, "left_anti"))
+        pairs = _but_for_one(texts)
+    else:
+        rest = open_rows.join(texts, PLACE).withColumn("left", _without_segment(F.col("line"), F.char_length("line"), F.col("which"), edits))
+        finer = stored(rest.select("key", *PLACE, F.explode(F.array_distinct(segment_keys(F.col("left"), F.char_length("left"), edits))).alias("second")))
+        other = finer.select("key", "second", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_no"))
+        pairs = finer.join(late, ["key", *PLACE], "left_semi").join(other, ["key", "second"]).where(F.struct("head_doc", "head_no") < place).select(tried.columns).distinct()
+    new = stored(pairs.join(late.select(*PLACE).distinct(), PLACE, "left_semi").join(tried, tried.columns, "left_anti"))
     return equal.union(near.select(*PLACE)).union(_near(lines, new, edits).select(*PLACE)).distinct()
 
 
@@ -218,6 +242,6 @@ def dedup(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Data
     ends = F.concat(gone, F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(lines, b + 1, e - b)))
     text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)
     columns = [text.alias("text") if c == "text" else F.col(c) for c in df.columns if c not in ("n_lines", "n_dropped")]
     return rows.select(*columns, n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
