@@ -6,6 +6,8 @@ from collections import Counter
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+import numpy as np
+from tidemark.llm.membership import mixed
 from tidemark.llm import bpe, decontaminate, jaccard, langid, lines
 from tidemark.llm.components import components
 from tokenizers import Tokenizer
@@ -209,6 +211,55 @@ def test_jaccard_empty_table(spark):
     assert jaccard.group(documents(spark, ["x"]).where("false")).count() == 0
 
 
+def test_shingles_of_patterned_words():
+    """Words that sums of powers can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+        assert jaccard.shingles(a, 1).tolist() != jaccard.shingles(b, 1).tolist()
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """All rows of an id are in one component, with what each of them links to."""
+    w, v, u = ("one two three four five", "six seven eight nine ten", "red green blue white black")
+    rows = [(5, w), (9, w), (9, v), (7, v), (7, None), (3, None), (8, u), (8, u), (None, u)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.group(df, 4, 85).collect()) == [(0, 0), (3, 3), (5, 5), (7, 5), (7, 5), (8, 8), (8, 8), (9, 5), (9, 5)]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_similar_sets_share_a_key(percent, share):
+    """At any choice of frequent tokens."""
+    rng = np.random.default_rng(percent)
+    for n in [1, 2, 3, 5, 7, 8, 13, 20, 41, 100, 333, 1000]:
+        for _ in range(30):
+            every = np.unique(rng.integers(1, 1 << 63, 3 * n).astype(np.uint64))
+            x = np.sort(rng.permutation(every)[:n])
+            size = int(rng.integers(-(-percent * n // 100), n * 100 // percent + 1))
+            overlap = -(-percent * (n + size) // (100 + percent))
+            if overlap > min(n, size):
+                continue
+            y = np.sort(np.concatenate([rng.permutation(x)[:overlap], rng.permutation(np.setdiff1d(every, x))[: size - overlap]]))
+            often = lambda t: mixed(t) % np.uint64(1000) < np.uint64(int(1000 * share))
+            if not np.array_equal(x, y):
+                assert np.intersect1d(jaccard.keys_of(x, often(x), percent), jaccard.keys_of(y, often(y), percent)).size
+                assert np.intersect1d(jaccard.class_keys(x, percent), jaccard.class_keys(y, percent)).size
+
+
+def test_jaccard_of_crowded_keys(spark, monkeypatch):
+    """Keys of many sets are refined before their pairs are tried."""
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    parts = [" ".join(word() for _ in range(12)) for _ in range(12)]
+    rows = [(i, " ".join(rng.sample(parts, 5))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " " + word()) for i in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.group(df, 4, 85).collect()} == grouped(rows, 4, 85)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(10, 40)] + [(100, x) for x in range(101, 130)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

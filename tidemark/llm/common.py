@@ -16,15 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of a local session without a setting.
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    A folder of this machine is used only where the setting is unset, as in tests.
+    Where the setting is unset, a folder of this machine is used in local mode, as in tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        if not _local:
+            _local.append(f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+        base = _local[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -66,6 +73,19 @@ def bit_filter(keys: DataFrame) -> Callable[..., Column]:
     return has
 
 
+#: Copies of a row that meets a hot key's rows.
+SALTS = 64
+
+
+def hot_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of many rows with a table that has each key once. Rows of the keys in ``hot`` are dealt to SALTS tasks, and the table's rows of these keys copied to each."""
+    is_hot = bit_filter(hot)
+    flag = lambda: is_hot(*[F.col(f"`{c}`") for c in on])
+    salted = rows.withColumn("__salt", F.when(flag(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = other.withColumn("__salt", F.explode(F.when(flag(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [*on, "__salt"]).drop("__salt")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], size: int, chars: int = 4 << 20) -> Iterator[list[list]]:
     """Columns of Python values, cut to at most ``size`` rows (and about ``chars`` bytes) at a time."""
     for batch in batches:

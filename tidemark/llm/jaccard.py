@@ -1,30 +1,38 @@
 """N-gram Jaccard join by token-combination prefixes, and the groups it links.
 
-A document's tokens are its distinct n-word shingles, as 64-bit hashes. Tokens
-are ordered rare first, frequent ones last, by hash within each class. Two sets
-that are similar enough share a token in their prefixes (all but the least
-possible overlap, plus one).
-
-* A set whose prefix holds rare tokens only is indexed by these single tokens.
-* A set whose prefix reaches the frequent tokens is indexed by its rare tokens
-  and, with the prefix extended over all its frequent tokens, by combinations:
-  the frequent tokens are dealt into classes by hash, one class more than the
-  largest symmetric difference at these sizes, and each class's tokens together
-  are one key. If two such sets share no rare token, at least one class is the
-  same in both. Classes are counted for two neighbouring size ranges, so that
-  sets on either side of a border meet; empty classes are keys too where a set
-  has so few full classes that the count would not suffice.
+A document's tokens are its distinct n-word shingles, as 64-bit hashes of their
+words' hashes. Tokens are ordered rare first, frequent ones last. A set's prefix
+is as short as can be so that another set similar enough can't miss all of its
+keys, if at most ``missing`` tokens of the set are not in the other (missing =
+size less the least possible overlap):
+
+* a rare token is a key by itself, and one missing token takes it away;
+* frequent tokens are dealt into classes by hash, and each two tokens of a class
+  that are both in the prefix are a key. Of a class's m prefix tokens, m - 1 have
+  to be missing before no two are left, so a class counts m - 1.
+
+The prefix is extended until these counts exceed ``missing``. Then of the two
+prefixes the one that ends first (in the common order) has a key whose tokens
+are all in the other set, and so in its prefix. Rare tokens come first, then
+classes one after the other. Classes are
+counted for two neighbouring size ranges, half as many as the smallest set has
+tokens, so that sets on either side of a border meet, and so that a whole set
+always suffices for its prefix.
 
 Which tokens count as frequent only decides the cost: any choice finds every
-link. The filter that tells them is of bounded size.
+link. The filter that tells them has a bounded size; where the corpus has more
+tokens than it can tell apart, more count as frequent, and keys become pairs of
+tokens, which are no less selective.
 
 Keys shared by sets give candidates. Histograms of their hashes bound what two
 sets can have in common, and rule most false ones out; the similarity of the
-others is computed exactly. A key may be shared by very many sets, so not every
+others is computed on the tokens. A key may be shared by very many sets, so not every
 pair of its sets is tried: first each against the smallest id, then in a few
 rounds against a random one, and at last the pairs whose two sets still lie in
 different components, which alone can change the result, less those whose
-parities differ in too many places.
+parities differ in too many places. A key of many such sets is refined first:
+all tokens of each set are dealt into classes, one more than two similar sets
+can differ in tokens, so that one class at least is the same in both.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_join, stored
 from .components import components
 from .membership import Bits, filter_of, mixed
 
@@ -48,54 +56,34 @@ FREQUENT = 12
 PARITY_WORDS = 16
 #: Rounds that try each key's sets against one of them.
 ROUNDS = 4
-#: Tokens that a task counts at a time.
-COUNTED = 3_000_000
+#: Sets of one key up to which all of their pairs may be tried.
+FEW = 32
+#: Rows of one set from which on they are dealt to several tasks.
+COPIES = 1000
+#: Tokens that a task counts at a time, at least and at most.
+COUNTED, COUNTED_AT_MOST = 3_000_000, 16_000_000
+#: Words remembered by a Python worker before it starts afresh.
+CACHE_WORDS = 400_000
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
-#: Bytes of a text hashed at a time (cut at white space).
-PIECE = 2 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A random value for each byte, the same for a letter A-Z and its lower case.
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64)
-_VALUE[65:91] = _VALUE[97:123]
-_BASE = 0xD1342543DE82EF95
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+class _WordIds(dict):
+    """64-bit hashes by word."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
 
-
-def _word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of each word: the sum of its bytes' values times powers of the base, from prefix sums over the text."""
-    space = _SPACE[raw]
-    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _powers_to(max(len(raw), 1 << 16))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+_ids = _WordIds()
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's n-word shingles: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; of fewer words, the whole sequence as one; none without words."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    pieces, at = [], 0
-    while at < len(raw):
-        end = at + PIECE
-        while end < len(raw) and not _SPACE[raw[end]]:
-            end += 1
-        pieces.append(_word_hashes(raw[at:end]))
-        at = end
-    ids = mixed(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
+    words = (text or "").encode().lower().split()  # bytes: of ASCII letters and blanks only
+    if len(_ids) > CACHE_WORDS:
+        _ids.clear()
+    ids = np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
     if not len(ids):
         return ids
     width = min(n, len(ids))
@@ -134,41 +122,66 @@ def size_range(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log(percent / 100) + 1e-9)
 
 
-def classes_of(r: int, percent: int) -> tuple[int, int]:
-    """For the size ranges r and r + 1: classes of frequent tokens, and the largest symmetric difference."""
-    top = math.ceil((percent / 100) ** -(r + 2)) + 1
-    apart = most_apart(top, top, percent)
-    return apart + 1 + apart // 4, apart
+def _salt(r: int) -> np.uint64:
+    return np.uint64((r + 3) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
+
+
+def combinations(tokens: np.ndarray, frequent: np.ndarray, r: int, percent: int) -> np.ndarray:
+    """Keys of the frequent tokens in the prefix, when classes are counted for the size ranges r and r + 1."""
+    missing = len(tokens) - -(-percent * len(tokens) // 100)
+    common = tokens[frequent]
+    rare = len(tokens) - len(common)
+    least = int((percent / 100) ** -r + 1e-9)
+    count = max(1, min(least // 2, -(-percent * least // 100) - 1))
+    dealt = mixed(common ^ _salt(r))
+    of = dealt % np.uint64(count)
+    order = np.lexsort((dealt, of))
+    of, dealt = of[order], dealt[order]
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    # A class's first token adds nothing to the count, each further one adds one.
+    enough = np.searchsorted(np.cumsum(~first), missing + 1 - rare) + 1
+    of, dealt, first = of[:enough], dealt[:enough], first[:enough]
+    keys, apart, starts = [], 1, np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    while True:
+        later = np.flatnonzero(np.arange(len(of)) - starts >= apart)
+        if not len(later):
+            break
+        keys.append(mixed(dealt[later - apart] + mixed(dealt[later] ^ _salt(r + 1))))
+        apart += 1
+    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
 def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set. frequent: which of its (sorted) tokens are."""
+    """Index keys of a set. frequent: which of its (sorted) tokens are. None of a single token, to which only an equal set is similar."""
     n = len(tokens)
     prefix = n - -(-percent * n // 100) + 1
+    if n == 1:
+        return np.empty(0, np.uint64)
     rare = tokens[~frequent]
     if len(rare) >= prefix:
         return rare[:prefix]
-    common, keys = tokens[frequent], [rare]
     own = size_range(n, percent)
+    return np.unique(np.concatenate([rare, *(combinations(tokens, frequent, r, percent) for r in (own - 1, own))]))
+
+
+def class_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of all classes of a set, one class more than two similar sets differ in tokens; classes are counted for two neighbouring size ranges."""
+    own, keys = size_range(len(tokens), percent), []
     for r in (own - 1, own):
-        count, apart = classes_of(r, percent)
-        salt = np.uint64((r + 3) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
-        dealt = mixed(common ^ salt)
-        of = (dealt % np.uint64(count)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        full, first = np.unique(of[order], return_index=True)
-        sums = np.add.reduceat(mixed(dealt[order] + np.uint64(1)), first) if len(full) else np.empty(0, np.uint64)
-        keys.append(mixed(sums ^ mixed(full.astype(np.uint64) + salt)))
-        if len(full) <= apart:
-            empty = np.setdiff1d(np.arange(count), full)
-            keys.append(mixed(mixed(empty.astype(np.uint64) + salt) + np.uint64(7)))
+        top = math.ceil((percent / 100) ** -(r + 2)) + 1
+        count, salt = most_apart(top, top, percent) + 1, _salt(r)
+        dealt = mixed(tokens ^ salt)
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, (dealt % np.uint64(count)).astype(np.int64), mixed(dealt + np.uint64(1)))
+        keys.append(mixed(sums ^ mixed(np.arange(count, dtype=np.uint64) + salt)))
     return np.unique(np.concatenate(keys))
 
 
 def _frequent_filter(docs: DataFrame, n: int) -> tuple[int, bytes, int]:
     """The tokens of FREQUENT documents or more, counted over all. Tasks deal their tokens out by range, as 32 bits each, so that counting takes one compact shuffle; the few that share these bits count together."""
     bytes_read = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log2 = max(4, (bytes_read // (8 << 20)).bit_length())
+    log2 = max(4, (bytes_read // (32 << 20)).bit_length())
+    at_once = min(max(COUNTED, 64 << log2), COUNTED_AT_MOST)
     shift = np.uint64(64 - log2)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +200,7 @@ def _frequent_filter(docs: DataFrame, n: int) -> tuple[int, bytes, int]:
             for t in b.column(0):
                 held.append(shingles(t.as_py(), n))
                 size += len(held[-1])
-                if size >= COUNTED:
+                if size >= at_once:
                     yield dealt()
                     size = 0
         if size:
@@ -275,7 +288,7 @@ def _shared_keys(profiles: DataFrame) -> DataFrame:
     return profiles.select("keys").mapInArrow(deal, "part int, keys binary").groupBy("part").applyInArrow(meet, "key long")
 
 
-def _plausible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that their histograms don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,23 +296,31 @@ def _plausible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame
             keep = [may_be_similar(np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(y.as_buffer(), np.uint16).astype(np.int64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    own = profiles.select("doc_id", "places")
-    both = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("places").alias("y")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("places").alias("x")), "a")
+    own = sets.select("set_id", "places")
+    both = pairs.join(own.select(F.col("set_id").alias("b"), F.col("places").alias("y")), "b").join(own.select(F.col("set_id").alias("a"), F.col("places").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(filter_of(ids, "doc_id"))
+def _tokens(docs: DataFrame, ids: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """set_id and ``tokens`` of the sets in ``ids``, from the texts of their documents."""
+    wanted = stored(sets.select("set_id", "doc_id", "print").join(ids.distinct(), "set_id", "left_semi"))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, "doc_id"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Bits(*shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Bits(*shared.value)
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
-            for start in range(0, batch.num_rows, 1000):
-                piece = batch.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in piece.column(1)], pa.binary())], names=["doc_id", "tokens"])
+            batch = batch.filter(pa.array(known.has(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            for start in range(0, batch.num_rows, 100):
+                piece = batch.slice(start, 100)
+                made = [shingles(t.as_py(), n).tobytes() for t in piece.column(1)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], names=["doc_id", "print", "tokens"])
+
+    made = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, print binary, tokens binary")
+    return stored(made.join(wanted, ["doc_id", "print"]).select("set_id", "tokens").dropDuplicates(["set_id"]))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,19 +331,35 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
                 keep.append(100 * same >= percent * (len(p) + len(q) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    tokens = docs.where("doc_id is not null").mapInArrow(sets, "doc_id long, tokens binary").join(ids, "doc_id", "left_semi")
-    tokens = stored(tokens)
-    both = pairs.join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    tokens = _tokens(docs, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")), sets, n)
+    both = pairs.join(tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b").join(tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def _remaining(rows: DataFrame, profiles: DataFrame, near: Column, percent: int) -> DataFrame:
-    """Pairs of sets that share a key, lie in different components, and whose parities allow them to be similar."""
-    rows = stored(rows.join(profiles.select("doc_id", *[F.col("odd")[i].alias(f"x{i}") for i in range(PARITY_WORDS)]), "doc_id"))
-    other = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(PARITY_WORDS)])
+def _remaining(docs: DataFrame, rows: DataFrame, sets: DataFrame, near: Column, n: int, percent: int) -> DataFrame:
+    """Pairs of sets that share a key, lie in different components, and whose parities allow them to be similar. Keys of many sets are refined by classes."""
+    many = stored(rows.groupBy("key").count().where(F.col("count") > FEW).select("key"))
+    few = rows.join(many, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    crowded = stored(rows.join(many, "key", "left_semi"))
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [class_keys(np.frombuffer(x.as_buffer(), np.uint64), percent) for x in batch.column(1)]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["set_id", "parts"])
+
+    parts = stored(_tokens(docs, crowded.select("set_id"), sets, n).mapInArrow(classes, "set_id long, parts array<long>").select("set_id", F.explode("parts").alias("part")))
+    # Only classes that sets of two components share.
+    placed = parts.join(crowded.groupBy("set_id").agg(F.min("component").alias("component")), "set_id")
+    met = stored(placed.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("part"))
+    finer = crowded.join(parts.join(met, "part", "left_semi"), "set_id").select(*rows.columns, "part")
+    rows = few.select(*rows.columns, "part").union(finer)
+    rows = stored(rows.join(sets.select("set_id", *[F.col("odd")[i].alias(f"x{i}") for i in range(PARITY_WORDS)]), "set_id"))
+    other = rows.select("key", "part", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(PARITY_WORDS)])
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     allowed = apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
-    return rows.join(other, "key").where(near & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & allowed).select(F.col("doc_id").alias("a"), "b").distinct()
+    return rows.join(other, ["key", "part"]).where(near & (F.col("set_id") < F.col("b")) & (F.col("component") != F.col("other")) & allowed).select(F.col("set_id").alias("a"), "b").distinct()
 
 
 def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,16 +367,21 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     Two documents link when 100 * intersection >= percent * union of their sets
     of n-word shingles; component_id is the smallest id that links reach, the
-    document's own included. Without words a document links with nothing. A row
-    with a null id has a null component; rows with the same id count as linked.
+    document's own included. Without words a document links with nothing (but
+    its id may be that of a row with words). A row with a null id has a null
+    component; rows with the same id count as linked. ``percent`` is above 50.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profiles = stored(_profiles(docs, n, percent, _frequent_filter(docs, n)))
     real = profiles.where("doc_id is not null and n_shingles > 0")
-    sets = stored(real.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("set_id")))
-    own_places = stored(real.select("doc_id", "places", "odd").join(sets.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    size = F.col("n_shingles").cast("int").alias("n")
-    shared_keys = stored(_shared_keys(real))
+    of = ["print", "n_shingles"]
+    # Equal sets are one node, told by its place in this table, which is written once.
+    nodes = stored(real.groupBy(*of).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("set_id", F.monotonically_increasing_id()))
+    one = real.join(nodes.drop("copies"), ["doc_id", *of]).dropDuplicates(["set_id"])
+    sets = stored(one.select("set_id", "doc_id", "print", F.col("n_shingles").cast("int").alias("n"), "places", "odd", "keys"))
+    shared_keys = stored(_shared_keys(sets))
     bits = df.sparkSession.sparkContext.broadcast(filter_of(shared_keys, "key"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,41 +391,47 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
             rows = np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy(zero_copy_only=False))
             flat = keys.flatten().to_numpy(zero_copy_only=False)
             keep = known.has(flat.view(np.uint64)) if len(flat) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[keep])), batch.column(1).take(pa.array(rows[keep])), pa.array(flat[keep])], names=["doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[keep])), batch.column(1).take(pa.array(rows[keep])), pa.array(flat[keep])], names=["set_id", "n", "key"])
 
-    index = real.select("doc_id", size, "keys").mapInArrow(postings, "doc_id long, n int, key long")
-    index = stored(index.join(sets.select(F.col("set_id").alias("doc_id"), F.col("n_shingles").cast("int").alias("n")), ["doc_id", "n"], "left_semi").distinct())
+    index = stored(sets.select("set_id", "n", "keys").mapInArrow(postings, "set_id long, n int, key long"))
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
     def stars(rows: DataFrame, turn: int) -> DataFrame:
         """Each key's sets against one of them: that with the smallest id, or in later rounds a random one (but not those of its component)."""
-        pick = F.min(F.struct("doc_id", "n", "component")) if turn == 0 else F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("doc_id", F.lit(turn)))
-        centres = rows.groupBy("key").agg(pick.alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other"))
+        pick = F.min(F.struct("set_id", "n", "component")) if turn == 0 else F.min_by(F.struct("set_id", "n", "component"), F.xxhash64("set_id", F.lit(turn)))
+        centres = rows.groupBy("key").agg(pick.alias("c")).select("key", F.col("c.set_id").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other"))
         pairs = rows.join(centres, "key").where(near & (F.col("component") != F.col("other")))
-        return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-
-    rest, tried, links = index.withColumn("component", F.col("doc_id")), None, None
+        return pairs.select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
+
+    # Sets of one document id are linked, whatever they hold.
+    ids = real.select("doc_id", *of).distinct()
+    twice = stored(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    own = ids.join(twice, "doc_id", "left_semi").join(nodes.select("set_id", *of), of)
+    first = own.groupBy("doc_id").agg(F.min("set_id").alias("a"))
+    links = stored(own.join(first, "doc_id").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct())
+    rest, tried = index.withColumn("component", F.col("set_id")), None
     for turn in range(ROUNDS + 1):
-        pairs = stars(rest, turn) if turn < ROUNDS else _remaining(rest, own_places, near, percent)
+        pairs = stars(rest, turn) if turn < ROUNDS else _remaining(docs, rest, sets, near, n, percent)
         new = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = new if tried is None else tried.union(new)
-        plausible = stored(_plausible(new, own_places, percent))
+        plausible = stored(_plausible(new, sets, percent))
         if plausible.limit(1).count():
-            found = _verified(docs, plausible, n, percent)
-            links = stored(found if links is None else links.union(found))
-        elif links is None:
-            links = plausible
+            links = stored(links.union(_verified(docs, plausible, sets, n, percent)))
         if turn == ROUNDS:
             break
         labels = components(links)
-        placed = rest.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = rest.drop("component").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         # A key is done with once all its sets are in one component, or there were only two.
         left = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
         rest = stored(placed.join(left, "key", "left_semi"))
         if not rest.limit(1).count():
             break
     labels = components(links)
-    of_set = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("print", "n_shingles", F.coalesce("component", "set_id").alias("component_id"))
-    placed = real.select("doc_id", "n_shingles", "print").join(of_set, ["print", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = profiles.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.union(alone)
+    placed = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = stored(placed.join(smallest, "component").select(*of, "component_id", "copies"))
+    rows = hot_join(real.select("doc_id", *of), of_set.drop("copies"), of, of_set.where(F.col("copies") >= COPIES).select(*of)).select("doc_id", "n_shingles", "component_id")
+    alone = profiles.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles")
+    # A row without words belongs with the other rows of its id, if any.
+    of_id = stored(rows.join(alone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
+    return rows.union(alone.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id")))

@@ -179,10 +179,10 @@ def repeated_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     firsts = groups.where(may_repeat).select(*HASHES, "first.*")
     equal = stored(hashed.where(may_repeat).join(firsts, [*HASHES, *PLACE], "left_anti").select(*PLACE).distinct())
 
-    keyed = lines.select(*PLACE, segment_keys(F.col("line"), F.col("n"), edits).alias("keys"))
+    # Equal lines give no keys of their own, but for a few that both filters let through, which changes nothing.
     may_go = bit_filter(equal)(*map(F.col, PLACE))
-    kept = keyed.where(~may_go).union(keyed.where(may_go).join(equal, PLACE, "left_anti"))
-    postings = stored(kept.select(*PLACE, F.posexplode("keys").alias("which", "key")))
+    stays = bit_filter(hashed.select(*PLACE).where(may_go).join(equal, PLACE, "left_anti"))(*map(F.col, PLACE))
+    postings = stored(lines.where(~may_go | stays).select(*PLACE, F.posexplode(segment_keys(F.col("line"), F.col("n"), edits)).alias("which", "key")))
     heads = stored(postings.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("key", "head"))
     shared = bit_filter(heads.select("key"))
     met = postings.where(shared(F.col("key"))).join(heads, "key")
