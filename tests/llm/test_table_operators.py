@@ -134,6 +134,60 @@ def test_chat_orders_a_long_chain_that_was_logged_backwards(spark):
     assert [r.call_id for r in got.orderBy("place").collect()] == [f"c{i}" for i in range(n)]
 
 
+def order_of(spark, logged):
+    """call_id: (place, status) of conversations given as {(conv, turn): {call: after}}."""
+    rows = [(c, t, "assistant", calls(*({"id": k, "name": "f", "arguments": {}, "after": a} for k, a in made.items()))) for (c, t), made in logged.items()]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.schema_rows(spark, [("f", None, None, False)])).collect()
+    return {(r.conv_id, r.call_id): (r.place, r.status) for r in got}
+
+
+def test_chat_ends_on_cycles_beside_a_far_later_turn(spark):
+    far = 1 << 30
+    got = order_of(spark, {(1, 1): {"a": ["b"], "b": ["a"]}, (1, far): {"z": []}, (1, 2): {"c": ["a"], "d": ["z"], "s": ["s"]}, (2, 1): {"x": ["y", "y"], "y": []}})
+    assert {k[1] for k, v in got.items() if v[1] == "cyclic"} == {"a", "b", "c", "s"}
+    assert got[1, "d"][0] == got[1, "z"][0] + 1 and got[2, "x"][0] == got[2, "y"][0] + 1
+    assert got[1, "a"][0] == chat.PER_MESSAGE and got[1, "c"][0] == 2 * chat.PER_MESSAGE
+
+
+def test_chat_orders_chains_and_meshes_as_repeated_raising_does(spark):
+    rng = random.Random(2)
+    chain = {(1, 300 - i): {f"c{i}": [f"c{i - 1}"] if i else []} for i in range(200)}
+    mesh = {(2, rng.randrange(50)): {} for _ in range(20)}
+    names = [f"m{i}" for i in range(30)]
+    for i, name in enumerate(names):
+        mesh[rng.choice(list(mesh))][name] = rng.sample(names[:i], min(i, rng.randrange(3)))
+    got = order_of(spark, chain | mesh)
+    for logged in (chain, mesh):
+        place = {(c, k): t * chat.PER_MESSAGE + at for (c, t), made in logged.items() for at, k in enumerate(made)}
+        edges = [((c, k), (c, b)) for (c, _), made in logged.items() for k, after in made.items() for b in after]
+        moved = True
+        while moved:
+            moved = False
+            for k, b in edges:
+                if place[k] <= place[b]:
+                    place[k], moved = place[b] + 1, True
+        assert {k: got[k][0] for k in place} == place
+
+
+def test_counts_replace_a_batch_by_an_empty_one_and_fold(spark):
+    rows = spark.createDataFrame([("a", "en", "t1", 5), ("b", "en", "t1", 3)], "source string, lang string, tokenizer string, tokens long")
+    rollup = counts.Rollup(spark, shared_dir(spark))
+    rollup.commit("1", counts.inserts(rows.where("source = 'a'")))
+    rollup.commit("2", counts.inserts(rows.where("source = 'b'")))
+    rollup.commit("1", counts.inserts(rows.where("false")))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("b", "en", "t1", 1, 3)]
+    folded = rollup.fold(shared_dir(spark))
+    assert folded.totals().collect() == rollup.totals().collect() and folded.batches().select("batch").distinct().count() == 1
+
+
+def test_warc_reads_records_by_identifier(spark):
+    rows = spark.createDataFrame([(i, "u", f"{i}" * 2000) for i in range(50)] + [(100, "u", "7" * 2000), (100, "u", "7" * 2000)], "page_id long, url string, html string")
+    folder = shared_dir(spark)
+    warc.write(warc.with_decisions(rows), folder)
+    got = warc.read(spark, folder, spark.createDataFrame([(3,), (7,), (100,), (999,)], "page_id long")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(3, "response", None), (7, "revisit", 100), (100, "response", None), (100, "response", None)]
+
+
 def test_counts_keep_totals_by_batches(spark):
     rows = spark.createDataFrame([("a", "en", "t1", 5), ("a", "en", "t1", 7), (None, None, "t1", 0), ("b", "en", "t1", 3)], "source string, lang string, tokenizer string, tokens long")
     rollup = counts.Rollup(spark, shared_dir(spark))

@@ -266,7 +266,9 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 130)}
 
 
-def test_decontamination_equals_all_windows(spark):
+@pytest.mark.parametrize("broadcast", [1024, 0])
+def test_decontamination_equals_all_windows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", broadcast)
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 14, 30])))) for i in range(12)] + [(50, None), (51, "!!"), (None, "w1 w2 w3 w4 w5 w6")]
@@ -312,8 +314,10 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert got == want and {d for d, *_ in want} == {0, 1, 2, 3, 4}
 
 
-def test_decontamination_reads_the_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
-    items = spark.createDataFrame([(i, f"item number {i} has just these words here") for i in range(5)], "item_id long, text string")
-    texts = [f"before item number {i} has just these words here after" for i in range(5)]
-    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(documents(spark, texts), items).where("similarity = 1").collect()} == {(i, i) for i in range(5)}
+def test_decontamination_counts_repeated_rows_once(spark, monkeypatch):
+    for most in (10, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+        items = spark.createDataFrame([(i, f"item number {i} has just these words here") for i in range(5)] * 2, "item_id long, text string")
+        texts = [f"before item number {i} has just these words here after" for i in range(5)]
+        found = decontaminate.matches(documents(spark, texts).union(documents(spark, texts)), items).where("similarity = 1").collect()
+        assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(5)]

@@ -3,10 +3,12 @@
 A message of role ``assistant`` may hold tool calls, as JSON
 ``{"tool_calls": [{"id", "name", "arguments", "after": [ids]}]}``; one of role
 ``tool`` holds a result, ``{"tool_call_id", "content"}``. Calls and results of a
-conversation are linked by a hash join on the identifier. Calls are ordered so
-that each comes after those it names: its place starts as that of its message
-and is raised above the places of the calls before it until nothing changes,
-which for a log in order takes no round at all. Places come from joins, never
+conversation are linked by a hash join on the identifier. Calls are ordered
+topologically, so that each comes after those it names: its place is that of its message
+or, if greater, the next after those of the calls before it. A log in order takes
+no round at all; else each round settles the calls that wait for settled ones
+only, and halves chains of calls that wait for one other each. There are never more
+rounds than calls. Places come from joins, never
 from a conversation gathered in one task. Arguments are validated against the
 tool's schema (a table of parameters), and each linked call is written as
 canonical JSON: keys in order, no spaces.
@@ -64,20 +66,29 @@ def ordered(calls: DataFrame) -> DataFrame:
     moved = "conv_id long, call_id string, place long, cyclic boolean"
     if not late.limit(1).count():
         return calls.sparkSession.createDataFrame([], moved)
-    edges = stored(known.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "before"))
+    # A node's place is ``a`` at least, and once it waits for no other call (``waits`` is 0) exactly that. An edge says
+    # that a call comes ``w`` places or more after another.
+    edges = stored(known.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "before", F.lit(1).cast("long").alias("w")).distinct())
     start = stored(places.join(late, "conv_id", "left_semi"))
-    # Without a cycle no place rises beyond the greatest by more than the number of calls.
-    limit = start.groupBy("conv_id").agg((F.max("place") + F.count("*")).alias("limit"))
-    now = start
+    own = ["conv_id", "call_id"]
+    nodes = stored(start.withColumnRenamed("place", "a").join(edges.groupBy(*own).agg(F.count("*").alias("waits")), own, "left").fillna(0, ["waits"]))
     while True:
-        above = edges.join(now.select("conv_id", F.col("call_id").alias("before"), F.col("place").alias("p")), ["conv_id", "before"]).groupBy("conv_id", "call_id").agg((F.max("p") + 1).alias("least"))
-        new = F.least(F.greatest("place", F.coalesce("least", "place")), F.col("limit") + 1)
-        raised = stored(now.join(above, ["conv_id", "call_id"], "left").join(limit, "conv_id").select("conv_id", "call_id", new.alias("place"), (new > F.col("place")).alias("up"), "limit"))
-        now = raised.select("conv_id", "call_id", "place")
-        if not raised.where("up").limit(1).count():
+        # An edge from a settled call is done with. One from a call that waits for a single other is led on to that one, so that chains shrink to half.
+        single = edges.groupBy(*own).agg(F.min("before").alias("next"), F.max("w").alias("further"), F.count("*").alias("n")).where("n = 1")
+        ahead = nodes.select("conv_id", F.col("call_id").alias("before"), F.col("a").alias("before_a"), F.col("waits").alias("before_waits"))
+        ahead = ahead.join(single.select("conv_id", F.col("call_id").alias("before"), "next", "further"), ["conv_id", "before"], "left")
+        met = stored(edges.join(ahead, ["conv_id", "before"]))
+        led = F.col("next").isNotNull()
+        settled = F.col("before_waits") == 0
+        least = met.where(settled | led).groupBy(*own).agg(F.max(F.col("before_a") + F.col("w")).alias("least"))
+        kept = met.where(~settled).select(*own, F.coalesce("next", "before").alias("before"), (F.col("w") + F.coalesce("further", F.lit(0))).alias("w"))
+        edges = stored(kept.groupBy(*own, "before").agg(F.max("w").alias("w")))
+        waits = edges.groupBy(*own).agg(F.count("*").alias("waits"))
+        nodes = stored(nodes.drop("waits").join(least, own, "left").join(waits, own, "left").select(*own, F.greatest("a", F.coalesce("least", "a")).alias("a"), F.coalesce("waits", F.lit(0)).alias("waits")))
+        # While anything waits for settled calls alone, some edge goes; where none does, all that is left is on a cycle or after one.
+        if not met.where(settled).limit(1).count():
             break
-    ended = raised.select("conv_id", "call_id", F.col("place").alias("end"), (F.col("place") > F.col("limit")).alias("cyclic"))
-    return start.join(ended, ["conv_id", "call_id"]).select("conv_id", "call_id", F.when(F.col("cyclic"), F.col("place")).otherwise(F.col("end")).alias("place"), "cyclic")
+    return start.join(nodes, own).select(*own, F.when(F.col("waits") > 0, F.col("place")).otherwise(F.col("a")).alias("place"), (F.col("waits") > 0).alias("cyclic"))
 
 
 def _checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -77,13 +77,13 @@ def bit_filter(keys: DataFrame) -> Callable[..., Column]:
 SALTS = 64
 
 
-def hot_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """Inner join of many rows with a table that has each key once. Rows of the keys in ``hot`` are dealt to SALTS tasks, and the table's rows of these keys copied to each."""
+def hot_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) of many rows with a table that has each key once. Rows of the keys in ``hot`` are dealt to SALTS tasks by the hash of the columns ``by``, and the table's rows of these keys copied to each."""
     is_hot = bit_filter(hot)
     flag = lambda: is_hot(*[F.col(f"`{c}`") for c in on])
-    salted = rows.withColumn("__salt", F.when(flag(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")).otherwise(0))
+    salted = rows.withColumn("__salt", F.when(flag(), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0))
     copies = other.withColumn("__salt", F.explode(F.when(flag(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(copies, [*on, "__salt"]).drop("__salt")
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], size: int, chars: int = 4 << 20) -> Iterator[list[list]]:

@@ -7,7 +7,7 @@ is summed up, map side first, before it is committed: the rollup of a batch is
 a few rows, whatever the batch. A batch is committed under its own id as one
 partition; to commit it again replaces that partition by the same rows, so a
 repeated or retried commit changes nothing. The totals are the sums over all
-batches, and can be folded into one batch.
+batches; ``fold`` writes them as the single batch of a new rollup.
 
 Null sources and languages are groups of their own, a null text has no tokens.
 Groups whose sums are all zero are left out of the totals.
@@ -50,7 +50,9 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame) -> None:
         """Put the batch's sums in its own partition, in place of what is there."""
-        sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        # A row of zeros keeps the partition there, so that a batch without changes replaces what was committed under its id.
+        none = self.spark.createDataFrame([(None, None, None, 0, 0)], _SCHEMA.removesuffix(", batch string"))
+        sums = changes.select(*KEYS, "docs", "tokens").union(none).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.folder)
 
     def batches(self) -> DataFrame:
@@ -62,3 +64,9 @@ class Rollup:
     def totals(self) -> DataFrame:
         sums = self.batches().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
+
+    def fold(self, folder: str, batch: str = "folded") -> Rollup:
+        """The same totals as one batch of a new rollup; this one stays as it is."""
+        folded = Rollup(self.spark, folder)
+        folded.commit(batch, self.totals())
+        return folded

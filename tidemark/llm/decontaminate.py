@@ -6,14 +6,19 @@ item has fewer). For every item of L words, each window of L words is a
 candidate place; a text of fewer words is one window as a whole. Windows without any shingle of any item have similarity zero
 and are passed over; each other window gets a SimHash fingerprint of 128 bits,
 summed over its weighted shingles (weight: times in the window). Fingerprints
-are looked up in eight blocks of 16 bits, each with all values at up to five
+are looked up in eight blocks of 16 bits, each with all values at up to four
 differing bits listed: a fingerprint within RADIUS bits of an item's must agree
 that closely in some block, so none is missed. Items found are verified by the
 exact weighted Jaccard similarity, sum of least over sum of greatest weights.
 
-The benchmark is read in blocks of bounded size, each broadcast by itself; a
-benchmark of several blocks takes several passes over the documents.
+A benchmark of at most BLOCK_ITEMS items and BLOCK_CHARS characters is broadcast.
+A larger one stays a table: shingles of documents (those that a filter of bounded
+size doesn't rule out) meet those of items in a join, an item similar enough has to share
+at least ``similarity`` of its shingles with a text, and each such pair's windows are then compared
+in the same way. The documents are read twice, whatever the number of items.
 
+Rows that repeat a document id or an item id count as one each, with the best
+window of all. Very long texts are compared whole, window by window in pieces.
 Texts null or without words, and items without words, match nothing. Of a
 document's windows for one item the most similar counts, the first if they tie.
 """
@@ -29,16 +34,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .membership import mixed
+from .common import stored
+from .membership import Bits, filter_of, mixed
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS, BLOCK_BITS, NEAR = 128, 16, 5
-#: Eight blocks that each differ in six bits or more make 48.
+BITS, BLOCK_BITS, NEAR = 128, 16, 4
+#: Eight blocks that each differ in five bits or more make 40. Two windows at the similarity of 0.8 differ in 19 bits on average, with a deviation of 4.
 RADIUS = (NEAR + 1) * (BITS // BLOCK_BITS) - 1
-#: Items and characters in one broadcast block.
+#: Items and characters up to which a benchmark is broadcast.
 BLOCK_ITEMS, BLOCK_CHARS = 1024, 4 << 20
+_SCHEMA = "doc_id long, item_id long, similarity double, at_word long"
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
@@ -174,18 +182,50 @@ class Items:
                                 found[i] = (s, start)
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in id order, in blocks of bounded size; a block never depends on how many there are."""
-    block: list[tuple[int, str]] = []
-    chars = 0
-    for r in items.orderBy("item_id").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        chars += len(r["text"])
-        if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
+def _known_shingles(items: DataFrame) -> DataFrame:
+    """item_id, ``h`` (a shingle's hash, which tells the width, too), its ``weight``, the item's ``total`` of weights and its ``width``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, weights, totals, widths = [], [], [], [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = text_words(text)
+                if words:
+                    width = min(SHINGLE, len(words))
+                    found = Counter(shingle_hashes(_word_ids(words), width).view(np.int64).tolist())
+                    ids += [item_id] * len(found)
+                    hashes += found.keys()
+                    weights += found.values()
+                    totals += [found.total()] * len(found)
+                    widths += [width] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hashes, weights, totals, widths)], names=["item_id", "h", "weight", "total", "width"])
+
+    return items.mapInArrow(run, "item_id long, h long, weight long, total long, width long")
+
+
+def _word_ids(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
+
+def _met(docs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """doc_id and item_id of texts that hold enough of an item's shingles, wherever they stand."""
+    widths = [r["width"] for r in known.select("width").distinct().collect()]  # SHINGLE at most
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(known, "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bits(*shared.value)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = _word_ids(text_words(text.as_py()))
+                for width in widths:
+                    if len(ids) >= width:
+                        h = np.unique(shingle_hashes(ids, width))
+                        h = h[bits.has(h)]
+                        if len(h):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc_id.as_py())), pa.array(h.view(np.int64))], names=["doc_id", "h"])
+
+    hits = docs.mapInArrow(run, "doc_id long, h long").distinct().join(known, "h")
+    return hits.groupBy("doc_id", "item_id", "total").agg(F.sum("weight").alias("held")).where(F.col("held") >= similarity * F.col("total") - 1e-9).select("doc_id", "item_id")
 
 
 def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -194,22 +234,55 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     ``docs`` has doc_id and text, ``items`` item_id and text; further columns are
     not read. Rows with a null id are passed over on both sides.
     """
-    schema = "doc_id long, item_id long, similarity double, at_word long"
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long"), "text").where("doc_id is not null and text is not null")
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items.select(items["item_id"].cast("long"), "text").where("item_id is not null and text is not null")):
-        out = out.union(docs.mapInArrow(_matcher(spark.sparkContext.broadcast(block), similarity), schema))
-    return out
+    items = items.select(items["item_id"].cast("long"), "text").where("item_id is not null and text is not null")
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    if size["n"] <= BLOCK_ITEMS and (size["chars"] or 0) <= BLOCK_CHARS:
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
+        found = docs.mapInArrow(_matcher(shared, similarity), _SCHEMA)
+    else:
+        met = stored(_met(docs, stored(_known_shingles(items).distinct()), similarity))
+        bits = spark.sparkContext.broadcast(filter_of(met, "doc_id"))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = Bits(*bits.value)
+            for batch in batches:
+                yield batch.filter(pa.array(wanted.has(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+        pairs = docs.mapInArrow(near, docs.schema).join(met, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+        found = pairs.select("doc_id", "text", "item_id", "item").sortWithinPartitions("item_id", "item").mapInArrow(_pair_matcher(similarity), _SCHEMA)
+    best = F.max_by(F.struct("similarity", "at_word"), F.struct("similarity", -F.col("at_word"))).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "at_word"])
 
 
 def _matcher(shared, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(shared.value)
         for batch in batches:
-            rows = [(d.as_py(), *m) for d, t in zip(batch.column(0), batch.column(1), strict=True) for m in index.matches(t.as_py(), similarity)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "at_word"])
+            yield _batch([(d.as_py(), *m) for d, t in zip(batch.column(0), batch.column(1), strict=True) for m in index.matches(t.as_py(), similarity)])
+
+    return run
+
+
+def _pair_matcher(similarity: float):
+    """Rows of doc_id, text, item_id and item, sorted by item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, index = None, None
+        for batch in batches:
+            rows = []
+            for doc_id, text, item_id, item in zip(*(batch.column(i) for i in range(4)), strict=True):
+                own = item_id.as_py(), item.as_py()
+                if own != last:
+                    last, index = own, Items([own])
+                rows += [(doc_id.as_py(), *m) for m in index.matches(text.as_py(), similarity)]
+            yield _batch(rows)
 
     return run

@@ -30,9 +30,10 @@ others is computed on the tokens. A key may be shared by very many sets, so not
 pair of its sets is tried: first each against the smallest id, then in a few
 rounds against a random one, and at last the pairs whose two sets still lie in
 different components, which alone can change the result, less those whose
-parities differ in too many places. A key of many such sets is refined first:
-all tokens of each set are dealt into classes, one more than two similar sets
-can differ in tokens, so that one class at least is the same in both.
+parities differ in too many places. Sets of keys that many such sets share meet
+by larger combinations instead: all tokens of each set are dealt into classes,
+one more than two similar sets can differ in tokens, so that one class at least
+is the same in both.
 """
 
 from __future__ import annotations
@@ -337,9 +338,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n: int, percen
 
 
 def _remaining(docs: DataFrame, rows: DataFrame, sets: DataFrame, near: Column, n: int, percent: int) -> DataFrame:
-    """Pairs of sets that share a key, lie in different components, and whose parities allow them to be similar. Keys of many sets are refined by classes."""
+    """Pairs of sets that share a key, lie in different components, and whose parities allow them to be similar. Sets of keys with many meet by their classes instead."""
     many = stored(rows.groupBy("key").count().where(F.col("count") > FEW).select("key"))
-    few = rows.join(many, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    few = rows.join(many, "key", "left_anti")
     crowded = stored(rows.join(many, "key", "left_semi"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,13 +354,14 @@ def _remaining(docs: DataFrame, rows: DataFrame, sets: DataFrame, near: Column,
     # Only classes that sets of two components share.
     placed = parts.join(crowded.groupBy("set_id").agg(F.min("component").alias("component")), "set_id")
     met = stored(placed.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("part"))
-    finer = crowded.join(parts.join(met, "part", "left_semi"), "set_id").select(*rows.columns, "part")
-    rows = few.select(*rows.columns, "part").union(finer)
+    one = crowded.select("set_id", "n", "component").distinct()
+    finer = parts.join(met, "part", "left_semi").join(one, "set_id").withColumnRenamed("part", "key")
+    rows = few.select("set_id", "n", "key", "component").union(finer.select("set_id", "n", "key", "component"))
     rows = stored(rows.join(sets.select("set_id", *[F.col("odd")[i].alias(f"x{i}") for i in range(PARITY_WORDS)]), "set_id"))
-    other = rows.select("key", "part", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(PARITY_WORDS)])
+    other = rows.select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(PARITY_WORDS)])
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     allowed = apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
-    return rows.join(other, ["key", "part"]).where(near & (F.col("set_id") < F.col("b")) & (F.col("component") != F.col("other")) & allowed).select(F.col("set_id").alias("a"), "b").distinct()
+    return rows.join(other, "key").where(near & (F.col("set_id") < F.col("b")) & (F.col("component") != F.col("other")) & allowed).select(F.col("set_id").alias("a"), "b").distinct()
 
 
 def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,7 +432,7 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     placed = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_set = stored(placed.join(smallest, "component").select(*of, "component_id", "copies"))
-    rows = hot_join(real.select("doc_id", *of), of_set.drop("copies"), of, of_set.where(F.col("copies") >= COPIES).select(*of)).select("doc_id", "n_shingles", "component_id")
+    rows = hot_join(real.select("doc_id", *of), of_set.drop("copies"), of, of_set.where(F.col("copies") >= COPIES).select(*of), ["doc_id"]).select("doc_id", "n_shingles", "component_id")
     alone = profiles.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles")
     # A row without words belongs with the other rows of its id, if any.
     of_id = stored(rows.join(alone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))

@@ -1,8 +1,10 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Vectors are weighted terms: component i of a vector is the weight of term i,
-left out where it is zero. Rows are packed into blocks of bounded size. Each
-block of queries meets each block of candidates; there, term by term, every
+left out where it is zero. Rows are packed into blocks of bounded size, and blocks dealt to
+the lanes of a grid, as many as their number asks for: each block of queries
+goes to all lanes of candidates and the other way round, so that each pair of blocks
+meets once, and no task has more than a lane's. There, term by term, every
 query row that has the term scatters its weight times the term's postings into
 the query's dense array of scores. The best k of each array are selected by
 partition, and those of all blocks merged.
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of queries and of a block of candidates.
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
-#: Query blocks are copied to so many lanes, over which the candidate blocks are dealt.
-LANES = 16
+#: Blocks of queries, and of candidates, that meet in one lane of the grid.
+LANE_BLOCKS = 8
 LARGEST = float(1 << 63)
 
 
@@ -104,10 +106,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float =
         fine: Column = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < LARGEST))
         return df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v")).where(F.col("id").isNotNull() & vector.isNotNull() & fine).select("id", F.transform("v", lambda x: x * scale).alias("v"))
 
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
-    asked = _packed(usable(queries), QUERY_ROWS).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("starts").alias("q_starts"), F.col("weights").alias("q_weights"), lanes)
-    offered = _packed(usable(candidates), CANDIDATE_ROWS).withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(LANES)).cast("int"))
-    met = asked.join(offered, "lane").select("q_block", "q_ids", "q_starts", "q_weights", "ids", "starts", "weights")
+    q_lanes, c_lanes = (-(-df.count() // (rows * LANE_BLOCKS)) or 1 for df, rows in ((queries, QUERY_ROWS), (candidates, CANDIDATE_ROWS)))
+    c_lanes = max(c_lanes, min(16, 16 // q_lanes))  # some tasks even where there is little to do
+    lane = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _packed(usable(queries), QUERY_ROWS).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("starts").alias("q_starts"), F.col("weights").alias("q_weights"), lane(q_lanes).alias("q_lane"), every(c_lanes).alias("c_lane"))
+    offered = _packed(usable(candidates), CANDIDATE_ROWS).select("*", lane(c_lanes).alias("c_lane"), every(q_lanes).alias("q_lane"))
+    met = asked.join(offered, ["q_lane", "c_lane"]).select("q_block", "q_ids", "q_starts", "q_weights", "ids", "starts", "weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = lambda x, kind: np.frombuffer(x.as_buffer(), kind)

@@ -32,9 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bit_filter, hot_join, stored
+
 #: Records are gathered until a frame, and frames until a bundle, has so many bytes.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
 MIN_BYTES = 1000
+#: Pages of one payload from which on they are dealt to several tasks.
+COPIES = 1000
+#: Bytes of records that a task reads back, about.
+READ_BYTES = 32 << 20
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, FOOTER_BYTES = 0x184D2A5E, 0x8F92EAB1, 9
 RECORD_DATE = "2024-01-01T00:00:00Z"
@@ -46,8 +52,12 @@ def with_decisions(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     large = rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_bytes", "payload_digest")
-    shared = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "payload_bytes", "response")
-    rows = rows.join(shared, ["payload_digest", "payload_bytes"], "left")
+    key = ["payload_digest", "payload_bytes"]
+    shared = stored(large.groupBy(*key).agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1"))
+    # Only pages whose payload is repeated are shuffled, those of a very common one to many tasks.
+    repeated = bit_filter(shared.select(*key))(*map(F.col, key)) & (F.col("payload_bytes") >= min_bytes)
+    joined = hot_join(rows.where(repeated), shared.drop("n"), key, shared.where(F.col("n") >= COPIES).select(*key), ["page_id"], "left")
+    rows = joined.unionByName(rows.where(~repeated).withColumn("response", F.lit(None).cast("long")))
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
 
@@ -171,9 +181,12 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     return records.sparkSession.read.parquet(f"{folder}/index")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record that the index lists, read at its place: page_id, record_type, payload_bytes, payload_digest, refers_to and block. Digests of responses are computed from what is read, and held against the headers."""
+def read(spark: SparkSession, folder: str, page_ids: DataFrame | None = None) -> DataFrame:
+    """Every record that the index lists, or those of ``page_ids``, a table with page_id; read at its place, and no other frame: page_id, record_type, payload_bytes, payload_digest, refers_to and block. Digests of responses are computed from what is read, and held against the headers."""
     index = spark.read.parquet(f"{folder}/index")
+    if page_ids is not None:
+        index = index.join(page_ids.select(F.col("page_id").cast("long").alias("page_id")).distinct(), "page_id", "left_semi")
+    tasks = (index.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES + 1
     wanted = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("place", "bytes"))).alias("records"))
     bundles = f"{folder}/bundles"
 
@@ -184,6 +197,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for bundle, frame, records in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bundle != name:
+                    if file is not None:
+                        file.close()
                     name, file = bundle, fs.open_input_file(f"{base}/{bundle}")
                     places = _places(file)
                 offset, compressed, size = places[frame]
@@ -191,7 +206,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 rows = [_row(*parse(data[r["place"] : r["place"] + r["bytes"]])) for r in records]
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "block"])
+        if file is not None:
+            file.close()
 
+    # The index is small and would be merged into a few tasks; what counts is what they read.
+    wanted = wanted.repartition(max(tasks, spark.sparkContext.defaultParallelism), "bundle", F.floor(F.col("frame") / 16))
     return wanted.sortWithinPartitions("bundle", "frame").mapInArrow(run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, block binary")
 
 
