@@ -28,12 +28,12 @@ Keys shared by sets give candidates. Histograms of their hashes bound what two
 sets can have in common, and rule most false ones out; the similarity of the
 others is computed on the tokens. A key may be shared by very many sets, so not every
 pair of its sets is tried: first each against the smallest id, then in a few
-rounds against a random one, and at last the pairs whose two sets still lie in
-different components, which alone can change the result, less those whose
-parities differ in too many places. Sets of keys that many such sets share meet
-by larger combinations instead: all tokens of each set are dealt into classes,
-one more than two similar sets can differ in tokens, so that one class at least
-is the same in both.
+rounds against a random one. Sets in different components that still share a key
+with many others then meet by larger combinations instead: all tokens of each set
+are dealt into classes, one more than two similar sets can differ in tokens, so that
+one class at least is the same in both. After as many rounds, the pairs are tried whose two
+sets still lie in different components, which alone can change the result, less
+those whose parities differ in too many places.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ from .membership import Bits, filter_of, mixed
 FREQUENT = 12
 #: 64-bit words of the parities.
 PARITY_WORDS = 16
-#: Rounds that try each key's sets against one of them.
-ROUNDS = 4
+#: Rounds that try each key's sets against one of them, and again after keys of many sets are refined.
+ROUNDS = 3
 #: Sets of one key up to which all of their pairs may be tried.
 FEW = 32
 #: Rows of one set from which on they are dealt to several tasks.
@@ -337,8 +337,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n: int, percen
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def _remaining(docs: DataFrame, rows: DataFrame, sets: DataFrame, near: Column, n: int, percent: int) -> DataFrame:
-    """Pairs of sets that share a key, lie in different components, and whose parities allow them to be similar. Sets of keys with many meet by their classes instead."""
+def _refined(docs: DataFrame, rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """The index rows, with the keys of many sets replaced by the classes that such sets share."""
     many = stored(rows.groupBy("key").count().where(F.col("count") > FEW).select("key"))
     few = rows.join(many, "key", "left_anti")
     crowded = stored(rows.join(many, "key", "left_semi"))
@@ -356,7 +356,11 @@ def _remaining(docs: DataFrame, rows: DataFrame, sets: DataFrame, near: Column,
     met = stored(placed.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("part"))
     one = crowded.select("set_id", "n", "component").distinct()
     finer = parts.join(met, "part", "left_semi").join(one, "set_id").withColumnRenamed("part", "key")
-    rows = few.select("set_id", "n", "key", "component").union(finer.select("set_id", "n", "key", "component"))
+    return few.select(*rows.columns).union(finer.select(*rows.columns))
+
+
+def _remaining(rows: DataFrame, sets: DataFrame, near: Column, percent: int) -> DataFrame:
+    """Pairs of sets that share a key, lie in different components, and whose parities allow them to be similar."""
     rows = stored(rows.join(sets.select("set_id", *[F.col("odd")[i].alias(f"x{i}") for i in range(PARITY_WORDS)]), "set_id"))
     other = rows.select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(PARITY_WORDS)])
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
@@ -412,14 +416,16 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     first = own.groupBy("doc_id").agg(F.min("set_id").alias("a"))
     links = stored(own.join(first, "doc_id").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct())
     rest, tried = index.withColumn("component", F.col("set_id")), None
-    for turn in range(ROUNDS + 1):
-        pairs = stars(rest, turn) if turn < ROUNDS else _remaining(docs, rest, sets, near, n, percent)
+    for turn in range(2 * ROUNDS + 1):
+        if turn == ROUNDS:
+            rest = stored(_refined(docs, rest, sets, n, percent))
+        pairs = stars(rest, turn % ROUNDS) if turn < 2 * ROUNDS else _remaining(rest, sets, near, percent)
         new = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = new if tried is None else tried.union(new)
         plausible = stored(_plausible(new, sets, percent))
         if plausible.limit(1).count():
             links = stored(links.union(_verified(docs, plausible, sets, n, percent)))
-        if turn == ROUNDS:
+        if turn == 2 * ROUNDS:
             break
         labels = components(links)
         placed = rest.drop("component").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
