@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontaminate, jaccard, langid, lines
 from tidemark.llm.common import stored, table
 
-#: From so many bytes on, a text that no language codes in fewer bits than its bytes have is no text.
-JUDGED_BYTES = 200
+#: A text is junk if its shortest code takes more bits than its own bytes and so many more have: names and new words cost a short text that much at most.
+MARGIN_BYTES = 16
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that have a language; learned from all labelled rows' bounded sample."""
     known = langid.predict(docs, langid.fit(docs))
-    junk = (F.col("lang_pred") == langid.UNDETERMINED) | (F.octet_length("text") >= JUDGED_BYTES) & (F.col("bits_per_byte") >= 8)
+    size = F.octet_length("text")
+    junk = (F.col("lang_pred") == langid.UNDETERMINED) | (F.col("bits_per_byte") * size >= 8 * (size + MARGIN_BYTES))
     return known.where(~junk).select(*docs.columns)
 
 
@@ -34,7 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti")
     repeated = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
+    # The row with the least hash stays: of columns as JSON, since some kinds of column have no order.
+    rest = F.struct(*[c for c in docs.columns if c != "doc_id"])
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(rest, F.xxhash64(F.to_json(rest))).alias("row"))
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once.select("doc_id", "row.*").select(*docs.columns))
 
 
