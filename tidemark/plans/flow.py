@@ -211,12 +211,6 @@ def liquidity_levels(spark, d):
     return rounded(T.equal_levels(hour(spark, d)), "symbol", "level", "first_ts", "second_ts")
 
 
-@query()
-def break_acceptance(spark, d):
-    rows = T.acceptance(T.with_breaks(T.with_trend(hour(spark, d)))).where("structure_event <> 'none'")
-    return rounded(rows, *KEY, "structure_event", "break_held", "break_accepted")
-
-
 @query()
 def spoof_bands(spark, d):
     """Books in order of time as one series for each month."""
