@@ -101,6 +101,6 @@ def spoofs(rows: DataFrame, snap_bps: float = 2.0) -> DataFrame:
     """Walls of the book before that are gone, where the price has snapped away by ``snap_bps`` since: from bid walls upwards moves tell nothing, so bids count on rises and asks on falls. Needs :func:`with_changes`."""
     rows = vanished_walls(rows, "bids_before", "bids").withColumnRenamed("vanished_walls", "bid_walls")
     rows = vanished_walls(rows, "asks_before", "asks").withColumnRenamed("vanished_walls", "ask_walls")
-    moved = (F.col("mid") - F.col("mid_before")) / F.col("mid_before") * 10_000
+    moved = F.try_divide(F.col("mid") - F.col("mid_before"), F.col("mid_before")) * 10_000
     kind = ladder(((F.size("bid_walls") > 0) & (moved >= snap_bps), "bid_spoof"), ((F.size("ask_walls") > 0) & (moved <= -snap_bps), "ask_spoof"), otherwise="none")
     return rows.withColumns({"moved_bps": moved, "spoof": kind})

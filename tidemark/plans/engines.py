@@ -1,4 +1,4 @@
-"""Queries on the candle engines; latches and recursions have no SQL."""
+"""Queries on the candle engines; averages are recursive SQL, latches have none."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from ..functions.scalars import series
 from ..operators import timing as T
 from ..operators import vwap as W
 from ..operators.scan import scan
+from . import oracle as Q
 from .market import KEY, hour, rounded
+from .momentum import _REC, _TR, recursion
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +24,48 @@ def query(f):
     return f
 
 
+def _ribbon_sql() -> str:
+    """All averages in one recursion from the first bar, and the smoothed width in another from the bar of the longest period on."""
+    periods, longest = N.RIBBON, max(N.RIBBON)
+    es = [f"e{p}" for p in periods]
+    step = ", ".join(f"p.e{p} + 2.0 / {p + 1} * (n.close - p.e{p})" for p in periods)
+    pairs = list(zip(es, es[1:], strict=False))
+    share = lambda op: "(" + " + ".join(f"({a} {op} {b})::INT" for a, b in pairs) + f") / {len(pairs)}.0"
+    half, wt, st, pb = len(es) // 2, *N.RIBBON_FIXED["1h"]
+    k = N.SLOPE_BARS["1h"] + 1
+    clip = lambda x: f"greatest(0, least(1, {x}))"
+    return (
+        _REC("hour")
+        + f""", b AS (SELECT *, row_number() OVER ({Q.W}) AS i FROM bars),
+e AS (SELECT symbol, i, {', '.join(f'close AS {x}' for x in es)} FROM b WHERE i = 1 UNION ALL SELECT n.symbol, n.i, {step} FROM e p JOIN b n ON n.symbol = p.symbol AND n.i = p.i + 1),
+w AS (SELECT e.*, b.ts, b.close, (greatest({', '.join(es)}) - least({', '.join(es)})) / (b.close + 1e-10) AS wd, list_sort([{', '.join(es)}]) AS o FROM e JOIN b USING (symbol, i) WHERE i >= {longest}),
+s AS (SELECT symbol, i, wd AS ws FROM w WHERE i = {longest} UNION ALL SELECT w.symbol, w.i, s.ws + 2.0 / 6 * (w.wd - s.ws) FROM s JOIN w ON w.symbol = s.symbol AND w.i = s.i + 1),
+x AS (SELECT w.*, s.ws, {share('>')} AS u, {share('<')} AS d, (o[{half}] + o[{half + 1}]) / 2 AS ce FROM w JOIN s USING (symbol, i)),
+y AS (SELECT *, coalesce((ws - lag(ws) OVER ({Q.W})) / (abs(lag(ws) OVER ({Q.W})) + 1e-10), 0) AS wr, greatest(u, d) AS sc, CASE WHEN u >= 0.6 AND u > d THEN 'BULL' WHEN d >= 0.6 AND d > u THEN 'BEAR' ELSE 'NEUTRAL' END AS di, coalesce((ce - lag(ce, {k}) OVER ({Q.W})) / (abs(lag(ce, {k}) OVER ({Q.W})) + 1e-10), 0) AS sl FROM x),
+z AS (SELECT *, CASE WHEN sc < 0.6 OR (ws < 0.7 * {wt} AND abs(sl) < 0.5 * {st}) OR di = 'NEUTRAL' THEN 'CHOP' WHEN sc >= 0.8 AND ws >= {wt} AND sl * CASE WHEN di = 'BULL' THEN 1 ELSE -1 END >= {st} AND wr >= -0.15 THEN 'HEALTHY' WHEN sc >= 0.7 AND wr <= -0.2 AND abs(sl) < {st} THEN 'EXHAUSTING' ELSE 'WEAKENING' END AS state FROM y)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('sc', 'stack_score')}, di AS ribbon_direction, {Q.r('ws', 'width_smooth')}, {Q.r('wr', 'width_rate')}, {Q.r('ce', 'center')}, {Q.r('sl', 'center_slope')}, state AS ribbon_state,
+ {Q.r(f"least(100 * (0.3 * {clip('(sc - 0.5) / 0.5')} + 0.25 * {clip(f'ws / (2 * {wt} + 1e-10)')} + 0.25 * {clip(f'abs(sl) / (2 * {st} + 1e-10)')} + 0.2 * {clip('(wr + 0.15) / (0.3 + 1e-10)')}), CASE state WHEN 'CHOP' THEN 35 WHEN 'EXHAUSTING' THEN 60 ELSE 100 END)", 'ribbon_strength')},
+ abs(close - ce) <= {pb} * close AS ribbon_pullback FROM z"""
+    )
+
+
+ORACLES["ema_ribbon"] = _ribbon_sql()
+ORACLES["roc_momentum"] = (
+    _REC("hour")
+    + _TR
+    + recursion("tr", "tr", 14, "1.0 / 14")
+    + f""", a AS (SELECT n.symbol, n.ts, n.i, n.close, coalesce(e.e, n.tr) / (n.close + 1e-10) AS ap, lag(n.close, 3) OVER (PARTITION BY n.symbol ORDER BY n.ts) AS c3, lag(n.close, 6) OVER (PARTITION BY n.symbol ORDER BY n.ts) AS c6, lag(n.close, 12) OVER (PARTITION BY n.symbol ORDER BY n.ts) AS c12 FROM tr_n n LEFT JOIN tr_e e ON n.symbol = e.symbol AND n.i = e.i),
+b AS (SELECT *, (close - c3) / (c3 + 1e-10) AS rf, (close - c6) / (c6 + 1e-10) AS rm FROM a WHERE c12 IS NOT NULL),
+sm AS (SELECT symbol, i, rf AS s FROM b WHERE i = 13 UNION ALL SELECT b.symbol, b.i, sm.s + 0.5 * (b.rf - sm.s) FROM sm JOIN b ON b.symbol = sm.symbol AND b.i = sm.i + 1),
+c AS (SELECT b.*, greatest(-3, least(3, rf / (ap + 1e-10))) AS f, greatest(-3, least(3, rm / (ap + 1e-10))) AS m, s - coalesce(lag(s) OVER (PARTITION BY b.symbol ORDER BY b.ts), 0) AS ac FROM b JOIN sm USING (symbol, i)),
+d AS (SELECT *, CASE WHEN abs(f) < 0.3 AND abs(m) < 0.3 THEN 'NOISE' WHEN (f > 0.8 AND m > 0 AND ac > 0) OR (f < -0.8 AND m < 0 AND ac < 0) THEN 'IMPULSE' WHEN f * m < 0 THEN 'PULLBACK' WHEN (abs(f) >= 0.8 AND ((f > 0 AND ac < 0) OR (f < 0 AND ac > 0))) OR (abs(m) < 0.3 AND abs(f) > 0.3) THEN 'FADE' ELSE 'NOISE' END AS st,
+  100 * (0.5 * least(abs(f) / 0.8, 1) + 0.3 * least(abs(m) / 0.8, 1) + 0.2 * least(abs(ac) / (abs(rf) + 1e-10), 1)) AS raw FROM c),
+e AS (SELECT *, CASE WHEN st = 'NOISE' THEN least(raw, 25) ELSE raw END AS sc, abs(f) > 1.5 AS bl FROM d)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('rf', 'roc_fast')}, {Q.r('f', 'roc_fast_norm')}, {Q.r('m', 'roc_mid_norm')}, {Q.r('ac', 'roc_accel')}, st AS momentum_state, {Q.r('sc', 'momentum_score')}, bl AS blowoff, NOT bl AND st = 'IMPULSE' AND f > 0 AND sc >= 50 AS allows_long, NOT bl AND st = 'IMPULSE' AND f < 0 AND sc >= 50 AS allows_short,
+ {Q.r('CASE WHEN bl THEN 0.3 WHEN sc >= 70 THEN 1.0 WHEN sc >= 50 THEN 0.8 WHEN sc >= 30 THEN 0.5 ELSE 0.3 END::DOUBLE', 'size_multiplier')} FROM e"""
+)
+
+
 @query
 def ema_ribbon(spark, d):
     return rounded(N.ribbon(hour(spark, d), "1h"), *KEY, "stack_score", "ribbon_direction", "width_smooth", "width_rate", "center", "center_slope", "ribbon_state", "ribbon_strength", "ribbon_pullback")

@@ -211,7 +211,19 @@ def liquidity_levels(spark, d):
     return rounded(T.equal_levels(hour(spark, d)), "symbol", "level", "first_ts", "second_ts")
 
 
-@query()
+_WALLS = lambda side: f"len(list_filter({side}_before[1:10], lambda x: x.qty >= list_avg(list_transform({side}_before[1:10], lambda z: z.qty)) * 3 AND len(list_filter({side}[1:10], lambda y: abs(y.price - x.price) <= x.price * 0.001 AND y.qty >= x.qty * 0.5)) = 0))"
+_BY_TIME = "PARTITION BY month ORDER BY ts, book_id"
+
+
+@query(
+    _BOOK.replace("FROM lineitem)", ", l_shipdate AS shipped FROM lineitem)").replace("SELECT book_id, list(", "SELECT book_id, min(shipped) AS ts, list(", 1)
+    + f""", d AS (SELECT *, strftime(ts, '%Y-%m') AS month, {_SUM('bids', 'x.qty')} AS bd, {_SUM('asks', 'x.qty')} AS ad FROM m),
+i AS (SELECT *, CASE WHEN abs(bd + ad) > 1e-9 THEN (bd - ad) / (bd + ad) ELSE 0 END AS im FROM d),
+c AS (SELECT *, lag(im) OVER ({_BY_TIME}) AS im0, lag(bids) OVER ({_BY_TIME}) AS bids_before, lag(asks) OVER ({_BY_TIME}) AS asks_before, lag(mid) OVER ({_BY_TIME}) AS mid0, lag(bd) OVER ({_BY_TIME}) AS bd0, lag(ad) OVER ({_BY_TIME}) AS ad0 FROM i),
+w AS (SELECT *, {_WALLS('bids')}::INT AS bw, {_WALLS('asks')}::INT AS aw, (mid - mid0) / nullif(mid0, 0) * 10000 AS mv FROM c)
+SELECT book_id, {Q.r('im - im0', 'imbalance_change')}, {Q.r('bd - bd0', 'bid_depth_change')}, {Q.r('CASE WHEN ad0 > 0 THEN (ad - ad0) / ad0 * 100 END', 'ask_depth_change_pct')}, {Q.r('mv', 'moved_bps')}, bw AS bid_walls, aw AS ask_walls,
+ CASE WHEN bw > 0 AND mv >= 2 THEN 'bid_spoof' WHEN aw > 0 AND mv <= -2 THEN 'ask_spoof' ELSE 'none' END AS spoof FROM w"""
+)
 def spoof_bands(spark, d):
     """Books in order of time as one series for each month."""
     books = K.with_snapshot(S.book(spark, d)).withColumn("symbol", F.date_format("ts", "yyyy-MM"))

@@ -142,7 +142,10 @@ def regime_machine(spark, d):
 
 def replayed(spark, rows, plan):
     """Run a streaming plan over a stored table to its end; the sink is a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    base = base or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/in")
     stream = plan(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
@@ -156,10 +159,11 @@ def rsi_stream(spark, d):
     return rounded(replayed(spark, hour(spark, d).coalesce(1), lambda s: X.stream_scan(s, S.Rsi)), *KEY, "rsi")
 
 
-@query()
+@query("SELECT event_type AS symbol, ts::TIMESTAMPTZ AS ts, event_id AS trade_id FROM events")
 def stream_dedupe(spark, d):
+    """Each event twice; the second is passed over."""
     rows = _events_as_trades(spark, d)
-    return replayed(spark, rows.union(rows).coalesce(1), X.deduplicated).select("symbol", "ts", "trade_id")
+    return replayed(spark, rows.union(rows), X.deduplicated).select("symbol", "ts", "trade_id")
 
 
 @query()
