@@ -72,7 +72,7 @@ def gaps(bars: DataFrame, least_pct: float = 0.1) -> DataFrame:
     high, low = lag("high", 2), lag("low", 2)
     # The bars after one are those before it in reversed order, whose extremes run along with the rows.
     later = Window.partitionBy(*SERIES).orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = bars.withColumns({"__h": high, "__l": low}).withColumns({"__low_ahead": F.min("low").over(later), "__high_ahead": F.max("high").over(later)})
+    rows = bars.withColumns({"__low_ahead": F.min("low").over(later), "__high_ahead": F.max("high").over(later)}).withColumns({"__h": high, "__l": low})
     bull, bear = F.col("low") > F.col("__h"), F.col("high") < F.col("__l")
     rows = rows.withColumns({"gap_side": ladder((bull, "bullish"), (bear, "bearish"), otherwise=None), "gap_top": F.when(bull, F.col("low")).when(bear, F.col("__l")), "gap_bottom": F.when(bull, F.col("__h")).when(bear, F.col("high"))})
     rows = rows.withColumn("gap_pct", F.try_divide(F.col("gap_top") - F.col("gap_bottom"), F.col("gap_bottom")) * 100).where(F.col("gap_side").isNotNull() & (F.col("gap_pct") >= least_pct))
