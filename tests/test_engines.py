@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tidemark.operators import engines, momentum, score, select, timing
+from tidemark.operators import regime as R
 from tidemark.operators.scan import scan
 from test_kernels import frame, noise, values
 
@@ -101,3 +102,25 @@ def test_paper_trades(spark):
     got = [book.step(*s) for s in steps]
     assert got[2][:4] == ("long", 100.0, 99.5, "stop_loss") and got[2][4] == pytest.approx(-0.54)
     assert got[4][:4] == ("short", 100.0, 98.0, "take_profit") and got[6][:4] == ("long", 100.0, 101.0, "signal_reversal")
+
+
+def test_trade_of_each_regime(spark):
+    """Ten regimes are traded, exhaustion is faded; null inputs neither confirm nor warn, and without a true range a hundredth of the price stands for it."""
+    both = lambda name, long, short: [(f"{name}_LONG", long), (f"{name}_SHORT", short)]
+    expected = dict(both("SQUEEZE_SETUP", ("long", "squeeze", "high"), ("short", "squeeze", "high")) + both("TREND_CONTINUATION", ("long", "trend", "medium"), ("short", "trend", "medium")))
+    expected |= dict(both("BREAKOUT", ("long", "breakout", "medium"), ("short", "breakout", "medium")) + both("REVERSAL", ("long", "reversal", "high"), ("short", "reversal", "high")) + both("EXHAUSTION", ("short", "reversal", "high"), ("long", "reversal", "high")))
+    inputs = [(200.0, 4.0, 1.2, "up", True, False, True, "heavily_long", True, "bid"), (200.0, None, None, None, None, None, None, None, None, None), (200.0, 0.0, 1.1, "down", False, True, False, "balanced", False, None)]
+    rows = [(r, *i) for r in [*expected, "NO_TRADE", "COMPRESSION", None] for i in inputs]
+    made = R.with_trade(spark.createDataFrame(rows, "regime string, close double, atr double, rv double, path string, allows_long boolean, allows_short boolean, is_climax boolean, crowd string, is_extreme boolean, spoof_side string")).collect()
+    assert len(made) == len(rows)
+    for r in made:
+        if r.regime not in expected:
+            assert [r[c] for c in ("direction", "kind", "risk", "entry", "stop_loss", "take_profit", "volume_confirms", "book_confirms", "oi_confirms", "warnings")] == [None] * 10
+            continue
+        assert (r.direction, r.kind, r.risk) == expected[r.regime]
+        side, size = (1 if r.direction == "long" else -1), r.atr or 2.0
+        assert (r.entry, r.stop_loss, r.take_profit) == (200.0, 200.0 - side * 1.5 * size, 200.0 + side * 3 * size)
+        assert r.volume_confirms == (r.rv is not None and r.rv >= 1.2)
+        assert r.book_confirms == (r.path == ("up" if side > 0 else "down"))
+        assert r.oi_confirms == bool(r.allows_long if side > 0 else r.allows_short)
+        assert r.warnings == ("volume climax; extreme funding: heavily_long; spoof on side bid" if r.is_climax else "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ladder
@@ -35,6 +35,52 @@ def candidate(min_rv: float = 0.5, min_confidence: float = 50.0) -> Column:
     )
 
 
+#: Direction, kind and risk of the trade that a regime calls for; exhaustion is faded.
+TRADES = {
+    "SQUEEZE_SETUP_LONG": ("long", "squeeze", "high"),
+    "SQUEEZE_SETUP_SHORT": ("short", "squeeze", "high"),
+    "TREND_CONTINUATION_LONG": ("long", "trend", "medium"),
+    "TREND_CONTINUATION_SHORT": ("short", "trend", "medium"),
+    "BREAKOUT_LONG": ("long", "breakout", "medium"),
+    "BREAKOUT_SHORT": ("short", "breakout", "medium"),
+    "REVERSAL_LONG": ("long", "reversal", "high"),
+    "REVERSAL_SHORT": ("short", "reversal", "high"),
+    "EXHAUSTION_LONG": ("short", "reversal", "high"),
+    "EXHAUSTION_SHORT": ("long", "reversal", "high"),
+}
+
+
+def with_trade(rows: DataFrame, stop: float = 1.5, target: float = 3.0, share: float = 0.01) -> DataFrame:
+    """direction, kind and risk of the trade that ``regime`` calls for, its entry, stop_loss and take_profit, what confirms it, and warnings; null for a regime without one.
+
+    Reads close, atr, rv, path, allows_long, allows_short, is_climax, crowd, is_extreme and spoof_side.
+    An unknown input neither confirms nor warns; without a positive ``atr``, a share of the price stands for it.
+    """
+    look_up = lambda i: F.when(F.col("regime").isin(*TRADES), F.element_at(F.create_map(*[F.lit(x) for k, v in TRADES.items() for x in (k, v[i])]), F.col("regime")))
+    rows = rows.withColumns({"direction": look_up(0), "kind": look_up(1), "risk": look_up(2)})
+    traded, is_long = F.col("direction").isNotNull(), F.col("direction") == "long"
+    side = F.when(is_long, 1.0).when(traded, -1.0)
+    size = F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.col("close") * share)
+    confirms = lambda condition: F.when(traded, F.coalesce(condition, F.lit(False)))
+    warnings = F.concat_ws(
+        "; ",
+        F.when(F.col("is_climax"), "volume climax"),
+        F.when(F.col("is_extreme"), F.concat(F.lit("extreme funding: "), F.coalesce("crowd", F.lit("unknown")))),
+        F.when(F.col("spoof_side").isNotNull(), F.concat(F.lit("spoof on side "), "spoof_side")),
+    )
+    return rows.withColumns(
+        {
+            "entry": F.when(traded, F.col("close")),
+            "stop_loss": F.col("close") - side * stop * size,
+            "take_profit": F.col("close") + side * target * size,
+            "volume_confirms": confirms(F.col("rv") >= 1.2),
+            "book_confirms": confirms(F.when(is_long, F.col("path") == "up").otherwise(F.col("path") == "down")),
+            "oi_confirms": confirms(F.when(is_long, F.col("allows_long")).otherwise(F.col("allows_short"))),
+            "warnings": F.when(traded, warnings),
+        }
+    )
+
+
 class Transitions(Kernel):
     """The regime in force by event time (milliseconds): no change within the cooldown after one; a risk-off regime is taken at once; any other only after the present one (unless risk-off) has lasted, and after enough calls in a row."""
 

@@ -15,12 +15,12 @@ from ..operators import smoothing as S
 from ..operators import volume as V
 from ..operators import vwap as W
 from ..operators import windows as N
-from ..operators.kernels import with_relative_volume
+from ..operators.kernels import with_relative_volume, with_true_range
 from ..operators.scan import scan
 from ..sources import market as T
 from ..streaming import state as X
 from . import oracle as Q
-from .market import KEY, hour, rounded
+from .market import _TR, KEY, hour, rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,14 +100,19 @@ def _state(spark, d):
     return C.with_unified_score(bars.withColumns({"book_score": F.lit(None).cast("double"), "oi_score": F.col("volume_score") / 2, "funding_score": F.lit(0.1)}))
 
 
-@query(
+_SCORE = (
     Q.bars("hour")
     + f""", a AS (SELECT *, CASE WHEN high - low > 0 THEN volume * (2 * (close - low) / (high - low) - 1) ELSE 0 END AS cd, CASE WHEN count(*) OVER {Q.rows(20)} = 20 AND avg(volume) OVER {Q.rows(20)} > 0 THEN volume / avg(volume) OVER {Q.rows(20)} ELSE 1 END AS rv FROM bars),
 b AS (SELECT *, CASE WHEN abs(sum(volume) OVER {Q.rows(5)}) > 1e-9 THEN sum(cd) OVER {Q.rows(5)} / sum(volume) OVER {Q.rows(5)} ELSE 0 END AS dr FROM a),
 c AS (SELECT *, greatest(-1, least(1, dr / 0.25)) * greatest(0, least(1, (rv - 1) / 1.5)) AS vs, CASE WHEN rv < 1 THEN greatest(0.3, least(1, 0.3 + 0.7 * rv)) ELSE 1 END AS k FROM b),
 e AS (SELECT *, (0.35 * vs + k * (0.25 * vs / 2 + 0.10 * 0.1)) / (0.35 + k * 0.65) AS t0 FROM c),
-g AS (SELECT *, CASE WHEN rv < 0.3 THEN greatest(-0.2475, least(0.2475, t0)) ELSE t0 END AS t FROM e)
-SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('vs', 'volume_score')}, {Q.r('t', 'total_score')}, {Q.r('least(100, 100 * abs(t) / 0.85)', 'confidence')}, CASE WHEN abs(t) < 0.25 THEN 'neutral' WHEN t > 0 THEN 'long' ELSE 'short' END AS bias, CASE WHEN abs(t) >= 0.75 THEN 'strong' WHEN abs(t) >= 0.55 THEN 'moderate' ELSE 'weak' END AS score_strength,
+g AS (SELECT *, CASE WHEN rv < 0.3 THEN greatest(-0.2475, least(0.2475, t0)) ELSE t0 END AS t FROM e)"""
+)
+
+
+@query(
+    _SCORE
+    + f""" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('vs', 'volume_score')}, {Q.r('t', 'total_score')}, {Q.r('least(100, 100 * abs(t) / 0.85)', 'confidence')}, CASE WHEN abs(t) < 0.25 THEN 'neutral' WHEN t > 0 THEN 'long' ELSE 'short' END AS bias, CASE WHEN abs(t) >= 0.75 THEN 'strong' WHEN abs(t) >= 0.55 THEN 'moderate' ELSE 'weak' END AS score_strength,
  CASE WHEN rv < 0.7 AND abs(t) > 0.25 THEN 'low_volume' END AS score_warning FROM g"""
 )
 def unified_score(spark, d):
@@ -124,8 +129,18 @@ def summary_vote(spark, d):
     return rounded(C.summary_vote(rows.select("symbol", "ts", F.inline(votes))))
 
 
-@query()
-def regime_machine(spark, d):
+# Bars are an hour apart, so neither the cooldown nor the time in a regime holds a change back: a regime is in force from its third call in a row on, a risk-off one at once.
+_WANTED = (
+    _SCORE
+    + f""", h AS (SELECT *, least(100, 100 * abs(t) / 0.85) AS sure, row_number() OVER ({Q.W}) >= 3 AND CASE WHEN abs(avg(volume) OVER {Q.rows(10)}) > 1e-9 THEN volume / avg(volume) OVER {Q.rows(10)} ELSE 1 END >= 3 AS climax,
+ sum(cd) OVER {Q.rows(5)} AS rd, close - first(close) OVER {Q.rows(5)} AS move FROM g),
+k AS (SELECT *, CASE WHEN rv < 0.5 THEN 'LOW_VOLUME' WHEN sure < 0.5 THEN 'NO_TRADE' WHEN climax AND dr > 0.1 THEN 'EXHAUSTION_LONG' WHEN climax AND dr < -0.1 THEN 'EXHAUSTION_SHORT'
+ WHEN move < 0 AND rd > 0 THEN 'ACCUMULATION' WHEN move > 0 AND rd < 0 THEN 'DISTRIBUTION' ELSE 'NO_TRADE' END AS wanted FROM h)"""
+)
+
+
+def _called(spark, d):
+    """The market state with the regime that each hour calls for."""
     rows = _state(spark, d).withColumns(
         {
             "volume_side": F.when(F.col("delta_ratio") > 0.1, "bullish").when(F.col("delta_ratio") < -0.1, "bearish").otherwise("neutral"),
@@ -136,10 +151,35 @@ def regime_machine(spark, d):
             "divergence_side": F.when(F.col("delta_divergence"), F.when(F.col("recent_delta") > 0, "bullish").otherwise("bearish")),
         }
     )
-    rows = rows.withColumns({"candidate": R.candidate(min_confidence=1.0), "ms": F.unix_millis("ts")})
+    return rows.withColumn("candidate", R.candidate(min_confidence=1.0))
+
+
+@query(
+    _WANTED
+    + f""", l AS (SELECT *, lag(wanted) OVER ({Q.W}) AS before FROM k), m AS (SELECT *, sum(CASE WHEN wanted = before THEN 0 ELSE 1 END) OVER ({Q.W}) AS run FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY ts) AS calls FROM m),
+o AS (SELECT *, coalesce(last_value(CASE WHEN wanted IN ('NO_TRADE', 'LOW_VOLUME', 'CHOPPY') OR calls >= 3 THEN wanted END IGNORE NULLS) OVER ({Q.W}), 'NO_TRADE') AS regime FROM n)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, wanted AS candidate, regime, regime <> coalesce(lag(regime) OVER ({Q.W}), 'NO_TRADE') AS changed FROM o"""
+)
+def regime_machine(spark, d):
+    rows = _called(spark, d).withColumn("ms", F.unix_millis("ts"))
     return scan(rows.select(*KEY, "tf", "seq", "ms", "candidate"), [R.Transitions]).select(*KEY, "candidate", "regime", "changed")
 
 
+@query(
+    _WANTED
+    + f""", u AS (SELECT *, {_TR} AS tr FROM k),
+v AS (SELECT *, coalesce(nullif(CASE WHEN count(tr) OVER {Q.rows(14)} = 14 THEN avg(tr) OVER {Q.rows(14)} END, 0), close * 0.01) AS atr, CASE wanted WHEN 'EXHAUSTION_LONG' THEN -1 WHEN 'EXHAUSTION_SHORT' THEN 1 END AS side FROM u)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, wanted AS candidate, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS direction, 'reversal' AS kind, 'high' AS risk, {Q.r('close', 'entry')}, {Q.r('close - side * 1.5 * atr', 'stop_loss')}, {Q.r('close + side * 3 * atr', 'take_profit')},
+ rv >= 1.2 AS volume_confirms, false AS book_confirms, false AS oi_confirms, 'volume climax' AS warnings FROM v WHERE side IS NOT NULL"""
+)
+def trade_plan(spark, d):
+    """The trade that each hour's candidate calls for."""
+    rows = with_true_range(_called(spark, d)).withColumns({"regime": F.col("candidate"), "atr": F.col("atr_sma"), **{c: F.lit(None).cast("boolean") for c in ("allows_long", "allows_short", "is_extreme")}, "spoof_side": F.lit(None).cast("string")})
+    planned = R.with_trade(rows).where("direction is not null")
+    return rounded(planned, *KEY, "candidate", "direction", "kind", "risk", "entry", "stop_loss", "take_profit", "volume_confirms", "book_confirms", "oi_confirms", "warnings")
+
+
 def replayed(spark, rows, plan):
     """Run a streaming plan over a stored table to its end; the sink is a table in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
