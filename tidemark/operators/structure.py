@@ -25,7 +25,11 @@ def with_pivots(bars: DataFrame, n: int = 5) -> DataFrame:
 
 def with_trend(bars: DataFrame, n: int = 5) -> DataFrame:
     """At each bar, the trend by its last three confirmed highs and lows, and the last of each (confirmed n bars after the pivot)."""
-    rows = with_pivots(bars, n)
+    return trend_of(with_pivots(bars, n), n)
+
+
+def trend_of(rows: DataFrame, n: int) -> DataFrame:
+    """:func:`with_trend` on swing_high and swing_low, each known n bars after its bar."""
     rows = rows.withColumns({"__h": lag("swing_high", n), "__l": lag("swing_low", n)})
     earlier = series().rowsBetween(Window.unboundedPreceding, -1)
     for side in ("h", "l"):  # the pivot before each pivot, and the one before that, then the last three at every bar

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import engines, flow, live, market, momentum, precise, verdict
+from . import engines, flow, institution, live, market, momentum, precise, verdict
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, momentum, flow, live, engines, precise, verdict)
+_MODULES = (market, momentum, flow, live, engines, precise, verdict, institution)
 
 
 def queries() -> dict[str, Query]:
