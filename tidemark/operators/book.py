@@ -104,3 +104,85 @@ def spoofs(rows: DataFrame, snap_bps: float = 2.0) -> DataFrame:
     moved = F.try_divide(F.col("mid") - F.col("mid_before"), F.col("mid_before")) * 10_000
     kind = ladder(((F.size("bid_walls") > 0) & (moved >= snap_bps), "bid_spoof"), ((F.size("ask_walls") > 0) & (moved <= -snap_bps), "ask_spoof"), otherwise="none")
     return rows.withColumns({"moved_bps": moved, "spoof": kind})
+
+
+def with_path_memory(rows: DataFrame, key: str = "symbol", order: tuple[str, ...] = ("ts", "book_id"), edge: float = 0.7, memory: float = 0.85) -> DataFrame:
+    """path from resistance_ratio: up below ``edge``, down above 1 / ``edge``, and harder by ``memory`` right after the opposite path.
+
+    Beyond the harder edges a book's path doesn't depend on the one before; nor
+    does it between the easy ones, or where the book before lies in the same band.
+    From such a book on, the bands up to the next one alternate, so that every
+    second book contradicts the one before it and is unclear: windows, no recursion.
+    """
+    r = F.col("resistance_ratio")
+    w = Window.partitionBy(key).orderBy(*order)
+    seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    band = ladder((r < edge * memory, 2), (r < edge, 1), (r > 1 / edge / memory, -2), (r > 1 / edge, -1), otherwise=0)
+    rows = rows.withColumns({"__band": band, "__i": F.row_number().over(w)}).withColumn("__before", F.lag("__band").over(w))
+    own = F.signum(F.col("__band")).cast("int")
+    fixed = (F.abs("__band") != 1) | F.col("__before").isNull() | (F.col("__before") == F.col("__band"))
+    rows = rows.withColumn("__from", F.last(F.when(fixed, F.struct(F.col("__i").alias("i"), own.alias("way"))), ignorenulls=True).over(seen))
+    after = F.col("__i") - F.col("__from.i") - 1
+    odd = after % 2 == 1
+    first_way = F.when(odd, -own).otherwise(own)
+    unclear = (after >= 0) & ((F.col("__from.way") == -first_way) != odd)
+    way = ladder((unclear, 0), otherwise=own)
+    return rows.withColumn("path", F.when(way > 0, "up").when(way < 0, "down").otherwise("unclear")).drop("__band", "__i", "__before", "__from")
+
+
+def pulled_walls(rows: DataFrame, oi_rises: Column | None = None, key: str = "symbol", order: tuple[str, ...] = ("ts", "book_id"), books: int = 5, wall: float = 3.0, snap_bps: float = 2.0) -> DataFrame:
+    """spoof, times_pulled and spoof_confidence: walls among the last books (three at least) that are gone, where the middle had come near and has snapped to the other side since. Once is not enough without rising open interest. Needs :func:`with_snapshot`."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-books, -1)
+    held = F.struct(F.slice("bids", 1, 10).alias("bids"), F.slice("asks", 1, 10).alias("asks"), F.col("mid").alias("mid"))
+    rows = rows.withColumns({"__held": F.collect_list(held).over(w), "__sizes": F.transform(F.concat(F.slice("bids", 1, 20), F.slice("asks", 1, 20)), lambda x: x["qty"])})
+    least = F.aggregate("__sizes", F.lit(0.0), lambda s, x: s + x) / F.size("__sizes") * wall
+    rows = rows.withColumns({"__least": least, "__bids": F.slice("bids", 1, 10), "__asks": F.slice("asks", 1, 10)})
+
+    def pulls(side: str, down: int) -> Column:
+        def count(book):
+            near = lambda x: (book["mid"] < x["price"] * 1.01) if down == 1 else (book["mid"] > x["price"] * 0.99)
+            snapped = F.try_divide((book["mid"] - F.col("mid")) * down, book["mid"]) * 10_000 > snap_bps
+            stays = lambda x: F.exists(f"__{side}", lambda y: (F.abs(y["price"] - x["price"]) < x["price"] * 0.001) & (y["qty"] >= x["qty"] * 0.5))
+            return F.size(F.filter(book[side], lambda x: (x["qty"] >= F.col("__least")) & ~stays(x) & near(x) & snapped))
+
+        return F.transform("__held", count)
+
+    rows = rows.withColumns({"__b": pulls("bids", 1), "__a": pulls("asks", -1)})
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    latest = lambda c: F.coalesce(F.array_max(F.transform(c, lambda x, i: F.when(x > 0, i))), F.lit(-1))
+    times = total("__b") + total("__a")
+    sure = 50 + F.when(times >= 2, 15).otherwise(0) + (F.when(oi_rises, 20).otherwise(0) if oi_rises is not None else F.lit(0))
+    found = (F.size("__held") >= 3) & (times > 0) & (sure >= 60)
+    kind = ladder((~found, "none"), (latest("__a") >= latest("__b"), "ask_spoof"), otherwise="bid_spoof")
+    return rows.withColumns({"spoof": kind, "times_pulled": F.when(F.size("__held") >= 3, times).otherwise(0), "spoof_confidence": F.when(found, F.least(F.lit(90), sure).cast("double")).otherwise(0.0)}).drop("__held", "__sizes", "__least", "__bids", "__asks", "__b", "__a")
+
+
+def absorption(volume_ratio: Column, price_pct: Column) -> tuple[Column, Column]:
+    """The side of the book that takes a volume spike without moving, and how strongly. Unknown ratios count as 1. Needs :func:`with_snapshot`."""
+    ratio, move = F.coalesce(volume_ratio, F.lit(1.0)), F.coalesce(price_pct, F.lit(0.0))
+    efficiency = F.when(ratio > 0, F.abs(move) / F.when(ratio > 0, ratio)).otherwise(1.0)
+    depths = F.when(F.col("ask_depth") > 0, F.try_divide(F.col("bid_depth"), F.col("ask_depth"))).otherwise(1.0)
+    takes = (ratio > 1.5) & (F.abs(move) < 0.3) & (efficiency < 0.3)
+    side = ladder((takes & (depths > 1.5) & (move <= 0), "bid"), (takes & (depths < 0.67) & (move >= 0), "ask"), otherwise="none")
+    more = lambda d: F.least(F.lit(90.0), 50 + (d - 1) * 20 + (1 - efficiency) * 30)
+    return side, ladder((side == "bid", more(depths)), (side == "ask", more(F.try_divide(F.lit(1.0), depths))), (takes, 40.0), otherwise=30.0)
+
+
+def vote(rows: DataFrame) -> DataFrame:
+    """book_verdict, its confidence and the way that price is forced, from absorbed, absorbed_strength, book_side, book_bait, ratio_strength, spoof, spoof_confidence and path. A spoof counts for the other side; bait and a spoof together are a trap."""
+    spoof, path_, side = F.col("spoof"), F.col("path"), F.col("book_side")
+    voices = (
+        (F.col("absorbed") == "bid", F.col("absorbed") == "ask", F.col("absorbed_strength")),
+        (~F.col("book_bait") & (side == "bid_heavy"), ~F.col("book_bait") & (side == "ask_heavy"), F.col("ratio_strength")),
+        (spoof == "ask_spoof", spoof == "bid_spoof", F.col("spoof_confidence")),
+        (path_ == "up", path_ == "down", F.lit(55.0)),
+    )
+    weigh = lambda k: sum((F.when(v[k], v[2]).otherwise(0.0) for v in voices), F.lit(0.0))
+    count = lambda k: sum((F.when(v[k], 1).otherwise(0) for v in voices), F.lit(0))
+    up, down, ups, downs = weigh(0), weigh(1), count(0), count(1)
+    trap = F.col("book_bait") & (spoof != "none")
+    rises, falls = up > down * 1.3, down > up * 1.3
+    verdict = ladder((trap, "trap"), (rises, "bullish"), (falls, "bearish"), otherwise="neutral")
+    sure = ladder((trap, F.greatest(F.lit(60.0), F.col("spoof_confidence"))), (ups + downs == 0, 40.0), (rises, F.least(F.lit(85.0), F.try_divide(up, ups))), (falls, F.least(F.lit(85.0), F.try_divide(down, downs))), otherwise=50.0)
+    forced = ladder((path_ != "unclear", path_), (verdict == "bullish", "up_by_flow"), (verdict == "bearish", "down_by_flow"), otherwise="unclear")
+    return rows.withColumns({"book_verdict": verdict, "book_confidence": sure, "forced_way": forced})

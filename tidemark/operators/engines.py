@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ladder, last_rows, series
@@ -131,6 +131,19 @@ def entry_filter(rows: DataFrame, least: float = 50.0, pullbacks: bool = False)
     return rows.withColumns({"allows_long": side(1), "allows_short": side(-1), "size_multiplier": size})
 
 
+def with_divergence(rows: DataFrame, n: int = 5) -> DataFrame:
+    """roc_divergence: the close beyond the last swing known (n bars after its own) while roc_fast_norm stays within that swing's; BULLISH if both sides hold. Needs swing_high and swing_low of structure.with_pivots."""
+    w = series()
+    close, f = F.col("close"), F.col("roc_fast_norm")
+    known = lambda c: F.struct(F.lag(c, n).over(w).alias("price"), F.lag("roc_fast_norm", n).over(w).alias("roc"))
+    rows = rows.withColumns({"__h": known("swing_high"), "__l": known("swing_low")})
+    last = lambda c: F.last(F.when(F.col(f"{c}.price").isNotNull(), F.col(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"__h": last("__h"), "__l": last("__l")})
+    bear = (close > F.col("__h.price")) & (f < F.col("__h.roc"))
+    bull = (close < F.col("__l.price")) & (f > F.col("__l.roc"))
+    return rows.withColumn("roc_divergence", ladder((bull, "BULLISH"), (bear, "BEARISH"), otherwise="NONE")).drop("__h", "__l")
+
+
 def with_structure(rows: DataFrame, trend: str = "structure_trend") -> DataFrame:
     """structure_size: how far momentum and structure agree on a side (BULL long, BEAR short); 0 where they don't."""
     state, score, f, m = (F.col(x) for x in ("momentum_state", "momentum_score", "roc_fast_norm", "roc_mid_norm"))

@@ -93,3 +93,29 @@ def with_permission(rows: DataFrame) -> DataFrame:
 def structure_veto(allowed: Column, side: Column, confidence: Column) -> Column:
     """Whether structure forbids a signal: no side allowed, the other side allowed, or a range without high confidence."""
     return F.when(allowed.isNull(), True).when(allowed == "both", confidence < 60).otherwise(allowed != side)
+
+
+def with_volume_verdict(rows: DataFrame, ratio: Column | None = None) -> DataFrame:
+    """Who began a move, who absorbed it, who is trapped, the volume's quality, confidence and verdict. From volume.with_candle_delta and volume.with_exhaustion, price_change over the same bars, and mtf_volume, mtf_accepted and mtf_confidence (null without a higher interval). ``ratio``: signed volume's share where it is known exactly; beyond a quarter it counts as institutional."""
+    bias, risk, delta, change = F.col("aggression_bias"), F.col("exhaustion_risk"), F.col("recent_delta"), F.col("price_change")
+    buys, sells, diverged = bias.endswith("buy"), bias.endswith("sell"), F.col("delta_divergence")
+    run = F.coalesce(F.col("mtf_volume") == "stop_run", F.lit(False))
+    accepted = F.coalesce(F.col("mtf_accepted"), F.lit(False))
+    tired = risk.isin("high", "extreme")
+    absorbed = ladder((diverged & (change > 0) & (delta < 0), "asks"), (diverged & (change < 0) & (delta > 0), "bids"), otherwise="none")
+    trapped = ladder((run & (change > 0), "shorts"), (run, "longs"), (tired & buys, "late_longs"), (tired & sells, "late_shorts"), otherwise="none")
+    exact = F.abs(ratio) > 0.25 if ratio is not None else F.lit(False)
+    quality = ladder((accepted & (F.col("delta_strength") > 70), "institutional"), (run, "retail"), (exact, "institutional"), otherwise="mixed")
+    base = (F.col("delta_strength") + F.col("exhaustion_confidence")) / 2
+    sure = F.when(F.col("mtf_confidence").isNotNull(), (base + F.col("mtf_confidence")) / 2).otherwise(base)
+    verdict = ladder((risk == "extreme", "caution"), (diverged & (delta > 0), "bullish"), (diverged, "bearish"), ((buys | sells) & (risk == "high"), "neutral"), (buys, "bullish"), (sells, "bearish"), otherwise="neutral")
+    began = ladder((buys, "buyers"), (sells, "sellers"), otherwise="unclear")
+    return rows.withColumns({"began_by": began, "absorbed_by": absorbed, "trapped": trapped, "volume_quality": quality, "volume_confidence": sure, "volume_verdict": verdict})
+
+
+def funding_verdict(zone: Column, combo: Column, probability: Column) -> tuple[Column, Column, Column]:
+    """Whether to chase, the verdict, and its confidence, from the funding zone and its combination with open interest (null: unknown)."""
+    extreme = zone.startswith("extreme")
+    verdict = ladder((combo == "crowded_longs_rising", "bearish"), (combo == "crowded_shorts_rising", "bullish"), ((combo == "capitulation") | extreme, "warning"), otherwise="neutral")
+    sure = 50.0 + F.when(extreme, 20.0).otherwise(0.0) + F.when(zone.startswith("high"), 10.0).otherwise(0.0) + F.when(probability > 60, 10.0).otherwise(0.0)
+    return ~(extreme | zone.startswith("high")), verdict, F.least(F.lit(90.0), sure)
