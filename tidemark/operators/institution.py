@@ -50,7 +50,7 @@ def with_swings(bars: DataFrame, n: int = SIDE) -> DataFrame:
 
     def strength(price: str, other: Column) -> Column:
         share = F.try_divide(F.abs(F.col(price) - other), F.col(price)) * 100
-        return F.when(F.col(price).isNotNull(), F.coalesce(F.when(F.col("atr_pct") > 0, clip(share / F.col("atr_pct"), 0.0, 1.0)), F.lit(0.5)))
+        return F.when(F.col(price).isNotNull(), F.coalesce(F.when((F.col("atr_pct") > 0) & share.isNotNull(), clip(share / F.col("atr_pct"), 0.0, 1.0)), F.lit(0.5)))
 
     return rows.withColumns({"high_strength": strength("swing_high", F.last("swing_low", ignorenulls=True).over(before)), "low_strength": strength("swing_low", F.last("swing_high", ignorenulls=True).over(so_far()))})
 
