@@ -87,3 +87,13 @@ def test_structure_of_few_flat_and_zero_bars(spark):
     flat = I.structure(_bars(spark, [(1, 1, 1, 1, 1)] * 30))
     assert flat.where("swing_high is not null or swept_low or swept_high or structure_event <> 'none'").count() == 0
     assert I.structure(_bars(spark, [(1, 1, 1, 1, 1)]).where("false")).count() == 0
+
+
+def test_a_swing_at_price_zero_has_the_middle_strength(spark):
+    shape = [5, 6, 7, 8, 7, 6, 5, 6, 7, 8, 7, 6, 5, 6, 7, 8, 6, 4, 0, 4, 6, 7, 8]
+    made = I.with_swings(_bars(spark, [(x, x + 0.5, x, x, 1) for x in shape])).where("swing_low is not null").orderBy("ts").collect()
+    assert [(r.swing_low, r.atr_pct > 0, r.low_strength == 0.5) for r in made][-1] == (0.0, False, True)
+    # The close decides atr_pct, the low the share: a low of zero under a close above it.
+    rows = [(x, x + 0.5, x, max(x, 1), 1) for x in shape]
+    last = I.with_swings(_bars(spark, rows)).where("swing_low = 0").first()
+    assert last.atr_pct > 0 and last.low_strength == 0.5
