@@ -80,4 +80,43 @@ m AS (SELECT doc_id, license, place, 2.0::DOUBLE * len(list_intersect(own, pairs
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, place) AS k FROM m WHERE dice >= 0.8)
 SELECT doc_id, license, dice, place::INT AS place FROM r WHERE k = 1"""
 
-ORACLES = {"op2_line_dedup": OP2, "op5_ngram_jaccard": OP5, "op6_token_counts": OP6, "op7_topk": OP7, "op8_warc": OP8, "op9_chat": OP9, "op10_licenses": OP10}
+def _paid(state: str, cost: object, token: str) -> str:
+    """A state's best edits so far, eight digits of cost before them, and one edit more; null stays null."""
+    return f"lpad((substr({state}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({state}, 9) || '{token}'"
+
+
+def _row_step() -> str:
+    """Best edits by state after a row, from those by state with inserts (a0 to a3); edits are two letters each, so that the least text is the least cost and then the least letters."""
+    cut = "CASE fault WHEN 2 THEN 1 ELSE 0 END"
+    keep = lambda state, initial: f"CASE WHEN fault IN (0, 2) AND initial = '{initial}' THEN {_paid(state, cut, 'K.')} END"
+    name = lambda state, token: f"CASE WHEN fault IN (0, 2) THEN {_paid(state, f'2 + {cut}', token)} END"
+    to_user = [x for q in ("a0", "a1", "a3") for x in (keep(q, "u"), name(q, "Ru"))]
+    steps = [[], [keep("a0", "s")], to_user, [keep("a2", "a"), name("a2", "Ra")]]
+    return ", ".join(f"least({', '.join([_paid(f'a{q}', 3, 'D.'), *ways])}) AS s{q}" if ways else f"{_paid(f'a{q}', 3, 'D.')} AS s{q}" for q, ways in enumerate(steps))
+
+
+_WITH_USER = f"least(s2, {', '.join(_paid(q, 2, 'Iu') for q in ('s0', 's1', 's3'))})"
+_ROLE = "CASE right(token, 1) WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' ELSE role END"
+OP11 = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') AS k, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS fate FROM conversations),
+m AS (SELECT k, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE fate <> 0),
+f AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+    row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM m),
+t AS (SELECT *, CASE WHEN last = '' THEN 3 WHEN seen > 1 THEN 1 WHEN last NOT IN ('.', '!', '?') THEN 2 ELSE 0 END AS fault, initial || lead(initial) OVER (PARTITION BY k ORDER BY i) AS pair FROM f),
+r AS (SELECT DISTINCT k, 0::BIGINT AS i, '00000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM t
+  UNION ALL SELECT k, i, {_row_step()} FROM (SELECT k, t.i, initial, fault, s0 AS a0, s1 AS a1, a2, least(s3, {_paid('a2', 2, 'Ia')}) AS a3 FROM (SELECT *, {_WITH_USER} AS a2 FROM r) b JOIN t USING (k) WHERE t.i = b.i + 1)),
+e AS (SELECT k, least(s0, s3, {_paid('a2', 2, 'Ia')}) AS best FROM (SELECT *, {_WITH_USER} AS a2 FROM r) WHERE (k, i) IN (SELECT k, max(i) FROM t GROUP BY k)),
+o AS (SELECT k, generate_subscripts(w, 1) AS no, unnest(w) AS token FROM (SELECT k, regexp_extract_all(substr(best, 9), '..') AS w FROM e)),
+p AS (SELECT *, sum((left(token, 1) <> 'I')::INT) OVER (PARTITION BY k ORDER BY no) AS i FROM o),
+d AS (SELECT p.k, string_agg({_ROLE} || ':' || CASE left(token, 1) WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY no) AS mended FROM p LEFT JOIN t ON p.k = t.k AND p.i = t.i WHERE token <> 'D.' GROUP BY p.k),
+g AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 1) AS duplicate, count(*) FILTER (fault = 2) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY k)
+SELECT h.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(best, 8)::BIGINT, 0) AS cost,
+  coalesce(regexp_replace(substr(best, 9), '(.).', '\1', 'g'), '') AS audit, sha256(coalesce(mended, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id, k FROM c) h LEFT JOIN g USING (k) LEFT JOIN e USING (k) LEFT JOIN d USING (k)"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d"""
+
+ORACLES = {"op2_line_dedup": OP2, "op5_ngram_jaccard": OP5, "op6_token_counts": OP6, "op7_topk": OP7, "op8_warc": OP8, "op9_chat": OP9, "op10_licenses": OP10, "op11_repair": OP11, "op13_exact_dedup": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, decontaminate, jaccard, langid, licenses, lines, topk, warc
+from . import bpe, chat, counts, decontaminate, exact, jaccard, langid, licenses, lines, repair, topk, warc, whitening
 from .common import shared_dir, stored, table
 from .oracles import ORACLES
 
@@ -100,8 +100,43 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "place")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with nulls as one space, damaged by the remainder of crc32(conv_id:turn) by 20: 0 drops a row, 1 empties its text, 2 takes out full stops, exclamation and question marks, 3 repeats it, 4 makes it a user's."""
+    blank = F.lit(" ")
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), blank) if c != ":" else F.lit(c) for c in ("conv_id", ":", "turn")])
+    rows = turns.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), (F.crc32(key) % 20).alias("fate")).where("fate <> 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, the cheapest edits that mend it, and the digest of what they make. Conversations of which damage leaves nothing have zeros, no edits and the digest of nothing."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = repair.repair(damaged(turns))
+    told = repair.with_conversation(repair.with_conversation(turns.select("conv_id").distinct(), made.counts), repair.digests(repair.repaired(made.turns)))
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on each of the first eight components of all vectors, scaled to unit variance; components without variance are left out."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8)
+    one = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    rows = made.select("vec_id", "n", "deviation", "identity_error", one)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one that stays for it, the number of its equals, and the digest of its normalised text."""
+    made = exact.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.col("normalised").cast("binary"), 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_bpe, op2_line_dedup, op3_language_id, op4_decontaminate, op5_ngram_jaccard, op6_token_counts, op7_topk, op8_warc, op9_chat, op10_licenses)
+    every = (
+        op1_bpe, op2_line_dedup, op3_language_id, op4_decontaminate, op5_ngram_jaccard, op6_token_counts, op7_topk, op8_warc, op9_chat, op10_licenses, op11_repair, op12_whitening, op13_exact_dedup,
+    )
     return {q.__name__: q for q in every}
 
 
