@@ -203,7 +203,7 @@ def repair(turns: DataFrame) -> Repair:
     pieces = told.select("chunk", "tail", F.size("rows").alias("n"), F.posexplode(F.arrays_zip(F.col("rows").alias("row"), F.split("letters", "(?<=[KUAD])(?=.)").alias("edit"))).alias("at", "own"))
     tail = F.when(F.col("at") + 1 == F.col("n"), F.col("tail")).otherwise("")
     found = pieces.select("own.row", F.struct("chunk", "at").alias("place"), F.concat("own.edit", tail).alias("edit"))
-    made = rows.join(found, "row").select("conv_id", "place", "turn", "role", "text", "edit")
+    made = rows.hint("merge").join(found, "row").select("conv_id", "place", "turn", "role", "text", "edit")
     return Repair(_counts(rows, told), made)
 
 
@@ -272,7 +272,7 @@ def _marked(rows: DataFrame) -> DataFrame:
     light = rows.select("conv_id", "turn", "digest", "row", F.substring("role", 1, 1).alias("initial"), end.alias("last"))
     fault = F.when(F.col("last") == "", BLANK).when(F.col("first").isNull(), DUPLICATE).when(~F.col("last").isin(".", "!", "?"), TRUNCATED).otherwise(FINE)
     initial = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(INITIALS) for x in (c, i)]), "initial"), F.lit(OTHER))
-    return light.join(first, "row", "left").select("conv_id", "turn", "digest", "row", (initial * FAULTS + fault).cast("int").alias("symbol"))
+    return light.hint("merge").join(first, "row", "left").select("conv_id", "turn", "digest", "row", (initial * FAULTS + fault).cast("int").alias("symbol"))
 
 
 def packed(marked: DataFrame) -> DataFrame:
