@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -18,6 +15,7 @@ from ..operators import windows as N
 from ..operators.kernels import with_relative_volume, with_true_range
 from ..operators.scan import scan
 from ..sources import market as T
+from ..sources.storage import shared_dir
 from ..streaming import state as X
 from . import oracle as Q
 from .market import _TR, KEY, hour, rounded
@@ -182,11 +180,7 @@ def trade_plan(spark, d):
 
 def replayed(spark, rows, plan):
     """Run a streaming plan over a stored table to its end; the sink is a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-    base = base or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
     rows.write.parquet(f"{folder}/in")
     stream = plan(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

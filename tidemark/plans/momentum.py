@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ..operators import kernels as K
 from ..operators import momentum as M
+from ..operators import recurrence as R
 from ..operators import smoothing as S
+from ..operators.ordered import whole
 from ..operators.scan import scan
 from . import oracle as Q
 from .market import KEY, hour, rounded
@@ -35,7 +37,7 @@ _REC = lambda unit: Q.bars(unit).replace("WITH bars", "WITH RECURSIVE bars", 1)
 
 @query(_REC("hour") + recursion("bars", "close", 12, "2.0 / 13") + f" SELECT n.symbol, n.ts::TIMESTAMPTZ AS ts, {Q.r('e', 'ema_12')} FROM bars_n n LEFT JOIN bars_e e ON n.symbol = e.symbol AND n.i = e.i")
 def ema_12(spark, d):
-    return rounded(scan(hour(spark, d), [S.ema(12)]), *KEY, "ema_12")
+    return rounded(R.ema(hour(spark, d), 12), *KEY, "ema_12")
 
 
 _TR = f", tr AS (SELECT symbol, ts, close, greatest(high - low, abs(high - lag(close) OVER ({Q.W})), abs(low - lag(close) OVER ({Q.W}))) AS tr FROM bars)"
@@ -43,7 +45,7 @@ _TR = f", tr AS (SELECT symbol, ts, close, greatest(high - low, abs(high - lag(c
 
 @query(_REC("hour") + _TR + recursion("tr", "tr", 14, "1.0 / 14", 2) + f" SELECT n.symbol, n.ts::TIMESTAMPTZ AS ts, {Q.r('e', 'atr')} FROM tr_n n LEFT JOIN tr_e e ON n.symbol = e.symbol AND n.i = e.i")
 def atr_wilder_14(spark, d):
-    return rounded(scan(hour(spark, d), [S.Atr]), *KEY, "atr")
+    return rounded(R.atr(hour(spark, d)), *KEY, "atr")
 
 
 _MOVES = f", g AS (SELECT symbol, ts, greatest(close - lag(close) OVER ({Q.W}), 0) AS u, greatest(lag(close) OVER ({Q.W}) - close, 0) AS l FROM bars)"
@@ -62,7 +64,7 @@ _RSI_SIGNAL = f"""SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('rsi', 'rsi')},
 
 @query(_REC("hour") + _RSI + _RSI_SIGNAL)
 def rsi_14(spark, d):
-    return rounded(M.rsi_signal(scan(hour(spark, d), [S.Rsi])), *KEY, "rsi", "rsi_signal", "rsi_strength")
+    return rounded(whole(M.rsi_signal(R.with_rsi(hour(spark, d), before=1))), *KEY, "rsi", "rsi_signal", "rsi_strength")
 
 
 _STOCH = f""", sr AS (SELECT *, min(rsi) OVER {Q.rows(14)} AS lo, max(rsi) OVER {Q.rows(14)} AS hi, count(rsi) OVER {Q.rows(14)} AS c FROM rsi),
@@ -73,7 +75,7 @@ sd AS (SELECT symbol, ts, k, CASE WHEN count(k) OVER {Q.rows(3)} = 3 THEN avg(k)
 
 @query(_REC("hour") + _RSI + _STOCH + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('k', 'stoch_k')}, {Q.r('d', 'stoch_d')} FROM sd")
 def stoch_rsi(spark, d):
-    return rounded(scan(hour(spark, d), [S.StochRsi]), *KEY, "stoch_k", "stoch_d")
+    return rounded(R.stoch_rsi(hour(spark, d)), *KEY, "stoch_k", "stoch_d")
 
 
 _MACD = (
@@ -88,7 +90,7 @@ _MACD = (
 
 @query(_REC("hour") + _MACD + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('macd', 'macd')}, {Q.r('sig', 'macd_signal')}, {Q.r('hist', 'macd_hist')} FROM mc")
 def macd_hist(spark, d):
-    return rounded(scan(hour(spark, d), [S.Macd]).where("macd is not null"), *KEY, "macd", "macd_signal", "macd_hist")
+    return rounded(R.macd(hour(spark, d)).where("macd is not null"), *KEY, "macd", "macd_signal", "macd_hist")
 
 
 @query(
@@ -100,7 +102,7 @@ SELECT symbol, ts::TIMESTAMPTZ AS ts, CASE WHEN hist IS NULL THEN 'neutral' WHEN
  CASE WHEN hist IS NULL THEN 50.0 WHEN up OR dn THEN 85 WHEN (hist > 0 AND st > 0) OR (hist < 0 AND st < 0) THEN 70 WHEN hist <> 0 AND st <> 0 THEN 55 ELSE 50 END::DOUBLE AS macd_strength FROM t"""
 )
 def macd_histogram_signal(spark, d):
-    return M.macd_signal(scan(hour(spark, d), [S.Macd]).where("macd is not null")).select(*KEY, "macd_bias", "macd_strength")
+    return whole(M.macd_signal(R.with_macd(hour(spark, d), before=1))).where("macd is not null").select(*KEY, "macd_bias", "macd_strength")
 
 
 @query(
@@ -112,7 +114,7 @@ b AS (SELECT *, CASE WHEN atr IS NOT NULL THEN CASE WHEN abs(avg(atr) OVER {Q.ro
 SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('q', 'atr_ratio')}, {Q.r('atr / nullif(close, 0) * 100', 'atr_close_pct')}, CASE WHEN q IS NULL THEN 50.0 WHEN q > 1.5 THEN 75 WHEN q > 1.2 THEN 60 WHEN q < 0.6 THEN 60 WHEN q < 0.8 THEN 55 ELSE 50 END::DOUBLE AS atr_strength FROM b"""
 )
 def atr_analysis(spark, d):
-    return rounded(M.atr_signal(scan(hour(spark, d), [S.Atr])), *KEY, "atr_ratio", "atr_close_pct", "atr_strength")
+    return rounded(whole(M.atr_signal(R.with_atr(hour(spark, d), before=19))), *KEY, "atr_ratio", "atr_close_pct", "atr_strength")
 
 
 _CROSS = ", ea AS (SELECT symbol, ts, close FROM bars), eb AS (SELECT symbol, ts, close FROM bars)" + recursion("ea", "close", 20, "2.0 / 21") + recursion("eb", "close", 50, "2.0 / 51")
@@ -127,7 +129,7 @@ SELECT symbol, ts::TIMESTAMPTZ AS ts, CASE WHEN l IS NULL THEN 'neutral' WHEN g
  CASE WHEN l IS NULL THEN 50.0 WHEN g OR dd THEN 85 WHEN (c > s AND c > l AND s > l) OR (c <= s AND c <= l AND s <= l) THEN 75 WHEN c > l AND c <= s THEN 55 ELSE 50 END::DOUBLE AS ma_strength, {Q.r('CASE WHEN l IS NULL OR abs(s) <= 1e-9 THEN 0 ELSE (c - s) / s * 100 END', 'ma_distance_pct')} FROM x"""
 )
 def moving_averages(spark, d):
-    return rounded(M.moving_average_signal(scan(hour(spark, d), [S.ema(20, 50)])), *KEY, "ma_signal", "ma_strength", "ma_distance_pct")
+    return rounded(whole(M.moving_average_signal(R.with_ema(hour(spark, d), 20, 50, before=1))), *KEY, "ma_signal", "ma_strength", "ma_distance_pct")
 
 
 @query(
@@ -152,9 +154,14 @@ def vwap_analysis(spark, d):
     return rounded(M.vwap_signal(K.with_vwap(hour(spark, d))), *KEY, "vwap_distance_pct", "vwap_signal", "vwap_strength")
 
 
-@query()
+_STOCH_CROSS = f""", x AS (SELECT *, coalesce(lag(k) OVER ({Q.W}) <= lag(d) OVER ({Q.W}) AND k > d, false) AS up, coalesce(lag(k) OVER ({Q.W}) >= lag(d) OVER ({Q.W}) AND k < d, false) AS dn FROM sd)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, CASE WHEN d IS NULL THEN 'neutral' WHEN up AND k < 30 THEN 'bullish' WHEN dn AND k > 70 THEN 'bearish' WHEN k > 80 THEN 'bearish' WHEN k < 20 THEN 'bullish' WHEN up THEN 'bullish' WHEN dn THEN 'bearish' ELSE 'neutral' END AS stoch_signal,
+ CASE WHEN d IS NULL THEN 50 WHEN (up AND k < 30) OR (dn AND k > 70) THEN 85 WHEN k > 90 OR k < 10 THEN 75 WHEN k > 80 OR k < 20 THEN 65 WHEN up OR dn THEN 60 ELSE 50 END::DOUBLE AS stoch_strength FROM x"""
+
+
+@query(_REC("hour") + _RSI + _STOCH + _STOCH_CROSS)
 def stoch_rsi_signal(spark, d):
-    return M.stoch_rsi_signal(scan(hour(spark, d), [S.StochRsi])).select(*KEY, "stoch_signal", "stoch_strength")
+    return whole(M.stoch_rsi_signal(R.with_stoch_rsi(hour(spark, d), before=1))).select(*KEY, "stoch_signal", "stoch_strength")
 
 
 @query()

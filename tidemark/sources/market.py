@@ -7,10 +7,11 @@ timestamp, ``seq`` breaks ties of time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalized_symbol, safe_divide
+from ..operators.ordered import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +23,17 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
 
 
+#: Columns that put a symbol's trades in order.
+_TRADE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linestatus")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as trades; trade_id numbers a symbol's rows in the order of all their columns."""
-    rows = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_returnflag").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linestatus")
+    """Line items as trades; trade_id numbers a symbol's rows from 1, in the order of all their columns, by ranges of these."""
+    rows = numbered(table(spark, sf_dir, "lineitem"), ("l_returnflag",), _TRADE_ORDER)
     return rows.select(
         F.col("l_returnflag").alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        F.row_number().over(order).cast("long").alias("trade_id"),
+        (F.col("n") + 1).alias("trade_id"),
         safe_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("quantity"),
         (F.col("l_linestatus") == "F").alias("is_buyer_maker"),
