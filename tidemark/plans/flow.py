@@ -144,7 +144,7 @@ def liquidity_ladder(spark, d):
     return rounded(K.path(K.with_ladder(K.with_snapshot(S.book(spark, d)))), "book_id", "median_level", "thick_above", "thick_below", "resistance_ratio", "path")
 
 
-_FUND = """WITH f AS (SELECT event_type AS symbol, ts, event_id AS seq, (value - 100) / 1e5 AS rate FROM events WHERE event_type = 'click'),
+_FUND = """WITH f AS (SELECT event_type AS symbol, ts, event_id AS seq, (value - 100) / 1e5 AS rate FROM events),
 h AS (SELECT *, list(rate) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS past, rate * 100 AS p FROM f),
 q AS (SELECT *, CASE WHEN coalesce(len(past), 0) >= 10 THEN len(list_filter(past, lambda x: x < rate)) / len(past) * 100 WHEN p > 0.1 THEN 95 + least(4, (p - 0.1) * 20) WHEN p > 0.05 THEN 75 + (p - 0.05) / 0.05 * 20 WHEN p > 0.01 THEN 50 + (p - 0.01) / 0.04 * 25 WHEN p > -0.01 THEN 50 WHEN p > -0.05 THEN 25 + (p + 0.05) / 0.06 * 25 WHEN p > -0.1 THEN 5 + (p + 0.1) / 0.05 * 20 ELSE greatest(1, 5 - (-0.1 - p) * 20) END AS pc FROM h),
 z AS (SELECT *, CASE WHEN pc >= 95 THEN 'extreme_positive' WHEN pc >= 75 THEN 'high_positive' WHEN pc >= 50 AND p > 0.01 THEN 'normal_positive' WHEN pc <= 5 THEN 'extreme_negative' WHEN pc <= 25 THEN 'high_negative' WHEN pc < 50 AND p < -0.01 THEN 'normal_negative' ELSE 'neutral' END AS zone FROM q)"""

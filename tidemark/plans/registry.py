@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import engines, flow, institution, live, market, momentum, precise, verdict, votes
+from . import engines, flow, institution, live, market, momentum, precise, state, verdict, votes
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, momentum, flow, live, engines, precise, verdict, institution, votes)
+_MODULES = (market, momentum, flow, live, engines, precise, verdict, institution, votes, state)
 
 
 def queries() -> dict[str, Query]:

@@ -47,9 +47,8 @@ def open_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Click events as funding prints."""
-    rows = event_ticks(spark, sf_dir).where("symbol = 'click'")
-    return rows.select("symbol", "ts", "seq", ((F.col("price") - 100) / 1e5).alias("funding_rate"), F.col("price").alias("mark_price"))
+    """Events as funding prints of their type."""
+    return event_ticks(spark, sf_dir).select("symbol", "ts", "seq", ((F.col("price") - 100) / 1e5).alias("funding_rate"), F.col("price").alias("mark_price"))
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
