@@ -39,15 +39,15 @@ def numbered(df: DataFrame, keys: tuple[str, ...] = SERIES, order: tuple[str, ..
 
 
 def apart(rows: DataFrame, before: int = 0, length: int = LENGTH) -> DataFrame:
-    """Chunks of rows numbered by ``n``: adds ``chunk`` and ``pos`` (negative for the ``before`` rows that belong to the chunk before), and the chunk to ``tf``, whose own value is kept in ``__tf``."""
+    """Chunks of rows numbered by ``n``: adds ``chunk`` and ``pos`` (negative for the ``before`` rows that belong to the chunk before), and the chunk to ``tf``, whose own value is kept in ``series_tf``."""
     if before >= length:
         raise ValueError(f"{before} rows before a chunk of {length}")
     own = F.floor(F.col("n") / length)
     chunks = F.when(F.col("n") % length >= length - before, F.array(own, own + 1)).otherwise(F.array(own)) if before else F.array(own)
     rows = rows.withColumn("chunk", F.explode(chunks))
     named = F.concat_ws("#", "tf", "chunk")
-    return rows.withColumns({"pos": (F.col("n") - F.col("chunk") * length).cast("int"), "__tf": F.col("tf"), "tf": named})
+    return rows.withColumns({"pos": (F.col("n") - F.col("chunk") * length).cast("int"), "series_tf": F.col("tf"), "tf": named})
 
 
 def whole(rows: DataFrame) -> DataFrame:
-    return rows.where("pos >= 0").withColumn("tf", F.col("__tf")).drop("n", "chunk", "pos", "__tf")
+    return rows.where("pos >= 0").withColumn("tf", F.col("series_tf")).drop("n", "chunk", "pos", "series_tf")

@@ -1,12 +1,13 @@
-"""Analysis of signed-volume bars, volume agreement of two intervals, and paper trades."""
+"""Analysis of signed-volume bars, sweeps with confirmation, volume agreement of two intervals, and paper trades."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ladder, lag, last_rows, safe_divide
+from ..functions.scalars import ladder, lag, last_rows, safe_divide, series, so_far
 from .scan import Kernel, scan
+from .structure import with_pivots
 
 
 def delta_analysis(bars: DataFrame, recent: int = 5, lookback: int = 20) -> DataFrame:
@@ -61,6 +62,49 @@ def recent_ratio(x: str, n: int = 20) -> Column:
     return safe_divide(F.col(x), F.avg(x).over(last_rows(n)), 1.0)
 
 
+def sweeps(bars: DataFrame, n: int = 5, levels: int = 10, most: int = 3, usual: int = 20, least_rv: float = 1.2, flip: float = 0.1) -> DataFrame:
+    """Levels run over and given back, on bars of signed volume (volume, delta_ratio).
+
+    The last ``levels`` swings of either side that are known by a bar are its levels, the newest first. A
+    high beyond one sweeps it upwards if one of the last ``most`` closes, the bar's own first, is below
+    it; lows likewise, where no high does. The bar of that close confirms the sweep if its volume is ``least_rv`` times
+    that of up to ``usual`` bars before it and its delta points the other way: those who followed are trapped then.
+    sweep_side (up, down), swept_level, bars_to_close, post_sweep_rv, delta_flipped, trapped_side and sweep_confidence; nulls where there is none, and in the first two bars.
+    """
+    w = series()
+    rows = with_pivots(bars, n)
+    for side in ("high", "low"):
+        known = F.lag(f"swing_{side}", n).over(w)
+        rows = rows.withColumns({"__known": known, "__is": known.isNotNull()})
+        own = Window.partitionBy("symbol", "tf", "__is").orderBy("ts", "seq").rowsBetween(1 - levels, 0)
+        rows = rows.withColumn("__list", F.when(F.col("__is"), F.reverse(F.collect_list("__known").over(own))))
+        rows = rows.withColumn(f"__{side}s", F.last("__list", ignorenulls=True).over(so_far()))
+    rows = rows.drop("__known", "__is", "__list").withColumns({"__n": F.row_number().over(w), "__up": F.get(F.filter("__highs", lambda x: x < F.col("high")), F.lit(0)), "__down": F.get(F.filter("__lows", lambda x: x > F.col("low")), F.lit(0))})
+    at = lambda c, i: F.lag(c, i - 1).over(w)
+
+    def back(level: Column, way: int) -> Column:
+        """Which of the last closes is first on the level's own side again."""
+        found = None
+        for i in range(1, most + 1):
+            here = (F.col("__n") > i) & ((at("close", i) < level) if way > 0 else (at("close", i) > level))
+            found = F.when(here, i) if found is None else found.when(here, i)
+        return found
+
+    rows = rows.withColumns({"__bu": back(F.col("__up"), 1), "__bd": back(F.col("__down"), -1)})
+    up, down = F.col("__bu").isNotNull(), F.col("__bd").isNotNull()
+    enough = F.col("__n") >= 3
+    rows = rows.withColumns({"sweep_side": F.when(enough & up, "up").when(enough & down, "down"), "swept_level": F.when(enough & up, F.col("__up")).when(enough & down, F.col("__down")), "bars_to_close": F.when(enough, F.coalesce("__bu", "__bd"))})
+    i, side = F.col("bars_to_close"), F.col("sweep_side")
+    pick = lambda f: F.coalesce(*[F.when(i == k, f(k)) for k in range(1, most + 1)])
+    before = pick(lambda k: F.avg("volume").over(w.rowsBetween(-(k + usual), -(k + 1))))
+    rows = rows.withColumns({"__v": pick(lambda k: at("volume", k)), "__before": before, "__ratio": pick(lambda k: at("delta_ratio", k))})
+    rv, ratio = F.when(F.col("__before") > 0, F.col("__v") / F.col("__before")).otherwise(0.0), F.col("__ratio")
+    rows = rows.withColumns({"post_sweep_rv": F.when(side.isNotNull(), rv), "delta_flipped": F.when(side == "up", ratio < -flip).when(side == "down", ratio > flip)})
+    sure = F.col("delta_flipped") & (F.col("post_sweep_rv") > least_rv)
+    rows = rows.withColumns({"trapped_side": F.when(F.col("delta_flipped"), F.when(side == "up", "longs").otherwise("shorts")), "sweep_confirmed": F.when(side.isNotNull(), sure)})
+    return rows.withColumn("sweep_confidence", F.when(F.col("sweep_confirmed"), F.least(F.lit(95.0), 60 + F.col("post_sweep_rv") * 10 + F.abs(ratio) * 50)).when(side.isNotNull(), 40.0).otherwise(0.0)).drop(*[c for c in rows.columns if c.startswith("__")])
+
+
 class PaperTrades(Kernel):
     """One open trade a series. A signal opens a trade, moves the stop and target of one to the same side, or closes one to the other side; a price beyond the stop closes before one beyond the target. The trade that ends is told with its exit and result in per cent, less the fee."""
 

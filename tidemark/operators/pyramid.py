@@ -74,7 +74,7 @@ def windows(rows: DataFrame, lengths: tuple[int, ...], ms: int) -> DataFrame:
 
 def own(rows: DataFrame, ms: int) -> DataFrame:
     """The chunks' own rows, with the step's end as ``ts``."""
-    return rows.where("pos >= 0").withColumn("ts", F.timestamp_millis((F.col("n") + 1) * ms)).drop("tf", "__tf", "chunk", "pos")
+    return rows.where("pos >= 0").withColumn("ts", F.timestamp_millis((F.col("n") + 1) * ms)).drop("tf", "series_tf", "chunk", "pos")
 
 
 def with_cvd(rows: DataFrame, reach: int, back: int = 9) -> DataFrame:
@@ -126,3 +126,36 @@ def relative(rows: DataFrame, k: int, context: int) -> Column:
     total = lambda w: F.col(f"buy_{w}") + F.col(f"sell_{w}")
     usual = total(context) * k / context
     return F.when(usual > 0, total(k) / F.nullif(usual, F.lit(0.0))).otherwise(1.0)
+
+
+def as_bars(rows: DataFrame, ms: int) -> DataFrame:
+    """Steps as bars, which ``ordered`` and the operators on bars take."""
+    return rows.select("symbol", F.lit("step").alias("tf"), F.timestamp_millis((F.col("n") + 1) * ms).alias("ts"), F.col("n").alias("seq"), "open", "high", "low", "close", (F.col("buy") + F.col("sell")).alias("volume"), "n")
+
+
+def precise(rows: DataFrame, k: int, least: int = 20, coverage: float = 0.7) -> Column:
+    """Whether the window's trades are many and spread enough to take their signed volume in the place of the candles'."""
+    return (F.col(f"trades_{k}") >= least) & (F.col(f"coverage_{k}") >= coverage)
+
+
+def exact_delta(rows: DataFrame, k: int) -> DataFrame:
+    """Bars with a candle's delta and a window's columns: where :func:`precise` holds, the window's signed volume takes the place of the candles' in recent_delta, delta_pct, bias, strength and divergence; ``used_precise`` tells."""
+    ratio = safe_divide(F.col(f"buy_{k}") - F.col(f"sell_{k}"), F.col(f"buy_{k}") + F.col(f"sell_{k}"))
+    use = precise(rows, k)
+    rows = rows.withColumns({"used_precise": use, "exact_ratio": F.when(use, ratio), "delta_pct": F.when(use, ratio * 100).otherwise(F.col("delta_pct")), "recent_delta": F.when(use, F.col(f"buy_{k}") - F.col(f"sell_{k}")).otherwise(F.col("recent_delta"))})
+    d, size, change, delta = F.col("delta_pct"), F.abs("delta_pct"), F.col("price_change"), F.col("recent_delta")
+    return rows.withColumns(
+        {
+            "aggression_bias": ladder((d > 30, "strong_buy"), (d > 10, "buy"), (d < -30, "strong_sell"), (d < -10, "sell"), otherwise="neutral"),
+            "delta_strength": ladder((size > 30, F.least(F.lit(95.0), 70.0 + (size - 30) * 0.5)), (size > 10, 55.0 + (size - 10) * 0.75), otherwise=40.0 + size * 1.5),
+            "delta_divergence": (change > 0) & (delta < 0) | (change < 0) & (delta > 0),
+        }
+    )
+
+
+def volume_signal(rows: DataFrame, k: int, context: int, least: int = 10) -> DataFrame:
+    """From a volume verdict and the windows: relative volume, side, strength (less in thin volume), and climax (none in thin volume). Null where the window has fewer than ``least`` trades."""
+    bias, rv = F.col("aggression_bias"), relative(rows, k, context)
+    climax = (F.col("accel_state") == "climax") | F.col("exhaustion_risk").isin("high", "extreme")
+    made = {"volume_rv": rv, "volume_side": F.when(bias.endswith("buy"), "bullish").when(bias.endswith("sell"), "bearish").otherwise("neutral"), "volume_strength": F.col("volume_confidence") * F.least(rv, F.lit(1.0)), "is_climax": climax & (rv >= 1.0)}
+    return rows.withColumns({c: F.when(F.col(f"trades_{k}") >= least, x) for c, x in made.items()})

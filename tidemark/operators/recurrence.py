@@ -66,7 +66,7 @@ def with_averages(rows: DataFrame, averages: dict[str, Average], context: int =
         tails[name] = (decay, 1 if decay <= 0 else max(1, math.ceil(LEAST_BITS / (-length * math.log2(decay)))))
     begun = rows.withColumns(local)
     # the value right before the next chunk's first row that counts
-    ends = begun.where(F.col("pos") == length - context - 1).select("symbol", F.col("__tf").alias("__name"), (F.col("chunk") + 1).alias("__chunk"), *[F.col(f"__{n}").alias(f"__end_{n}") for n in averages])
+    ends = begun.where(F.col("pos") == length - context - 1).select("symbol", F.col("series_tf").alias("__name"), (F.col("chunk") + 1).alias("__chunk"), *[F.col(f"__{n}").alias(f"__end_{n}") for n in averages])
     past = Window.partitionBy("symbol", "__name").orderBy("__chunk")
     started = {}
     for name, (decay, lags) in tails.items():

@@ -63,6 +63,49 @@ def volume_mtf_agreement(spark, d):
     return rounded(P.volume_agreement(rows), *KEY, "ltf_ratio", "htf_ratio", "mtf_volume", "mtf_accepted", "mtf_confidence")
 
 
+def _pivot(side: str) -> str:
+    """A bar beyond the five on either side, as the bar five later knows it."""
+    best, worse = ("max", ">") if side == "high" else ("min", "<")
+    beyond = " AND ".join(f"count(*) OVER {w} = 5 AND {side} {worse} {best}({side}) OVER {w}" for w in (Q.rows(5, -1), f"({Q.W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"))
+    return f"CASE WHEN {beyond} THEN {side} END AS p_{side}"
+
+
+def _levels(side: str) -> str:
+    """The last ten known pivots at each bar, the newest first."""
+    return f"(SELECT symbol, ts, list_reverse(list(k) OVER ({Q.W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS {side}s FROM (SELECT symbol, ts, lag(p_{side}, 5) OVER ({Q.W}) AS k FROM pv) WHERE k IS NOT NULL)"
+
+
+def _closes(level: str, sign: str) -> str:
+    return "CASE " + " ".join(f"WHEN i > {k} AND {'close' if k == 1 else f'lag(close, {k - 1}) OVER ({Q.W})'} {sign} {level} THEN {k}" for k in (1, 2, 3)) + " END"
+
+
+def _picked(x: str) -> str:
+    return "CASE b " + " ".join(f"WHEN {k} THEN {x.format(k=k, at=k - 1, a=k + 20, z=k + 1)}" for k in (1, 2, 3)) + " END"
+
+
+_SWEEPS = (
+    _BARS.rstrip()
+    + f""", sb AS (SELECT symbol, ts, high, low, close, buy_volume + sell_volume AS v, CASE WHEN abs(buy_volume + sell_volume) > 1e-9 THEN (buy_volume - sell_volume) / (buy_volume + sell_volume) ELSE 0 END AS dr, row_number() OVER ({Q.W}) AS i FROM f),
+pv AS (SELECT *, {_pivot('high')}, {_pivot('low')} FROM sb),
+lv AS (SELECT p.*, list_filter(h.highs, lambda x: x < p.high)[1] AS up, list_filter(l.lows, lambda x: x > p.low)[1] AS dn FROM pv p ASOF LEFT JOIN {_levels('high')} h ON p.symbol = h.symbol AND p.ts >= h.ts ASOF LEFT JOIN {_levels('low')} l ON p.symbol = l.symbol AND p.ts >= l.ts),
+bk AS (SELECT *, {_closes('up', '<')} AS bu, {_closes('dn', '>')} AS bd FROM lv),
+sd AS (SELECT *, CASE WHEN i < 3 THEN NULL WHEN bu IS NOT NULL THEN 'up' WHEN bd IS NOT NULL THEN 'down' END AS side, CASE WHEN i >= 3 THEN coalesce(bu, bd) END AS b FROM bk),
+pk AS (SELECT *, {_picked(f'lag(v, {{at}}) OVER ({Q.W})')} AS pvol, {_picked(f'avg(v) OVER ({Q.W} ROWS BETWEEN {{a}} PRECEDING AND {{z}} PRECEDING)')} AS mean, {_picked(f'lag(dr, {{at}}) OVER ({Q.W})')} AS pr FROM sd),
+fl AS (SELECT *, CASE WHEN side IS NOT NULL THEN CASE WHEN mean > 0 THEN pvol / mean ELSE 0 END END AS prv, CASE side WHEN 'up' THEN pr < -0.1 WHEN 'down' THEN pr > 0.1 END AS flipped FROM pk)"""
+)
+
+
+@query(
+    _SWEEPS
+    + f""" SELECT symbol, ts::TIMESTAMPTZ AS ts, side AS sweep_side, {Q.r("CASE side WHEN 'up' THEN up WHEN 'down' THEN dn END", 'swept_level')}, b AS bars_to_close, {Q.r('prv', 'post_sweep_rv')}, flipped AS delta_flipped, CASE WHEN flipped THEN CASE side WHEN 'up' THEN 'longs' ELSE 'shorts' END END AS trapped_side,
+ flipped AND prv > 1.2 AS sweep_confirmed, {Q.r('CASE WHEN flipped AND prv > 1.2 THEN least(95, 60 + prv * 10 + abs(pr) * 50) WHEN side IS NOT NULL THEN 40 ELSE 0 END', 'sweep_confidence')} FROM fl WHERE side IS NOT NULL"""
+)
+def sweep_confirmation(spark, d):
+    """Sweeps of swing levels on daily bars of signed volume, and whether volume and delta confirm them."""
+    rows = P.sweeps(B.delta_bars(T.trades(spark, d), "1d", filtered=False)).where("sweep_side is not null")
+    return rounded(rows, *KEY, "sweep_side", "swept_level", "bars_to_close", "post_sweep_rv", "delta_flipped", "trapped_side", "sweep_confirmed", "sweep_confidence")
+
+
 @query()
 def trade_tracker_stats(spark, d):
     """A long where the close rises through its average, a short where it falls through, stopped and targeted at one and two per cent."""

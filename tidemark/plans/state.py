@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import components as J
 from ..operators import pyramid as P
-from ..operators.ordered import numbered
+from ..operators import precise as X
+from ..operators import verdict as D
+from ..operators import volume as V
+from ..operators.ordered import apart, numbered, whole
+from ..functions.scalars import last_rows
 from ..sources import market as T
 from ..sources.storage import stored
 from .live import _events_as_trades
+from . import market
 from .market import rounded
+from .oracle import bars as _bars
 from .oracle import r
 
 QUERIES: dict = {}
@@ -175,3 +183,39 @@ def market_state(spark, d):
     parts = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("volume_score", "book_score", "oi_score", "funding_score")]
     made = rows.select("symbol", "ts", "price_pct", "oi_pct", "delta_ratio", "rv", (F.col("funding.rate") * 1e4).alias("funding_bps"), F.col("funding.zone").alias("funding_zone"), sigmas.alias("funding_sigmas"), "imbalance", *parts, "total_score", "confidence", "action", "data_quality", "warm")
     return rounded(made)
+
+
+def _volume_signal(spark, d) -> DataFrame:
+    """Half-hour bars' verdict, with the windows' signed volume where that is known well enough, and the higher window's volume as context."""
+    steps = stored(P.steps(_trades(spark, d), STEP))
+    windows = P.own(P.windows(P.chunks(steps, CONTEXT), (PRIMARY, HIGHER, CONTEXT), STEP), STEP)
+    bars = apart(numbered(P.as_bars(steps, STEP).drop("n")), 20)
+    judged = V.with_exhaustion(V.with_acceleration(V.with_candle_delta(bars))).withColumns({"price_change": F.col("close") - F.first("close").over(last_rows(5)), "ltf_ratio": X.recent_ratio("volume")})
+    judged = whole(judged).drop("open", "high", "low", "close", "volume")
+    rows = judged.join(windows.drop("open", "high", "low", "close", "n", "tf"), ["symbol", "ts"])
+    higher = (F.col(f"buy_{HIGHER}") + F.col(f"sell_{HIGHER}")) * CONTEXT / HIGHER / (F.col(f"buy_{CONTEXT}") + F.col(f"sell_{CONTEXT}"))
+    rows = X.volume_agreement(P.exact_delta(rows.withColumn("htf_ratio", higher), PRIMARY))
+    return P.volume_signal(D.with_volume_verdict(rows, F.col("exact_ratio")), PRIMARY, CONTEXT)
+
+
+_BARS_OF_STEPS = "WITH bars AS (SELECT symbol, make_timestamp((n + 1) * 1800000000) AS ts, open, high, low, close, buy + sell AS volume, trades FROM st)"
+_of_steps = lambda name: re.sub(r"round\((.*?), 6\) \+ 0 AS", r"(\1) AS", market.ORACLES[name].replace(_bars("hour"), _BARS_OF_STEPS))  # noqa: E731  (not rounded in between)
+_VOLUME = f""", cd AS ({_of_steps('volume_candle_delta')}), ac AS ({_of_steps('volume_acceleration')}), ex AS ({_of_steps('volume_exhaustion')}),
+pc5 AS (SELECT symbol, n, close - first(close) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS chg, (buy + sell) / avg(buy + sell) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS ltf FROM st),
+jv AS (SELECT w.*, chg, ltf, (buy_48 + sell_48) * 60 / 48 / (buy_60 + sell_60) AS htf, trades_12 >= 20 AND span_12 >= 15120000 AS prec, (buy_12 - sell_12) / (buy_12 + sell_12) AS ratio, cd.delta_pct, cd.recent_delta, accel_state, exhaustion_risk AS risk, exhaustion_confidence AS ec
+  FROM w JOIN pc5 USING (symbol, n) JOIN cd ON cd.symbol = w.symbol AND cd.ts = {_AT.removesuffix(' AS ts')} JOIN ac ON ac.symbol = w.symbol AND ac.ts = cd.ts JOIN ex ON ex.symbol = w.symbol AND ex.ts = cd.ts),
+kv AS (SELECT *, CASE WHEN prec THEN ratio * 100 ELSE delta_pct END AS dp, CASE WHEN prec THEN buy_12 - sell_12 ELSE recent_delta END AS rd, CASE WHEN ltf >= 1.5 AND htf >= 1.5 THEN 'confirmed' WHEN ltf >= 1.5 AND htf <= 0.7 THEN 'stop_run' WHEN ltf <= 0.7 AND htf >= 1.5 THEN 'reaccumulation' ELSE 'unclear' END AS st8 FROM jv),
+lv AS (SELECT *, CASE WHEN abs(dp) > 30 THEN least(95, 70 + (abs(dp) - 30) * 0.5) WHEN abs(dp) > 10 THEN 55 + (abs(dp) - 10) * 0.75 ELSE 40 + abs(dp) * 1.5 END AS ds, CASE st8 WHEN 'confirmed' THEN least(90, 60 + (ltf + htf - 2) * 10) WHEN 'stop_run' THEN least(85, 55 + abs(ltf - htf) * 10) WHEN 'reaccumulation' THEN 65 ELSE 40 END AS mc, (buy_12 + sell_12) / ((buy_60 + sell_60) * 12 / 60) AS vrv FROM kv),
+sv AS (SELECT *, CASE WHEN dp > 10 THEN 'bullish' WHEN dp < -10 THEN 'bearish' ELSE 'neutral' END AS side, ((ds + ec) / 2 + mc) / 2 AS sure, CASE WHEN st8 IN ('confirmed', 'reaccumulation') AND ds > 70 THEN 'institutional' WHEN st8 = 'stop_run' THEN 'retail' WHEN prec AND abs(ratio) > 0.25 THEN 'institutional' ELSE 'mixed' END AS quality,
+  (accel_state = 'climax' OR risk IN ('high', 'extreme')) AND vrv >= 1 AS climax FROM lv)"""
+
+
+@query(
+    _T
+    + _windows(*LENGTHS)
+    + _VOLUME
+    + f" SELECT symbol, {_AT}, prec AS used_precise, {r('dp', 'delta_pct')}, quality AS volume_quality, {r('CASE WHEN trades_12 >= 10 THEN vrv END', 'volume_rv')}, CASE WHEN trades_12 >= 10 THEN side END AS volume_side, {r('CASE WHEN trades_12 >= 10 THEN sure * least(vrv, 1) END', 'volume_strength')}, CASE WHEN trades_12 >= 10 THEN climax END AS is_climax FROM sv"
+)
+def volume_signal(spark, d):
+    """The volume engine over several windows: precise signed volume where six hours have enough trades, the candles' else; relative volume against thirty hours."""
+    return rounded(_volume_signal(spark, d), "symbol", "ts", "used_precise", "delta_pct", "volume_quality", "volume_rv", "volume_side", "volume_strength", "is_climax")
