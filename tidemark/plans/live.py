@@ -15,10 +15,12 @@ from ..operators import windows as N
 from ..operators.kernels import with_relative_volume, with_true_range
 from ..operators.scan import scan
 from ..sources import market as T
-from ..sources.storage import shared_dir
+from ..sources.storage import shared_dir, stored
+from ..streaming import ordered as Z
 from ..streaming import state as X
 from . import oracle as Q
 from .market import _TR, KEY, hour, rounded
+from .momentum import _REC, _RSI
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -178,19 +180,23 @@ def trade_plan(spark, d):
     return rounded(planned, *KEY, "candidate", "direction", "kind", "risk", "entry", "stop_loss", "take_profit", "volume_confirms", "book_confirms", "oi_confirms", "warnings")
 
 
-def replayed(spark, rows, plan):
-    """Run a streaming plan over a stored table to its end; the sink is a table in the shared folder."""
+def replayed(spark, rows, plan, close_ms: int | None = None):
+    """Run a streaming plan over a stored table to its end; the sink is a table in the shared folder. ``close_ms``: a closing row so long after the last lets the watermark pass all others."""
     folder = shared_dir(spark)
+    if close_ms is not None:
+        rows = stored(rows)
+        rows = rows.unionByName(Z.closing_row(rows, close_ms))
     rows.write.parquet(f"{folder}/in")
     stream = plan(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query()
+@query(_REC("hour") + _RSI + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('rsi', 'rsi')} FROM rsi")
 def rsi_stream(spark, d):
-    """The RSI kernel in a stream over hourly bars."""
-    return rounded(replayed(spark, hour(spark, d).coalesce(1), lambda s: X.stream_scan(s, S.Rsi)), *KEY, "rsi")
+    """The RSI kernel in a stream over hourly bars, in whatever order their files are read."""
+    bars = hour(spark, d)
+    return rounded(replayed(spark, bars, lambda s: Z.in_order(s, S.Rsi, "1 day", ("symbol", "tf"), ("ts", "seq")), 172_800_000), *KEY, "rsi")
 
 
 @query("SELECT event_type AS symbol, ts::TIMESTAMPTZ AS ts, event_id AS trade_id FROM events")
@@ -200,9 +206,14 @@ def stream_dedupe(spark, d):
     return replayed(spark, rows.union(rows), X.deduplicated).select("symbol", "ts", "trade_id")
 
 
-@query()
+@query(
+    """WITH w AS (SELECT event_type AS symbol, event_id % 2 = 0 AS sold, date_trunc('hour', ts) + to_hours(unnest(range(1, 7))) AS e FROM events)
+SELECT symbol, e::TIMESTAMPTZ AS ts, sum(CASE WHEN sold THEN -1 ELSE 1 END)::DOUBLE AS delta, count(*)::DOUBLE AS volume, count(*) AS trades FROM w GROUP BY ALL"""
+)
 def stream_sliding_delta(spark, d):
-    return replayed(spark, _events_as_trades(spark, d).coalesce(1), lambda s: X.sliding_delta(s, "6 hours", "1 hour", "1 hour"))
+    """Signed volume of six hours, every hour; the last windows are closed by a row beyond them."""
+    rows = replayed(spark, _events_as_trades(spark, d), lambda s: X.sliding_delta(s, "6 hours", "1 hour", "1 hour"), 8 * 3_600_000)
+    return rows.where(F.col("symbol") != Z.CLOSING)
 
 
 @query(Q.TRADES + ", k AS (SELECT symbol, ts, price, quantity, trade_id FROM trades), s AS (SELECT symbol, min(epoch_ms(ts)) AS a, max(epoch_ms(ts)) AS b FROM k GROUP BY symbol), p AS (SELECT k.*, floor((epoch_ms(ts) - a) / ((b - a) / 20.0))::BIGINT AS bar FROM k JOIN s USING (symbol)) SELECT symbol, bar, round(first(price ORDER BY ts, trade_id), 6) + 0 AS open, round(max(price), 6) + 0 AS high, round(min(price), 6) + 0 AS low, round(last(price ORDER BY ts, trade_id), 6) + 0 AS close, round(sum(quantity), 6) + 0 AS volume FROM p WHERE bar < 20 GROUP BY ALL")

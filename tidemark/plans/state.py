@@ -16,7 +16,8 @@ from ..operators.ordered import apart, numbered, whole
 from ..functions.scalars import last_rows
 from ..sources import market as T
 from ..sources.storage import stored
-from .live import _events_as_trades
+from ..streaming import ordered as Z
+from .live import _events_as_trades, replayed
 from . import market
 from .market import rounded
 from .oracle import bars as _bars
@@ -219,3 +220,23 @@ sv AS (SELECT *, CASE WHEN dp > 10 THEN 'bullish' WHEN dp < -10 THEN 'bearish' E
 def volume_signal(spark, d):
     """The volume engine over several windows: precise signed volume where six hours have enough trades, the candles' else; relative volume against thirty hours."""
     return rounded(_volume_signal(spark, d), "symbol", "ts", "used_precise", "delta_pct", "volume_quality", "volume_rv", "volume_side", "volume_strength", "is_climax")
+
+
+@query(
+    _T
+    + _windows(PRIMARY, CONTEXT)
+    + _STREAMS
+    + f" SELECT symbol, {_AT}, {r('coalesce(past, p0)', 'old_price')}, {r('oi_pct', 'oi_pct')}, {r('rate * 1e4', 'funding_bps')}, {r('imbalance', 'imbalance')} FROM ch"
+)
+def components_stream(spark, d):
+    """The components of the market state joined in a stream of all of them mixed: state by symbol, rows in order of time once the watermark has passed them."""
+    events = T.table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    zero = F.lit(0).cast("long").alias("seq")
+    oi = events.groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("k").alias("value"))
+    eight = F.timestamp_millis(F.floor(F.unix_millis("ts") / 28_800_000) * 28_800_000)
+    funding = events.groupBy("symbol", eight.alias("ts")).agg(((F.avg("value") - 50) / 1e5).alias("value"))
+    grid = events.select("symbol", F.timestamp_millis((F.floor(F.unix_millis("ts") / STEP) + 1) * STEP).alias("ts")).distinct()
+    of = lambda df, kind, side, value, seq=zero: df.select("symbol", "ts", seq, F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.lit(kind == "grid").alias("asks"), F.unix_millis("ts").alias("ms"), value.cast("double").alias("value"))
+    mixed = of(events, "price", 0, F.col("value"), F.col("seq")).unionByName(of(events, "book", 0, (2 * F.col("k") - 100) / 100, F.col("seq"))).unionByName(of(oi, "oi", 0, F.col("value"))).unionByName(of(funding, "funding", 0, F.col("value"))).unionByName(of(grid, "grid", 1, F.lit(None)))
+    rows = replayed(spark, mixed, lambda s: Z.in_order(s, lambda: Z.Components(PRICE_BACK * STEP, PRIMARY * STEP), "1 day", only="asks"), 172_800_000)
+    return rounded(rows.select("symbol", "ts", "old_price", "oi_pct", (F.col("funding_rate") * 1e4).alias("funding_bps"), "imbalance"))
