@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import components as J
 from ..operators import pyramid as P
 from ..operators import precise as X
+from ..operators import regime as G
 from ..operators import verdict as D
 from ..operators import volume as V
+from ..operators.scan import scan
 from ..operators.ordered import apart, numbered, whole
 from ..functions.scalars import last_rows
 from ..sources import market as T
@@ -240,3 +242,42 @@ def components_stream(spark, d):
     mixed = of(events, "price", 0, F.col("value"), F.col("seq")).unionByName(of(events, "book", 0, (2 * F.col("k") - 100) / 100, F.col("seq"))).unionByName(of(oi, "oi", 0, F.col("value"))).unionByName(of(funding, "funding", 0, F.col("value"))).unionByName(of(grid, "grid", 1, F.lit(None)))
     rows = replayed(spark, mixed, lambda s: Z.in_order(s, lambda: Z.Components(PRICE_BACK * STEP, PRIMARY * STEP), "1 day", only="asks"), 172_800_000)
     return rounded(rows.select("symbol", "ts", "old_price", "oi_pct", (F.col("funding_rate") * 1e4).alias("funding_bps"), "imbalance"))
+
+
+_LONGS, _SHORTS = "zone IN ('extreme_positive', 'high_positive')", "zone IN ('extreme_negative', 'high_negative')"
+_PATH = "CASE WHEN imbalance > -1 THEN CASE WHEN (1 - imbalance) / (1 + imbalance) < 0.7 THEN 'up' WHEN (1 - imbalance) / (1 + imbalance) > 1 / 0.7 THEN 'down' ELSE 'balanced' END ELSE 'down' END"
+_REGIME = f""", rg AS (SELECT tt.symbol, tt.n, tt.close, tt.rv, tt.dr, total, least(100, 100 * abs(total) / 0.85) AS sure, oi_pct > 0.1 AS rising, zone, CASE WHEN sv.trades_12 >= 10 THEN sv.side END AS vside, coalesce(sv.trades_12 >= 10 AND sv.climax, false) AS climax,
+  CASE WHEN imbalance IS NULL THEN NULL ELSE {_PATH} END AS path, CASE WHEN z.trades_12 >= 10 AND dv THEN cs END AS dvs FROM tt JOIN sv USING (symbol, n) JOIN z USING (symbol, n)),
+wt AS (SELECT *, CASE WHEN rv < 0.5 THEN 'LOW_VOLUME' WHEN sure < 25 THEN 'NO_TRADE' WHEN rising AND abs(dr) < 0.1 THEN 'COMPRESSION' WHEN rising AND {_SHORTS} AND vside = 'bullish' THEN 'SQUEEZE_SETUP_LONG' WHEN rising AND {_LONGS} AND vside = 'bearish' THEN 'SQUEEZE_SETUP_SHORT'
+  WHEN climax AND vside = 'bullish' THEN 'EXHAUSTION_LONG' WHEN climax AND vside = 'bearish' THEN 'EXHAUSTION_SHORT' WHEN total >= 0.55 AND sure >= 50 AND rising AND NOT ({_LONGS}) THEN 'TREND_CONTINUATION_LONG' WHEN total <= -0.55 AND sure >= 50 AND rising AND NOT ({_SHORTS}) THEN 'TREND_CONTINUATION_SHORT'
+  WHEN total >= 0.7 AND sure >= 70 AND rv >= 1.5 AND path = 'up' THEN 'BREAKOUT_LONG' WHEN total <= -0.7 AND sure >= 70 AND rv >= 1.5 AND path = 'down' THEN 'BREAKOUT_SHORT' WHEN dvs = 'bullish' THEN 'ACCUMULATION' WHEN dvs = 'bearish' THEN 'DISTRIBUTION' ELSE 'NO_TRADE' END AS wanted FROM rg),
+rl AS (SELECT *, lag(wanted) OVER (PARTITION BY symbol ORDER BY n) AS was FROM wt), rm AS (SELECT *, sum(CASE WHEN wanted = was THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY n) AS run FROM rl),
+rn AS (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY n) AS calls FROM rm),
+ro AS (SELECT *, coalesce(last_value(CASE WHEN wanted IN ('NO_TRADE', 'LOW_VOLUME', 'CHOPPY') OR calls >= 3 THEN wanted END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY n), 'NO_TRADE') AS regime FROM rn)"""
+_DIRECTED = "CASE WHEN wanted IN ('SQUEEZE_SETUP_LONG', 'TREND_CONTINUATION_LONG', 'BREAKOUT_LONG', 'EXHAUSTION_SHORT') THEN 'long' WHEN wanted IN ('SQUEEZE_SETUP_SHORT', 'TREND_CONTINUATION_SHORT', 'BREAKOUT_SHORT', 'EXHAUSTION_LONG') THEN 'short' END"
+
+
+@query(
+    _T
+    + _windows(*LENGTHS)
+    + _CVD
+    + _STREAMS
+    + _VOLUME
+    + _REGIME
+    + f""" SELECT symbol, {_AT}, wanted AS candidate, regime, regime <> coalesce(lag(regime) OVER (PARTITION BY symbol ORDER BY n), 'NO_TRADE') AS changed, {_DIRECTED} AS direction, CASE WHEN {_DIRECTED} IS NOT NULL THEN rv >= 1.2 END AS volume_confirms,
+ CASE {_DIRECTED} WHEN 'long' THEN coalesce(path = 'up', false) WHEN 'short' THEN coalesce(path = 'down', false) END AS book_confirms, CASE {_DIRECTED} WHEN 'long' THEN coalesce(rising AND NOT ({_LONGS}), false) WHEN 'short' THEN coalesce(rising AND NOT ({_SHORTS}), false) END AS oi_confirms FROM ro"""
+)
+def market_regime(spark, d):
+    """The regime machine on the market state: open interest, funding and book from their own streams, every rule as it stands; with the trade that each half-hour's call asks for."""
+    rows = _market_state(spark, d)
+    volume = _volume_signal(spark, d).select("symbol", "ts", "volume_side", F.coalesce("is_climax", F.lit(False)).alias("is_climax"))
+    delta = P.own(P.delta_signal(P.with_cvd(_stepped(spark, d, (PRIMARY,)), PRIMARY), PRIMARY), STEP).select("symbol", "ts", F.when(F.col("is_divergent"), F.col("cvd_side")).alias("divergence_side"))
+    rows = rows.join(volume, ["symbol", "ts"]).join(delta, ["symbol", "ts"])
+    i = F.col("imbalance")
+    stands = (1 - i) / F.nullif(1 + i, F.lit(0.0))
+    longs, shorts = (F.col("funding.crowd").isin(f"heavily_{s}", f"moderately_{s}") for s in ("long", "short"))
+    rising = F.coalesce(F.col("oi_pct") > 0.1, F.lit(False))
+    rows = rows.withColumns({"oi_direction": F.when(F.col("oi_pct") > 0.1, "rising").when(F.col("oi_pct") < -0.1, "falling").otherwise("flat"), "crowd": F.coalesce("funding.crowd", F.lit("balanced")), "path": F.when(i <= -1, "down").when(stands < 0.7, "up").when(stands > 1 / 0.7, "down").when(i.isNotNull(), "balanced"), "allows_long": rising & ~longs, "allows_short": rising & ~shorts})
+    called = rows.withColumns({"candidate": G.candidate(), "ms": F.unix_millis("ts"), "seq": F.lit(0).cast("long"), "tf": F.lit("step"), "atr": F.lit(None).cast("double"), "is_extreme": F.col("funding.zone").startswith("extreme"), "spoof_side": F.lit(None).cast("string")})
+    planned = G.with_trade(called.withColumn("regime", F.col("candidate"))).select("symbol", "tf", "ts", "seq", "ms", "candidate", "direction", "volume_confirms", "book_confirms", "oi_confirms")
+    return scan(planned, [G.Transitions]).select("symbol", "ts", "candidate", "regime", "changed", "direction", "volume_confirms", "book_confirms", "oi_confirms")
