@@ -14,7 +14,8 @@ def asof(left: DataFrame, right: DataFrame, value: str, nearest: bool = False, k
     both = left.withColumn("__e", F.lit(None).cast(kind)).withColumn("__side", F.lit(1)).unionByName(right.select(key, "ts", entry.alias("__e"), F.lit(0).alias("__side")), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("ts", "__side")
     before = F.last("__e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__e", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # backwards, so that the frame grows with the rows; a value of the row's own time is known before and not needed here
+    after = F.last("__e", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = both.withColumn("__b", before)
     if nearest:
         rows = rows.withColumn("__a", after)

@@ -19,7 +19,7 @@ from .ordered import apart
 #: Chunks have so many times the steps of the longest window.
 SPREAD = 4
 _ADDED = ("buy", "sell", "notional", "trades")
-_LEAST, _MOST = ("low", "first_ms"), ("high",)
+_LEAST, _MOST = ("low", "begin"), ("high",)
 
 
 def steps(trades: DataFrame, ms: int) -> DataFrame:
@@ -57,18 +57,19 @@ def _extremes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def windows(rows: DataFrame, lengths: tuple[int, ...], ms: int) -> DataFrame:
-    """Chunks of steps with, for each length k in steps: buy_k, sell_k, notional_k, trades_k, low_k, high_k, span_k (milliseconds from its first trade to its last), coverage_k (the span's share of the length, at most 1) and complete_k (nine tenths or more)."""
+    """Chunks of steps with, for each length k in steps: buy_k, sell_k, notional_k, trades_k, open_k, low_k, high_k, span_k (milliseconds from its first trade to its last), coverage_k (the span's share of the length, at most 1) and complete_k (nine tenths or more)."""
     order = Window.partitionBy("symbol", "tf").orderBy("n")
     now = order.rangeBetween(Window.unboundedPreceding, 0)
     made = {}
     for k in lengths:
         past = order.rangeBetween(Window.unboundedPreceding, -k)
         made |= {f"{c}_{k}": F.sum(c).over(now) - F.coalesce(F.sum(c).over(past), F.lit(0)) for c in _ADDED}
-    out = rows.withColumns(made)
+    rows = rows.withColumn("begin", F.struct("first_ms", "open"))  # the least of a window is its first trade
+    out = rows.withColumns(made).drop("begin")
     for k in lengths:
-        out = out.join(_extremes(rows, k), ["symbol", "tf", "n"])
-        span = F.col("last_ms") - F.col(f"first_ms_{k}")
-        out = out.withColumns({f"span_{k}": span, f"coverage_{k}": F.least(F.lit(1.0), span / (k * ms)), f"complete_{k}": span >= 0.9 * k * ms}).drop(f"first_ms_{k}")
+        out = out.join(_extremes(rows, k), ["symbol", "tf", "n"]).withColumn(f"open_{k}", F.col(f"begin_{k}.open"))
+        span = F.col("last_ms") - F.col(f"begin_{k}.first_ms")
+        out = out.withColumns({f"span_{k}": span, f"coverage_{k}": F.least(F.lit(1.0), span / (k * ms)), f"complete_{k}": span >= 0.9 * k * ms}).drop(f"begin_{k}")
     return out
 
 
@@ -159,3 +160,9 @@ def volume_signal(rows: DataFrame, k: int, context: int, least: int = 10) -> Dat
     climax = (F.col("accel_state") == "climax") | F.col("exhaustion_risk").isin("high", "extreme")
     made = {"volume_rv": rv, "volume_side": F.when(bias.endswith("buy"), "bullish").when(bias.endswith("sell"), "bearish").otherwise("neutral"), "volume_strength": F.col("volume_confidence") * F.least(rv, F.lit(1.0)), "is_climax": climax & (rv >= 1.0)}
     return rows.withColumns({c: F.when(F.col(f"trades_{k}") >= least, x) for c, x in made.items()})
+
+
+def window_candles(rows: DataFrame, k: int, ms: int, least: int = 2) -> DataFrame:
+    """The window of k steps after each step as a candle of its own, where it has ``least`` trades: neighbouring candles overlap."""
+    candle = rows.where(F.col(f"trades_{k}") >= least).select("symbol", F.lit(f"window_{k}").alias("tf"), F.timestamp_millis((F.col("n") + 1) * ms).alias("ts"), F.col("n").alias("seq"), *[F.col(f"{c}_{k}").alias(c) for c in ("open", "high", "low")], "close", (F.col(f"buy_{k}") + F.col(f"sell_{k}")).alias("volume"), "pos")
+    return candle.where("pos >= 0").drop("pos")

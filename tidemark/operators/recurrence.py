@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import last_rows, series, so_far
+from ..functions.scalars import clip, ladder, last_rows, series, so_far
 from ..sources.storage import stored
 from .ordered import LENGTH, apart, numbered, whole
 
@@ -134,6 +134,24 @@ def with_atr(bars: DataFrame, n: int = 14, before: int = 0, length: int = LENGTH
     return with_averages(rows, {"atr": wilder(F.col("__range"), n, 1)}, before, length).drop("__range")
 
 
+def atr_expansion(bars: DataFrame, n: int = 14, mean: int = 20, squeeze: float = 0.8, expansion: float = 1.2, extreme: float = 1.6, spike: float = 1.5, fade: float = -0.05, length: int = LENGTH) -> DataFrame:
+    """Wilder's ATR from the first bar on against its own mean: atr, atr_pct, atr_exp (their ratio), tr_spike, atr_exp_slope, vol_state, vol_score and shock. WARMUP and no score while the mean isn't full."""
+    eps = 1e-12
+    rows = apart(numbered(bars), mean + 2, length).withColumn("__range", _true_range())
+    rows = with_averages(rows, {"atr": wilder(F.col("__range"), n)}, mean + 1, length)
+    full = lambda c: F.when(F.count(c).over(last_rows(mean)) == mean, F.avg(c).over(last_rows(mean)))
+    rows = rows.withColumns({"atr_pct": F.col("atr") / (F.col("close") + eps), "atr_exp": F.col("atr") / (full("atr") + eps), "tr_spike": F.col("__range") / (full("__range") + eps)})
+    rows = rows.withColumn("atr_exp_slope", F.col("atr_exp") - F.lag("atr_exp").over(series()))
+    x, slope, shock = F.col("atr_exp"), F.col("atr_exp_slope"), F.coalesce(F.col("tr_spike") >= spike, F.lit(False))
+    fading = F.coalesce((x >= expansion) & (slope <= fade), F.lit(False))
+    state = ladder((x.isNull(), "WARMUP"), (fading, "FADE_RISK"), (x < squeeze, "SQUEEZE"), (x >= extreme, "EXTREME"), (x >= expansion, "EXPANSION"), otherwise="NORMAL")
+    most = ladder((fading, 100.0), (x < squeeze, 30.0), (x >= extreme, 100.0), (x >= expansion, 85.0), otherwise=60.0)
+    base = 100 * clip((x - squeeze) / (extreme - squeeze + eps), 0.0, 1.0)
+    score = F.least(F.least(base, most) + F.when(shock, 5.0).otherwise(0.0), F.lit(100.0))
+    made = {"vol_state": state, "vol_score": F.when(x.isNotNull(), F.when(fading, F.greatest(score - 10, F.lit(0.0))).otherwise(score)), "shock": shock}
+    return whole(rows.withColumns(made).drop("__range"))
+
+
 def ema(bars: DataFrame, *periods: int, length: int = LENGTH) -> DataFrame:
     return whole(with_ema(bars, *periods, length=length))
 

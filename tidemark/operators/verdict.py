@@ -90,6 +90,17 @@ def with_permission(rows: DataFrame) -> DataFrame:
     return rows.withColumn("allowed_side", side)
 
 
+def structure_score(rows: DataFrame) -> DataFrame:
+    """structure_score, -1 to 1: half of the confidence towards the trend (0 without one), more for an accepted break, agreement with the higher interval and a fast follow-through, less for a rejected one, a change of character, disagreement or a stall. Needs :func:`with_permission`."""
+    trend, kind, accepted = F.col("trend"), F.col("last_break"), F.col("last_accepted")
+    base = ladder((trend == "uptrend", 0.5), (trend == "downtrend", -0.5), otherwise=0.0) * F.col("structure_confidence") / 100
+    broke = kind.startswith("bos")
+    event = ladder((broke & accepted, 1.3), (broke & ~accepted, 0.5), (kind.startswith("choch"), 0.6), otherwise=1.0)
+    align = ladder((F.col("tf_alignment") == "full_align", 1.2), (F.col("tf_alignment") == "counter_trend", 0.4), otherwise=1.0)
+    pace = ladder((F.col("structural_momentum") == "fast", 1.15), (F.col("structural_momentum") == "stalled", 0.7), otherwise=1.0)
+    return rows.withColumn("structure_score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), base * event * align * pace)))
+
+
 def structure_veto(allowed: Column, side: Column, confidence: Column) -> Column:
     """Whether structure forbids a signal: no side allowed, the other side allowed, or a range without high confidence."""
     return F.when(allowed.isNull(), True).when(allowed == "both", confidence < 60).otherwise(allowed != side)

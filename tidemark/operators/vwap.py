@@ -49,7 +49,29 @@ def anchored(bars: DataFrame, anchors: DataFrame) -> DataFrame:
     return _with_sums(bars.join(once, ["symbol", "tf"]).where("ts >= anchor_time"), ("symbol", "tf", "anchor_id"))
 
 
-def pruned(anchors: DataFrame, most: int = 3) -> DataFrame:
-    """The newest anchors of each series."""
-    w = Window.partitionBy("symbol", "tf").orderBy(F.desc("anchor_time"), "anchor_id")
-    return anchors.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
+def lived(bars: DataFrame, anchors: DataFrame, most: int = 3, removed: DataFrame | None = None, max_bars: int | None = None) -> DataFrame:
+    """:func:`anchored` while an anchor lives: until ``most`` newer ones of its series have been set (of one time, the larger id is newer), until a row of ``removed`` (symbol, tf, anchor_id, ts) takes it out, or for ``max_bars`` bars. Each bar meets the anchors that live then and no others: an anchor's life is an interval, and a bar has at most ``most``."""
+    once = anchors.groupBy("symbol", "tf", "anchor_id").agg(F.min("anchor_time").alias("anchor_time"))
+    if removed is not None:
+        once = once.join(removed.groupBy("symbol", "tf", "anchor_id").agg(F.min("ts").alias("until")), ["symbol", "tf", "anchor_id"], "left")
+    else:
+        once = once.withColumn("until", F.lit(None).cast("timestamp"))
+    newest = Window.partitionBy("symbol", "tf").orderBy("anchor_time", "anchor_id").rowsBetween(1 - most, 0)
+    lists = once.withColumn("__live", F.collect_list(F.struct("anchor_id", "anchor_time", "until")).over(newest))
+    # the list of live anchors as of each bar: both sides sorted once by time, anchors before the bar of their time
+    kind = lists.schema["__live"].dataType
+    sets = lists.select("symbol", "tf", F.col("anchor_time").alias("ts"), "__live", F.col("anchor_id").alias("__id"), F.lit(0).alias("__side"))
+    both = bars.withColumns({"__live": F.lit(None).cast(kind), "__side": F.lit(1)}).unionByName(sets, allowMissingColumns=True)
+    seen = Window.partitionBy("symbol", "tf").orderBy("ts", "__side", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("__set", F.last("__live", ignorenulls=True).over(seen)).where("__side = 1")
+    rows = rows.select(*bars.columns, F.inline("__set")).where(F.col("until").isNull() | (F.col("ts") < F.col("until"))).drop("until")
+    if max_bars is not None:
+        own = Window.partitionBy("symbol", "tf", "anchor_id").orderBy("ts", "seq")
+        rows = rows.withColumn("__age", F.row_number().over(own)).where(F.col("__age") <= max_bars).drop("__age")
+    return _with_sums(rows, ("symbol", "tf", "anchor_id"))
+
+
+def structure_anchors(rows: DataFrame) -> DataFrame:
+    """An anchor at each break of structure: its kind and the close, in cents, name it. Needs structure.with_breaks."""
+    event = F.col("structure_event")
+    return rows.where(event != "none").select("symbol", "tf", F.concat_ws("@", event, F.round(F.col("close") * 100).cast("long")).alias("anchor_id"), F.col("ts").alias("anchor_time"))

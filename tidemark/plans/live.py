@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -9,6 +10,7 @@ from ..operators import momentum as M
 from ..operators import regime as R
 from ..operators import score as C
 from ..operators import smoothing as S
+from ..operators import structure as G
 from ..operators import volume as V
 from ..operators import vwap as W
 from ..operators import windows as N
@@ -18,6 +20,7 @@ from ..sources import market as T
 from ..sources.storage import shared_dir, stored
 from ..streaming import ordered as Z
 from ..streaming import state as X
+from . import flow
 from . import oracle as Q
 from .market import _TR, KEY, hour, rounded
 from .momentum import _REC, _RSI
@@ -70,6 +73,27 @@ def vwap_anchored(spark, d):
     return rounded(W.anchored(bars, anchors), *_VWAP_COLUMNS)
 
 
+_EVENTS = flow.ORACLES["trend_hh_hl"]
+
+
+@query(
+    f"WITH te AS ({_EVENTS}), " + Q.bars("hour").removeprefix("WITH ") + """, an AS (SELECT te.symbol, structure_event || '@' || round(close * 100)::BIGINT AS anchor_id, min(bars.ts) AS anchor_time, bool_or(structure_event LIKE 'choch%') AS turn FROM te JOIN bars ON te.symbol = bars.symbol AND te.ts = bars.ts::TIMESTAMPTZ WHERE structure_event <> 'none' GROUP BY ALL),
+lf AS (SELECT *, lead(anchor_time, 3) OVER (PARTITION BY symbol ORDER BY anchor_time, anchor_id) AS pruned_at, (SELECT min(b.anchor_time) FROM an b WHERE b.symbol = an.symbol AND b.anchor_time > an.anchor_time AND b.turn) AS turned_at FROM an),
+ab AS (SELECT bars.*, anchor_id, anchor_time FROM bars JOIN lf USING (symbol) WHERE bars.ts >= anchor_time AND (pruned_at IS NULL OR bars.ts < pruned_at) AND (turned_at IS NULL OR bars.ts < turned_at))"""
+    + _vwap("anchor_id", "ab")
+    + f" SELECT anchor_id, {_VWAP_OUT} FROM y"
+)
+def vwap_structure_anchors(spark, d):
+    """Anchored at the last three breaks of structure; a change of character takes out the anchors before it."""
+    bars = hour(spark, d)
+    anchors = stored(W.structure_anchors(G.with_breaks(G.with_trend(bars))))
+    later = Window.partitionBy("symbol", "tf").orderBy("ts").rangeBetween(1, Window.unboundedFollowing)
+    once = anchors.groupBy("symbol", "tf", "anchor_id").agg(F.min("anchor_time").alias("anchor_time"))
+    marks = once.select("symbol", "tf", "anchor_id", F.unix_micros("anchor_time").alias("ts"), F.when(F.col("anchor_id").startswith("choch"), F.unix_micros("anchor_time")).alias("turn"))
+    ends = marks.withColumn("end", F.min("turn").over(later)).where("end is not null").select("symbol", "tf", "anchor_id", F.timestamp_micros("end").alias("ts"))
+    return rounded(W.lived(bars, anchors, 3, ends), "anchor_id", *_VWAP_COLUMNS)
+
+
 def _events_as_trades(spark, d):
     return T.event_ticks(spark, d).select("symbol", "ts", "seq", F.col("seq").alias("trade_id"), "price", F.lit(1.0).alias("quantity"), (F.col("seq") % 2 == 0).alias("is_buyer_maker"))
 

@@ -174,9 +174,20 @@ def supertrend_regime(spark, d):
     return rounded(M.supertrend_regime(hour(spark, d)), *KEY, "upper_band", "lower_band", "direction", "hold_bars", "flip_rate", "st_regime", "st_strength")
 
 
-@query()
+def expansion(source: str = "bars") -> str:
+    """CTEs that give ``xs``, the expansion of a source's ATR with state and score."""
+    w = Q.W
+    return f""", tx AS (SELECT symbol, ts, close, greatest(high - low, abs(high - lag(close) OVER ({w})), abs(low - lag(close) OVER ({w}))) AS tr FROM {source})""" + recursion("tx", "tr", 14, "1.0 / 14") + f""",
+xa AS (SELECT n.*, e.e AS atr FROM tx_n n LEFT JOIN tx_e e ON n.symbol = e.symbol AND n.i = e.i),
+xb AS (SELECT *, atr / (CASE WHEN count(atr) OVER {Q.rows(20)} = 20 THEN avg(atr) OVER {Q.rows(20)} END + 1e-12) AS x, tr / (CASE WHEN count(*) OVER {Q.rows(20)} = 20 THEN avg(tr) OVER {Q.rows(20)} END + 1e-12) AS spike FROM xa),
+xc AS (SELECT *, x - lag(x) OVER ({w}) AS slope, coalesce(spike >= 1.5, false) AS shock FROM xb), xd AS (SELECT *, coalesce(x >= 1.2 AND slope <= -0.05, false) AS fading, 100 * greatest(0, least(1, (x - 0.8) / (0.8 + 1e-12))) AS base FROM xc),
+xe AS (SELECT *, CASE WHEN x IS NULL THEN 'WARMUP' WHEN fading THEN 'FADE_RISK' WHEN x < 0.8 THEN 'SQUEEZE' WHEN x >= 1.6 THEN 'EXTREME' WHEN x >= 1.2 THEN 'EXPANSION' ELSE 'NORMAL' END AS state, least(100, least(base, CASE WHEN fading THEN 100 WHEN x < 0.8 THEN 30 WHEN x >= 1.6 THEN 100 WHEN x >= 1.2 THEN 85 ELSE 60 END) + CASE WHEN shock THEN 5 ELSE 0 END) AS sc FROM xd),
+xs AS (SELECT *, CASE WHEN x IS NOT NULL THEN CASE WHEN fading THEN greatest(0, sc - 10) ELSE sc END END AS score FROM xe)"""
+
+
+@query(_REC("hour") + expansion() + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('atr', 'atr')}, {Q.r('x', 'atr_exp')}, {Q.r('spike', 'tr_spike')}, {Q.r('slope', 'atr_exp_slope')}, state AS vol_state, {Q.r('score', 'vol_score')}, shock FROM xs")
 def atr_expansion(spark, d):
-    return rounded(M.atr_expansion(hour(spark, d)), *KEY, "atr", "atr_exp", "tr_spike", "atr_exp_slope", "vol_state", "vol_score", "shock")
+    return rounded(R.atr_expansion(hour(spark, d)), *KEY, "atr", "atr_exp", "tr_spike", "atr_exp_slope", "vol_state", "vol_score", "shock")
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import components as J
 from ..operators import pyramid as P
 from ..operators import precise as X
+from ..operators import recurrence as R
 from ..operators import regime as G
 from ..operators import verdict as D
 from ..operators import volume as V
@@ -22,6 +23,7 @@ from ..streaming import ordered as Z
 from .live import _events_as_trades, replayed
 from . import market
 from .market import rounded
+from .momentum import expansion
 from .oracle import bars as _bars
 from .oracle import r
 
@@ -281,3 +283,18 @@ def market_regime(spark, d):
     called = rows.withColumns({"candidate": G.candidate(), "ms": F.unix_millis("ts"), "seq": F.lit(0).cast("long"), "tf": F.lit("step"), "atr": F.lit(None).cast("double"), "is_extreme": F.col("funding.zone").startswith("extreme"), "spoof_side": F.lit(None).cast("string")})
     planned = G.with_trade(called.withColumn("regime", F.col("candidate"))).select("symbol", "tf", "ts", "seq", "ms", "candidate", "direction", "volume_confirms", "book_confirms", "oi_confirms")
     return scan(planned, [G.Transitions]).select("symbol", "ts", "candidate", "regime", "changed", "direction", "volume_confirms", "book_confirms", "oi_confirms")
+
+
+@query(
+    _T.replace("WITH tr", "WITH RECURSIVE tr", 1)
+    + _windows(PRIMARY)
+    + ", op AS (SELECT symbol, n, first(open) OVER (PARTITION BY symbol ORDER BY n RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS open FROM st), cn AS (SELECT symbol, n AS ts, open, high_12 AS high, low_12 AS low, close FROM (SELECT symbol, n, close, high_12, low_12, trades_12 FROM w) JOIN op USING (symbol, n) WHERE trades_12 >= 2)"
+    + expansion("cn")
+    + f" SELECT xs.symbol, make_timestamp((xs.ts + 1) * 1800000000)::TIMESTAMPTZ AS ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('x', 'atr_exp')}, state AS vol_state, {r('score', 'vol_score')}, CASE WHEN state IN ('EXPANSION', 'EXTREME') THEN 'bullish' WHEN state = 'FADE_RISK' THEN 'bearish' ELSE 'neutral' END AS vol_side FROM xs JOIN cn ON xs.symbol = cn.symbol AND xs.ts = cn.ts"
+)
+def window_expansion(spark, d):
+    """The last six hours as a candle after each half-hour, and the ATR's expansion over these overlapping candles."""
+    rows = R.atr_expansion(P.window_candles(_stepped(spark, d, (PRIMARY,)), PRIMARY, STEP))
+    state = F.col("vol_state")
+    side = F.when(state.isin("EXPANSION", "EXTREME"), "bullish").when(state == "FADE_RISK", "bearish").otherwise("neutral")
+    return rounded(rows.withColumn("vol_side", side), "symbol", "ts", "open", "high", "low", "atr_exp", "vol_state", "vol_score", "vol_side")

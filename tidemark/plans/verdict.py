@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_divide
+from ..operators import asof as A
+from ..operators import bars as B
 from ..operators import open_interest as O
 from ..operators import score as C
 from ..operators import structure as T
 from ..operators import verdict as X
 from ..sources import market as S
+from . import flow
 from . import oracle as Q
 from .flow import _FUND, _PIVOTS, _SEEN, _ahead
 from .market import KEY, _pct, hour, rounded
@@ -149,3 +152,31 @@ def structure_permission(spark, d):
     rows = X.with_permission(X.with_last_break(rows).withColumn("tf_alignment", F.lit("htf_range")))
     rows = rows.withColumn("long_vetoed", X.structure_veto(F.col("allowed_side"), F.lit("long"), F.col("structure_confidence")))
     return rounded(rows, *KEY, "trend", "structural_momentum", "structure_confidence", "allowed_side", "long_vetoed")
+
+
+_HIGHER = f", ht AS ({flow.ORACLES['trend_hh_hl'].replace(Q.bars('hour'), Q.bars('hour').replace("date_trunc('hour', ts)", 'time_bucket(INTERVAL 4 HOUR, ts)'))})"
+_ALIGNED = "CASE WHEN htf IS NULL OR htf = 'range' THEN 'htf_range' WHEN htf = trend THEN 'full_align' WHEN trend = 'range' THEN 'partial_align' ELSE 'counter_trend' END"
+_TWO = (
+    ORACLES["structure_permission"]
+    .rpartition("SELECT symbol, ts::TIMESTAMPTZ AS ts, trend, mo")[0]
+    .replace(" AS el FROM o)", f" AS el, htf, {_ALIGNED} AS al FROM (SELECT o.*, ht.trend AS htf FROM o ASOF LEFT JOIN ht ON o.symbol = ht.symbol AND o.ts + INTERVAL 1 HOUR >= ht.ts::TIMESTAMP + INTERVAL 4 HOUR))")
+    .replace("WHEN 'stalled' THEN -15 ELSE 0 END)) AS cf", "WHEN 'stalled' THEN -15 ELSE 0 END + CASE al WHEN 'full_align' THEN 15 WHEN 'counter_trend' THEN -20 WHEN 'partial_align' THEN 5 ELSE 0 END)) AS cf")
+    .replace(", n AS (SELECT *, first(ev)", _HIGHER + ", n AS (SELECT *, first(ev)", 1)
+)
+
+
+@query(
+    _TWO
+    + f""" SELECT symbol, ts::TIMESTAMPTZ AS ts, trend, htf AS htf_trend, al AS tf_alignment, {Q.r('cf', 'structure_confidence')}, side AS allowed_side, {Q.r("greatest(-1, least(1, CASE trend WHEN 'uptrend' THEN 0.5 WHEN 'downtrend' THEN -0.5 ELSE 0 END * cf / 100 * CASE WHEN leg > 0 AND starts_with(kind, 'bos') AND acc THEN 1.3 WHEN leg > 0 AND starts_with(kind, 'bos') AND NOT acc THEN 0.5 WHEN leg > 0 AND starts_with(kind, 'choch') THEN 0.6 ELSE 1 END * CASE al WHEN 'full_align' THEN 1.2 WHEN 'counter_trend' THEN 0.4 ELSE 1 END * CASE mo WHEN 'fast' THEN 1.15 WHEN 'stalled' THEN 0.7 ELSE 1 END))", 'structure_score')} FROM y"""
+)
+def structure_signal(spark, d):
+    """Structure of two intervals from one stream of trades: hourly bars, with the trend of the last four-hour bar that has closed."""
+    ticks = S.event_ticks(spark, d)
+    rows = T.with_range(T.acceptance(T.with_breaks(T.with_trend(B.ohlcv(ticks, "1h")))), most_pct=2.0)
+    high = T.with_trend(B.ohlcv(ticks, "4h")).select("symbol", (F.col("ts") + F.expr("interval 4 hours")).alias("ts"), F.col("trend").alias("htf_trend"))
+    closed = rows.withColumns({"__ts": F.col("ts"), "ts": F.col("ts") + F.expr("interval 1 hour")})
+    joined = A.asof(closed, high, "htf_trend").withColumn("ts", F.col("__ts")).drop("__ts")
+    joined = joined.withColumn("tf_alignment", F.coalesce(X.alignment(F.col("htf_trend"), F.col("trend")), F.lit("htf_range")))
+    joined = joined.withColumn("tf_alignment", F.when(F.col("htf_trend").isNull(), "htf_range").otherwise(F.col("tf_alignment")))
+    scored = X.structure_score(X.with_permission(X.with_last_break(joined)))
+    return rounded(scored, *KEY, "trend", "htf_trend", "tf_alignment", "structure_confidence", "allowed_side", "structure_score")
