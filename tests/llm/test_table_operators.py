@@ -6,6 +6,7 @@ import math
 import random
 import re
 import textwrap
+import time
 
 import pyarrow.fs as pafs
 import pytest
@@ -235,7 +236,9 @@ def test_licenses_inside_longer_texts(spark):
     assert got == {(0, "MIT"): (1.0, 1), (1, "ISC"): (1.0, 1), (2, "MIT"): (1.0, 0), (3, "MIT"): (1.0, 1)}
 
 
-def test_licenses_equal_all_runs_of_sentences(spark):
+@pytest.mark.parametrize("probe", [16, 1, 0])
+def test_licenses_equal_all_runs_of_sentences(spark, monkeypatch, probe):
+    monkeypatch.setattr(licenses, "PROBE", probe)  # with less, texts are gone through backwards
     rng = random.Random(9)
     templates = [("A", "a b a b c"), ("A", "b c a"), ("B", "d a b c a b e a d"), ("C", "q")]
     texts = ["".join(rng.choice("abcde") + rng.choice([" ", " ", ". ", "! ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(80)]
@@ -258,6 +261,22 @@ def test_licenses_equal_all_runs_of_sentences(spark):
     assert {name for _, name in want} == {"A", "B", "C"} and len(want) > 20
 
 
+def test_licenses_in_a_text_that_repeats_itself(spark):
+    """A licence's sentence said eleven thousand times, 400 kB in all: seconds, not minutes."""
+    sentence = "Released under the MIT License."
+    text = " ".join([sentence] * 12_500)
+    assert len(text) > 390_000
+    df = spark.createDataFrame([(1, text), (2, "Something else. " + text)], "doc_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.license) for r in licenses.scan(df).collect()}
+    assert {(1, "MIT"), (2, "MIT")} <= got and time.time() - began < 90
+
+
+def test_no_templates_find_nothing(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    assert licenses.scan(df, []).collect() == [] and licenses.scan(df).count() == 1
+
+
 def test_size_bounds_lose_no_pair():
     for a in range(1, 80):
         lo, hi = licenses.size_bounds(a, 0.8)

@@ -11,7 +11,7 @@ meets, by a hash join on its number of pairs, only the templates that such a
 size allows. Before that, texts and units go that have none of the words without
 which too few pairs of any template are left. Runs of sentences are looked at only
 where a document has as many of a template's pairs as a unit near it must share,
-and each is followed until it has more pairs than the size allows. Null and empty
+and each is followed until it has more pairs than the size allows; the work is in proportion to the text, however often it repeats itself. Null and empty
 texts have no unit; a document that names a licence
 several times has one row for it, with its best coefficient and, of equal ones,
 its first place (line from 0, for a run that of its first word; -1 for the whole document).
@@ -26,7 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .common import stored
+
 THRESHOLD = 0.8
+#: A run of sentences is followed pair by pair over so many times the places that its allowed pairs take, before the text counts as one that repeats itself.
+PROBE = 16
+_NO_END = 1 << 30
 #: Blanks after a sentence's last mark; before a digit they may stand in "v. 2.0".
 SENTENCE_END = r"(?<=[.!?])\s+(?=[^0-9\s])"
 #: Words that most texts hold, so that to look for them is of little use.
@@ -117,12 +122,11 @@ def _let(value: Column, use) -> Column:
 
 
 def _marked(each: Column, pairs: Column) -> Column:
-    """For each place of a text's pairs: ``pos``, whether a sentence begins and ends there, the place before of the same pair (``prev``, -1 if none) and whether the template has it (``hit``)."""
+    """For each place of a text's pairs: ``pos``, whether a sentence begins and ends there, the places before and after of the same pair (``prev`` and ``next``, -1 if none) and whether the template has it (``hit``)."""
     def mark(by_pair: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            before = F.get(by_pair, i - 1)
-            prev = F.when(before["pair"] == x["pair"], before["pos"]).otherwise(-1)
-            return F.struct(x["pos"].alias("pos"), prev.alias("prev"), F.array_contains(pairs, x["pair"]).alias("hit"), x["begins"].alias("begins"), x["ends"].alias("ends"))
+            beside = lambda k: F.when(F.get(by_pair, i + k)["pair"] == x["pair"], F.get(by_pair, i + k)["pos"]).otherwise(-1)
+            return F.struct(x["pos"].alias("pos"), beside(-1).alias("prev"), beside(1).alias("next"), F.array_contains(pairs, x["pair"]).alias("hit"), x["begins"].alias("begins"), x["ends"].alias("ends"))
 
         return F.array_sort(F.transform(by_pair, one))
 
@@ -130,13 +134,26 @@ def _marked(each: Column, pairs: Column) -> Column:
 
 
 def _best_run(marked: Column, size: Column, most: Column) -> Column:
-    """The greatest coefficient of a run of sentences with a template of ``size`` pairs, and less its first place. A pair counts once in a run: where the one before it lies ahead of the run."""
+    """The greatest coefficient of a run of sentences with a template of ``size`` pairs, and less its first place. A pair counts once in a run.
+
+    A run grows until it has more pairs than allowed. Nearly always that is within
+    ``PROBE`` times as many places; a text in which some run is longer, since it says the same again
+    and again, is gone through backwards instead, so that either way the work is in proportion to the text.
+    """
+    ahead = lambda x, n: F.slice(marked, x["pos"] + 1, n)
+    new = lambda x, pos: x["prev"] < pos
+    enough = lambda x, n: F.size(F.filter(ahead(x, n), lambda y: new(y, x["pos"]))) > most
+    longest = most * PROBE
+    repeats = F.exists(marked, lambda x: x["begins"] & (F.size(marked) - x["pos"] > longest) & ~enough(x, longest))
+    return F.when(repeats, _best_backwards(marked, size, most)).otherwise(_best_forwards(marked, size, most))
+
+
+def _best_forwards(marked: Column, size: Column, most: Column) -> Column:
+    """From each sentence on, pair by pair: a pair is new where the one before it lies ahead of the run."""
     def run(start: Column) -> Column:
         pos = start["pos"]
         ahead = lambda n: F.slice(marked, pos + 1, n)
-        # As far as the run has more pairs than allowed: nearly always within twice that, else to the end at last.
-        enough = lambda n: F.when(F.size(F.filter(ahead(n), lambda x: x["prev"] < pos)) > most, n)
-        length = F.coalesce(*[enough(most * k) for k in (2, 16, 128)], F.size(marked))
+        length = F.when(F.size(F.filter(ahead(most * 2), lambda x: x["prev"] < pos)) > most, most * 2).otherwise(most * PROBE)
 
         def step(s: Column, x: Column) -> Column:
             new = x["prev"] < pos
@@ -150,11 +167,39 @@ def _best_run(marked: Column, size: Column, most: Column) -> Column:
     return F.array_max(F.transform(F.filter(marked, lambda x: x["begins"]), run))
 
 
+def _best_backwards(marked: Column, size: Column, most: Column) -> Column:
+    """From the last place to the first, with the pairs of the run that begins here, each at its first place, in order: a place's pair comes to the front, and leaves its old place. More than ``most`` are not kept. A run of the first k pairs can end wherever a sentence does before the next pair."""
+    entry = "struct<pos:int,hit:boolean,end:int>"
+
+    def step(s: Column, x: Column) -> Column:
+        end = F.when(x["ends"], x["pos"]).otherwise(s["end"])
+        own = F.struct(x["pos"].alias("pos"), x["hit"].alias("hit"), end.alias("end"))
+        pairs = F.slice(F.concat(F.array(own), F.filter(s["pairs"], lambda e: e["pos"] != x["next"])), F.lit(1), most + 1)
+
+        def judged(t: Column, e: Column) -> Column:
+            dice = F.when(t["end"] < e["pos"], F.greatest(t["dice"], F.lit(2.0) * t["shared"] / (t["n"] + size))).otherwise(t["dice"])
+            return F.struct((t["n"] + 1).alias("n"), (t["shared"] + e["hit"].cast("int")).alias("shared"), e["end"].alias("end"), dice.alias("dice"))
+
+        def best(pairs: Column) -> Column:
+            last = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(0).alias("shared"), F.lit(_NO_END).alias("end"), F.lit(0.0).alias("dice")), judged)
+            return _let(last, lambda t: F.when(t["end"] < _NO_END, F.greatest(t["dice"], F.lit(2.0) * t["shared"] / (t["n"] + size))).otherwise(t["dice"]))
+
+        def told(pairs: Column) -> Column:
+            dice = F.when(x["begins"], best(pairs)).otherwise(F.lit(-1.0))
+            return _let(dice, lambda d: F.struct(pairs.alias("pairs"), end.alias("end"), F.greatest(d, s["dice"]).alias("dice"), F.when(d >= s["dice"], -x["pos"]).otherwise(s["from"]).alias("from")))
+
+        return _let(pairs, told)
+
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("pairs"), F.lit(_NO_END).alias("end"), F.lit(0.0).alias("dice"), F.lit(0).alias("from"))
+    done = F.aggregate(F.reverse(marked), start, step)
+    return _let(done, lambda s: F.struct(s["dice"].alias("dice"), s["from"].alias("from")))
+
+
 def _runs(docs: DataFrame, rows: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
     """The best run of sentences of each text for each template near one. ``docs``: doc_id and text."""
     bounds = [size_bounds(len(pairs), threshold) for _, pairs in rows]
-    schema = "license string, pairs array<string>, size int, least int, most int"
-    known = docs.sparkSession.createDataFrame([(name, pairs, len(pairs), max(lo, 1), hi) for (name, pairs), (lo, hi) in zip(rows, bounds, strict=True)], schema)
+    schema = "template int, license string, pairs array<string>, size int, least int, most int"
+    known = docs.sparkSession.createDataFrame([(k, name, pairs, len(pairs), max(lo, 1), hi) for k, ((name, pairs), (lo, hi)) in enumerate(zip(rows, bounds, strict=True))], schema)
 
     def sentence(words: Column, line: Column) -> Column:
         return F.transform(words, lambda w, k: F.struct(w.alias("word"), line.alias("line"), (k == 0).alias("begins"), (k == F.size(words) - 1).alias("ends")))
@@ -172,7 +217,10 @@ def _runs(docs: DataFrame, rows: list[tuple[str, list[str]]], threshold: float)
     seen = docs.select("doc_id", "text", once(words_of(F.col("text")), "words"))
     seen = seen.select("doc_id", "text", once(F.array_distinct(F.filter(listed, lambda p: p.isin(every))), "seen"))
     # A unit near a template shares at least as many pairs as the smallest that its size allows has.
-    met = seen.where(F.size("seen") >= max(1, min(lo for lo, _ in bounds))).join(F.broadcast(known), F.size(F.array_intersect("seen", "pairs")) >= F.col("least"))
+    seen = stored(seen.where(F.size("seen") >= max(1, min(lo for lo, _ in bounds))).withColumn("row", F.monotonically_increasing_id()))
+    index = known.select("template", "least", F.explode("pairs").alias("pair"))
+    shared = seen.select("row", F.explode("seen").alias("pair")).join(index, "pair").groupBy("row", "template", "least").count().where("count >= least").select("row", "template")
+    met = seen.join(shared, "row").join(known, "template")
     each = F.when(F.get("pairs", F.lit(0)).contains(" "), two).otherwise(one)
     met = met.select("doc_id", "license", "pairs", "size", "most", once(at, "at"))
     met = met.select("doc_id", "license", "pairs", "size", "most", "at", once(each, "each"))
@@ -182,9 +230,11 @@ def _runs(docs: DataFrame, rows: list[tuple[str, list[str]]], threshold: float)
 
 
 def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and licence found: ``doc_id``, ``license``, ``dice`` and ``place``. Rows with a null id are scanned like others."""
+    """One row per document and licence found: ``doc_id``, ``license``, ``dice`` and ``place``. Rows with a null id are scanned like others; without templates (an empty list) nothing is found."""
     spark = df.sparkSession
-    rows = [(name, template_pairs(text)) for name, text in templates or TEMPLATES]
+    rows = [(name, template_pairs(text)) for name, text in (TEMPLATES if templates is None else templates)]
+    if not rows:
+        return spark.createDataFrame([], "doc_id long, license string, dice double, place int")
     sizes = [(n, i) for i, (_, pairs) in enumerate(rows) for n in range(*(lambda lo, hi: (max(lo, 1), hi + 1))(*size_bounds(len(pairs), threshold)))]
     least, most = min(n for n, _ in sizes), max(n for n, _ in sizes)
     long = StructField("template", LongType())
