@@ -122,11 +122,12 @@ def _let(value: Column, use) -> Column:
 
 
 def _marked(each: Column, pairs: Column) -> Column:
-    """For each place of a text's pairs: ``pos``, whether a sentence begins and ends there, the places before and after of the same pair (``prev`` and ``next``, -1 if none) and whether the template has it (``hit``)."""
+    """For each place of a text's pairs: ``pos``, whether a sentence begins and ends there, the place before of the same pair (``prev``, -1 if none) and whether the template has it (``hit``)."""
     def mark(by_pair: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            beside = lambda k: F.when(F.get(by_pair, i + k)["pair"] == x["pair"], F.get(by_pair, i + k)["pos"]).otherwise(-1)
-            return F.struct(x["pos"].alias("pos"), beside(-1).alias("prev"), beside(1).alias("next"), F.array_contains(pairs, x["pair"]).alias("hit"), x["begins"].alias("begins"), x["ends"].alias("ends"))
+            before = F.get(by_pair, i - 1)
+            prev = F.when(before["pair"] == x["pair"], before["pos"]).otherwise(-1)
+            return F.struct(x["pos"].alias("pos"), prev.alias("prev"), F.array_contains(pairs, x["pair"]).alias("hit"), x["begins"].alias("begins"), x["ends"].alias("ends"))
 
         return F.array_sort(F.transform(by_pair, one))
 
@@ -144,7 +145,7 @@ def _best_run(marked: Column, size: Column, most: Column) -> Column:
     new = lambda x, pos: x["prev"] < pos
     enough = lambda x, n: F.size(F.filter(ahead(x, n), lambda y: new(y, x["pos"]))) > most
     longest = most * PROBE
-    repeats = F.exists(marked, lambda x: x["begins"] & (F.size(marked) - x["pos"] > longest) & ~enough(x, longest))
+    repeats = F.exists(marked, lambda x: x["begins"] & (F.size(marked) - x["pos"] > longest) & ~enough(x, most * 2) & ~enough(x, longest))
     return F.when(repeats, _best_backwards(marked, size, most)).otherwise(_best_forwards(marked, size, most))
 
 
@@ -169,12 +170,12 @@ def _best_forwards(marked: Column, size: Column, most: Column) -> Column:
 
 def _best_backwards(marked: Column, size: Column, most: Column) -> Column:
     """From the last place to the first, with the pairs of the run that begins here, each at its first place, in order: a place's pair comes to the front, and leaves its old place. More than ``most`` are not kept. A run of the first k pairs can end wherever a sentence does before the next pair."""
-    entry = "struct<pos:int,hit:boolean,end:int>"
+    entry = "struct<pos:int,prev:int,hit:boolean,end:int>"
 
     def step(s: Column, x: Column) -> Column:
         end = F.when(x["ends"], x["pos"]).otherwise(s["end"])
-        own = F.struct(x["pos"].alias("pos"), x["hit"].alias("hit"), end.alias("end"))
-        pairs = F.slice(F.concat(F.array(own), F.filter(s["pairs"], lambda e: e["pos"] != x["next"])), F.lit(1), most + 1)
+        own = F.struct(x["pos"].alias("pos"), x["prev"].alias("prev"), x["hit"].alias("hit"), end.alias("end"))
+        pairs = F.slice(F.concat(F.array(own), F.filter(s["pairs"], lambda e: e["prev"] != x["pos"])), F.lit(1), most + 1)
 
         def judged(t: Column, e: Column) -> Column:
             dice = F.when(t["end"] < e["pos"], F.greatest(t["dice"], F.lit(2.0) * t["shared"] / (t["n"] + size))).otherwise(t["dice"])
