@@ -106,9 +106,3 @@ def funding_combo(zone: Column, oi_pct: Column) -> tuple[Column, Column]:
     extreme, rises, falls = zone.startswith("extreme"), oi_pct > 0.3, oi_pct < -0.3
     name = ladder((long & rises, "crowded_longs_rising"), (short & rises, "crowded_shorts_rising"), (extreme & falls, "capitulation"), (extreme, "extreme_exhaustion"), (~long & ~short & rises, "healthy_trend"), otherwise="no_edge")
     return name, ladder(((long | short) & rises, F.when(extreme, 75.0).otherwise(65.0)), (extreme & falls, 80.0), (extreme, 70.0), (~long & ~short & rises, 60.0), otherwise=50.0)
-
-
-def book_absorption(volume: Column, usual: Column, price_pct: Column, ratio: Column, oi_pct: Column) -> Column:
-    """The side of the book that takes a volume spike without much price change: bid or ask by the depth ratio, where open interest doesn't rise; none otherwise."""
-    quiet = (volume >= 1.5 * usual) & (F.abs(price_pct) < 0.3) & F.coalesce(oi_pct <= 0, F.lit(True))
-    return ladder((quiet & (ratio >= 1.5), "bid"), (quiet & (ratio <= 0.67), "ask"), otherwise="none")

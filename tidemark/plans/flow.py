@@ -130,6 +130,18 @@ def book_depth_imbalance(spark, d):
     return rounded(rows, "book_id", "mid", "spread_pct", "bid_depth", "ask_depth", "imbalance_pct", "book_signal", "book_strength", "book_ratio", "book_side")
 
 
+@query(
+    _BOOK
+    + " SELECT book_id, "
+    + ", ".join(f"round(coalesce(list_sum(list_transform(list_filter({side}, lambda x: abs(x.price - mid) <= mid * {bps} / 10000), lambda x: x.qty)), 0), 6) + 0 AS {side[:3]}_{bps}bps" for side in ("bids", "asks") for bps in (500, 2500))
+    + " FROM m"
+)
+def book_depth_bps(spark, d):
+    """Quantity on either side of the book within 5 and 25 per cent of the middle, in basis points."""
+    rows = K.with_snapshot(S.book(spark, d))
+    return rounded(rows.select("book_id", *[K.depth_within(side, bps).alias(f"{side[:3]}_{bps}bps") for side in ("bids", "asks") for bps in (500, 2500)]))
+
+
 _WEIGH = "x.price * x.qty / (1 + abs(x.price - mid) / mid * 10000 / 100)"
 
 

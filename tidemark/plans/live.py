@@ -94,6 +94,19 @@ def vwap_structure_anchors(spark, d):
     return rounded(W.lived(bars, anchors, 3, ends), "anchor_id", *_VWAP_COLUMNS)
 
 
+@query(
+    Q.bars("hour")
+    + f""", r14 AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER ({Q.W})), abs(low - lag(close) OVER ({Q.W}))) AS tr FROM bars), rs AS (SELECT *, CASE WHEN count(*) OVER {Q.rows(14)} = 14 THEN avg(tr) OVER {Q.rows(14)} END / nullif(close, 0) AS share FROM r14)"""
+    + _vwap("ts::DATE", "rs")
+    + f""", bd AS (SELECT *, coalesce(sd, CASE WHEN share > 0 THEN 0.5 * share * close END) AS b1, coalesce(2 * sd, CASE WHEN share > 0 THEN share * close END) AS b2 FROM y)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('share', 'atr_share')}, {Q.r('vwap - b1', 'band_1_low')}, {Q.r('vwap + b1', 'band_1_high')}, {Q.r('vwap - b2', 'band_2_low')}, {Q.r('vwap + b2', 'band_2_high')}, CASE WHEN sd IS NOT NULL THEN 'STD' WHEN share > 0 THEN 'ATR_FALLBACK' ELSE 'NONE' END AS band_method FROM bd"""
+)
+def vwap_bands(spark, d):
+    """Bands of the session's VWAP: by its deviation, or by the ATR's share of the close where a day has too few bars for one."""
+    rows = with_true_range(hour(spark, d)).withColumn("atr_share", F.try_divide(F.col("atr_sma"), F.col("close")))
+    return rounded(W.with_bands(W.session(rows), "atr_share"), *KEY, "atr_share", "band_1_low", "band_1_high", "band_2_low", "band_2_high", "band_method")
+
+
 def _events_as_trades(spark, d):
     return T.event_ticks(spark, d).select("symbol", "ts", "seq", F.col("seq").alias("trade_id"), "price", F.lit(1.0).alias("quantity"), (F.col("seq") % 2 == 0).alias("is_buyer_maker"))
 
