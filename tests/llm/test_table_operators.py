@@ -83,6 +83,15 @@ def test_warc_bundles_are_plain_zstandard_with_a_seek_table(spark):
             assert headers["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and block.decode() == rows[r.page_id][2]
 
 
+def test_warc_attempt_in_another_order_leaves_the_index_right(spark):
+    df = spark.createDataFrame([(i, "u", chr(97 + i % 26) * (20_000 + i)) for i in range(40)], "page_id long, url string, html string")
+    folder, records = shared_dir(spark), warc.with_decisions(df).coalesce(1)
+    warc.write(records.sortWithinPartitions("page_id"), folder)
+    assert warc.bundled(records.sortWithinPartitions(F.desc("page_id")), folder).count() == 40  # as a late attempt would
+    got = {r.page_id: bytes(r.block).decode() for r in warc.read(spark, folder).collect()}
+    assert got == {r.page_id: r.html for r in df.collect()}
+
+
 def test_warc_empty_table(spark):
     folder = shared_dir(spark)
     warc.write(warc.with_decisions(spark.createDataFrame([], "page_id long, url string, html string")), folder)

@@ -8,8 +8,10 @@ with the table can decompress one frame alone. The index, a table, maps each
 record to its bundle, frame and place in the frame.
 
 Bundles are written under their final name only once whole, through the file
-system that the folder's URI names; a task that runs again writes the same
-names again. The index lists the bundles that count.
+system that the folder's URI names. The name holds the attempt of the task, so
+that one that runs again, or late beside another, leaves the other's bundles as
+they are: its rows may come in another order after a shuffle. The index lists
+the bundles that count.
 
 Of records with equal payloads of at least ``min_bytes`` bytes that with the
 largest page_id is a response and the others are revisits that refer to it,
@@ -122,8 +124,7 @@ class _Bundle:
         self.fs, base = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(base, recursive=True)
         self.name, self.path = name, f"{base}/{name}"
-        context = TaskContext.get()
-        self.part = f"{self.path}.part-{context.taskAttemptId() if context else 0}"
+        self.part = f"{self.path}.part"
         self.out = self.fs.open_output_stream(self.part)
         self.frames: list[tuple[int, int]] = []
         self.held: list[bytes] = []
@@ -154,17 +155,18 @@ class _Bundle:
         self.fs.move(self.part, self.path)
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Write the bundles of rows as :func:`with_decisions` gives them, into ``folder``/bundles; the index, a table in ``folder``/index, is returned: page_id, bundle, frame, place, bytes."""
+def bundled(records: DataFrame, folder: str) -> DataFrame:
+    """Rows of the index, page_id, bundle, frame, place and bytes; each time that they are computed, bundles are written to ``folder``/bundles."""
     bundles = f"{folder}/bundles"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, bundle = TaskContext.get().partitionId(), 0, None
+        context, made, bundle = TaskContext.get(), 0, None
+        task = f"part-{context.partitionId():05d}-{context.taskAttemptId():08d}"
         for batch in batches:
             rows = []
             for page_id, url, payload, digest, refers_to in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if bundle is None:
-                    bundle = _Bundle(bundles, f"part-{part:05d}-{made:05d}.warc.zst")
+                    bundle = _Bundle(bundles, f"{task}-{made:05d}.warc.zst")
                 data = record(page_id.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers_to.as_py())
                 rows.append((page_id.as_py(), bundle.name, *bundle.add(data), len(data)))
                 if bundle.written >= BUNDLE_BYTES:
@@ -176,8 +178,12 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         if bundle is not None:
             bundle.close()
 
-    index = records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "page_id long, bundle string, frame long, place long, bytes long")
-    index.write.parquet(f"{folder}/index")
+    return records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "page_id long, bundle string, frame long, place long, bytes long")
+
+
+def write(records: DataFrame, folder: str) -> DataFrame:
+    """Write the bundles of rows as :func:`with_decisions` gives them, and the index, a table in ``folder``/index, which is returned: see :func:`bundled`."""
+    bundled(records, folder).write.parquet(f"{folder}/index")
     return records.sparkSession.read.parquet(f"{folder}/index")
 
 
