@@ -1,4 +1,4 @@
-"""Queries on the candle engines; averages are recursive SQL, latches have none."""
+"""Queries on the candle engines; averages and latches are recursive SQL."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from ..operators import vwap as W
 from ..operators.scan import scan
 from . import oracle as Q
 from .market import KEY, hour, rounded
-from .momentum import _REC, _TR, recursion
+from .momentum import _MACD, _REC, _TR, filtered, recursion
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,22 @@ def roc_momentum(spark, d):
     return rounded(rows, *KEY, "roc_fast", "roc_fast_norm", "roc_mid_norm", "roc_accel", "momentum_state", "momentum_score", "blowoff", "allows_long", "allows_short", "size_multiplier")
 
 
+_EVENTS = (
+    _MACD
+    + _TR
+    + recursion("tr", "tr", 14, "1.0 / 14", 2)
+    + f""", ma AS (SELECT m.symbol, m.ts, m.hist, CASE WHEN e.e IS NOT NULL THEN greatest(-3, least(3, m.hist / (e.e + 1e-12))) ELSE m.hist END AS h FROM mc m JOIN tr_n n USING (symbol, ts) LEFT JOIN tr_e e ON n.symbol = e.symbol AND n.i = e.i WHERE m.hist IS NOT NULL),
+mb AS (SELECT *, lag(h) OVER ({Q.W}) AS b, h - lag(h) OVER ({Q.W}) AS s, hist - lag(hist) OVER ({Q.W}) AS sl FROM ma),
+md AS (SELECT *, sl - lag(sl) OVER ({Q.W}) AS ac, CASE WHEN b <= 0 AND h > 0 AND s > 0.05 THEN 'BULL_SHIFT' WHEN b >= 0 AND h < 0 AND s < -0.05 THEN 'BEAR_SHIFT' WHEN h > 0 AND s < -0.05 THEN 'BULL_WEAKEN' WHEN h < 0 AND s > 0.05 THEN 'BEAR_WEAKEN' ELSE 'NONE' END AS ev FROM mb),
+me AS (SELECT *, 100 * (0.6 * least(abs(h) / (0.04 + 1e-12), 2) / 2 + 0.4 * least(abs(s) / (0.1 + 1e-12), 2) / 2) AS sure FROM md)"""
+)
+ORACLES["macd_events"] = (
+    _REC("hour")
+    + _EVENTS
+    + f""" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('h', 'hist_norm')}, {Q.r('sl', 'hist_slope')}, {Q.r('ac', 'hist_accel')}, CASE WHEN hist > 0 THEN 'BULL' ELSE 'BEAR' END AS macd_phase, ev AS macd_event, {Q.r("CASE WHEN ev <> 'NONE' THEN CASE WHEN abs(h) < 0.02 THEN least(sure, 50) ELSE sure END END", 'event_confidence')} FROM me"""
+)
+
+
 @query
 def macd_events(spark, d):
     return rounded(N.macd_events(hour(spark, d), confirm=1), *KEY, "hist_norm", "hist_slope", "hist_accel", "macd_phase", "macd_event", "event_confidence")

@@ -164,12 +164,37 @@ def stoch_rsi_signal(spark, d):
     return whole(M.stoch_rsi_signal(R.with_stoch_rsi(hour(spark, d), before=1))).select(*KEY, "stoch_signal", "stoch_strength")
 
 
-@query()
+#: The line from the eleventh bar on; a band holds until the close crosses it.
+_SUPER = _TR.replace("SELECT symbol, ts, close,", "SELECT symbol, ts, close, high, low, row_number() OVER (" + Q.W + ") AS i,") + f""", sa AS (SELECT *, avg(tr) OVER {Q.rows(10)} AS a FROM tr WHERE i >= 2), sb AS (SELECT *, (high + low) / 2 + 3 * a AS u, (high + low) / 2 - 3 * a AS l FROM sa WHERE i >= 11),
+st AS (SELECT symbol, i, l AS line, true AS up FROM sb WHERE i = 11
+  UNION ALL SELECT symbol, i, CASE WHEN now THEN CASE WHEN up THEN greatest(l, line) ELSE l END WHEN up THEN u ELSE least(u, line) END, now
+  FROM (SELECT n.symbol, n.i, n.u, n.l, p.line, p.up, CASE WHEN p.up THEN n.close >= p.line ELSE n.close > p.line END AS now FROM st p JOIN sb n ON n.symbol = p.symbol AND n.i = p.i + 1)),
+sf AS (SELECT t.symbol, t.ts, s.line, s.up, coalesce(lag(s.up) OVER w <> s.up, false) AS flip FROM tr t LEFT JOIN st s USING (symbol, i) WINDOW w AS (PARTITION BY t.symbol ORDER BY t.ts)),
+sr AS (SELECT *, sum(flip::INT) OVER ({Q.W}) AS run FROM sf), su AS (SELECT *, CASE WHEN up IS NOT NULL THEN least(19, count(up) OVER (PARTITION BY symbol, run ORDER BY ts))::INT END AS n FROM sr),
+sv AS (SELECT *, CASE WHEN up THEN 'bullish' WHEN NOT up THEN 'bearish' ELSE 'neutral' END AS supertrend_signal, CASE WHEN up IS NULL THEN 50 WHEN flip THEN 85 ELSE least(75, 55 + 2 * n) END::DOUBLE AS supertrend_strength FROM su)"""
+
+
+@query(_REC("hour") + _SUPER + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('line', 'supertrend')}, up AS uptrend, n AS trend_bars, supertrend_signal, supertrend_strength FROM sv")
 def supertrend_10_3(spark, d):
     return rounded(M.supertrend_signal(scan(hour(spark, d), [S.Supertrend])), *KEY, "supertrend", "uptrend", "trend_bars", "supertrend_signal", "supertrend_strength")
 
 
-@query()
+_LOCKED = _TR.replace("SELECT symbol, ts, close,", "SELECT symbol, ts, close, high, low,") + recursion("tr", "tr", 10, "1.0 / 10") + f""", lb AS (SELECT n.*, e.e AS a, (high + low) / 2 + 3 * e.e AS u, (high + low) / 2 - 3 * e.e AS l, lag(close) OVER w AS c0 FROM tr_n n LEFT JOIN tr_e e ON n.symbol = e.symbol AND n.i = e.i WINDOW w AS (PARTITION BY n.symbol ORDER BY n.ts)),
+lr AS (SELECT symbol, i, 0::DOUBLE AS ub, 0::DOUBLE AS lo, 'UP' AS way FROM lb WHERE i = 9
+  UNION ALL SELECT symbol, i, ub, lo, CASE WHEN close > ub THEN 'UP' WHEN close < lo THEN 'DOWN' ELSE way END
+  FROM (SELECT n.symbol, n.i, n.close, p.way, CASE WHEN n.u < p.ub OR n.c0 > p.ub THEN n.u ELSE p.ub END AS ub, CASE WHEN n.l > p.lo OR n.c0 < p.lo THEN n.l ELSE p.lo END AS lo FROM lr p JOIN lb n ON n.symbol = p.symbol AND n.i = p.i + 1)),
+lf AS (SELECT lb.*, lr.ub, lr.lo, lr.way, (coalesce(lag(lr.way) OVER w, 'UP') <> lr.way)::INT AS flip, row_number() OVER w >= 20 AS ready FROM lb JOIN lr USING (symbol, i) WHERE i >= 10 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+lg AS (SELECT *, sum(flip) OVER ({Q.W}) AS run, sum(flip) OVER {Q.rows(20)} / 20.0::DOUBLE AS rate, a / (close + 1e-10) AS pct, CASE WHEN ready THEN abs(close - CASE WHEN way = 'UP' THEN lo ELSE ub END) / (close + 1e-10) END AS dist FROM lf),
+lh AS (SELECT *, count(*) OVER (PARTITION BY symbol, run ORDER BY ts) AS held, coalesce(avg(dist) OVER {Q.rows(20)}, 0) AS far FROM lg),
+lt AS (SELECT *, ready AND NOT (rate > 0.1 OR (pct < 0.001 AND rate > 0.05) OR far < 0.15 * pct) AND rate < 0.05 AND held >= 3 AS trend, 100 * (0.35 * least(1, held / 6.0) + 0.35 * (1 - least(1, rate / 0.1)) + 0.3 * least(1, far / (0.3 * pct + 1e-10))) AS sc FROM lh)"""
+
+
+@query(
+    _REC("hour")
+    + _LOCKED
+    + f""" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('ub', 'upper_band')}, {Q.r('lo', 'lower_band')}, way AS direction, held AS hold_bars, {Q.r('rate', 'flip_rate')}, CASE WHEN trend THEN 'TREND' ELSE 'CHOP' END AS st_regime,
+ {Q.r('CASE WHEN NOT ready THEN 0 WHEN trend THEN sc ELSE least(sc, 40) END', 'st_strength')} FROM lt"""
+)
 def supertrend_regime(spark, d):
     return rounded(M.supertrend_regime(hour(spark, d)), *KEY, "upper_band", "lower_band", "direction", "hold_bars", "flip_rate", "st_regime", "st_strength")
 
@@ -190,17 +215,50 @@ def atr_expansion(spark, d):
     return rounded(R.atr_expansion(hour(spark, d)), *KEY, "atr", "atr_exp", "tr_spike", "atr_exp_slope", "vol_state", "vol_score", "shock")
 
 
-@query()
+@query(
+    _REC("hour")
+    + f", bm AS (SELECT symbol, ts, CASE WHEN count(*) OVER {Q.rows(20)} = 20 THEN avg(close) OVER {Q.rows(20)} END AS m, stddev_pop(close) OVER {Q.rows(20)} AS sd FROM bars), bw AS (SELECT symbol, ts, 4 * sd / (m + 1e-12) AS b FROM bm WHERE m IS NOT NULL)"
+    + recursion("bw", "b", 1, "0.5")
+    + f""", bs AS (SELECT n.*, e.e AS s, e.e - lag(e.e) OVER w AS sl FROM bw_n n JOIN bw_e e ON n.symbol = e.symbol AND n.i = e.i WINDOW w AS (PARTITION BY n.symbol ORDER BY n.ts)),
+bx AS (SELECT *, CASE WHEN count(*) OVER {Q.rows(50)} = 50 THEN s / (avg(s) OVER {Q.rows(50)} + 1e-12) END AS x FROM bs),
+bz AS (SELECT *, coalesce(x >= 1.2 AND sl <= -0.02, false) AS fading, 100 * greatest(0, least(1, (x - 0.8) / (0.8 + 1e-12))) AS sc FROM bx)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('b', 'bandwidth')}, {Q.r('s', 'bw_smooth')}, {Q.r('x', 'bw_ratio')}, CASE WHEN x IS NULL THEN 'WARMUP' WHEN fading THEN 'FADE_RISK' WHEN x < 0.8 THEN 'COMPRESSED' WHEN x >= 1.6 THEN 'EXTREME' WHEN x >= 1.2 THEN 'EXPANDING' ELSE 'NORMAL' END AS bw_state,
+ {Q.r('CASE WHEN x IS NOT NULL THEN CASE WHEN fading THEN greatest(sc - 10, 0) WHEN x < 0.8 THEN least(sc, 30) WHEN x >= 1.6 THEN sc WHEN x >= 1.2 THEN least(sc, 85) ELSE least(sc, 60) END END', 'bw_score')} FROM bars LEFT JOIN bz USING (symbol, ts)"""
+)
 def bb_bandwidth(spark, d):
     return rounded(M.bandwidth(hour(spark, d)), *KEY, "bandwidth", "bw_smooth", "bw_ratio", "bw_state", "bw_score")
 
 
-@query()
+def filtered(source: str, tf: str) -> str:
+    """CTEs that give ``<source>_f``, the bars of ``source`` with averages over 9, 21 and 50 bars, slope, width, alignment, bias, regime and strength."""
+    b, k = source, M.EMA_LOOKBACK[tf] + 1
+    first = f"first(e50) OVER {Q.rows(k)}"
+    one = lambda n: f", {b}{n} AS (SELECT symbol, ts, close FROM {b})" + recursion(f"{b}{n}", "close", n, f"2.0 / {n + 1}")
+    s, w = M.EMA_SLOPE[tf], M.EMA_WIDTH[tf]
+    return (
+        one(9)
+        + one(21)
+        + one(50)
+        + f""", {b}_m AS (SELECT n.symbol, n.ts, n.close AS c, x.e AS e9, y.e AS e21, z.e AS e50 FROM {b}50_n n JOIN {b}50_e z USING (symbol, i) JOIN {b}21_e y USING (symbol, i) JOIN {b}9_e x USING (symbol, i)),
+{b}_s AS (SELECT *, coalesce((e50 - {first}) / nullif({first}, 0), 0) AS s50, (greatest(e9, e21, e50) - least(e9, e21, e50)) / (c + 1e-10) AS rw, CASE WHEN e9 > e21 AND e21 > e50 THEN 'STACKED_UP' WHEN e9 < e21 AND e21 < e50 THEN 'STACKED_DOWN' ELSE 'MIXED' END AS al FROM {b}_m),
+{b}_b AS (SELECT *, CASE WHEN c > e50 AND s50 > {s} * 0.5 THEN 'BULL' WHEN c < e50 AND s50 < -{s} * 0.5 THEN 'BEAR' ELSE 'NEUTRAL' END AS bias, CASE WHEN NOT (abs(s50) < {s} * 0.5 AND rw < {w}) AND ((c > e50)::INT + (s50 > {s})::INT + (al = 'STACKED_UP')::INT >= 2 OR (c < e50)::INT + (s50 < -{s})::INT + (al = 'STACKED_DOWN')::INT >= 2) THEN 'TREND' ELSE 'RANGE' END AS regime FROM {b}_s),
+{b}_f AS (SELECT *, greatest(0, least(CASE WHEN regime = 'RANGE' THEN 40 ELSE 100 END, 100 * (0.35 * least(1, abs(s50) / (2 * {s} + 1e-10)) + 0.25 * least(1, rw / (2 * {w} + 1e-10)) + 0.25 * CASE WHEN al = 'MIXED' THEN 0.4 ELSE 1 END + 0.15 * CASE WHEN bias = 'NEUTRAL' THEN 0.5 ELSE 1 END))) AS ts_ FROM {b}_b)"""
+    )
+
+
+@query(_REC("hour") + filtered("bars", "1h") + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('e9', 'ema_9')}, {Q.r('e21', 'ema_21')}, {Q.r('e50', 'ema_50')}, {Q.r('s50', 'slope_50')}, {Q.r('rw', 'ribbon_width')}, al AS alignment, bias AS ema_bias, regime AS ema_regime, {Q.r('ts_', 'trend_strength')} FROM bars_f")
 def ema_filter(spark, d):
     return rounded(M.ema_filter(hour(spark, d), "1h"), *KEY, "ema_9", "ema_21", "ema_50", "slope_50", "ribbon_width", "alignment", "ema_bias", "ema_regime", "trend_strength")
 
 
-@query()
+@query(
+    _REC("hour")
+    + ", high AS (SELECT event_type AS symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, last(value ORDER BY ts, event_id) AS close FROM events GROUP BY ALL)"
+    + filtered("bars", "1h")
+    + filtered("high", "4h")
+    + """ SELECT l.symbol, l.ts::TIMESTAMPTZ AS ts, h.bias AS htf_bias, l.bias AS ltf_bias, CASE WHEN h.regime = 'RANGE' THEN 'RANGE_DOMINANT' WHEN h.bias = l.bias AND h.bias <> 'NEUTRAL' THEN 'ALIGNED' ELSE 'MIXED' END AS mtf_alignment
+FROM bars_f l ASOF JOIN high_f h ON l.symbol = h.symbol AND l.ts >= h.ts"""
+)
 def mtf_alignment(spark, d):
     from ..operators import bars as B
     from ..sources import market as T
