@@ -12,6 +12,7 @@ from ..operators import timing as T
 from ..operators import vwap as W
 from ..operators.scan import scan
 from . import oracle as Q
+from .flow import _PIVOTS
 from .market import KEY, hour, rounded
 from .momentum import _MACD, _REC, _TR, filtered, recursion
 
@@ -98,6 +99,83 @@ def macd_events(spark, d):
     return rounded(N.macd_events(hour(spark, d), confirm=1), *KEY, "hist_norm", "hist_slope", "hist_accel", "macd_phase", "macd_event", "event_confidence")
 
 
+def timing_rsi(source: str) -> str:
+    """CTEs that give ``<source>_r``: the engines' RSI of a source with symbol, ts and close."""
+    x, before = source, f"lag(close) OVER ({Q.W})"
+    return (
+        f""", {x}_g AS (SELECT symbol, ts, greatest(close - {before}, 0) AS u, greatest({before} - close, 0) AS l FROM {x}), {x}_u AS (SELECT symbol, ts, u FROM {x}_g), {x}_d AS (SELECT symbol, ts, l FROM {x}_g)"""
+        + recursion(f"{x}_u", "u", 14, "1.0 / 14", 2)
+        + recursion(f"{x}_d", "l", 14, "1.0 / 14", 2)
+        + f", {x}_r AS (SELECT n.symbol, n.ts, n.i, CASE WHEN a.e = 0 AND b.e = 0 THEN 50 ELSE 100 - 100 / (1 + a.e / (b.e + 1e-12)) END AS rsi FROM {x}_u_n n LEFT JOIN {x}_u_e a ON n.symbol = a.symbol AND n.i = a.i LEFT JOIN {x}_d_e b ON n.symbol = b.symbol AND n.i = b.i)"
+    )
+
+
+def timing_stoch(source: str) -> str:
+    """CTEs that give ``<source>_z``: %K and %D of ``<source>_r`` with their zone."""
+    x, three = source, Q.rows(3)
+    return f""", {x}_lo AS (SELECT symbol, ts, rsi, min(rsi) OVER {Q.rows(14)} AS lo, max(rsi) OVER {Q.rows(14)} AS hi FROM {x}_r WHERE rsi IS NOT NULL),
+{x}_p AS (SELECT symbol, ts, CASE WHEN hi - lo < 1e-12 THEN 0.5 ELSE greatest(0, least(1, (rsi - lo) / (hi - lo + 1e-12))) END AS p FROM {x}_lo),
+{x}_k AS (SELECT symbol, ts, CASE WHEN count(p) OVER {three} = 3 THEN avg(p) OVER {three} END AS k FROM {x}_p),
+{x}_z AS (SELECT *, CASE WHEN count(k) OVER {three} = 3 THEN avg(k) OVER {three} END AS d, CASE WHEN k IS NULL THEN 'WARMUP' WHEN k <= 0.2 THEN 'OVERSOLD' WHEN k >= 0.8 THEN 'OVERBOUGHT' ELSE 'NEUTRAL' END AS zone FROM {x}_k)"""
+
+
+#: The stages of a failure swing, for the RSI and for what it lacks to 100.
+_FAILURES = """, fx AS (SELECT symbol, i, side, CASE side WHEN 'BEAR' THEN rsi ELSE 100 - rsi END AS x FROM bars_r, (VALUES ('BEAR'), ('BULL')) AS sides(side) WHERE rsi IS NOT NULL),
+fs AS (SELECT symbol, side, min(i) - 1 AS i, 0 AS stage, 0::DOUBLE AS peak, 0::DOUBLE AS low, false AS broke FROM fx GROUP BY ALL
+  UNION ALL SELECT n.symbol, n.side, n.i,
+    CASE p.stage WHEN 0 THEN CASE WHEN x >= 60 THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN x < 45 THEN 2 ELSE 1 END WHEN 2 THEN CASE WHEN x > 45 AND x >= low THEN CASE WHEN x < peak THEN 3 ELSE 0 END ELSE 2 END ELSE CASE WHEN x < low - 1 OR x > 60 THEN 0 ELSE 3 END END,
+    CASE WHEN p.stage = 0 AND x >= 60 THEN x WHEN p.stage = 1 AND x >= 45 THEN greatest(peak, x) ELSE peak END,
+    CASE WHEN p.stage = 1 AND x < 45 THEN x WHEN p.stage = 2 AND NOT (x > 45 AND x >= low) THEN least(low, x) ELSE low END,
+    p.stage = 3 AND x < low - 1
+  FROM fs p JOIN fx n ON n.symbol = p.symbol AND n.side = p.side AND n.i = p.i + 1),
+ff AS (SELECT symbol, i, bool_or(broke) FILTER (side = 'BULL') AS bull, bool_or(broke) FILTER (side = 'BEAR') AS bear FROM fs GROUP BY ALL)"""
+ORACLES["rsi_timing"] = (
+    _REC("hour")
+    + timing_rsi("bars")
+    + timing_stoch("bars")
+    + _FAILURES
+    + f""" SELECT r.symbol, r.ts::TIMESTAMPTZ AS ts, {Q.r('rsi', 'timing_rsi')}, CASE WHEN rsi IS NULL THEN 'WARMUP' WHEN rsi >= 55 THEN 'BULLISH' WHEN rsi <= 45 THEN 'BEARISH' ELSE 'RANGE' END AS rsi_regime, CASE WHEN rsi IS NULL THEN 'NONE' WHEN bull THEN 'BULL' WHEN bear THEN 'BEAR' ELSE 'NONE' END AS failure_swing,
+ {Q.r('k', 'timing_k')}, {Q.r('d', 'timing_d')}, coalesce(zone, 'WARMUP') AS stoch_zone FROM bars_r r LEFT JOIN bars_z z ON r.symbol = z.symbol AND r.ts = z.ts LEFT JOIN ff ON r.symbol = ff.symbol AND r.i = ff.i"""
+)
+_PAIR = "PARTITION BY symbol, side ORDER BY ts"
+ORACLES["rsi_divergences"] = (
+    _REC("hour")
+    + _PIVOTS
+    + timing_rsi("bars")
+    + _TR
+    + recursion("tr", "tr", 14, "1.0 / 14", 2)
+    + f""", dp AS (SELECT symbol, ts, 'BEAR' AS side, sh AS p FROM s WHERE sh IS NOT NULL UNION ALL SELECT symbol, ts, 'BULL', sl FROM s WHERE sl IS NOT NULL),
+dr AS (SELECT dp.symbol, dp.ts, side, p, r.rsi, r.i, coalesce(0.15 * e.e / (n.close + 1e-12), 0.001) * p AS least_, CASE side WHEN 'BEAR' THEN 1 ELSE -1 END AS way FROM dp JOIN bars_r r USING (symbol, ts) JOIN tr_n n USING (symbol, ts) LEFT JOIN tr_e e ON n.symbol = e.symbol AND n.i = e.i WHERE r.rsi IS NOT NULL),
+dd AS (SELECT *, (p - lag(p) OVER ({_PAIR})) * way AS a, (rsi - lag(rsi) OVER ({_PAIR})) * way AS b, i - lag(i) OVER ({_PAIR}) AS n FROM dr),
+dk AS (SELECT *, CASE WHEN a > 0 AND b <= 0 THEN 'REG_' || side WHEN a <= 0 AND b > 0 THEN 'HID_' || side END AS kind FROM dd)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('p', 'price')}, {Q.r('rsi', 'timing_rsi')}, kind AS divergence, {Q.r('100 * (0.5 * least(abs(a) / (least_ + 1e-12), 3) / 3 + 0.5 * least(abs(b) / 10, 3) / 3)', 'divergence_strength')}
+FROM dk WHERE kind IS NOT NULL AND n >= 3 AND abs(a) >= least_ AND (abs(a) >= 2 * least_ OR abs(b) >= 3)"""
+)
+_TURNED = lambda x: f"CASE WHEN way = -1 THEN 1 - {x} ELSE {x} END"
+ORACLES["stoch_micro_timing"] = (
+    _REC("hour")
+    + filtered("bars", "1h")
+    + ", fb AS (SELECT symbol, ts, c AS close FROM bars_f)"
+    + timing_rsi("fb")
+    + timing_stoch("fb")
+    + f""", mj AS (SELECT symbol, ts, CASE f.bias WHEN 'BULL' THEN 1 WHEN 'BEAR' THEN -1 ELSE 0 END AS way, k, d, coalesce(zone, 'WARMUP') AS zone FROM bars_f f LEFT JOIN fb_z USING (symbol, ts)),
+ml AS (SELECT *, lag(k) OVER ({Q.W}) AS k0, lag(d) OVER ({Q.W}) AS d0 FROM mj), mt AS (SELECT *, {_TURNED('k')} AS tk, {_TURNED('d')} AS td, {_TURNED('k0')} AS tk0, {_TURNED('d0')} AS td0 FROM ml),
+mf AS (SELECT *, coalesce(way <> 0 AND d IS NOT NULL AND ((tk0 < 0.2 AND tk > 0.2 AND tk > tk0) OR (tk <= 0.3 AND td <= 0.3 AND tk0 <= td0 AND tk > td)), false) AS fit FROM mt)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('k', 'timing_k')}, {Q.r('d', 'timing_d')}, zone AS stoch_zone, CASE WHEN NOT fit THEN 'NONE' WHEN way = 1 THEN 'PULLBACK_DONE_UP' ELSE 'PULLBACK_DONE_DOWN' END AS micro_timing,
+ {Q.r('CASE WHEN fit THEN 100 * least(greatest(0, least(1, (tk - 0.2) / (0.3 + 1e-12))) + CASE WHEN tk > td THEN 0.2 ELSE 0 END, 1) END', 'micro_confidence')} FROM mf"""
+)
+ORACLES["trend_strength"] = (
+    _REC("hour")
+    + filtered("bars", "1h")
+    + f""", sv AS (SELECT f.*, b.volume, (b.high - b.low) / nullif(b.close, 0) AS ap FROM bars_f f JOIN bars b USING (symbol, ts)),
+sw AS (SELECT *, CASE WHEN count(*) OVER {Q.rows(20)} = 20 AND avg(volume) OVER {Q.rows(20)} > 0 THEN volume / avg(volume) OVER {Q.rows(20)} ELSE 1 END AS rv FROM sv),
+sx AS (SELECT *, 100 * (0.35 * greatest(0, least(1, abs(s50) / (0.2 * ap + 1e-12))) + 0.2 * greatest(0, least(1, (rv - 0.8) / (1.2 + 1e-12)))) / 0.55 AS raw FROM sw)"""
+    + recursion("sx", "raw", 1, "2.0 / 6")
+    + f""", sy AS (SELECT n.*, e.e AS sm FROM sx_n n JOIN sx_e e ON n.symbol = e.symbol AND n.i = e.i), sz AS (SELECT *, least(sm, CASE WHEN regime = 'RANGE' THEN 50 ELSE 100 END, CASE WHEN rv < 0.3 THEN 25 ELSE 100 END) AS st FROM sy)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('raw', 'strength_raw')}, {Q.r('st', 'strength')}, {Q.r("st * CASE bias WHEN 'BULL' THEN 1 WHEN 'BEAR' THEN -1 ELSE 0 END", 'strength_signed')}, CASE WHEN st <= 30 THEN 'WEAK' WHEN st <= 60 THEN 'EMERGING' ELSE 'STRONG' END AS strength_bucket FROM sz"""
+)
+
+
 @query
 def rsi_timing(spark, d):
     return rounded(scan(hour(spark, d), [N.RsiTiming, N.StochTiming]), *KEY, "timing_rsi", "rsi_regime", "failure_swing", "timing_k", "timing_d", "stoch_zone")

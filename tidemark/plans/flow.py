@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators import structure as T
 from ..operators import volume as V
 from ..operators.kernels import with_relative_volume
 from ..sources import market as S
+from . import market
 from . import oracle as Q
 from .market import KEY, _TR, hour, rounded
 
@@ -262,7 +265,21 @@ def funding_oi_combo(spark, d):
     return rows.select(*KEY, name.alias("funding_combo"), sure.alias("combo_probability"))
 
 
-@query()
+_unrounded = lambda name: re.sub(r"round\((.*?), 6\) \+ 0 AS", r"(\1) AS", market.ORACLES[name])
+
+
+@query(
+    Q.bars("hour")
+    + _BREAK
+    + f""", cd AS ({_unrounded('volume_candle_delta')}), ex AS ({_unrounded('volume_exhaustion')}),
+rv AS (SELECT symbol, ts, CASE WHEN count(*) OVER {Q.rows(20)} = 20 AND avg(volume) OVER {Q.rows(20)} > 0 THEN volume / avg(volume) OVER {Q.rows(20)} ELSE 1 END AS rv FROM bars),
+ki AS (SELECT o.*, rv.rv, ex.exhaustion_risk AS risk, cd.delta_pct / 100 AS dr, CASE WHEN up THEN 1 ELSE -1 END AS way FROM o JOIN cd ON cd.symbol = o.symbol AND cd.ts = o.ts::TIMESTAMPTZ JOIN ex ON ex.symbol = o.symbol AND ex.ts = o.ts::TIMESTAMPTZ JOIN rv ON rv.symbol = o.symbol AND rv.ts = o.ts),
+ks AS (SELECT *, greatest(-1, least(1, dr / 0.25)) * greatest(0, least(1, (rv - 1) / 1.5)) AS vs FROM ki),
+kv AS (SELECT *, dr * way < -0.05 OR vs / 2 * way < -0.3 AS veto, (dr * way > 0.05 AND vs * way > 0.2)::INT + (dr * way > 0.1)::INT AS n FROM ks),
+kc AS (SELECT *, CASE WHEN veto THEN 0 ELSE greatest(0, least(100, CASE n WHEN 2 THEN 60 ELSE 35 END + CASE WHEN rv > 2 THEN 10 ELSE 0 END + CASE WHEN abs(dr) > 0.25 THEN 10 ELSE 0 END - CASE WHEN risk IN ('high', 'extreme') THEN 20 ELSE 0 END)) END::DOUBLE AS c FROM kv)
+SELECT symbol, ts::TIMESTAMPTZ AS ts, CASE WHEN up THEN 'upward' ELSE 'downward' END AS breakout, veto AS vetoed, n AS aligned, CASE WHEN NOT veto AND n = 2 THEN 'mixed' ELSE 'retail' END AS breakout_quality, c AS breakout_confidence,
+ CASE WHEN c >= 50 AND up THEN 'enter_long' WHEN c >= 50 THEN 'enter_short' WHEN c < 40 THEN 'avoid' ELSE 'wait' END AS action, {Q.r('CASE WHEN c >= 50 THEN lv * (1 - 0.005 * way) END', 'stop')}, {Q.r('CASE WHEN c >= 50 THEN e * (1 + 0.015 * way) END', 'target')} FROM kc"""
+)
 def breakout_validation(spark, d):
     bars = V.with_exhaustion(V.with_candle_delta(with_relative_volume(hour(spark, d))))
     known = bars.select("symbol", "tf", "ts", "seq", "rv", "exhaustion_risk", (F.col("delta_pct") / 100).alias("delta_ratio"), C.volume_score(F.col("delta_pct") / 100, F.col("rv")).alias("volume_score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ..sources import market as T
 from ..sources.storage import shared_dir, stored
 from ..streaming import ordered as Z
 from ..streaming import state as X
-from . import flow
+from . import flow, momentum
 from . import oracle as Q
 from .market import _TR, KEY, hour, rounded
 from .momentum import _REC, _RSI
@@ -156,7 +158,16 @@ def unified_score(spark, d):
     return rounded(_state(spark, d), *KEY, "volume_score", "total_score", "confidence", "bias", "score_strength", "score_warning")
 
 
-@query()
+_unrounded = lambda name: re.sub(r"round\((.*?), 6\) \+ 0 AS", r"(\1) AS", momentum.ORACLES[name])
+
+
+@query(
+    f"""WITH ma AS ({_unrounded('moving_averages')}), rs AS ({_unrounded('rsi_14')}), mc AS ({_unrounded('macd_histogram_signal')}), sk AS ({_unrounded('stoch_rsi_signal')}), su AS ({_unrounded('supertrend_10_3')}),
+v AS (SELECT symbol, ts, ma_signal AS s, ma_strength AS x FROM ma UNION ALL SELECT symbol, ts, rsi_signal, rsi_strength FROM rs UNION ALL SELECT symbol, ts, coalesce(macd_bias, 'neutral'), coalesce(macd_strength, 50) FROM ma LEFT JOIN mc USING (symbol, ts)
+  UNION ALL SELECT symbol, ts, stoch_signal, stoch_strength FROM sk UNION ALL SELECT symbol, ts, supertrend_signal, supertrend_strength FROM su),
+b AS (SELECT symbol, ts, count(*) FILTER (s = 'bullish') AS bullish, count(*) FILTER (s = 'bearish') AS bearish, count(*) FILTER (s = 'neutral') AS neutral, avg(x) AS m, avg(x * CASE s WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END) AS b FROM v GROUP BY ALL)
+SELECT symbol, ts, bullish, bearish, neutral, {Q.r('m', 'mean_strength')}, {Q.r('b', 'balance')}, CASE WHEN b > 20 THEN 'strong_bullish' WHEN b > 5 THEN 'bullish' WHEN b < -20 THEN 'strong_bearish' WHEN b < -5 THEN 'bearish' ELSE 'neutral' END AS vote FROM b"""
+)
 def summary_vote(spark, d):
     """All oscillators' votes by symbol and hour, from one scan."""
     rows = M.scanned(hour(spark, d))
