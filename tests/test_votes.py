@@ -97,3 +97,24 @@ def test_a_swing_at_price_zero_has_the_middle_strength(spark):
     rows = [(x, x + 0.5, x, max(x, 1), 1) for x in shape]
     last = I.with_swings(_bars(spark, rows)).where("swing_low = 0").first()
     assert last.atr_pct > 0 and last.low_strength == 0.5
+
+
+def test_levels_of_many_equal_pivots_are_few(spark):
+    """A price touched 300 times is one level, and prices within the share are found on either side of a band's border and of a month's."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+    from tidemark.operators import structure as T
+
+    def brute(prices):
+        equal = {p for i, p in enumerate(prices) if any(abs(p - q) / p < 0.001 for q in prices[i + 1 :])}
+        return {(p, p in equal, p == prices[-1]) for p in equal | {prices[-1]}}
+
+    prices = [100.0] * 300 + [round(50 * 1.0004**i, 6) for i in range(60)] + [200.0, 100.05, 300.0, 200.19, 200.21]
+    start, rows = dt.datetime(2024, 1, 1), []
+    for i, p in enumerate(prices):  # every fifth bar is a high above its neighbours
+        rows += [("a", "1h", start + dt.timedelta(hours=5 * i + k), 0, p if k == 2 else 1.0) for k in range(5)]
+    bars = spark.createDataFrame(rows, "symbol string, tf string, ts timestamp, seq int, high double").withColumn("low", F.lit(-1.0)).withColumn("close", F.col("high"))
+    got = {(r.level, r.is_equal, r.is_latest) for r in T.levels(bars, n=2).collect() if r.side == "high"}
+    assert got == brute(prices)
+    assert T.levels(bars.where("false")).count() == 0

@@ -62,6 +62,26 @@ def interval_ms(tf: Column) -> Column:
     return F.coalesce(F.try_element_at(known, tf), F.lit(60_000))
 
 
+#: The interval above each, for context.
+ABOVE = {"1m": "5m", "3m": "15m", "5m": "15m", "15m": "1h", "30m": "2h", "1h": "4h", "2h": "4h", "4h": "1d", "6h": "1d", "8h": "1d", "12h": "1d", "1d": "1w", "3d": "1w", "1w": "1M"}
+
+
+def higher_interval(tf: Column) -> Column:
+    """The interval that gives ``tf`` its context; null for unknown ones and the longest."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ABOVE.items() for x in pair]), tf)
+
+
+def history_limit(wanted: Column, available: Column, default: int = 30) -> Column:
+    """Rows to look back: ``wanted`` (``default`` where null or not positive), two at least and no more than there are."""
+    asked = F.when(wanted > 0, wanted).otherwise(default)
+    return F.when(available < 2, available).otherwise(F.greatest(F.lit(2), F.least(asked, available)))
+
+
+def bias_way(bias: Column) -> Column:
+    """1 for BULL and -1 for BEAR in any case of letters, else 0."""
+    return ladder((F.upper(bias) == "BULL", 1), (F.upper(bias) == "BEAR", -1), otherwise=0)
+
+
 def normalized_symbol(symbol: Column) -> Column:
     return F.upper(F.regexp_replace(symbol, "[/_-]", ""))
 

@@ -172,6 +172,12 @@ def supertrend_regime(bars: DataFrame, window: int = 20, hold: int = 3, near: fl
     return rows.withColumns({"st_regime": F.when(trend, "TREND").otherwise("CHOP"), "st_strength": capped}).drop("__run", "__n", "__pct", "__ready", "__d")
 
 
+def permitted(rows: DataFrame) -> DataFrame:
+    """trend_allowed, long_allowed and short_allowed by :func:`supertrend_regime`: no trend trades in chop, and in a trend only those of its direction. Flips are no entries."""
+    trend, up = F.col("st_regime") == "TREND", F.col("direction") == "UP"
+    return rows.withColumns({"trend_allowed": trend, "long_allowed": trend & up, "short_allowed": trend & ~up})
+
+
 def bandwidth(bars: DataFrame) -> DataFrame:
     rows = with_bollinger(bars)
     return scan(rows.withColumn("bandwidth", (F.col("bb_upper") - F.col("bb_lower")) / (F.col("bb_mid") + 1e-12)), [S.BandwidthState])

@@ -159,7 +159,7 @@ def acceptance(rows: DataFrame, bars_ahead: int = 3, share: float = 0.67, volume
 
 
 def equal_levels(bars: DataFrame, side: str = "high", n: int = 5, within_pct: float = 0.1) -> DataFrame:
-    """Prices at which two pivots of a series lie within ``within_pct``: each pivot against the next ones in order of price, found on neighbouring price bands, not by pairing all."""
+    """Pairs of a series' pivots within ``within_pct``, each with its mean price; pivots meet on neighbouring price bands. A price that is touched often gives every pair of its touches: :func:`levels` has a row for each price instead."""
     column = f"swing_{side}"
     pivots = with_pivots(bars, n).where(F.col(column).isNotNull()).select("symbol", "tf", "ts", F.col(column).alias("price"))
     # Two prices within the tolerance lie in the same band of that width (in logarithms) or in neighbouring ones.
@@ -170,6 +170,30 @@ def equal_levels(bars: DataFrame, side: str = "high", n: int = 5, within_pct: fl
     return pairs.select("symbol", "tf", ((F.col("price") + F.col("other")) / 2).alias("level"), F.col("ts").alias("first_ts"), F.col("other_ts").alias("second_ts")).distinct()
 
 
+def levels(bars: DataFrame, n: int = 5, within_pct: float = 0.1, part: str = "month") -> DataFrame:
+    """Prices where liquidity rests, of both sides: those of pivots that a later pivot of their side comes within ``within_pct`` of (is_equal), and that of the latest pivot (is_latest); a side with a single pivot has none. Pivots at zero or below take no part.
+
+    A pivot asks the price bands around its own for the largest and the least price of later pivots, so that rows grow with the pivots and not with their pairs. A band is cut by ``part`` of the time: within a part the extremes run along, those of later parts come from one row a part.
+    """
+    sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"swing_{x}").alias("price")) for x in ("high", "low")])
+    pivots = with_pivots(bars, n).select(*SERIES, "ts", "seq", F.inline(sides)).where("price > 0")
+    share = within_pct / 100
+    band = F.floor(F.ln("price") / F.lit(math.log1p(share) / 2)).cast("long")
+    own = pivots.select(*SERIES, "side", band.alias("band"), F.date_trunc(part, "ts").alias("part"), "ts", "seq", "price", F.lit(None).cast("double").alias("asked"))
+    asks = own.select(*SERIES, "side", F.explode(F.sequence(F.col("band") - 3, F.col("band") + 3)).alias("band"), "part", "ts", "seq", F.lit(None).cast("double").alias("price"), F.col("price").alias("asked"))
+    rows, place = own.unionByName(asks), (*SERIES, "side", "band")
+    after = Window.partitionBy(*place).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*place, "part").agg(F.max("price").alias("top"), F.min("price").alias("bottom"))
+    parts = parts.select(*place, "part", F.max("top").over(after).alias("top_after"), F.min("bottom").over(after).alias("bottom_after"))
+    # From the latest on; of one moment the questions come first, so that no pivot finds itself.
+    later = Window.partitionBy(*place, "part").orderBy(F.desc("ts"), F.desc("seq"), F.col("asked").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumns({"top": F.max("price").over(later), "bottom": F.min("price").over(later)}).where("asked is not null").join(parts, [*place, "part"])
+    near = lambda x: F.coalesce(F.abs(F.col("asked") - x) / F.col("asked") < share, F.lit(False))
+    equal = found.where(near(F.greatest("top", "top_after")) | near(F.least("bottom", "bottom_after"))).select(*SERIES, "side", F.col("asked").alias("level"), F.lit(True).alias("is_equal"), F.lit(False).alias("is_latest"))
+    latest = pivots.groupBy(*SERIES, "side").agg(F.max_by("price", F.struct("ts", "seq")).alias("level"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*SERIES, "side", "level", F.lit(False).alias("is_equal"), F.lit(True).alias("is_latest"))
+    return equal.union(latest).groupBy(*SERIES, "side", "level").agg(F.max("is_equal").alias("is_equal"), F.max("is_latest").alias("is_latest"))
+
+
 def validated(events: DataFrame) -> DataFrame:
     """Breakouts with quality, confidence, action and levels, from delta_ratio, volume_score, oi_score, oi_pct, book_score, book_imbalance, rv and exhaustion_risk (unknown ones null). A veto has confidence 0."""
     way = F.when(F.col("breakout") == "upward", 1).otherwise(-1)

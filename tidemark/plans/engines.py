@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import engines as N
 from ..operators import kernels as K
 from ..operators import momentum as M
-from ..functions.scalars import series
+from ..functions.scalars import bias_way, series
 from ..operators import timing as T
 from ..operators import vwap as W
 from ..operators.scan import scan
@@ -185,7 +185,7 @@ def rsi_timing(spark, d):
 def trend_strength(spark, d):
     rows = K.with_relative_volume(M.ema_filter(hour(spark, d), "1h"))
     none = F.lit(None).cast("double")
-    bias = F.when(F.col("ema_bias") == "BULL", 1).when(F.col("ema_bias") == "BEAR", -1).otherwise(0)
+    bias = bias_way(F.col("ema_bias"))
     rows = rows.withColumns({"ribbon_width_rate": none, "oi_now": none, "oi_prev": none, "atr_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "direction_bias": bias, "is_range": F.col("ema_regime") == "RANGE", "is_chop": F.lit(False)})
     return rounded(N.trend_strength(rows, "1h"), *KEY, "strength_raw", "strength", "strength_signed", "strength_bucket")
 
@@ -226,5 +226,5 @@ def rsi_divergences(spark, d):
 @query
 def stoch_micro_timing(spark, d):
     rows = scan(M.ema_filter(hour(spark, d), "1h"), [N.StochTiming])
-    bias = F.when(F.col("ema_bias") == "BULL", 1).when(F.col("ema_bias") == "BEAR", -1).otherwise(0)
+    bias = bias_way(F.col("ema_bias"))
     return rounded(N.micro_timing(rows.withColumn("bias", bias), confirm=1), *KEY, "timing_k", "timing_d", "stoch_zone", "micro_timing", "micro_confidence")

@@ -13,6 +13,7 @@ from ..operators import score as C
 from ..operators import select as P
 from ..operators import structure as T
 from ..operators import volume as V
+from ..functions.scalars import higher_interval, history_limit
 from ..operators.kernels import with_relative_volume
 from ..sources import market as S
 from . import market
@@ -226,6 +227,28 @@ def liquidity_levels(spark, d):
     return rounded(T.equal_levels(hour(spark, d)), "symbol", "level", "first_ts", "second_ts")
 
 
+@query(
+    Q.bars("hour")
+    + _PIVOTS
+    + f""", v AS (SELECT symbol, ts, 'high' AS side, sh AS p FROM s WHERE sh > 0 UNION ALL SELECT symbol, ts, 'low', sl FROM s WHERE sl > 0),
+l AS (SELECT symbol, side, p, EXISTS (SELECT 1 FROM v b WHERE b.symbol = a.symbol AND b.side = a.side AND b.ts > a.ts AND abs(a.p - b.p) / a.p < 0.1 / 100) AS eq, ts = max(ts) OVER (PARTITION BY symbol, side) AND count(*) OVER (PARTITION BY symbol, side) > 1 AS la FROM v a)
+SELECT symbol, side, {Q.r('p', 'level')}, bool_or(eq) AS is_equal, bool_or(la) AS is_latest FROM l WHERE eq OR la GROUP BY symbol, side, p"""
+)
+def resting_levels(spark, d):
+    """Equal highs and lows and the latest of each side, a row for each price."""
+    return rounded(T.levels(hour(spark, d)), "symbol", "side", "level", "is_equal", "is_latest")
+
+
+@query(
+    Q.bars("hour")
+    + f" SELECT symbol, '4h' AS higher_tf, count(*) AS bars, {Q.r('sum(volume)', 'volume')}, CASE WHEN count(*) < 2 THEN count(*) ELSE greatest(2, least(30, count(*))) END AS history_limit FROM bars GROUP BY symbol"
+)
+def history_limits(spark, d):
+    """Instruments with the interval above theirs and how many bars back an analysis of thirty can look."""
+    rows = hour(spark, d).groupBy("symbol", "tf").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"))
+    return rounded(rows.withColumns({"higher_tf": higher_interval(F.col("tf")), "history_limit": history_limit(F.lit(30), F.col("bars"))}), "symbol", "higher_tf", "bars", "volume", "history_limit")
+
+
 _WALLS = lambda side: f"len(list_filter({side}_before[1:10], lambda x: x.qty >= list_avg(list_transform({side}_before[1:10], lambda z: z.qty)) * 3 AND len(list_filter({side}[1:10], lambda y: abs(y.price - x.price) <= x.price * 0.001 AND y.qty >= x.qty * 0.5)) = 0))"
 _BY_TIME = "PARTITION BY month ORDER BY ts, book_id"
 

@@ -199,6 +199,11 @@ def supertrend_regime(spark, d):
     return rounded(M.supertrend_regime(hour(spark, d)), *KEY, "upper_band", "lower_band", "direction", "hold_bars", "flip_rate", "st_regime", "st_strength")
 
 
+@query(_REC("hour") + _LOCKED + " SELECT symbol, ts::TIMESTAMPTZ AS ts, CASE WHEN trend THEN 'TREND' ELSE 'CHOP' END AS st_regime, trend AS trend_allowed, trend AND way = 'UP' AS long_allowed, trend AND way = 'DOWN' AS short_allowed FROM lt")
+def supertrend_permission(spark, d):
+    return M.permitted(M.supertrend_regime(hour(spark, d))).select(*KEY, "st_regime", "trend_allowed", "long_allowed", "short_allowed")
+
+
 def expansion(source: str = "bars") -> str:
     """CTEs that give ``xs``, the expansion of a source's ATR with state and score."""
     w = Q.W
