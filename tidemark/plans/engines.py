@@ -13,6 +13,7 @@ from ..operators import vwap as W
 from ..operators.scan import scan
 from . import oracle as Q
 from .flow import _PIVOTS
+from .live import _vwap
 from .market import KEY, hour, rounded
 from .momentum import _MACD, _REC, _TR, filtered, recursion
 
@@ -190,6 +191,38 @@ def trend_strength(spark, d):
     return rounded(N.trend_strength(rows, "1h"), *KEY, "strength_raw", "strength", "strength_signed", "strength_bucket")
 
 
+def interaction(source: str) -> str:
+    """CTEs that give ``vz``, the interaction state of rows with a (distance to the VWAP), close, vwap, sd and rv; counters of one row come from the last one's, reclaims before losses before rejections before acceptances."""
+    crossed = lambda a, b, way: f"CASE WHEN c{a} AND a * {way} >= 0.0006 THEN true WHEN c{a} AND a * {way} <= -0.0006 THEN false ELSE c{a} END AS c{b}, CASE WHEN c{a} AND a * {way} >= 0.0006 THEN b{a} + 1 WHEN c{a} AND a * {way} <= -0.0006 THEN 0 ELSE b{a} END AS b{b}"
+    return f""", va AS (SELECT symbol, ts, a, row_number() OVER ({Q.W}) AS i, abs(a) <= 0.0003 OR coalesce(abs((close - vwap) / (sd + 1e-10)) <= 0.15, false) AS touch, coalesce(rv >= 1.2, false) AS sure, CASE WHEN sign(a) <> 0 THEN sign(a)::INT END AS sg FROM {source} WHERE a IS NOT NULL),
+vb AS (SELECT *, CASE WHEN touch THEN 0 ELSE sign(a)::INT END AS side, coalesce(last_value(sg IGNORE NULLS) OVER ({Q.W} ROWS UNBOUNDED PRECEDING), 0) AS sgn, i - max(CASE WHEN touch THEN i END) OVER ({Q.W} ROWS UNBOUNDED PRECEDING) <= 3 AS recent FROM va),
+vc AS (SELECT *, (sgn <> coalesce(lag(sgn) OVER ({Q.W}), sgn))::INT AS ch FROM vb), vd AS (SELECT *, sum(ch) OVER {Q.rows(19)} AS n, sum(ch) OVER {Q.rows(19)} < 4 AS calm FROM vc), ve AS (SELECT *, calm OR sure AS ok, CASE WHEN calm THEN 2 ELSE 3 END AS need, CASE WHEN calm THEN 3 ELSE 2 END AS rneed FROM vd),
+vm AS (SELECT symbol, 0::BIGINT AS i, 0 AS last, 0 AS hold, false AS cu, false AS cd, 0 AS bu, 0 AS bd, 0 AS au, 0 AS ad, 0 AS rej, 'NEUTRAL' AS state FROM (SELECT DISTINCT symbol FROM ve)
+  UNION ALL SELECT symbol, i, CASE WHEN side <> 0 THEN side ELSE last END, CASE WHEN side = 0 THEN hold WHEN side = last THEN hold + 1 ELSE 1 END, cu, cd, bu, bd, au, ad, rej, CASE WHEN fu THEN 'RECLAIM' WHEN fd THEN 'LOSS' WHEN fr THEN 'REJECT' WHEN NOT (cu OR cd) AND rej = 0 AND greatest(au, ad) >= need AND (calm OR (sure AND greatest(au, ad) > need)) THEN 'ACCEPT' ELSE 'NEUTRAL' END
+  FROM (SELECT * REPLACE (CASE WHEN fu OR fd THEN au WHEN fr OR cu OR cd THEN 0 WHEN rej > 0 OR side = 0 THEN au WHEN side = 1 THEN au + 1 ELSE 0 END AS au, CASE WHEN fu OR fd THEN ad WHEN fr OR cu OR cd THEN 0 WHEN rej > 0 OR side = 0 THEN ad WHEN side = -1 THEN ad + 1 ELSE 0 END AS ad)
+  FROM (SELECT *, NOT (fu OR fd OR cu OR cd) AND rej >= rneed AS fr
+  FROM (SELECT * REPLACE (CASE WHEN fu OR fd OR cu OR cd THEN 0 WHEN coalesce(recent, false) AND side <> 0 AND a * side >= 0.0003 THEN rej + 1 ELSE 0 END AS rej, CASE WHEN fu OR fd THEN 0 ELSE au END AS au, CASE WHEN fu OR fd THEN 0 ELSE ad END AS ad, cu AND NOT fd AS cu, CASE WHEN fd THEN 0 ELSE bu END AS bu)
+  FROM (SELECT symbol, i, a, side, calm, sure, need, rneed, recent, last, hold, rej, au, ad, fu, cu, bu, cd, CASE WHEN NOT fu AND NOT fd AND NOT cd THEN 0 ELSE bd END AS bd, fd
+  FROM (SELECT *, NOT fu AND bd >= need AND ok AS fd
+  FROM (SELECT * EXCLUDE (cd1, bd1), {crossed('d1', 'd', -1)}
+  FROM (SELECT *, CASE WHEN fu THEN false ELSE cd0 OR (last = 1 AND side = -1) END AS cd1, CASE WHEN fu OR (last = 1 AND side = -1) THEN 0 ELSE bd0 END AS bd1
+  FROM (SELECT * REPLACE (CASE WHEN NOT fu AND NOT cu THEN 0 ELSE bu END AS bu)
+  FROM (SELECT *, bu >= need AND ok AS fu
+  FROM (SELECT * EXCLUDE (cu1, bu1), {crossed('u1', 'u', 1)}
+  FROM (SELECT n.symbol, n.i, n.a, n.side, n.calm, n.sure, n.ok, n.need, n.rneed, n.recent, p.last, p.hold, p.rej, p.au, p.ad, p.cd AS cd0, p.bd AS bd0, p.cu OR (p.last = -1 AND n.side = 1) AS cu1, CASE WHEN p.last = -1 AND n.side = 1 THEN 0 ELSE p.bu END AS bu1 FROM vm p JOIN ve n ON n.symbol = p.symbol AND n.i = p.i + 1)
+  ))))))))))),
+vz AS (SELECT ve.symbol, ve.ts, m.state, ve.side, m.hold, ve.n::INT AS n FROM ve JOIN vm m ON ve.symbol = m.symbol AND ve.i = m.i)"""
+
+
+ORACLES["vwap_state_machine"] = (
+    _REC("hour")
+    + _vwap("ts::DATE")
+    + f", yr AS (SELECT *, CASE WHEN count(*) OVER {Q.rows(20)} = 20 AND avg(volume) OVER {Q.rows(20)} > 0 THEN volume / avg(volume) OVER {Q.rows(20)} ELSE 1 END AS rv FROM y)"
+    + interaction("yr")
+    + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('vwap', 'vwap')}, state AS vwap_state, side AS vwap_side, hold AS vwap_hold, z.n AS vwap_crossings FROM yr LEFT JOIN vz z USING (symbol, ts)"
+)
+
+
 @query
 def vwap_state_machine(spark, d):
     rows = T.vwap_interaction(W.session(K.with_relative_volume(hour(spark, d))), "1h")
