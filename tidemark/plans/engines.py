@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import engines as N
@@ -11,6 +13,7 @@ from ..functions.scalars import bias_way, series
 from ..operators import timing as T
 from ..operators import vwap as W
 from ..operators.scan import scan
+from . import market, momentum
 from . import oracle as Q
 from .flow import _PIVOTS
 from .live import _vwap
@@ -191,10 +194,10 @@ def trend_strength(spark, d):
     return rounded(N.trend_strength(rows, "1h"), *KEY, "strength_raw", "strength", "strength_signed", "strength_bucket")
 
 
-def interaction(source: str) -> str:
-    """CTEs that give ``vz``, the interaction state of rows with a (distance to the VWAP), close, vwap, sd and rv; counters of one row come from the last one's, reclaims before losses before rejections before acceptances."""
-    crossed = lambda a, b, way: f"CASE WHEN c{a} AND a * {way} >= 0.0006 THEN true WHEN c{a} AND a * {way} <= -0.0006 THEN false ELSE c{a} END AS c{b}, CASE WHEN c{a} AND a * {way} >= 0.0006 THEN b{a} + 1 WHEN c{a} AND a * {way} <= -0.0006 THEN 0 ELSE b{a} END AS b{b}"
-    return f""", va AS (SELECT symbol, ts, a, row_number() OVER ({Q.W}) AS i, abs(a) <= 0.0003 OR coalesce(abs((close - vwap) / (sd + 1e-10)) <= 0.15, false) AS touch, coalesce(rv >= 1.2, false) AS sure, CASE WHEN sign(a) <> 0 THEN sign(a)::INT END AS sg FROM {source} WHERE a IS NOT NULL),
+def interaction(source: str, share: str = "NULL::DOUBLE") -> str:
+    """CTEs that give ``vz``, the interaction state of rows with a (distance to the VWAP), close, vwap, sd and rv, and the ATR's ``share`` of the close; counters of one row come from the last one's, reclaims before losses before rejections before acceptances."""
+    crossed = lambda a, b, way: f"CASE WHEN c{a} AND a * {way} >= far THEN true WHEN c{a} AND a * {way} <= -far THEN false ELSE c{a} END AS c{b}, CASE WHEN c{a} AND a * {way} >= far THEN b{a} + 1 WHEN c{a} AND a * {way} <= -far THEN 0 ELSE b{a} END AS b{b}"
+    return f""", va AS (SELECT symbol, ts, a, row_number() OVER ({Q.W}) AS i, abs(a) <= 0.0003 OR coalesce(abs((close - vwap) / (sd + 1e-10)) <= 0.15, false) OR coalesce(abs(a) <= 0.05 * {share}, false) AS touch, greatest(0.0006, coalesce(0.1 * {share}, 0)) AS far, coalesce(rv >= 1.2, false) AS sure, CASE WHEN sign(a) <> 0 THEN sign(a)::INT END AS sg FROM {source} WHERE a IS NOT NULL),
 vb AS (SELECT *, CASE WHEN touch THEN 0 ELSE sign(a)::INT END AS side, coalesce(last_value(sg IGNORE NULLS) OVER ({Q.W} ROWS UNBOUNDED PRECEDING), 0) AS sgn, i - max(CASE WHEN touch THEN i END) OVER ({Q.W} ROWS UNBOUNDED PRECEDING) <= 3 AS recent FROM va),
 vc AS (SELECT *, (sgn <> coalesce(lag(sgn) OVER ({Q.W}), sgn))::INT AS ch FROM vb), vd AS (SELECT *, sum(ch) OVER {Q.rows(19)} AS n, sum(ch) OVER {Q.rows(19)} < 4 AS calm FROM vc), ve AS (SELECT *, calm OR sure AS ok, CASE WHEN calm THEN 2 ELSE 3 END AS need, CASE WHEN calm THEN 3 ELSE 2 END AS rneed FROM vd),
 vm AS (SELECT symbol, 0::BIGINT AS i, 0 AS last, 0 AS hold, false AS cu, false AS cd, 0 AS bu, 0 AS bd, 0 AS au, 0 AS ad, 0 AS rej, 'NEUTRAL' AS state FROM (SELECT DISTINCT symbol FROM ve)
@@ -202,14 +205,14 @@ vm AS (SELECT symbol, 0::BIGINT AS i, 0 AS last, 0 AS hold, false AS cu, false A
   FROM (SELECT * REPLACE (CASE WHEN fu OR fd THEN au WHEN fr OR cu OR cd THEN 0 WHEN rej > 0 OR side = 0 THEN au WHEN side = 1 THEN au + 1 ELSE 0 END AS au, CASE WHEN fu OR fd THEN ad WHEN fr OR cu OR cd THEN 0 WHEN rej > 0 OR side = 0 THEN ad WHEN side = -1 THEN ad + 1 ELSE 0 END AS ad)
   FROM (SELECT *, NOT (fu OR fd OR cu OR cd) AND rej >= rneed AS fr
   FROM (SELECT * REPLACE (CASE WHEN fu OR fd OR cu OR cd THEN 0 WHEN coalesce(recent, false) AND side <> 0 AND a * side >= 0.0003 THEN rej + 1 ELSE 0 END AS rej, CASE WHEN fu OR fd THEN 0 ELSE au END AS au, CASE WHEN fu OR fd THEN 0 ELSE ad END AS ad, cu AND NOT fd AS cu, CASE WHEN fd THEN 0 ELSE bu END AS bu)
-  FROM (SELECT symbol, i, a, side, calm, sure, need, rneed, recent, last, hold, rej, au, ad, fu, cu, bu, cd, CASE WHEN NOT fu AND NOT fd AND NOT cd THEN 0 ELSE bd END AS bd, fd
+  FROM (SELECT symbol, i, a, far, side, calm, sure, need, rneed, recent, last, hold, rej, au, ad, fu, cu, bu, cd, CASE WHEN NOT fu AND NOT fd AND NOT cd THEN 0 ELSE bd END AS bd, fd
   FROM (SELECT *, NOT fu AND bd >= need AND ok AS fd
   FROM (SELECT * EXCLUDE (cd1, bd1), {crossed('d1', 'd', -1)}
   FROM (SELECT *, CASE WHEN fu THEN false ELSE cd0 OR (last = 1 AND side = -1) END AS cd1, CASE WHEN fu OR (last = 1 AND side = -1) THEN 0 ELSE bd0 END AS bd1
   FROM (SELECT * REPLACE (CASE WHEN NOT fu AND NOT cu THEN 0 ELSE bu END AS bu)
   FROM (SELECT *, bu >= need AND ok AS fu
   FROM (SELECT * EXCLUDE (cu1, bu1), {crossed('u1', 'u', 1)}
-  FROM (SELECT n.symbol, n.i, n.a, n.side, n.calm, n.sure, n.ok, n.need, n.rneed, n.recent, p.last, p.hold, p.rej, p.au, p.ad, p.cd AS cd0, p.bd AS bd0, p.cu OR (p.last = -1 AND n.side = 1) AS cu1, CASE WHEN p.last = -1 AND n.side = 1 THEN 0 ELSE p.bu END AS bu1 FROM vm p JOIN ve n ON n.symbol = p.symbol AND n.i = p.i + 1)
+  FROM (SELECT n.symbol, n.i, n.a, n.far, n.side, n.calm, n.sure, n.ok, n.need, n.rneed, n.recent, p.last, p.hold, p.rej, p.au, p.ad, p.cd AS cd0, p.bd AS bd0, p.cu OR (p.last = -1 AND n.side = 1) AS cu1, CASE WHEN p.last = -1 AND n.side = 1 THEN 0 ELSE p.bu END AS bu1 FROM vm p JOIN ve n ON n.symbol = p.symbol AND n.i = p.i + 1)
   ))))))))))),
 vz AS (SELECT ve.symbol, ve.ts, m.state, ve.side, m.hold, ve.n::INT AS n FROM ve JOIN vm m ON ve.symbol = m.symbol AND ve.i = m.i)"""
 
@@ -229,6 +232,40 @@ def vwap_state_machine(spark, d):
     return rounded(rows, *KEY, "vwap", "vwap_state", "vwap_side", "vwap_hold", "vwap_crossings")
 
 
+_unrounded = lambda sql: re.sub(r"round\((.*?), 6\) \+ 0 AS", r"(\1) AS", sql)
+_JOINED = lambda t: f"JOIN {t} ON {t}.symbol = b.symbol AND {t}.ts = b.ts::TIMESTAMPTZ"
+_AGO = lambda k: f"lag(close, {k}) OVER ({Q.W})"
+_INPUTS = (
+    _REC("hour")
+    + f""", rb AS ({_unrounded(ORACLES['ema_ribbon'])}), ax AS ({_unrounded(momentum.ORACLES['atr_expansion'])}), cp AS ({_unrounded(market.ORACLES['choppiness_14'])}),
+rv AS (SELECT *, CASE WHEN count(*) OVER {Q.rows(20)} = 20 AND avg(volume) OVER {Q.rows(20)} > 0 THEN volume / avg(volume) OVER {Q.rows(20)} ELSE 1 END AS rv FROM bars),
+b1 AS (SELECT b.*, ax.atr / (b.close + 1e-12) AS ap, ax.atr_exp AS ex, ax.tr_spike AS sp, ax.atr_exp_slope AS es, cp.chop, cp.chop_state, rb.width_rate AS wr, rb.ribbon_state <> 'CHOP' AS trend_ok, CASE rb.ribbon_direction WHEN 'BULL' THEN 1 WHEN 'BEAR' THEN -1 ELSE 0 END AS bias FROM rv b {_JOINED('rb')} {_JOINED('ax')} {_JOINED('cp')})"""
+    + _vwap("ts::DATE", "b1")
+    + interaction("y", "ap")
+    + f""", tm AS (SELECT symbol, ts, close, greatest(high - low, abs(high - {_AGO(1)}), abs(low - {_AGO(1)})) AS tr, {_AGO(3)} AS c3, {_AGO(12)} AS c12 FROM y)"""
+    + recursion("tm", "tr", 14, "1.0 / 14")
+    + """, mo AS (SELECT n.symbol, n.ts, n.close, (n.close - c3) / (c3 + 1e-10) AS rf, coalesce(e.e, n.tr) / (n.close + 1e-10) AS share FROM tm_n n LEFT JOIN tm_e e ON n.symbol = e.symbol AND n.i = e.i WHERE c12 IS NOT NULL)"""
+    + recursion("mo", "rf", 1, "0.5")
+    + f", mp AS (SELECT n.*, greatest(-3, least(3, n.rf / (n.share + 1e-10))) AS roc, e.e - coalesce(lag(e.e) OVER w, 0) AS acc FROM mo_n n JOIN mo_e e ON n.symbol = e.symbol AND n.i = e.i WINDOW w AS (PARTITION BY n.symbol ORDER BY n.ts))"
+    + _MACD.replace("FROM bars", "FROM mp")
+    + f""", ti AS (SELECT y.symbol, y.ts, bias, trend_ok, wr, ex, sp, es, chop, chop_state, roc, acc, vz.state AS vs, CASE WHEN abs(y.a) <= 0.0001 THEN 'AT' WHEN y.a > 0 THEN 'ABOVE' WHEN y.a <= 0 THEN 'BELOW' END AS place, lag(roc) OVER w AS roc0, hist - lag(hist) OVER w AS hs
+  FROM mc JOIN mp USING (symbol, ts) JOIN y USING (symbol, ts) LEFT JOIN vz USING (symbol, ts) WHERE hist IS NOT NULL WINDOW w AS (PARTITION BY y.symbol ORDER BY y.ts)),
+tj AS (SELECT *, row_number() OVER ({Q.W}) AS i, coalesce(ex >= 1.2, false) OR coalesce(sp >= 1.5, false) AS hot, coalesce(roc * bias > roc0 * bias AND roc * bias >= 0.3, false) AS restart, coalesce(ex >= 1 AND coalesce(es, 0) >= 0, false) AS support, coalesce(hs * bias > 0, false) AS md,
+  trend_ok AND bias <> 0 AND coalesce(vs IN ('ACCEPT', 'RECLAIM'), false) AND (place IS NULL OR coalesce(place = CASE bias WHEN 1 THEN 'ABOVE' WHEN -1 THEN 'BELOW' END, false)) AS gates FROM ti),
+tk AS (SELECT *, coalesce(roc * bias > 0.3 AND acc * bias < 0, false)::INT + (hot AND coalesce(wr < 0, false))::INT AS tired, coalesce(ex < 0.8, false) AND (coalesce(chop_state = 'CHOP', false) OR coalesce(chop >= 61.8, false)) AS squeeze, hot AND abs(roc) >= 0.8 AS ignites, restart::INT + support::INT + md::INT AS triggers FROM tj),
+tl AS (SELECT symbol, 0::BIGINT AS i, 0 AS nt, 0 AS ni, 0 AS nr, 0 AS cool, false AS armed, NULL::VARCHAR AS rule FROM (SELECT DISTINCT symbol FROM tk)
+  UNION ALL SELECT symbol, i, nt, CASE WHEN exh THEN ni ELSE gi END, CASE WHEN exh THEN 0 WHEN gi >= 2 THEN nr ELSE gr END, CASE WHEN exh THEN 2 ELSE cool END, CASE WHEN exh THEN armed ELSE ga AND gi < 2 END, CASE WHEN exh THEN 'EXHAUSTION_WARNING' WHEN gi >= 2 THEN 'BREAKOUT_WINDOW' WHEN gr >= 2 THEN 'CONTINUATION_READY' END
+  FROM (SELECT *, bias <> 0 AND nt >= 2 AS exh, CASE WHEN ga AND ignites THEN ni + 1 ELSE 0 END AS gi, CASE WHEN gates AND cool = 0 AND triggers >= 2 THEN nr + 1 ELSE 0 END AS gr
+  FROM (SELECT n.*, CASE WHEN n.bias = 0 THEN p.nt WHEN n.tired >= 2 THEN p.nt + 1 ELSE 0 END AS nt, p.ni, p.nr, greatest(p.cool - 1, 0) AS cool, p.armed, p.armed OR n.squeeze AS ga FROM tl p JOIN tk n ON n.symbol = p.symbol AND n.i = p.i + 1)))"""
+)
+ORACLES["timing_rules"] = (
+    _INPUTS
+    + f""" SELECT k.symbol, k.ts::TIMESTAMPTZ AS ts, coalesce(rule, CASE WHEN trend_ok THEN 'TRANSITION' ELSE 'NO_TRADE' END) AS timing_state, CASE WHEN rule = 'BREAKOUT_WINDOW' THEN sign(roc)::INT WHEN rule IS NOT NULL THEN bias ELSE 0 END AS timing_direction,
+ {Q.r("CASE rule WHEN 'EXHAUSTION_WARNING' THEN least(100, 60 + 20 * (tired - 2) + CASE WHEN ex >= 1.6 THEN 10 ELSE 0 END) WHEN 'BREAKOUT_WINDOW' THEN 95 WHEN 'CONTINUATION_READY' THEN least(100, 50 + 15 * triggers + CASE WHEN vs = 'RECLAIM' THEN 10 ELSE 0 END) END::DOUBLE", 'timing_confidence')},
+ {Q.r("CASE rule WHEN 'EXHAUSTION_WARNING' THEN 0 WHEN 'BREAKOUT_WINDOW' THEN 0 WHEN 'CONTINUATION_READY' THEN 50 + 15 * restart::INT + 15 * support::INT + 10 * md::INT END::DOUBLE", 'timing_score')} FROM tk k JOIN tl l ON k.symbol = l.symbol AND k.i = l.i"""
+)
+
+
 @query
 def timing_rules(spark, d):
     """All inputs from the same hourly bars: four scans over one partitioning."""
