@@ -58,6 +58,28 @@ def test_bpe_equals_the_library_and_returns_the_text(spark):
     assert {r.doc_id: r.text for r in bpe.decode(encoded, TOKENIZER).collect()} == {i: r.decoded for i, r in got.items()}
 
 
+def test_bpe_clashing_names_repeated_rows_small_slices_and_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 64)
+    df = documents(spark, ["one two three " * 50, None, "", "x"]).select("doc_id", "text").withColumns({"n_tokens": F.lit("clash"), "ids": F.lit(1), "part.of": F.lit(2)})
+    df = df.union(df)
+    got = bpe.round_trip(df, TOKENIZER, keep=("n_tokens", "ids", "doc_id", "part.of"))
+    assert got.columns == ["doc_id", "part.of", "ids", "n_tokens", "decoded"]
+    library = Tokenizer.from_file(TOKENIZER)
+    want = sorted((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids), r.text or "") for r in df.collect())
+    assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in got.collect()) == want and len(want) == 8
+    assert bpe.round_trip(df.where("false"), TOKENIZER).count() == 0
+
+
+def test_bpe_slices_hold_all_rows_within_the_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (0, 5000, 1, 400, 400, 400, 900, 2)] + ["b"] * 90})
+    pieces = list(bpe._slices(batch, 50))
+    assert pa.Table.from_batches(pieces).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows <= 50 and (p.num_rows == 1 or p.nbytes <= 1000) for p in pieces)
+
+
 def test_bpe_long_words_merge_as_short_ones():
     codec = bpe.codec(TOKENIZER)
     rng = random.Random(5)

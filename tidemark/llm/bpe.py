@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import rows_of
@@ -29,6 +30,8 @@ SHORT_WORD = 96
 #: Words remembered by a Python worker before it starts afresh.
 CACHE_WORDS = 400_000
 NO_RANK = 1 << 40
+#: Bytes of the texts that are encoded at a time, unless a single one has more.
+SLICE_BYTES = 16 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -147,6 +150,17 @@ def codec(path: str) -> ByteBpe:
     return _loaded[path]
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``rows`` rows and, where they have more than one, ``SLICE_BYTES`` bytes."""
+    start = 0
+    while start < batch.num_rows:
+        piece = batch.slice(start, rows)
+        while piece.num_rows > 1 and piece.nbytes > SLICE_BYTES:
+            piece = piece.slice(0, (piece.num_rows + 1) // 2)
+        yield piece
+        start += piece.num_rows
+
+
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (packed little-endian uint32) and ``n_tokens``."""
 
@@ -175,18 +189,20 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     One row per input row, repeated rows included: ``id_col``, the columns named
     in ``keep``, ``ids`` (packed), ``n_tokens`` and ``decoded``. The id may be null.
+    A kept column of one of these names gives way to the result. Texts are taken
+    in slices of at most 500 rows and about ``SLICE_BYTES`` bytes.
     """
     made = [StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decoded", StringType())]
-    out = StructType([*df.select(df[id_col].cast("long").alias(id_col), *keep).schema.fields, *made])
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in (id_col, *(f.name for f in made)))
+    out = StructType([*df.select(df[id_col].cast("long").alias(id_col), *(F.col(f"`{c}`") for c in keep)).schema.fields, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                piece = batch.slice(start, 500)
+            for piece in _slices(batch, 500):
                 ids = [bpe.encode_packed(t or "") for t in piece.column(piece.num_columns - 1).to_pylist()]
                 made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode_packed(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *made], names=out.names)
 
     text = df[text_col].cast("string").alias("__text")
-    return df.select(df[id_col].cast("long").alias(id_col), *keep, text).mapInArrow(run, out)
+    return df.select(df[id_col].cast("long").alias(id_col), *(F.col(f"`{c}`") for c in keep), text).mapInArrow(run, out)
