@@ -205,4 +205,6 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *made], names=out.names)
 
     text = df[text_col].cast("string").alias("__text")
-    return df.select(df[id_col].cast("long").alias(id_col), *(F.col(f"`{c}`") for c in keep), text).mapInArrow(run, out)
+    # mapInArrow takes no input names with dots; the schema names the columns again.
+    kept = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)]
+    return df.select(df[id_col].cast("long").alias("__id"), *kept, text).mapInArrow(run, out)
