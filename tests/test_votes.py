@@ -118,3 +118,12 @@ def test_levels_of_many_equal_pivots_are_few(spark):
     got = {(r.level, r.is_equal, r.is_latest) for r in T.levels(bars, n=2).collect() if r.side == "high"}
     assert got == brute(prices)
     assert T.levels(bars.where("false")).count() == 0
+
+
+def test_small_helpers_at_their_edges(spark):
+    from pyspark.sql import functions as F
+    from tidemark.functions.scalars import bias_way, higher_interval, history_limit
+
+    df = spark.createDataFrame([("bull", "1h", 5, 3), ("BEAR", "1M", 0, 100), (None, None, None, 1), ("x", "7m", 1, 50)], "bias string, tf string, wanted int, there int")
+    got = [tuple(r) for r in df.select(bias_way(F.col("bias")), higher_interval(F.col("tf")), history_limit(F.col("wanted"), F.col("there"))).collect()]
+    assert got == [(1, "4h", 3), (-1, None, 30), (0, None, 1), (0, None, 2)]
