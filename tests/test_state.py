@@ -5,12 +5,15 @@ import random
 import tempfile
 import time
 
+import duckdb
 import pytest
+from compare import difference
 from pyspark.sql import functions as F
 from tidemark.operators import components as J
 from tidemark.operators import precise, pyramid
 from tidemark.operators import smoothing as S
 from tidemark.operators.scan import scan
+from tidemark.plans import registry
 from tidemark.streaming import ordered as Z
 
 BEGIN = datetime.datetime(2024, 1, 1)
@@ -145,3 +148,16 @@ def test_rows_later_than_the_watermark_are_dropped(spark):
     pieces = [spark.createDataFrame(one, schema), spark.createDataFrame(late, schema), Z.closing_row(spark.createDataFrame(late, schema), 60_000)]
     got = batches(spark, pieces, lambda s: Z.in_order(s, S.Rsi, "10 seconds", ("symbol", "tf"), ("ts", "seq")))
     assert sorted(r.seq for r in got.collect()) == [*range(40), 45]
+
+
+def test_components_of_events_within_a_millisecond(spark, tmp_path):
+    """Where several events share a millisecond, the one of the largest id counts, also as the first price of all."""
+    step = datetime.timedelta(microseconds=1)
+    times = [BEGIN + k * datetime.timedelta(minutes=10) + n * step for k in range(40) for n in (0, 300, 600)]
+    rows = [(1000 - i, t, i, "a", float(i * i % 97), f'{{"k": {i % 100}}}') for i, t in enumerate(times)]
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+        con.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?, ?)", rows)
+        con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for name in ("components_stream", "market_state"):
+        assert difference(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], str(tmp_path)) == ""

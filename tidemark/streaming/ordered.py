@@ -25,7 +25,7 @@ CLOSING = ""
 
 
 def in_order(df: DataFrame, kernel: Callable[[], Kernel], late: str, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts", "side", "seq"), only: str | None = None) -> DataFrame:
-    """All columns of a stream and those that the kernel makes, a row per row (where column ``only`` is true, if named; the others still run through the kernel)."""
+    """All columns of a stream and those that the kernel makes, a row per row (where column ``only`` is true, if named; the others still run through the kernel). ``order`` may be in whole milliseconds: one's rows run together, once the watermark has passed all of it."""
     sample = kernel()
     made = [StructField(n, _parse_datatype_string(t)) for n, t in sample.makes]
     schema = StructType([*df.schema.fields, *made])
@@ -40,8 +40,8 @@ def in_order(df: DataFrame, kernel: Callable[[], Kernel], late: str, keys: tuple
             for batch in batches:
                 waiting.extend(zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in names), strict=True))
         mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        ready = sorted((r for r in waiting if r[moment] <= mark), key=lambda r: tuple((r[i] is not None, r[i]) for i in at))
-        waiting = [r for r in waiting if r[moment] > mark]
+        ready = sorted((r for r in waiting if r[moment] < mark), key=lambda r: tuple((r[i] is not None, r[i]) for i in at))
+        waiting = [r for r in waiting if r[moment] >= mark]
         out = []
         for r in ready:
             values = own.step(*(r[i] for i in reads))
@@ -65,20 +65,21 @@ def closing_row(rows: DataFrame, delay_ms: int) -> DataFrame:
 
 
 class Components(Kernel):
-    """What all streams said last, for each grid row: price some time before (the first one if there is none), open interest's change over a window, funding rate and depth imbalance. Holds the prices and prints of its windows."""
+    """What all streams said last, for each grid row: price some time before (that of the first millisecond with any if there is none), open interest's change over a window, funding rate and depth imbalance. Holds the prices and prints of its windows."""
 
     reads = ("kind", "ms", "value")
     makes = (("old_price", "double"), ("oi_pct", "double"), ("funding_rate", "double"), ("imbalance", "double"))
 
     def __init__(self, price_back: int, oi_window: int):
         self.price_back, self.oi_window = price_back, oi_window
-        self.first_price, self.prices = None, deque()
+        self.first_price, self.first_ms, self.prices = None, None, deque()
         self.oi, self.before_window, self.last_two = deque(), 0, deque(maxlen=2)
         self.rate = self.imbalance = None
 
     def step(self, kind, ms, value):
         if kind == "price":
-            self.first_price = value if self.first_price is None else self.first_price
+            if self.first_ms in (None, ms):
+                self.first_price, self.first_ms = value, ms
             self.prices.append((ms, value))
         elif kind == "oi":
             self.oi.append((ms, value))
