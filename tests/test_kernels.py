@@ -101,6 +101,13 @@ def test_sliding_windows_hold_trades_of_the_same_time(spark):
     assert got == [(1, 0, 1), (1, 2, 2), (1, 2, 2)]
 
 
+def test_sliding_windows_end_with_the_microsecond_and_keep_every_digit(spark):
+    rows = [("x", 0, 1, 1e15, 1.0, False), ("x", 10_000_000, 2, 0.1, 1.0, False), ("x", 10_000_400, 3, 0.3, 1.0, True), ("x", 15_000_100, 4, 0.2, 1.0, True)]
+    df = spark.createDataFrame(rows, "symbol string, us long, trade_id long, price double, quantity double, is_buyer_maker boolean").withColumn("ts", F.timestamp_micros("us"))
+    got = [(r.count_5, r.vwap_5) for r in windows.sliding(df, (5,)).orderBy("us").collect()]
+    assert got == [(1, 1e15), (1, 0.1), (2, 0.2), (2, 0.25)]
+
+
 def test_count_bars_take_the_rest_in_the_last(spark):
     df = spark.range(45).selectExpr("'x' as symbol", "timestamp_seconds(id) as ts", "id as trade_id", "cast(id as double) as price", "1.0D as quantity")
     got = bars.count_bars(df).orderBy("bar").collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ def safe_divide(n: Column, d: Column, default: float | Column = 0.0) -> Column:
     return F.when(F.abs(d) > EPSILON, n / d).otherwise(default)
 
 
+def exact_sum(x: Column, total: Callable[[Column], Column] = F.sum) -> Column:
+    """Sum of doubles up to 1e23, rounded once, in whatever order the rows come: whole multiples of 2^-16 add up without error, and the rests are too small for theirs to show. NaN where one isn't finite. ``total`` sums a column, and may be over a window."""
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    finite = F.when(~odd, x)
+    whole = (finite * 65536).cast("decimal(28,0)")
+    made = total(whole).cast("double") / 65536 + total(finite - whole.cast("double") / 65536)
+    return F.when(total(odd.cast("int")) > 0, F.lit(float("nan"))).otherwise(made)
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
