@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import INTERVAL_MS, clip, interval_ms, normalized_symbol, safe_divide
 from tidemark.operators import asof, bars, kernels, regime, smoothing, structure, vwap, windows
 from tidemark.operators.scan import scan
+from tidemark.plans.market import rounded
 from tidemark.streaming.state import stream_scan
 
 
@@ -108,6 +109,12 @@ def test_sliding_windows_end_with_the_microsecond_and_keep_every_digit(spark):
     assert got == [(1, 1e15), (1, 0.1), (2, 0.2), (2, 0.25)]
 
 
+def test_rounding_of_halves_stored_a_trifle_short(spark):
+    df = spark.createDataFrame([((0.94621 + 3) / 4,), (-1.5e-6,), (1e305,), (float("nan"),), (None,)], "x double")
+    got = [r.x for r in rounded(df).collect()]
+    assert (0.94621 + 3) / 4 < 0.9865525 and got[:3] == [0.986553, -2e-6, 1e305] and math.isnan(got[3]) and got[4] is None
+
+
 def test_count_bars_take_the_rest_in_the_last(spark):
     df = spark.range(45).selectExpr("'x' as symbol", "timestamp_seconds(id) as ts", "id as trade_id", "cast(id as double) as price", "1.0D as quantity")
     got = bars.count_bars(df).orderBy("bar").collect()
