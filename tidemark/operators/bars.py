@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INTERVAL_MS, safe_divide
+from .ordered import numbered
 
 
 def bucket(ts: Column, tf: str) -> Column:
@@ -68,12 +69,10 @@ def delta_bars(trades: DataFrame, tf: str, filtered: bool = True) -> DataFrame:
 
 def count_bars(trades: DataFrame, bar_count: int = 20) -> DataFrame:
     """Bars of max(1, n // bar_count) trades each; the last takes what is left."""
-    keyed = Window.partitionBy("symbol")
-    size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(keyed) / bar_count))
-    place = F.row_number().over(keyed.orderBy("ts", "trade_id")) - 1
-    order = F.struct("ts", "trade_id")
-    rows = trades.withColumn("bar", F.floor(place / size).cast("long"))
-    return rows.groupBy("symbol", "bar").agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trades"))
+    rows = numbered(trades, ("symbol",), ("ts", "trade_id"), "__place", "__total")
+    size = F.greatest(F.lit(1), F.floor(F.col("__total") / bar_count))
+    rows = rows.withColumn("bar", F.floor(F.col("__place") / size).cast("long"))
+    return rows.groupBy("symbol", "bar").agg(F.min_by("price", "__place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "__place").alias("close"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trades"))
 
 
 def carried_bars(trades: DataFrame, bars: int = 20) -> DataFrame:

@@ -23,19 +23,21 @@ LENGTH = 512
 _PLACE = 33
 
 
-def numbered(df: DataFrame, keys: tuple[str, ...] = SERIES, order: tuple[str, ...] = ("ts", "seq"), name: str = "n") -> DataFrame:
-    """Adds ``name``, the place of each row in its series from 0 on (ties in any order, but one that stays). Rows with a null key are series of their own."""
+def numbered(df: DataFrame, keys: tuple[str, ...] = SERIES, order: tuple[str, ...] = ("ts", "seq"), name: str = "n", total: str | None = None) -> DataFrame:
+    """Adds ``name``, the place of each row in its series from 0 on (ties in any order, but one that stays), and ``total``, if named, the series' number of rows. Rows with a null key are series of their own."""
     rows = stored(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("__id", _PLACE)
     # a row for each series, and one more for each partition that begins inside one
     heads = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], part.alias("__of")).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    if total:
+        heads = heads.withColumn("__total", F.sum("__rows").over(Window.partitionBy(*[f"__{k}" for k in keys])))
     same = part == F.col("__of")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
     joined = rows.join(heads, same)
-    return joined.select(*df.columns, (F.col("__id") - F.col("__first") + F.col("__offset")).alias(name))
+    return joined.select(*df.columns, (F.col("__id") - F.col("__first") + F.col("__offset")).alias(name), *([F.col("__total").alias(total)] if total else []))
 
 
 def apart(rows: DataFrame, before: int = 0, length: int = LENGTH) -> DataFrame:
