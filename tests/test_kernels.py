@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tidemark.functions.scalars import INTERVAL_MS, clip, interval_ms, normalized_symbol, safe_divide
+from tidemark.functions.scalars import INTERVAL_MS, clip, interval_ms, normalized_symbol, place, safe_divide
 from tidemark.operators import asof, bars, kernels, regime, smoothing, structure, vwap, windows
 from tidemark.operators.scan import scan
 from tidemark.plans.market import rounded
@@ -121,6 +121,22 @@ def test_count_bars_take_the_rest_in_the_last(spark):
     assert len(got) == 23 and [r.trades for r in got[:2]] == [2, 2] and got[-1].trades == 1
 
 
+def test_count_and_carried_bars_sort_no_rows_to_aggregate(spark):
+    rows = [(None if i % 4 == 0 else "x", i, i % 9) for i in range(90)]
+    df = spark.createDataFrame(rows, "symbol string, s long, trade_id long").select("symbol", F.timestamp_seconds("s").alias("ts"), "trade_id", F.col("s").cast("double").alias("price"), F.lit(1.0).alias("quantity"))
+    for made in (bars.count_bars(df, 5), bars.carried_bars(df, 5)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+    counted = bars.count_bars(df, 5)
+    assert [(r.symbol, r.bar, r.open, r.close, r.trades) for r in counted.where("symbol is null").orderBy("bar").collect()][:2] == [(None, 0, 0.0, 12.0, 4), (None, 1, 16.0, 28.0, 4)]
+
+
+def test_places_are_in_order(spark):
+    keys = [(None, 5), (-7, 2**62), (0, -(2**62) + 1), (0, None), (10**16, -1), (10**16, 3)]
+    df = spark.createDataFrame([(i, *k) for i, k in enumerate(keys)], "i long, us long, n long").withColumn("p", place(F.timestamp_micros("us"), F.col("n")))
+    assert [r.i for r in df.orderBy("p").collect()] == [0, 1, 3, 2, 4, 5]
+
+
 def test_scalars(spark):
     row = spark.range(1).select(safe_divide(F.lit(1.0), F.lit(0.0), 7.0).alias("a"), clip(F.lit(9.0), -1.0, 1.0).alias("b"), interval_ms(F.lit("1d")).alias("c"), interval_ms(F.lit("?")).alias("d"), normalized_symbol(F.lit("btc/us-d_t")).alias("e")).first()
     assert tuple(row) == (7.0, 1.0, INTERVAL_MS["1d"], 60_000, "BTCUSDT")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import INTERVAL_MS, safe_divide
+from ..functions.scalars import INTERVAL_MS, place, safe_divide
 from .ordered import numbered
 
 
@@ -17,7 +17,7 @@ def bucket(ts: Column, tf: str) -> Column:
 
 def ohlcv(ticks: DataFrame, tf: str, quantity: str = "price") -> DataFrame:
     """One bar for each symbol and interval that has ticks (gaps stay). The shuffle carries one partial row for each bar and task."""
-    order = F.struct("ts", "seq")
+    order = place(F.col("ts"), F.col("seq"))
     out = ticks.groupBy("symbol", bucket(F.col("ts"), tf).alias("start")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum(quantity).alias("volume"), F.count(F.lit(1)).alias("trades")
     )
@@ -44,7 +44,7 @@ def without_noise(trades: DataFrame, tf: str, min_notional: float = 50.0, cut: f
 def delta_bars(trades: DataFrame, tf: str, filtered: bool = True) -> DataFrame:
     """Bars of signed volume, with empty bars (all zero) between a symbol's first and last, and the running delta."""
     kept = without_noise(trades, tf) if filtered else trades.withColumn("start", bucket(F.col("ts"), tf))
-    order = F.struct("ts", "trade_id")
+    order = place(F.col("ts"), F.col("trade_id"))
     sold = F.col("is_buyer_maker")
     made = kept.groupBy("symbol", "start").agg(
         F.min_by("price", order).alias("open"),
@@ -78,8 +78,8 @@ def count_bars(trades: DataFrame, bar_count: int = 20) -> DataFrame:
 def carried_bars(trades: DataFrame, bars: int = 20) -> DataFrame:
     """Equal-time bars up to each symbol's newest trade (which the last one leaves out); empty bars carry the close with volume 0, leading ones are left out."""
     span = trades.groupBy("symbol").agg(F.min(F.unix_millis("ts")).alias("a"), F.max(F.unix_millis("ts")).alias("b")).withColumn("step", (F.col("b") - F.col("a")) / bars).where("step > 0")
-    placed = trades.join(span, "symbol").withColumn("bar", F.floor((F.unix_millis("ts") - F.col("a")) / F.col("step"))).where(F.col("bar") < bars)
-    order = F.struct("ts", "trade_id")
+    placed = trades.join(F.broadcast(span), "symbol").withColumn("bar", F.floor((F.unix_millis("ts") - F.col("a")) / F.col("step"))).where(F.col("bar") < bars)
+    order = place(F.col("ts"), F.col("trade_id"))
     made = placed.groupBy("symbol", "bar").agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"))
     grid = span.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bars - 1).cast("long"))).alias("bar"))
     before = Window.partitionBy("symbol").orderBy("bar").rowsBetween(Window.unboundedPreceding, Window.currentRow)

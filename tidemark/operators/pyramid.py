@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ladder, safe_divide
+from ..functions.scalars import ladder, place, safe_divide
 from .ordered import apart
 
 #: Chunks have so many times the steps of the longest window.
@@ -24,7 +24,7 @@ _LEAST, _MOST = ("low", "begin"), ("high",)
 
 def steps(trades: DataFrame, ms: int) -> DataFrame:
     """Per symbol and step ``n`` (its end is (n + 1) * ms): volume by side, notional, count, open, high, low, close, and the times of the first and last trade. Trades of one time count in the order of trade_id."""
-    at, order = F.unix_millis("ts"), F.struct("ts", "trade_id")
+    at, order = F.unix_millis("ts"), place(F.col("ts"), F.col("trade_id"))
     q, sold = F.col("quantity"), F.col("is_buyer_maker")
     return trades.groupBy("symbol", F.floor(at / ms).alias("n")).agg(
         F.sum(F.when(~sold, q).otherwise(0.0)).alias("buy"),
