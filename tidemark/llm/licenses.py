@@ -102,8 +102,7 @@ def words_of(unit: Column) -> Column:
 
 
 def pairs_of(unit: Column) -> Column:
-    words = words_of(unit)
-    return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))))
+    return _let(words_of(unit), lambda words: F.when(F.size(words) < 2, words).otherwise(F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))))
 
 
 def keywords(pairs: list[str], threshold: float) -> set[str]:
@@ -121,19 +120,29 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _marked(each: Column, pairs: Column) -> Column:
-    """For each place of a text's pairs: ``pos``, whether a sentence begins and ends there, the place before of the same pair (``prev``, -1 if none) and whether the template has it (``hit``)."""
+def _once(value: Column, name: str) -> Column:
+    """A column whose value is made once: filters and uses are not moved through a generator."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _marked(each: Column) -> Column:
+    """For each place of a text's pairs: ``pos``, the pair, whether a sentence begins and ends there, and the place before of the same pair (``prev``, -1 if none)."""
     def mark(by_pair: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             before = F.get(by_pair, i - 1)
             prev = F.when(before["pair"] == x["pair"], before["pos"]).otherwise(-1)
-            return F.struct(x["pos"].alias("pos"), prev.alias("prev"), F.array_contains(pairs, x["pair"]).alias("hit"), x["begins"].alias("begins"), x["ends"].alias("ends"))
+            return F.struct(x["pos"].alias("pos"), prev.alias("prev"), x["pair"].alias("pair"), x["begins"].alias("begins"), x["ends"].alias("ends"))
 
         return F.array_sort(F.transform(by_pair, one))
 
     return _let(F.array_sort(F.transform(each, lambda p, i: F.struct(p["pair"].alias("pair"), i.alias("pos"), p["begins"].alias("begins"), p["ends"].alias("ends")))), mark)
 
 
+def _hits(marked: Column, pairs: Column) -> Column:
+    """``marked`` with whether the template has the pair (``hit``) in the pair's place."""
+    return F.transform(marked, lambda x: F.struct(x["pos"].alias("pos"), x["prev"].alias("prev"), F.array_contains(pairs, x["pair"]).alias("hit"), x["begins"].alias("begins"), x["ends"].alias("ends")))
+
+
 def _best_run(marked: Column, size: Column, most: Column) -> Column:
     """The greatest coefficient of a run of sentences with a template of ``size`` pairs, and less its first place. A pair counts once in a run.
 
@@ -213,20 +222,25 @@ def _runs(docs: DataFrame, rows: list[tuple[str, list[str]]], threshold: float)
     listed = F.zip_with(F.slice("words", 1, less("words")), F.slice("words", 2, less("words")), lambda a, b: F.concat_ws(" ", a, b))
     if any(" " not in p for p in every):
         listed = F.concat(listed, "words")
-    # Each step's value is made once: filters and uses are not moved through a generator.
-    once = lambda value, name: F.explode(F.array(value)).alias(name)
-    seen = docs.select("doc_id", "text", once(words_of(F.col("text")), "words"))
-    seen = seen.select("doc_id", "text", once(F.array_distinct(F.filter(listed, lambda p: p.isin(every))), "seen"))
+    seen = docs.select("doc_id", "text", _once(words_of(F.col("text")), "words"))
+    seen = seen.select("doc_id", "text", _once(F.array_distinct(F.filter(listed, lambda p: p.isin(every))), "seen"))
     # A unit near a template shares at least as many pairs as the smallest that its size allows has.
     seen = stored(seen.where(F.size("seen") >= max(1, min(lo for lo, _ in bounds))).withColumn("row", F.monotonically_increasing_id()))
     index = known.select("template", "least", F.explode("pairs").alias("pair"))
-    shared = seen.select("row", F.explode("seen").alias("pair")).join(index, "pair").groupBy("row", "template", "least").count().where("count >= least").select("row", "template")
-    met = seen.join(shared, "row").join(known, "template")
-    each = F.when(F.get("pairs", F.lit(0)).contains(" "), two).otherwise(one)
-    met = met.select("doc_id", "license", "pairs", "size", "most", once(at, "at"))
-    met = met.select("doc_id", "license", "pairs", "size", "most", "at", once(each, "each"))
-    best = _let(_marked(F.col("each"), F.col("pairs")), lambda marked: _best_run(marked, F.col("size"), F.col("most")))
-    found = met.select("doc_id", "license", "at", once(best, "best")).where(F.col("best")["dice"] >= threshold)
+    shared = seen.select("row", F.explode("seen").alias("pair")).join(index, "pair").groupBy("row", "template", "least").count().where("count >= least")
+    # A text is cut and its pairs are put in order once, however many templates it may be near.
+    met = seen.join(shared.groupBy("row").agg(F.collect_list("template").alias("templates")), "row")
+    kinds = {True: two, False: one}
+    used = sorted({" " in pairs[0] for _, pairs in rows if pairs})
+    met = met.select("doc_id", "templates", _once(at, "at"))
+    for k in used:
+        met = met.select("doc_id", "templates", "at", *[f"marked_{o}" for o in used if o < k], _once(_marked(kinds[k]), f"marked_{k}"))
+    met = met.withColumn("template", F.explode("templates")).drop("templates").join(F.broadcast(known), "template")
+    by = F.get("pairs", F.lit(0)).contains(" ")
+    marked = F.col(f"marked_{used[0]}") if len(used) == 1 else F.when(by, F.col("marked_True")).otherwise(F.col("marked_False"))
+    met = met.select("doc_id", "license", "size", "most", "at", _once(_hits(marked, F.col("pairs")), "marked"))
+    best = _best_run(F.col("marked"), F.col("size"), F.col("most"))
+    found = met.select("doc_id", "license", "at", _once(best, "best")).where(F.col("best")["dice"] >= threshold)
     return found.select("doc_id", "license", F.col("best")["dice"].alias("dice"), F.get("at", -F.col("best")["from"])["line"].alias("place"))
 
 
@@ -249,7 +263,7 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, threshol
     units = F.concat(F.transform(lines, lambda t, i: F.struct(i.alias("place"), t.alias("unit"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("unit")))).otherwise(F.array()))
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(some_keyword))
     each = docs.select("doc_id", F.inline(units)).where(F.col("unit").rlike(some_keyword))
-    found = each.select("doc_id", "place", pairs_of(F.col("unit")).alias("own")).withColumn("n", F.size("own").cast("long")).where(F.col("n").between(least, most))
+    found = each.select("doc_id", "place", _once(pairs_of(F.col("unit")), "own")).withColumn("n", F.size("own").cast("long")).where(F.col("n").between(least, most))
     # The two small tables have a row for each template and possible size: bounded by the templates alone.
     met = found.join(F.broadcast(by_size), "n").join(F.broadcast(known), "template")
     dice = F.lit(2.0) * F.size(F.array_intersect("own", "pairs")) / (F.col("n") + F.size("pairs"))
