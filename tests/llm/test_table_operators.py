@@ -270,6 +270,12 @@ def test_licenses_equal_all_runs_of_sentences(spark, monkeypatch, probe):
     assert {name for _, name in want} == {"A", "B", "C"} and len(want) > 20
 
 
+def test_licenses_make_a_units_words_once(spark):
+    df = spark.createDataFrame([(1, "Licensed under the MIT License.\nmore")], "doc_id long, text string")
+    plan = licenses.scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2
+
+
 def test_licenses_in_a_text_that_repeats_itself(spark):
     """A licence's sentence said eleven thousand times, 400 kB in all: seconds, not minutes."""
     sentence = "Released under the MIT License."
