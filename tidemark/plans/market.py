@@ -28,11 +28,11 @@ def query(sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, doubles to six places (and no negative zero): millionths to the nearest whole, as round(x, 6) in the SQL takes them, so that a half that is stored a trifle short still goes up."""
+def rounded(df: DataFrame, *columns: str, scaled: bool = False) -> DataFrame:
+    """The named columns, doubles to six places (and no negative zero). ``scaled``: millionths to the nearest whole, as round(x, 6) in the SQL takes them, so that a half that is stored a trifle short still goes up."""
     kinds = dict(df.dtypes)
-    six = lambda c: F.when(F.abs(F.col(c)) < 1e300, F.round(F.col(c) * 1e6) / 1e6).otherwise(F.col(c)) + F.lit(0.0)
-    return df.select(*[six(c).alias(c) if kinds[c] == "double" else F.col(c) for c in columns or df.columns])
+    six = (lambda c: F.when(F.abs(F.col(c)) < 1e300, F.round(F.col(c) * 1e6) / 1e6).otherwise(F.col(c))) if scaled else (lambda c: F.round(c, 6))
+    return df.select(*[(six(c) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in columns or df.columns])
 
 
 def day(spark: SparkSession, d: str) -> DataFrame:
