@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, langid, lines
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import scratch, stored, table
 
 #: A text is junk if its shortest code takes more bits than its own bytes and so many more have: names and new words cost a short text that much at most.
 MARGIN_BYTES = 16
@@ -15,7 +15,9 @@ MARGIN_BYTES = 16
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that have a language; learned from all labelled rows' bounded sample."""
-    known = langid.predict(docs, langid.fit(docs))
+    with scratch(spark):
+        model = langid.fit(docs)
+    known = langid.predict(docs, model)
     size = F.octet_length("text")
     junk = (F.col("lang_pred") == langid.UNDETERMINED) | (F.col("bits_per_byte") * size >= 8 * (size + MARGIN_BYTES))
     return known.where(~junk).select(*docs.columns)
@@ -31,8 +33,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by similar five-word shingles: that with the smallest id. Of rows with the same id one stays; rows without id stay."""
-    groups = jaccard.group(docs)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    with scratch(spark) as keep:
+        copies = keep(jaccard.group(docs).where("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(copies, "doc_id", "left_anti")
     repeated = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     # The row with the least hash stays: of columns as JSON, since some kinds of column have no order.
@@ -68,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +37,66 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go at its end, instead of when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables, with their folders, of each scratch that is open in this thread, the innermost last.
+_scratches: ContextVar[tuple[dict[DataFrame, str], ...]] = ContextVar("scratches", default=())
+
+
+@contextmanager
+def _without_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+
+
+def _stored(df: DataFrame, tables: dict[DataFrame, str] | None) -> DataFrame:
+    spark, folder = df.sparkSession, shared_dir(df.sparkSession)
+    with _without_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(f"{folder}/part")
+    table = spark.read.schema(df.schema).parquet(f"{folder}/part")
+    if tables is not None:
+        tables[table] = folder
+    return table
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/part"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame to the shared folder and read it back: its lineage ends there. Its files go with the innermost open scratch; without one, they stay."""
+    return _stored(df, next(reversed(_scratches.get()), None))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored within go at its end, and each query's shuffle files at the query's end.
+
+    It gives a function that stores a frame for the scratch around this one (or to
+    stay). What is read later must rest on such frames alone.
+    """
+    around, own = _scratches.get(), {}
+    token = _scratches.set((*around, own))
+    try:
+        with _without_shuffles(spark):
+            yield lambda df: _stored(df, around[-1] if around else None)
+    finally:
+        _scratches.reset(token)
+        for folder in own.values():
+            _remove(spark, folder)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more before their scratch ends. Other frames are passed over."""
+    for table in tables:
+        for own in _scratches.get():
+            if folder := own.pop(table, None):
+                _remove(table.sparkSession, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Longest array of 64-bit words in a native filter: 8 MB.
@@ -54,17 +111,19 @@ def bit_filter(keys: DataFrame) -> Callable[..., Column]:
     array in a scalar subquery, 16 a key but never more than 2 ** MAX_WORDS_LOG2
     words, whatever the number of keys; beyond that it only lets more through.
     """
-    keys = stored(keys.distinct())
-    log2 = min(MAX_WORDS_LOG2, max(4, math.ceil(math.log2(max(keys.count(), 1) / 4))))
-
-    def place(*columns: Column) -> tuple[Column, Column]:
-        h = F.xxhash64(F.lit(11), *columns)
-        return F.shiftrightunsigned(h, 64 - log2).cast("int"), h.bitwiseAND(63).cast("int")
-
-    word, bit = place(*[F.col(f"`{c}`") for c in keys.columns])
-    masks = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m"))
-    every = keys.sparkSession.range(1 << log2).select(F.col("id").cast("int").alias("w")).join(masks, "w", "left")
-    words = stored(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0)).alias("m")))), lambda x: x["m"]).alias("words")))
+    spark = keys.sparkSession
+    with scratch(spark) as keep:
+        keys = stored(keys.distinct())
+        log2 = min(MAX_WORDS_LOG2, max(4, math.ceil(math.log2(max(keys.count(), 1) / 4))))
+
+        def place(*columns: Column) -> tuple[Column, Column]:
+            h = F.xxhash64(F.lit(11), *columns)
+            return F.shiftrightunsigned(h, 64 - log2).cast("int"), h.bitwiseAND(63).cast("int")
+
+        word, bit = place(*[F.col(f"`{c}`") for c in keys.columns])
+        masks = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m"))
+        every = spark.range(1 << log2).select(F.col("id").cast("int").alias("w")).join(masks, "w", "left")
+        words = keep(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0)).alias("m")))), lambda x: x["m"]).alias("words")))
 
     def has(*columns: Column) -> Column:
         w, b = place(*columns)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, scratch, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,9 +18,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     each round's labels are written to the shared folder, which cuts the lineage.
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    with scratch(links.sparkSession) as keep:
+        return _labels(links, keep)
+
+
+def _labels(links: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = stored(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
+    last = keep(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
     while True:
+        labels = last.select("node", "component")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
         own = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
         new = (
@@ -26,8 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .join(own, "component")
             .select("node", F.least("component", "near", "above").alias("component"), (F.least("near", "above") < F.col("component")).alias("moved"))
         )
-        new = stored(new)
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
+        new = keep(new)
+        drop(last)
+        last = new
+        if not new.where("moved").limit(1).count():
+            return new.select("node", "component")

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored
+from .common import drop, hot_join, scratch, stored
 from .components import components
 from .membership import Bits, filter_of, mixed
 
@@ -368,27 +368,17 @@ def _remaining(rows: DataFrame, sets: DataFrame, near: Column, percent: int) ->
     return rows.join(other, "key").where(near & (F.col("set_id") < F.col("b")) & (F.col("component") != F.col("other")) & allowed).select(F.col("set_id").alias("a"), "b").distinct()
 
 
-def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``.
-
-    Two documents link when 100 * intersection >= percent * union of their sets
-    of n-word shingles; component_id is the smallest id that links reach, the
-    document's own included. Without words a document links with nothing (but
-    its id may be that of a row with words). A row with a null id has a null
-    component; rows with the same id count as linked. ``percent`` is above 50.
-    """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be above 50 and at most 100")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profiles = stored(_profiles(docs, n, percent, _frequent_filter(docs, n)))
+def _of_sets(docs: DataFrame, profiles: DataFrame, n: int, percent: int) -> DataFrame:
+    """``print``, ``n_shingles``, ``copies`` and ``component_id`` of each distinct set."""
+    spark, of = docs.sparkSession, ["print", "n_shingles"]
     real = profiles.where("doc_id is not null and n_shingles > 0")
-    of = ["print", "n_shingles"]
     # Equal sets are one node, told by its place in this table, which is written once.
     nodes = stored(real.groupBy(*of).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("set_id", F.monotonically_increasing_id()))
     one = real.join(nodes.drop("copies"), ["doc_id", *of]).dropDuplicates(["set_id"])
     sets = stored(one.select("set_id", "doc_id", "print", F.col("n_shingles").cast("int").alias("n"), "places", "odd", "keys"))
     shared_keys = stored(_shared_keys(sets))
-    bits = df.sparkSession.sparkContext.broadcast(filter_of(shared_keys, "key"))
+    bits = spark.sparkContext.broadcast(filter_of(shared_keys, "key"))
+    drop(shared_keys)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bits(*bits.value)
@@ -399,7 +389,7 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
             keep = known.has(flat.view(np.uint64)) if len(flat) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[keep])), batch.column(1).take(pa.array(rows[keep])), pa.array(flat[keep])], names=["set_id", "n", "key"])
 
-    index = stored(sets.select("set_id", "n", "keys").mapInArrow(postings, "set_id long, n int, key long"))
+    rest = stored(sets.select("set_id", "n", "keys").mapInArrow(postings, "set_id long, n int, key long").withColumn("component", F.col("set_id")))
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
     def stars(rows: DataFrame, turn: int) -> DataFrame:
@@ -415,31 +405,60 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     own = ids.join(twice, "doc_id", "left_semi").join(nodes.select("set_id", *of), of)
     first = own.groupBy("doc_id").agg(F.min("set_id").alias("a"))
     links = stored(own.join(first, "doc_id").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct())
-    rest, tried = index.withColumn("component", F.col("set_id")), None
+    tried = None
     for turn in range(2 * ROUNDS + 1):
         if turn == ROUNDS:
-            rest = stored(_refined(docs, rest, sets, n, percent))
-        pairs = stars(rest, turn % ROUNDS) if turn < 2 * ROUNDS else _remaining(rest, sets, near, percent)
-        new = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            spent = rest
+            with scratch(spark) as keep:
+                rest = keep(_refined(docs, rest, sets, n, percent))
+            drop(spent)
+        with scratch(spark) as keep:
+            pairs = stars(rest, turn % ROUNDS) if turn < 2 * ROUNDS else _remaining(rest, sets, near, percent)
+            new = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = new if tried is None else tried.union(new)
         plausible = stored(_plausible(new, sets, percent))
         if plausible.limit(1).count():
-            links = stored(links.union(_verified(docs, plausible, sets, n, percent)))
+            spent = links
+            with scratch(spark) as keep:
+                links = keep(links.union(_verified(docs, plausible, sets, n, percent)))
+            drop(spent)
+        drop(plausible)
         if turn == 2 * ROUNDS:
             break
         labels = components(links)
         placed = rest.drop("component").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         # A key is done with once all its sets are in one component, or there were only two.
         left = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
-        rest = stored(placed.join(left, "key", "left_semi"))
+        spent, rest = rest, stored(placed.join(left, "key", "left_semi"))
+        drop(spent)
         if not rest.limit(1).count():
             break
     labels = components(links)
     placed = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = stored(placed.join(smallest, "component").select(*of, "component_id", "copies"))
+    return placed.join(smallest, "component").select(*of, "component_id", "copies")
+
+
+def group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``.
+
+    Two documents link when 100 * intersection >= percent * union of their sets
+    of n-word shingles; component_id is the smallest id that links reach, the
+    document's own included. Without words a document links with nothing (but
+    its id may be that of a row with words). A row with a null id has a null
+    component; rows with the same id count as linked. ``percent`` is above 50.
+    """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    of = ["print", "n_shingles"]
+    with scratch(df.sparkSession) as keep:
+        profiles = stored(_profiles(docs, n, percent, _frequent_filter(docs, n)))
+        told = keep(profiles.select("doc_id", *of))
+        of_set = keep(_of_sets(docs, profiles, n, percent))
+    real = told.where("doc_id is not null and n_shingles > 0")
     rows = hot_join(real.select("doc_id", *of), of_set.drop("copies"), of, of_set.where(F.col("copies") >= COPIES).select(*of), ["doc_id"]).select("doc_id", "n_shingles", "component_id")
-    alone = profiles.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles")
+    alone = told.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles")
     # A row without words belongs with the other rows of its id, if any.
     of_id = stored(rows.join(alone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
     return rows.union(alone.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id")))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, stored
+from .common import bit_filter, scratch, stored
 
 EDITS = 1
 #: Shortest line in which an edit is forgiven: one in twenty characters.
@@ -231,7 +231,8 @@ def dedup(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Data
     own = "__dropped"
     while own in df.columns:
         own += "_"
-    dropped = stored(repeated_lines(df, edits, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias(own)))
+    with scratch(df.sparkSession) as keep:
+        dropped = keep(repeated_lines(df, edits, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias(own)))
     has = bit_filter(dropped.select("doc_id"))
     rows = df.drop("n_lines", "n_dropped")
     changed = F.coalesce(has(F.col("doc_id").cast("long")), F.lit(False))
