@@ -4,6 +4,7 @@ import datetime
 import random
 import tempfile
 import time
+import uuid
 
 import duckdb
 import pytest
@@ -13,7 +14,7 @@ from tidemark.operators import components as J
 from tidemark.operators import precise, pyramid
 from tidemark.operators import smoothing as S
 from tidemark.operators.scan import scan
-from tidemark.plans import registry
+from tidemark.plans import live, registry
 from tidemark.streaming import ordered as Z
 
 BEGIN = datetime.datetime(2024, 1, 1)
@@ -161,3 +162,51 @@ def test_components_of_events_within_a_millisecond(spark, tmp_path):
         con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     for name in ("components_stream", "market_state"):
         assert difference(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], str(tmp_path)) == ""
+
+
+def test_the_state_of_components_grows_with_half_hours_alone(spark, tmp_path, monkeypatch):
+    """A hundred times the events in the same half-hours: the stream's state stays as it is."""
+    size = {}
+    for n in (4, 400):
+        monkeypatch.setattr(live, "shared_dir", lambda _, n=n: f"file://{tmp_path}/{n}/{uuid.uuid4().hex}")
+        rows = [(i, BEGIN + i // n * datetime.timedelta(minutes=30) + i % n * datetime.timedelta(seconds=4), "ab"[i % 2], i * 37 % 101 + 0.5, f'{{"k": {i % 100}}}') for i in range(20 * n)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/{n}/events.parquet")
+        assert registry.queries()["components_stream"](spark, f"{tmp_path}/{n}").count() == 40
+        size[n] = sum(f.stat().st_size for f in tmp_path.glob(f"{n}/**/*.delta"))
+    assert 0 < size[400] < 1.5 * size[4]
+
+
+def test_step_ends_are_the_first_and_last_known_values(spark):
+    """Two rows a kind and step, the value of the largest seq in its millisecond; a step's last millisecond belongs to it, to its last microsecond."""
+    us = lambda x: BEGIN + datetime.timedelta(microseconds=x)
+    rows = [("a", us(0), 1, 1.0), ("a", us(10), 2, 2.0), ("a", us(1000), 9, 3.0), ("a", us(1001), 8, 4.0), ("a", us(1002), 10, None), ("a", us(5000), 3, 5.0), ("a", us(9000), 4, None), ("a", us(10_999), 5, 6.0), ("a", us(11_000), 6, None), ("b", us(1000), 7, 7.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, value double").select("*", F.lit(0).alias("side"), F.lit("price").alias("kind"), F.lit(False).alias("asks"), F.unix_millis("ts").alias("ms"))
+    got = batches(spark, [df, Z.closing_row(df, 60_000)], lambda s: Z.step_ends(s, "10 seconds", 10))
+    assert sorted((r.symbol, ms_of(r.ts), r.value) for r in got.collect()) == [("a", 0, 2.0), ("a", 1, 3.0), ("a", 10, 6.0), ("a", 11, None), ("b", 1, 7.0)]
+
+
+def test_components_of_unknown_values(spark, tmp_path):
+    """Prices and books that are null, some alone in their millisecond or half-hour, and hours without any open interest."""
+    rng, t, rows = random.Random(9), 0, []
+    for i in range(500):
+        t += rng.choice([0, 0, 300, 1000, 1000, 40_000_000, 900_000_000, 3_000_000_000])
+        rows.append((i * 7919 % 500, BEGIN + datetime.timedelta(microseconds=t), i, "ab"[i > 1 and rng.random() < 0.4], 5.0 if i < 2 else rng.choice([None, 3.0, float(i)]), rng.choice([None, "{}", f'{{"k": {i % 100}}}'])))
+    rows[1] = (*rows[1][:3], "b", *rows[1][4:])
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    assert difference(registry.queries()["components_stream"](spark, str(tmp_path)), registry.oracle_sql()["components_stream"], str(tmp_path)) == ""
+
+
+@pytest.mark.parametrize("name", ["components_stream", "rsi_stream"])
+def test_a_replay_in_pieces_equals_the_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(live, "PIECE", 400)
+    d = "/root/testdata/sf0.001"
+    assert difference(registry.queries()[name](spark, d), registry.oracle_sql()[name], d) == ""
+
+
+def test_a_series_longer_than_a_slice_keeps_its_order(spark):
+    rng = random.Random(8)
+    rows = [("a", "1h", at(i), None if i == 5 else i, 50 + rng.random()) for i in range(Z.SLICE + 500)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "symbol string, tf string, ts timestamp, seq long, close double")
+    got = {(r.ts, r.seq): r.rsi for r in batches(spark, [df, Z.closing_row(df, 60_000)], lambda s: Z.in_order(s, S.Rsi, "10 seconds", ("symbol", "tf"), ("ts", "seq"))).collect()}
+    assert got == {(r.ts, r.seq): r.rsi for r in scan(df, [S.Rsi]).collect()} and len(got) == len(rows)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -228,23 +229,49 @@ def trade_plan(spark, d):
     return rounded(planned, *KEY, "candidate", "direction", "kind", "risk", "entry", "stop_loss", "take_profit", "volume_confirms", "book_confirms", "oi_confirms", "warnings")
 
 
-def replayed(spark, rows, plan, close_ms: int | None = None):
-    """Run a streaming plan over a stored table to its end; the sink is a table in the shared folder. ``close_ms``: a closing row so long after the last lets the watermark pass all others."""
+#: Counted rows of a piece of a replay.
+PIECE = 200_000
+
+
+def replayed(spark, rows, plan, close_ms: int | None = None, counted: Column | None = None):
+    """Run a streaming plan over a stored table to its end; the sink is a table in the shared folder. ``close_ms``: a closing row so long after the last lets the watermark pass all others. ``counted``: the stream gets the rows in order of time, in pieces of about ``PIECE`` rows for which this holds, so that its state is that of a piece and of the watermark's delay."""
     folder = shared_dir(spark)
+    source = f"{folder}/in"
+    rows.write.parquet(source)
+    whole = spark.read.schema(rows.schema).parquet(source)
+    cuts = _cuts(whole, counted) if counted is not None else []
+    if cuts:
+        source = f"{folder}/pieces"
+        ranged = stored(whole.repartitionByRange("ts"))
+
+    def run():
+        stream = plan(spark.readStream.schema(rows.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return stream.schema
+
+    for begin, end in pairwise([None, *cuts, None]) if cuts else ():
+        piece = F.lit(True) if begin is None else F.col("ts") >= F.timestamp_micros(F.lit(begin))
+        ranged.where(piece if end is None else piece & (F.col("ts") < F.timestamp_micros(F.lit(end)))).write.mode("append").parquet(source)
+        run()
     if close_ms is not None:
-        rows = stored(rows)
-        rows = rows.unionByName(Z.closing_row(rows, close_ms))
-    rows.write.parquet(f"{folder}/in")
-    stream = plan(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+        Z.closing_row(whole, close_ms).write.mode("append").parquet(source)
+    return spark.read.schema(run()).parquet(f"{folder}/out")
+
+
+def _cuts(rows, counted) -> list[int]:
+    """The times (in microseconds) at which pieces begin, but for the first."""
+    rows = rows.where(counted)
+    n = -(-rows.count() // PIECE)
+    if n < 2:
+        return []
+    return sorted(set(rows.agg(F.percentile_approx(F.unix_micros("ts"), [i / n for i in range(1, n)])).first()[0]))
 
 
 @query(_REC("hour") + _RSI + f" SELECT symbol, ts::TIMESTAMPTZ AS ts, {Q.r('rsi', 'rsi')} FROM rsi")
 def rsi_stream(spark, d):
     """The RSI kernel in a stream over hourly bars, in whatever order their files are read."""
     bars = hour(spark, d)
-    return rounded(replayed(spark, bars, lambda s: Z.in_order(s, S.Rsi, "1 day", ("symbol", "tf"), ("ts", "seq")), 172_800_000), *KEY, "rsi")
+    return rounded(replayed(spark, bars, lambda s: Z.in_order(s, S.Rsi, "1 day", ("symbol", "tf"), ("ts", "seq")), 172_800_000, F.lit(True)), *KEY, "rsi")
 
 
 @query("SELECT event_type AS symbol, ts::TIMESTAMPTZ AS ts, event_id AS trade_id FROM events")
